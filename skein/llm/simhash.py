@@ -79,57 +79,57 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: list[str] |
     return docs.select(*cols, F.col("text").cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
-def _blocks(free: list[int], parts: int) -> list[list[int]]:
-    return [[int(b) for b in x] for x in np.array_split(np.array(free), parts) if len(x)]
+def child_masks(mask: int, parts: int) -> list[int]:
+    """``mask`` joined with each of ``parts`` blocks of the bits that are not in it (signed)."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    out = []
+    for block in np.array_split(np.array(free, dtype=np.int64), parts):
+        if len(block):
+            m = (mask | sum(1 << int(b) for b in block)) & (2**64 - 1)
+            out.append(m - (1 << 64) if m >= 1 << 63 else m)
+    return out
 
 
-def _mask(bits: list[int]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << 64) if m >= 1 << 63 else m
+def keyed_blocks(buckets: DataFrame, parts: int) -> DataFrame:
+    """``buckets(fp, mask)`` -> a row per block: fp, mask (the bits a bucket shares) and key (their values)."""
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("fp", "mask", "key")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, mask = (batch.column(i).to_numpy() for i in range(2))
+            fps, masks = [], []
+            for m in np.unique(mask):
+                of = fp[mask == m]
+                for child in child_masks(int(m), parts):
+                    fps.append(of)
+                    masks.append(np.full(len(of), child, dtype=np.int64))
+            f = np.concatenate(fps) if fps else np.zeros(0, np.int64)
+            k = np.concatenate(masks) if masks else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(k), pa.array(f & k)], names=schema.names)
+
+    return buckets.select("fp", "mask").mapInArrow(run, schema)
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Pairs (a, b), a < b, that connect all ``nodes(fp)`` within ``max_bits``."""
-    spark = nodes.sparkSession
-    all_bits = list(range(BITS))
-    # rows: fingerprint, the number of its key's block mask, the key itself
-    masks: list[list[int]] = [[]]  # the bits that members of a bucket have in common
-    left = nodes.select("fp", F.lit(0).alias("mask"))
+    left = nodes.select("fp", F.lit(0).cast("long").alias("mask"))
     found: DataFrame | None = None
     while True:
-        new: list[list[int]] = []
-        children: dict[int, list[int]] = {}
-        for i, fixed in enumerate(masks):
-            free = [b for b in all_bits if b not in set(fixed)]
-            for block in _blocks(free, max_bits + 1):
-                children.setdefault(i, []).append(len(new))
-                new.append(sorted(fixed + block))
-        grown = F.create_map(*(x for i, c in children.items() for x in (F.lit(i), F.array(*map(F.lit, c)))))
-        kept = F.array(*(F.lit(_mask(m)) for m in new))
-        keyed = left.select("fp", F.explode(F.element_at(grown, F.col("mask"))).alias("mask"))
-        keyed = cut(keyed.select("fp", "mask", F.col("fp").bitwiseAND(F.get(kept, F.col("mask"))).alias("key")))
+        keyed = cut(keyed_blocks(left, max_bits + 1).distinct())
         sizes = keyed.groupBy("mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
         small = keyed.join(sizes.where(F.col("n") <= bucket).select("mask", "key"), ["mask", "key"])
         members = small.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps"))  # at most `bucket`
         a = members.select(F.explode("fps").alias("a"), "fps").select("a", F.explode("fps").alias("b"))
         pairs = a.where(F.col("a") < F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        big = sizes.where(F.col("n") > bucket)
         # all members of a bucket whose free bits are max_bits or fewer are links: a star is enough
-        tight = [i for i, m in enumerate(new) if BITS - len(m) <= max_bits]
-        if tight:
-            star = keyed.join(big.where(F.col("mask").isin(tight)), ["mask", "key"])
-            pairs = pairs.union(star.select(F.col("least").alias("a"), F.col("fp").alias("b")).where("a < b"))
-        pairs = cut(pairs.distinct())
+        big = sizes.where(F.col("n") > bucket)
+        tight = BITS - F.bit_count("mask") <= max_bits
+        star = keyed.join(big.where(tight).select("mask", "key", "least"), ["mask", "key"])
+        pairs = cut(pairs.union(star.select(F.col("least").alias("a"), F.col("fp").alias("b")).where("a < b")).distinct())
         found = pairs if found is None else found.union(pairs)
-        wide = big.where(~F.col("mask").isin(tight)) if tight else big
-        left = cut(keyed.join(wide.select("mask", "key"), ["mask", "key"]).select("fp", "mask").distinct())
-        alive = {r["mask"] for r in left.select("mask").distinct().collect()}  # masks, not fingerprints
-        if not alive:
+        left = cut(keyed.join(big.where(~tight).select("mask", "key"), ["mask", "key"]).select("fp", "mask").distinct())
+        if left.isEmpty():
             return found.distinct()
-        renumber = {m: i for i, m in enumerate(sorted(alive))}
-        masks = [new[m] for m in sorted(alive)]
-        table_ = F.create_map(*(F.lit(x) for kv in renumber.items() for x in kv))
-        left = left.select("fp", F.element_at(table_, F.col("mask")).alias("mask"))
 
 
 def components(edges: DataFrame) -> DataFrame:
