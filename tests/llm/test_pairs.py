@@ -124,7 +124,7 @@ def test_links_lose_no_pair(spark, bucket, max_bits):
                 f ^= 1 << b
             fps.add(f - (1 << 64) if f >= 1 << 63 else f)
     nodes = spark.createDataFrame([(f,) for f in fps], "fp long")
-    stars = {r["node"]: r["root"] for r in H.components(H.links(nodes, max_bits, bucket)).collect()}
+    stars = {r["node"]: r["root"] for r in H.components(H.links(nodes, max_bits, bucket).select("a", "b")).collect()}
     got = {}
     for f in fps:
         got.setdefault(stars.get(f, f), set()).add(f)
@@ -142,9 +142,40 @@ def test_near_dedup(spark, sf_dir):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[f] for i, f in fps.items()}
 
 
-def test_one_of_each(spark, tmp_path, sf_dir):
-    docs_of(spark, ODD).write.parquet(str(tmp_path / "d"))
+def jaccard(a, b, words=5):
+    sh = [{tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} for w in (lowered(a).split(), lowered(b).split())]
+    return len(sh[0] & sh[1]) / len(sh[0] | sh[1])
+
+
+def test_near_copies_against_jaccard(spark, tmp_path):
+    """Families of edited texts: copies of similarity 0.8 meet, other texts do not."""
+    import random
+
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 12))) for _ in range(3000)]
+    rows, base = [], {}
+    for family in range(30):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(60, 600))]
+        base[family] = " ".join(words)
+        rows.append((family * 100, base[family]))
+        for k in range(1, 6):
+            edited = list(words)
+            for _ in range(max(1, len(words) // rng.choice([60, 90, 200]))):
+                edited[rng.randrange(len(edited))] = rng.choice(vocabulary)
+            rows.append((family * 100 + k, " ".join(edited)))
+    rows += [(9000, None), (9001, ""), (9002, "a b")]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
+    comp = {r["doc_id"]: r["component"] for r in H.near_copies(docs.select("doc_id", "text"), ["doc_id"]).collect()}
+    text = dict(rows)
+    close = [(i, i - i % 100) for i in comp if i < 9000 and i % 100 and jaccard(text[i], base[i // 100]) >= 0.8]
+    assert len(close) > 80 and sum(comp[a] == comp[b] for a, b in close) >= 0.95 * len(close)
+    families = {}
+    for i, c in comp.items():
+        families.setdefault(c, set()).add(i // 100 if i < 9000 else min(i, 9001))
+    assert all(len(f) == 1 for f in families.values())
     kept = [r["doc_id"] for r in H.one_of_each(docs).collect()]
-    comp = {r["component_id"] for r in H.near_dedup(docs).collect()}
-    assert sorted(kept) == sorted(comp)
+    first = {}
+    for i, c in comp.items():
+        first[c] = min(i, first.get(c, i))
+    assert sorted(kept) == sorted(first.values()) and H.one_of_each(docs.where("false")).collect() == []

@@ -16,11 +16,11 @@ def test_ten_queries():
 
 
 def test_stages(spark, sf_dir, tmp_path):
-    first = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    docs, kept = first, []
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, kept = whole, []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, docs, sf_dir)
-        assert out.columns == first.columns
+        assert out.columns == whole.columns
         out.write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
         kept.append({r["doc_id"] for r in docs.select("doc_id").collect()})
@@ -32,7 +32,10 @@ def test_stages(spark, sf_dir, tmp_path):
     stage0 = spark.read.parquet(str(tmp_path / "0"))
     assert exact == {r["doc_id"] for r in exact_dedup.dedup(stage0).where("kept").collect()}
     stage1 = spark.read.parquet(str(tmp_path / "1"))
-    assert near == {r["component_id"] for r in simhash.near_dedup(stage1).collect()}
+    first = {}
+    for r in simhash.near_copies(stage1, ["doc_id"]).collect():
+        first[r["component"]] = min(r["doc_id"], first.get(r["component"], r["doc_id"]))
+    assert near == set(first.values())
     stage2 = spark.read.parquet(str(tmp_path / "2"))
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(stage2.select("doc_id", "text", "source")).collect()}
     words = {}
