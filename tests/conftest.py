@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import glob
 import os
 import sys
@@ -33,21 +35,32 @@ def sf_dir():
     return SF
 
 
-def rows_of(frame):
-    """Rows with columns in name order, floats rounded, as a sorted list."""
-    out = []
-    cols = sorted(frame.columns)
-    for r in frame[cols].astype(object).itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) if isinstance(v, float) else v for v in r))
-    return cols, sorted(out, key=repr)
+def plain(v):
+    """A value as both engines can state it: floats and decimals rounded, times without zone."""
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
+    if isinstance(v, float):
+        return "nan" if v != v else round(v, 6) + 0.0
+    if isinstance(v, datetime.datetime):
+        return v.replace(tzinfo=None).isoformat()
+    if isinstance(v, list | tuple):
+        return [plain(x) for x in v]
+    if isinstance(v, dict):
+        return {k: plain(x) for k, x in v.items()}
+    return v
+
+
+def rows_of(arrow):
+    """Columns in name order and all rows, sorted."""
+    cols = sorted(arrow.column_names)
+    return cols, sorted(repr([plain(r[c]) for c in cols]) for r in arrow.to_pylist())
 
 
 @pytest.fixture(scope="session")
 def same(spark, duck, sf_dir):
     def check(query, sql):
-        a, b = rows_of(query(spark, sf_dir).toPandas()), rows_of(duck.sql(sql).df())
+        a, b = rows_of(query(spark, sf_dir).toArrow()), rows_of(duck.sql(sql).to_arrow_table())
         assert a[0] == b[0]
-        norm = lambda rows: [tuple(int(v) if hasattr(v, "item") and not isinstance(v, float) and not isinstance(v, bool) else v for v in r) for r in rows]
-        assert sorted(map(repr, norm(a[1]))) == sorted(map(repr, norm(b[1])))
+        assert a[1] == b[1]
 
     return check
