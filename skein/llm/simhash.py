@@ -137,8 +137,10 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> D
         sizes = keyed.groupBy(*block).agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
         small = keyed.join(sizes.where(F.col("n") <= bucket).select(*block), block)
         members = small.groupBy(*block).agg(F.collect_list("fp").alias("fps"))  # at most `bucket`
-        a = members.select("space", F.explode("fps").alias("a"), "fps").select("space", "a", F.explode("fps").alias("b"))
-        pairs = a.where(F.col("a") < F.col("b")).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+        # only verified links become rows
+        a = members.select("space", F.explode("fps").alias("a"), "fps")
+        close = F.filter("fps", lambda b: (F.col("a") < b) & (F.bit_count(F.col("a").bitwiseXOR(b)) <= max_bits))
+        pairs = a.select("space", "a", F.explode(close).alias("b"))
         # all members of a bucket whose free bits are max_bits or fewer are links: a star is enough
         big = sizes.where(F.col("n") > bucket)
         tight = BITS - F.bit_count("mask") <= max_bits
