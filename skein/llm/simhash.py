@@ -17,8 +17,9 @@ from alternating large and small stars, with a checkpoint in the shared folder
 after each round.
 
 ``near_copies`` serves corpora whose near copies differ in more than a few bits
-of one fingerprint: it links fingerprints of word classes in the same way and
-verifies the distance of a wide fingerprint of five-word shingles.
+of one fingerprint: it links fingerprints of word classes in the same way,
+verifies the distance of a wide fingerprint of five-word shingles, and then the
+exact similarity of the shingle sets of what is left.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other;
 fewer words than a shingle: the whole sequence is the one shingle; component_id
@@ -196,17 +197,32 @@ def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_
 
 # ------------------------------------------------------------ near copies of a corpus
 
-VIEWS = 4
+VIEWS = 8
 LONG_WORD = 9
 WIDE = 4
 SIMILAR_WORDS = 5
-#: Bits of 256 in which the five-word fingerprints of texts of similarity 0.8 differ: 39 expected, 6 standard deviation.
-WIDE_BITS = 47
+SIMILAR = 0.8
+#: Bits of 256 in which the five-word fingerprints of candidates may differ. At a similarity of 0.8,
+#: 39 are expected with a standard deviation of 6; the exact check that follows decides.
+WIDE_BITS = 72
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
 
-def sketch(text: str | None) -> tuple[list[int | None], list[int]]:
-    """Fingerprints of ``VIEWS`` classes of a text's long words, and a wide one of its five-word shingles.
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different five-word shingles of a text as sorted hashes; none without words."""
+    parts = _words(text)
+    return np.unique(shingle_hashes(parts, SIMILAR_WORDS)) if parts else np.zeros(0, np.uint64)
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two shingle sets; 1 for two empty ones."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    either = len(a) + len(b) - both
+    return both / either if either else 1.0
+
+
+def sketch(text: str | None) -> tuple[list[int | None], list[int], int]:
+    """Fingerprints of ``VIEWS`` classes of a text's long words, a wide one of its shingle set, and that set's checksum.
 
     An edit changes few words, so most near copies agree, or nearly so, in some
     class, while texts of other content share few long words. A class without
@@ -216,25 +232,25 @@ def sketch(text: str | None) -> tuple[list[int | None], list[int]]:
 
     parts = _words(text)
     if not parts:
-        return [None] * VIEWS, [0] * WIDE
+        return [None] * VIEWS, [0] * WIDE, 0
     distinct = set(parts)
     long = [w for w in distinct if len(w) >= LONG_WORD]
     used = long if len(long) >= 4 * VIEWS else list(distinct)
     h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in used), np.uint64, len(used))
     of = (h >> np.uint64(7)) % np.uint64(VIEWS)
     views = [majority(h[of == v]) if (of == v).any() else None for v in range(VIEWS)]
-    s = shingle_hashes(parts, SIMILAR_WORDS)
+    s = np.unique(shingle_hashes(parts, SIMILAR_WORDS))
     wide = [majority(s)]
     for odd in _ODD:  # three more hashes of each shingle, mixed from the first
         x = (s ^ (s >> np.uint64(31))) * odd
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         wide.append(majority(x ^ (x >> np.uint64(32))))
-    return views, wide
+    return views, wide, int(s.sum(dtype=np.uint64))
 
 
 def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    names = [f"v{i}" for i in range(VIEWS)] + [f"w{i}" for i in range(WIDE)]
+    names = [f"v{i}" for i in range(VIEWS)] + [f"w{i}" for i in range(WIDE)] + ["checksum"]
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
 
     def signed(x: int | None) -> int | None:
@@ -242,7 +258,10 @@ def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [[signed(x) for part in sketch(t.as_py()) for x in part] for t in batch.column(len(keep))]
+            rows = []
+            for t in batch.column(len(keep)):
+                views, wide, checksum = sketch(t.as_py())
+                rows.append([signed(x) for x in (*views, *wide, checksum)])
             cols = zip(*rows, strict=True) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(list(c), pa.int64()) for c in cols)], names=schema.names)
 
@@ -254,28 +273,60 @@ def _alike(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, WIDE)), F.bit_count(a[0].bitwiseXOR(b[0]))) <= WIDE_BITS
 
 
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose ``texts(node, text)`` have a shingle similarity of ``SIMILAR`` or more."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = None, np.zeros(0, np.uint64)  # rows of one chief follow each other
+            keep = []
+            for b, x, y in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                if known[0] != b.as_py():
+                    known = b.as_py(), shingle_set(y.as_py())
+                keep.append(similarity(shingle_set(x.as_py()), known[1]) >= SIMILAR)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+
+
 def near_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row and ``component``: equal for near copies (five-word similarity of 0.8 or more).
 
-    Per view, nodes with equal fingerprints are compared with the most typical
-    of them, and the most typical nodes of fingerprints within ``MAX_BITS``
-    with each other; a link counts if the wide fingerprints agree.
+    Nodes are the different shingle sets. Per view, nodes with equal
+    fingerprints are compared with each other where they are at most ``BUCKET``
+    and else with the most typical of them; the most typical nodes of
+    fingerprints within ``MAX_BITS`` are compared as well. A pair whose wide
+    fingerprints agree is a candidate, and the similarity of its whole texts
+    decides. ``docs`` has to be a stored table: texts are found again by their
+    place in its scan.
     """
-    rows = cut(sketches(docs, keep).withColumn("node", F.xxhash64(*(f"v{i}" for i in range(VIEWS)), *(f"w{i}" for i in range(WIDE)))))
+    place = fresh(docs, "_place")
+    docs = docs.withColumn(place, F.monotonically_increasing_id())
+    parts = [f"v{i}" for i in range(VIEWS)] + [f"w{i}" for i in range(WIDE)] + ["checksum"]
+    rows = cut(sketches(docs, [*keep, place]).withColumn("node", F.xxhash64(*parts)))
+    nodes = cut(rows.groupBy("node").agg(F.min(place).alias("place"), *(F.first(p).alias(p) for p in parts)))
     wide = F.array(*(F.col(f"w{i}") for i in range(WIDE)))
-    nodes = rows.select("node", wide.alias("wide"), *(f"v{i}" for i in range(VIEWS))).distinct()
     views = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("space"), F.col(f"v{i}").alias("fp")) for i in range(VIEWS)))).alias("v")
-    seen = cut(nodes.select("node", "wide", views).select("node", "wide", "v.space", "v.fp").where("fp IS NOT NULL"))
-    shared = seen.groupBy("space", "fp").agg(F.count("*").alias("n"))
-    typical = seen.join(shared, ["space", "fp"]).groupBy("node").agg(F.sum("n").alias("typical"))
-    ranked = seen.join(typical, "node")
-    chief = cut(ranked.groupBy("space", "fp").agg(F.max_by(F.struct("node", "wide"), F.struct("typical", "node")).alias("chief")))
-    star = seen.join(chief, ["space", "fp"]).where((F.col("node") != F.col("chief.node")) & _alike(F.col("wide"), F.col("chief.wide")))
+    seen = cut(nodes.select("node", wide.alias("wide"), views).select("node", "wide", "v.space", "v.fp").where("fp IS NOT NULL"))
+    sized = seen.join(seen.groupBy("space", "fp").agg(F.count("*").alias("n")), ["space", "fp"])
+    typical = sized.groupBy("node").agg(F.sum("n").alias("typical"))
+    chief = cut(sized.join(typical, "node").groupBy("space", "fp").agg(F.max_by(F.struct("node", "wide"), F.struct("typical", "node")).alias("chief"), F.max("n").alias("n")))
+    many = seen.join(chief.where(F.col("n") > BUCKET), ["space", "fp"])
+    star = many.where((F.col("node") != F.col("chief.node")) & _alike(F.col("wide"), F.col("chief.wide"))).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
+    few = seen.join(chief.where((F.col("n") > 1) & (F.col("n") <= BUCKET)).select("space", "fp"), ["space", "fp"])
+    few = few.groupBy("space", "fp").agg(F.collect_list(F.struct("node", "wide")).alias("all"))  # at most `BUCKET`
+    few = few.select(F.explode("all").alias("x"), "all")
+    close = F.filter("all", lambda y: (F.col("x.node") < y["node"]) & _alike(F.col("x.wide"), y["wide"]))
+    inner = few.select(F.col("x.node").alias("a"), F.explode(close).alias("y")).select("a", F.col("y.node").alias("b"))
     met = links(chief.select("space", "fp"))
     one, two = (chief.select("space", F.col("fp").alias(x), F.col("chief").alias(f"c{x}")) for x in "ab")
-    linked = met.join(one, ["space", "a"]).join(two, ["space", "b"]).where(_alike(F.col("ca.wide"), F.col("cb.wide")))
-    edges = star.select(F.col("node").alias("a"), F.col("chief.node").alias("b")).union(linked.select("ca.node", "cb.node"))
-    stars = components(edges)
+    linked = met.join(one, ["space", "a"]).join(two, ["space", "b"]).where((F.col("ca.node") != F.col("cb.node")) & _alike(F.col("ca.wide"), F.col("cb.wide")))
+    pairs = cut(star.union(inner).union(linked.select("ca.node", "cb.node")).distinct())
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("place").alias(place))
+    texts = cut(docs.select(place, "text").join(wanted, place).select("node", F.col("text").cast("string")))
+    stars = components(verified(pairs, texts))
     return rows.select(*keep, "node").join(stars, "node", "left").select(*keep, F.coalesce("root", "node").alias("component"))
 
 
