@@ -2,14 +2,14 @@
 
 A fingerprint has 64 bits; each bit is the majority of that bit over the
 XXH64 values of a text's word shingles, repeats included. Two fingerprints
-that differ in at most ``max_bits`` bits agree wholly in one of
-``max_bits + 1`` blocks, so equal blocks are the join keys and the Hamming
-distance is verified after the join. Only distinct fingerprints are joined:
-copies, however many, are one node.
+that differ in at most ``max_bits`` bits agree wholly in two of
+``max_bits + 2`` blocks, so equal pairs of blocks are the join keys and the
+Hamming distance is verified after the join. Only distinct fingerprints are
+joined: copies, however many, are one node.
 
 A block that more than ``BUCKET`` fingerprints share is not joined (that would
 emit all pairs of the bucket) but split again: its members differ only in
-their other bits, which are cut into ``max_bits + 1`` blocks in turn, and so on
+their other bits, which are cut into ``max_bits + 2`` blocks in turn, and so on
 until buckets are small or at most ``max_bits`` bits are left, when all members
 are links of each other and a star joins them. No pair within the distance is
 lost and no bucket emits more than ``BUCKET`` rows per member. Components come
@@ -30,6 +30,7 @@ gives an empty result; repeated rows each give a row; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -93,18 +94,23 @@ def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: list[str] |
     return docs.select(*cols, F.col("text").cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
-def child_masks(mask: int, parts: int) -> list[int]:
-    """``mask`` joined with each of ``parts`` blocks of the bits that are not in it (signed)."""
-    free = [b for b in range(BITS) if not mask >> b & 1]
+def child_masks(mask: int, max_bits: int) -> list[int]:
+    """``mask`` joined with blocks of the bits that are not in it (signed).
+
+    The free bits are cut into ``max_bits + 2`` blocks, or fewer where bits are
+    few. Two values that differ in at most ``max_bits`` bits agree in all but
+    ``max_bits`` of them, so each choice of that many blocks is a key.
+    """
+    free = np.array([b for b in range(BITS) if not mask >> b & 1], dtype=np.int64)
+    blocks = np.array_split(free, min(max_bits + 2, len(free)))
     out = []
-    for block in np.array_split(np.array(free, dtype=np.int64), parts):
-        if len(block):
-            m = (mask | sum(1 << int(b) for b in block)) & (2**64 - 1)
-            out.append(m - (1 << 64) if m >= 1 << 63 else m)
+    for chosen in combinations(blocks, len(blocks) - max_bits):
+        m = (mask | sum(1 << int(b) for block in chosen for b in block)) & (2**64 - 1)
+        out.append(m - (1 << 64) if m >= 1 << 63 else m)
     return out
 
 
-def keyed_blocks(buckets: DataFrame, parts: int) -> DataFrame:
+def keyed_blocks(buckets: DataFrame, max_bits: int) -> DataFrame:
     """``buckets(space, fp, mask)`` -> a row per block: space, fp, mask (the bits a bucket shares) and key (their values)."""
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("space", "fp", "mask", "key")])
 
@@ -114,7 +120,7 @@ def keyed_blocks(buckets: DataFrame, parts: int) -> DataFrame:
             spaces, fps, masks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for m in np.unique(mask):
                 here = mask == m
-                for child in child_masks(int(m), parts):
+                for child in child_masks(int(m), max_bits):
                     spaces.append(space[here])
                     fps.append(fp[here])
                     masks.append(np.full(int(here.sum()), child, dtype=np.int64))
@@ -124,24 +130,42 @@ def keyed_blocks(buckets: DataFrame, parts: int) -> DataFrame:
     return buckets.select("space", "fp", "mask").mapInArrow(run, schema)
 
 
+def _none_agrees(differ: Column, masks: list[int]) -> Column:
+    """Whether the bits of every one of ``masks`` hold a difference."""
+    out = F.lit(True)
+    for m in masks:
+        out = out & (differ.bitwiseAND(F.lit(m).cast("long")) != 0)
+    return out
+
+
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Pairs (space, a, b), a < b, that connect all ``nodes(fp)`` within ``max_bits``.
 
     With a column ``space`` (a long) only nodes of one space are compared.
     """
     own = F.col("space").cast("long") if "space" in nodes.columns else F.lit(0).cast("long").alias("space")
-    left = nodes.select(own, "fp", F.lit(0).cast("long").alias("mask"))
+    left = nodes.select(own, "fp").distinct().withColumn("mask", F.lit(0).cast("long"))
     block = ["space", "mask", "key"]
+    tables = child_masks(0, max_bits)
     found: DataFrame | None = None
     while True:
-        keyed = cut(keyed_blocks(left, max_bits + 1).distinct())
-        sizes = keyed.groupBy(*block).agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1")
+        first = found is None
+        keyed = cut(keyed_blocks(left, max_bits) if first else keyed_blocks(left, max_bits).distinct())
+        sizes = cut(keyed.groupBy(*block).agg(F.count("*").alias("n"), F.min("fp").alias("least")).where("n > 1"))
         small = keyed.join(sizes.where(F.col("n") <= bucket).select(*block), block)
         members = small.groupBy(*block).agg(F.collect_list("fp").alias("fps"))  # at most `bucket`
+
+        def close(a: Column, b: Column, first: bool = first) -> Column:
+            differ = a.bitwiseXOR(b)
+            here = (a < b) & (F.bit_count(differ) <= max_bits)
+            if first:  # a link is found in the first of the tables whose bits agree
+                for k, m in enumerate(tables):
+                    here = here & ((F.col("mask") != m) | _none_agrees(differ, tables[:k]))
+            return here
+
         # only verified links become rows
-        a = members.select("space", F.explode("fps").alias("a"), "fps")
-        close = F.filter("fps", lambda b: (F.col("a") < b) & (F.bit_count(F.col("a").bitwiseXOR(b)) <= max_bits))
-        pairs = a.select("space", "a", F.explode(close).alias("b"))
+        met = F.transform("fps", lambda a: F.transform(F.filter("fps", lambda b: close(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b"))))
+        pairs = members.select("space", F.explode(F.flatten(met)).alias("p")).select("space", "p.a", "p.b")
         # all members of a bucket whose free bits are max_bits or fewer are links: a star is enough
         big = sizes.where(F.col("n") > bucket)
         tight = BITS - F.bit_count("mask") <= max_bits
@@ -317,9 +341,8 @@ def near_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     star = many.where((F.col("node") != F.col("chief.node")) & _alike(F.col("wide"), F.col("chief.wide"))).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
     few = seen.join(chief.where((F.col("n") > 1) & (F.col("n") <= BUCKET)).select("space", "fp"), ["space", "fp"])
     few = few.groupBy("space", "fp").agg(F.collect_list(F.struct("node", "wide")).alias("all"))  # at most `BUCKET`
-    few = few.select(F.explode("all").alias("x"), "all")
-    close = F.filter("all", lambda y: (F.col("x.node") < y["node"]) & _alike(F.col("x.wide"), y["wide"]))
-    inner = few.select(F.col("x.node").alias("a"), F.explode(close).alias("y")).select("a", F.col("y.node").alias("b"))
+    close = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["node"] < y["node"]) & _alike(x["wide"], y["wide"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    inner = few.select(F.explode(F.flatten(close)).alias("p")).select("p.a", "p.b")
     met = links(chief.select("space", "fp"))
     one, two = (chief.select("space", F.col("fp").alias(x), F.col("chief").alias(f"c{x}")) for x in "ab")
     linked = met.join(one, ["space", "a"]).join(two, ["space", "b"]).where((F.col("ca.node") != F.col("cb.node")) & _alike(F.col("ca.wide"), F.col("cb.wide")))
