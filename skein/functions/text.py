@@ -50,9 +50,9 @@ def lm_prompts(context: Column, continuation: Column, delimiter: str) -> Column:
 
 def common_prefix(a: Column, b: Column) -> Column:
     """Length of the longest common prefix of two arrays."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.filter(F.sequence(F.lit(0), n), lambda i: F.slice(a, 1, i) == F.slice(b, 1, i))
-    return F.array_max(same)
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, False)
+    return F.least(F.when(first == 0, F.size(same)).otherwise(first - 1), F.size(a), F.size(b)).cast("int")
 
 
 def common_suffix(a: Column, b: Column) -> Column:

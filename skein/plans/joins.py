@@ -47,15 +47,15 @@ def last_row_wins(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spans(spark: SparkSession, d: str, sep: str) -> DataFrame:
-    """Pieces of the first 400 characters that end at ``sep``, with their offsets."""
-    t = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), sep)).alias("pos", "piece"))
+    """Pieces of the whole text that end at ``sep``, with their offsets."""
+    t = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", sep)).alias("pos", "piece"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     end = F.sum(F.length("piece") + 1).over(w)
     return t.select("doc_id", F.col("pos").cast("long").alias("pos"), (end - F.length("piece") - 1).cast("long").alias("s"), (end - 1).cast("long").alias("e"))
 
 
 def _spans_sql(name: str, sep: str) -> str:
-    return f"""{name}0 AS (SELECT doc_id, unnest(string_split(substr(text, 1, 400), '{sep}')) AS piece, generate_subscripts(string_split(substr(text, 1, 400), '{sep}'), 1) - 1 AS pos FROM documents),
+    return f"""{name}0 AS (SELECT doc_id, unnest(string_split(text, '{sep}')) AS piece, generate_subscripts(string_split(text, '{sep}'), 1) - 1 AS pos FROM documents),
     {name} AS (SELECT doc_id, pos::BIGINT AS pos, (sum(length(piece) + 1) OVER w - length(piece) - 1)::BIGINT AS s, (sum(length(piece) + 1) OVER w - 1)::BIGINT AS e FROM {name}0 WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
 
 

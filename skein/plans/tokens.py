@@ -134,13 +134,13 @@ def lm_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "common_prefix_words",
-    r"""WITH b AS (SELECT doc_id, string_split(substr(text, 1, 200), ' ') AS w, lead(string_split(substr(text, 1, 200), ' ')) OVER (ORDER BY text, doc_id) AS v FROM documents)
-    SELECT doc_id, CASE WHEN v IS NULL THEN NULL ELSE (SELECT count(*) FROM generate_series(1, least(len(w), len(v))) g(i) WHERE w[1:i] = v[1:i])::INT END AS n FROM b""",
+    r"""WITH b AS (SELECT doc_id, string_split(text, ' ') AS w, string_split(lead(text) OVER (ORDER BY text, doc_id), ' ') AS v FROM documents)
+    SELECT doc_id, CASE WHEN v IS NULL THEN NULL ELSE coalesce(list_position(list_transform(generate_series(1, least(len(w), len(v))), lambda i: w[i] = v[i]), false) - 1, least(len(w), len(v)))::INT END AS n FROM b""",
 )
 def common_prefix_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words that a text shares at its head with the next text in order, within 200 characters."""
+    """Words that a text shares at its head with the next text in order."""
     t = S.table(spark, d, "documents").select("doc_id", "text")
-    ranked = S.running_total(t, ["text", "doc_id"], F.lit(1).cast("long"), "i").select("doc_id", F.split(F.substring("text", 1, 200), " ").alias("w"), "i")
+    ranked = S.running_total(t, ["text", "doc_id"], F.lit(1).cast("long"), "i").select("doc_id", F.split("text", " ").alias("w"), "i")
     nxt = ranked.select((F.col("i") - 1).alias("i"), F.col("w").alias("v"))
     return ranked.join(nxt, "i", "left").select("doc_id", F.when(F.col("v").isNotNull(), X.common_prefix(F.col("w"), F.col("v"))).alias("n"))
 
