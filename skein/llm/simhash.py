@@ -17,9 +17,8 @@ from alternating large and small stars, with a checkpoint in the shared folder
 after each round.
 
 ``near_copies`` serves corpora whose near copies differ in more than a few bits
-of one fingerprint: it links fingerprints of word classes in the same way,
-verifies the distance of a wide fingerprint of five-word shingles, and then the
-exact similarity of the shingle sets of what is left.
+of one fingerprint: an exact join of five-word shingle sets by the prefix
+filter, common shingles last, with the similarity of whole texts verified.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other;
 fewer words than a shingle: the whole sequence is the one shingle; component_id
@@ -37,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import LOWER_BYTES, bounded_batches, cut, fresh, table
 
@@ -221,15 +221,13 @@ def near_dedup(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_
 
 # ------------------------------------------------------------ near copies of a corpus
 
-VIEWS = 8
-LONG_WORD = 9
-WIDE = 4
 SIMILAR_WORDS = 5
 SIMILAR = 0.8
-#: Bits of 256 in which the five-word fingerprints of candidates may differ. At a similarity of 0.8,
-#: 39 are expected with a standard deviation of 6; the exact check that follows decides.
-WIDE_BITS = 72
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+#: Which shingles come last in the order of prefixes. Any order gives the same links, so a sample of texts
+#: (one in ``SAMPLE``) may say which are common; ``MAX_COMMON`` bounds what a task holds.
+SAMPLE = 16
+COMMON_TEXTS = 4
+MAX_COMMON = 1 << 18
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -245,56 +243,55 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / either if either else 1.0
 
 
-def sketch(text: str | None) -> tuple[list[int | None], list[int], int]:
-    """Fingerprints of ``VIEWS`` classes of a text's long words, a wide one of its shingle set, and that set's checksum.
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingles that occur in ``COMMON_TEXTS`` or more of a sample of the texts, sorted; the most frequent where they are too many."""
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py()).view(np.int64))], names=["token"])
+
+    text = F.col("text").cast("string")
+    found = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "token long")
+    top = found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TEXTS).orderBy(F.col("n").desc(), "token").limit(MAX_COMMON)
+    return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64))  # at most MAX_COMMON
+
 
-    An edit changes few words, so most near copies agree, or nearly so, in some
-    class, while texts of other content share few long words. A class without
-    words has no fingerprint.
+def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first fifth (and one) of a shingle set, as signed longs, in the order of all shingles: others first, then ``common`` ones.
+
+    Sets of a similarity of 0.8 share four fifths of the larger one or more, so
+    such prefixes have a shingle in common.
     """
+    s = np.sort(shingles.view(np.int64))
+    if len(common) and len(s):
+        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        s = np.concatenate([s[~late], s[late]])
+    return s[: len(s) // 5 + 1]
+
+
+def prefixes(docs: DataFrame, keep: list[str], common: np.ndarray) -> DataFrame:
+    """The ``keep`` columns, node (names the shingle set), n (its size) and prefix."""
     import xxhash
 
-    parts = _words(text)
-    if not parts:
-        return [None] * VIEWS, [0] * WIDE, 0
-    distinct = set(parts)
-    long = [w for w in distinct if len(w) >= LONG_WORD]
-    used = long if len(long) >= 4 * VIEWS else list(distinct)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in used), np.uint64, len(used))
-    of = (h >> np.uint64(7)) % np.uint64(VIEWS)
-    views = [majority(h[of == v]) if (of == v).any() else None for v in range(VIEWS)]
-    s = np.unique(shingle_hashes(parts, SIMILAR_WORDS))
-    wide = [majority(s)]
-    for odd in _ODD:  # three more hashes of each shingle, mixed from the first
-        x = (s ^ (s >> np.uint64(31))) * odd
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        wide.append(majority(x ^ (x >> np.uint64(32))))
-    return views, wide, int(s.sum(dtype=np.uint64))
-
-
-def sketches(docs: DataFrame, keep: list[str]) -> DataFrame:
     bounded_batches(docs.sparkSession)
-    names = [f"v{i}" for i in range(VIEWS)] + [f"w{i}" for i in range(WIDE)] + ["checksum"]
-    schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
-
-    def signed(x: int | None) -> int | None:
-        return x - (1 << 64) if x is not None and x >= 1 << 63 else x
+    more = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*docs.select(*keep).schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for t in batch.column(len(keep)):
-                views, wide, checksum = sketch(t.as_py())
-                rows.append([signed(x) for x in (*views, *wide, checksum)])
-            cols = zip(*rows, strict=True) if rows else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(list(c), pa.int64()) for c in cols)], names=schema.names)
+            sets = [shingle_set(t.as_py()) for t in batch.column(len(keep))]
+            names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+            made = [pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=schema.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two wide fingerprints, arrays of longs, are within ``WIDE_BITS``."""
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(1, WIDE)), F.bit_count(a[0].bitwiseXOR(b[0]))) <= WIDE_BITS
+def _may_be_alike(x: Column, y: Column) -> Column:
+    """Whether sets whose first common shingle this is can have a similarity of 0.8: ``rest`` shingles stand from it on."""
+    return 9 * F.least(x["rest"], y["rest"]) >= 4 * (x["n"] + y["n"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -318,38 +315,48 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row and ``component``: equal for near copies (five-word similarity of 0.8 or more).
 
-    Nodes are the different shingle sets. Per view, nodes with equal
-    fingerprints are compared with each other where they are at most ``BUCKET``
-    and else with the most typical of them; the most typical nodes of
-    fingerprints within ``MAX_BITS`` are compared as well. A pair whose wide
-    fingerprints agree is a candidate, and the similarity of its whole texts
-    decides. ``docs`` has to be a stored table: texts are found again by their
-    place in its scan.
+    Nodes are the different shingle sets. Two sets of that similarity have a
+    shingle in common in their prefixes; those that share one are a bucket.
+    Pairs of a bucket of at most ``BUCKET`` are candidates. Members of a larger
+    one are compared with the one that has the shingle earliest, then all pairs
+    that these links leave apart are candidates as well. Whole texts decide, so
+    components are exact. ``docs`` has to be a stored table: texts are found
+    again by their place in its scan.
     """
     place = fresh(docs, "_place")
     docs = docs.withColumn(place, F.monotonically_increasing_id())
-    parts = [f"v{i}" for i in range(VIEWS)] + [f"w{i}" for i in range(WIDE)] + ["checksum"]
-    rows = cut(sketches(docs, [*keep, place]).withColumn("node", F.xxhash64(*parts)))
-    nodes = cut(rows.groupBy("node").agg(F.min(place).alias("place"), *(F.first(p).alias(p) for p in parts)))
-    wide = F.array(*(F.col(f"w{i}") for i in range(WIDE)))
-    views = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("space"), F.col(f"v{i}").alias("fp")) for i in range(VIEWS)))).alias("v")
-    seen = cut(nodes.select("node", wide.alias("wide"), views).select("node", "wide", "v.space", "v.fp").where("fp IS NOT NULL"))
-    sized = seen.join(seen.groupBy("space", "fp").agg(F.count("*").alias("n")), ["space", "fp"])
-    typical = sized.groupBy("node").agg(F.sum("n").alias("typical"))
-    chief = cut(sized.join(typical, "node").groupBy("space", "fp").agg(F.max_by(F.struct("node", "wide"), F.struct("typical", "node")).alias("chief"), F.max("n").alias("n")))
-    many = seen.join(chief.where(F.col("n") > BUCKET), ["space", "fp"])
-    star = many.where((F.col("node") != F.col("chief.node")) & _alike(F.col("wide"), F.col("chief.wide"))).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
-    few = seen.join(chief.where((F.col("n") > 1) & (F.col("n") <= BUCKET)).select("space", "fp"), ["space", "fp"])
-    few = few.groupBy("space", "fp").agg(F.collect_list(F.struct("node", "wide")).alias("all"))  # at most `BUCKET`
-    close = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["node"] < y["node"]) & _alike(x["wide"], y["wide"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
+    rows = cut(prefixes(docs, [*keep, place], common_shingles(docs)))
+    nodes = rows.groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    shared = cut(keyed.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"))
+    places = cut(rows.groupBy("node").agg(F.min(place).alias("place")).join(shared.select("node").distinct(), "node", "left_semi"))
+    member = F.struct("node", "n", "rest")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = cut(pairs.distinct())
+        wanted = places.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("place").alias(place))
+        texts = cut(docs.select(place, "text").join(wanted, place).select("node", F.col("text").cast("string")))
+        return cut(verified(pairs, texts))
+
+    few = shared.where(F.col("size") <= BUCKET).groupBy("token").agg(F.collect_list(member).alias("all"))  # at most `BUCKET`
+    close = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["node"] < y["node"]) & _may_be_alike(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
     inner = few.select(F.explode(F.flatten(close)).alias("p")).select("p.a", "p.b")
-    met = links(chief.select("space", "fp"))
-    one, two = (chief.select("space", F.col("fp").alias(x), F.col("chief").alias(f"c{x}")) for x in "ab")
-    linked = met.join(one, ["space", "a"]).join(two, ["space", "b"]).where((F.col("ca.node") != F.col("cb.node")) & _alike(F.col("ca.wide"), F.col("cb.wide")))
-    pairs = cut(star.union(inner).union(linked.select("ca.node", "cb.node")).distinct())
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("place").alias(place))
-    texts = cut(docs.select(place, "text").join(wanted, place).select("node", F.col("text").cast("string")))
-    stars = components(verified(pairs, texts))
+    many = shared.where(F.col("size") > BUCKET).select("token", "node", member.alias("m"))
+    chief = many.groupBy("token").agg(F.min_by("m", F.struct(F.col("m.n") - F.col("m.rest"), "node")).alias("chief"))
+    star = many.join(chief, "token").where((F.col("node") != F.col("chief.node")) & _may_be_alike(F.col("m"), F.col("chief"))).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
+    met = linked(inner.union(star))
+    stars = components(met)
+    # what is still apart in a large bucket: each member outside of its largest component against all others
+    rooted = many.join(stars, "node", "left").select("token", "m", F.coalesce("root", "node").alias("root"))
+    largest = rooted.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    apart = cut(rooted.join(largest.select("token", "most"), "token"))
+    x = apart.where("root <> most").select("token", F.col("m").alias("x"), F.col("root").alias("rx"))
+    y = apart.select("token", F.col("m").alias("y"), F.col("root").alias("ry"), "most")
+    once = (F.col("ry") == F.col("most")) | (F.col("x.node") < F.col("y.node"))
+    across = x.join(y, "token").where((F.col("rx") != F.col("ry")) & once & _may_be_alike(F.col("x"), F.col("y")))
+    more = linked(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+    if not more.isEmpty():
+        stars = components(met.union(more))
     return rows.select(*keep, "node").join(stars, "node", "left").select(*keep, F.coalesce("root", "node").alias("component"))
 
 

@@ -179,3 +179,50 @@ def test_near_copies_against_jaccard(spark, tmp_path):
     for i, c in comp.items():
         first[c] = min(i, first.get(c, i))
     assert sorted(kept) == sorted(first.values()) and H.one_of_each(docs.where("false")).collect() == []
+
+
+def brute_near(texts):
+    """The sets of ids that pairs of similarity 0.8 connect."""
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, t in texts.items() for w in [lowered(t).split()]}
+    for a in texts:
+        for b in texts:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    out = {}
+    for i in texts:
+        out.setdefault(find(i), set()).add(i)
+    return sorted(map(sorted, out.values()))
+
+
+def near_sets(spark, folder, texts):
+    docs_of(spark, list(texts.items())).write.parquet(folder)
+    out = {}
+    for r in H.near_copies(spark.read.parquet(folder).select("doc_id", "text"), ["doc_id"]).collect():
+        out.setdefault(r["component"], []).append(r["doc_id"])
+    return sorted(map(sorted, out.values()))
+
+
+def invented(rng, n, least=2, most=8):
+    return ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(least, most))) for _ in range(n)]
+
+
+def test_near_copies_about_a_number_of_long_words(spark, tmp_path):
+    """Copies that lose one of 32 long words are near copies like any other."""
+    import random
+
+    rng, texts = random.Random(5), {}
+    for k in range(12):
+        words = invented(rng, 32, 9, 12) + invented(rng, 60)
+        rng.shuffle(words)
+        edited = list(words)
+        edited[next(i for i in range(20, 92) if len(words[i]) >= 9)] = "the"
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join(edited)}
+    assert brute_near(texts) == [[2 * k, 2 * k + 1] for k in range(12)]
+    assert near_sets(spark, str(tmp_path / "d"), texts) == brute_near(texts)
