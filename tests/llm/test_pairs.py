@@ -226,3 +226,23 @@ def test_near_copies_about_a_number_of_long_words(spark, tmp_path):
         texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join(edited)}
     assert brute_near(texts) == [[2 * k, 2 * k + 1] for k in range(12)]
     assert near_sets(spark, str(tmp_path / "d"), texts) == brute_near(texts)
+
+
+def test_near_copies_of_large_groups(spark, tmp_path):
+    """Over 24 variants of one template, alike with each other in twos and threes and some with the template."""
+    import random
+
+    rng, texts = random.Random(6), {}
+    for template in range(2):
+        base = invented(rng, 120)
+        for k in range(40):
+            words = list(base)
+            for i in rng.sample(range(120), rng.choice([1, 1, 6, 6])):
+                words[i] = invented(rng, 1)[0]
+            for _ in range(rng.choice([1, 2, 3])):
+                texts[len(texts)] = " ".join(words)
+                words = list(words)
+                words[rng.randrange(120)] = invented(rng, 1)[0]
+    sets = brute_near(texts)
+    assert len(sets) > 20 and any(len(s) > 24 for s in sets) and sum(1 < len(s) < 4 for s in sets) > 10
+    assert near_sets(spark, str(tmp_path / "d"), texts) == sets
