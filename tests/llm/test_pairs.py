@@ -246,3 +246,19 @@ def test_near_copies_of_large_groups(spark, tmp_path):
     sets = brute_near(texts)
     assert len(sets) > 20 and any(len(s) > 24 for s in sets) and sum(1 < len(s) < 4 for s in sets) > 10
     assert near_sets(spark, str(tmp_path / "d"), texts) == sets
+
+
+def test_near_copies_of_long_texts(spark, tmp_path):
+    """One word in 50 of texts of thousands of words replaced by a new one."""
+    import random
+
+    rng, texts = random.Random(7), {}
+    vocabulary = invented(rng, 4000, 2, 12)
+    for k in range(12):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(2000, 6000))]
+        edited = list(words)
+        for i in range(rng.randrange(50), len(words), 50):
+            edited[i] = invented(rng, 1, 5, 12)[0]
+        texts |= {2 * k: " ".join(words), 2 * k + 1: " ".join(edited)}
+    assert brute_near(texts) == [[2 * k, 2 * k + 1] for k in range(12)]
+    assert near_sets(spark, str(tmp_path / "d"), texts) == brute_near(texts)
