@@ -5,7 +5,7 @@ presence in a text goes with the toxic label beyond chance. Its terms form a
 trie; a word is looked up by running a Levenshtein automaton of the word along
 the trie, so all terms within the edit distance are found together and
 branches that cannot lead to one are left early. Stems match any word that
-begins with them. Every hit is scored in its window of words: hits between
+begins with them or with a misspelling of them. Every hit is scored in its window of words: hits between
 quotation marks, or after words that speak about a word, count apart from
 plain ones. A logistic model with priors, fitted on the same labelled texts,
 weighs plain and quoted, exact and misspelled hits.
@@ -45,6 +45,7 @@ MAX_MARKS = 50_000
 LEAST_TEXTS = 4
 _TOKEN = re.compile(r"\w+")
 _WORD_END = "\x00"
+_STEM_END = "\x01"
 _QUOTE_MARKS = frozenset("\"“”„«»‹›‘’`")
 #: Words that announce that a word is mentioned and not used (fixed values).
 MENTIONS = frozenset("word words term terms quote quoted quotes said says saying called wrote phrase slur insult mot dit wort sagte palabra dijo".split())
@@ -59,15 +60,22 @@ class Lexicon:
     def __init__(self, words: list[str], stems: list[str]):
         self.words, self.stems = sorted(words), sorted(stems)
         self.root: dict = {}
-        for w in self.words:
-            node = self.root
-            for ch in w:
-                node = node.setdefault(ch, {})
-            node[_WORD_END] = w
+        for end, terms in ((_WORD_END, self.words), (_STEM_END, self.stems)):
+            for w in terms:
+                node = self.root
+                for ch in w:
+                    node = node.setdefault(ch, {})
+                node[end] = w
         self.by_stem = {n: frozenset(s for s in self.stems if len(s) == n) for n in {len(s) for s in self.stems}}
-        # one edit leaves one half of a term where it is, at the word's start or at its end
-        self.heads = frozenset(w[:2] for w in self.words)
-        self.tails = frozenset(w[-2:] for w in self.words)
+        # k edits leave one of k + 1 pieces of a term as it is, at most k places away
+        pieces: dict[tuple[int, int], set[str]] = {}
+        for w in (*self.words, *self.stems):
+            k = self.allowed(w)
+            ends = [len(w) * j // (k + 1) for j in range(k + 2)]
+            for a, b in zip(ends, ends[1:], strict=False):
+                for at in range(max(0, a - k), a + k + 1):
+                    pieces.setdefault((at, at + b - a), set()).add(w[a:b])
+        self.pieces = [(a, b, frozenset(found)) for (a, b), found in sorted(pieces.items())]
         self.seen: dict[str, int] = {}
 
     @staticmethod
@@ -82,8 +90,8 @@ class Lexicon:
         while stack:
             node, row = stack.pop()
             for ch, child in node.items():
-                if ch == _WORD_END:
-                    d = row[-1]
+                if ch in (_WORD_END, _STEM_END):
+                    d = row[-1] if ch == _WORD_END else min(row)  # any continuation may follow a stem
                     if d <= self.allowed(child) and (best is None or d < best):
                         best = d
                     continue
@@ -100,7 +108,7 @@ class Lexicon:
         for n, stems in self.by_stem.items():
             if word[:n] in stems:
                 return 1
-        if word[:2] not in self.heads and word[-2:] not in self.tails:
+        if not any(word[a:b] in found for a, b, found in self.pieces):
             return 0
         known = self.seen.get(word)
         if known is None:

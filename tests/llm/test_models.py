@@ -134,6 +134,21 @@ def test_automaton_equals_edit_distance(word):
     assert lex.kind(word) == (0 if not within else 1 if min(within) == 0 else 2)
 
 
+def test_two_edits_and_misspelled_stems():
+    lex = toxicity.Lexicon(["disgusting", "idiot"], ["contempt", "reprehensi"])
+    assert [lex.kind(w) for w in ("tisgustimg", "contenptible", "contemptible", "reprahensible", "raprahensibly", "tisgustims", "content")] == [2, 2, 1, 2, 2, 0, 0]
+    rng = random.Random(4)
+    for _ in range(2000):
+        word = list(rng.choice(["disgusting", "idiot", "contemptuous", "reprehensible"]))
+        for _ in range(rng.randint(0, 3)):
+            i, ch = rng.randrange(len(word)), rng.choice("abcdeginst")
+            word[i : i + rng.randint(0, 1)] = rng.choice([[], [ch]])
+        word = "".join(word) or "a"
+        near = [edits(word, t) for t in lex.words if edits(word, t) <= lex.allowed(t)]
+        near += [d for t in lex.stems if (d := min(edits(word[:n], t) for n in range(len(word) + 1))) <= lex.allowed(t)]
+        assert lex.kind(word) == (0 if not near else 1 if min(near) == 0 else 2)
+
+
 def test_hits_and_quotations():
     lex = toxicity.Lexicon(["idiot", "pathetic"], ["vequ"])
     assert toxicity.hits("You IDIOT, so pathetc vequar.", lex) == (2, 0, 1, 0)
