@@ -112,7 +112,7 @@ def code_block(completion: Column) -> Column:
 
 def conversation_error(roles: Column, contents: Column) -> Column:
     """The first rule a conversation breaks, or null: optional system turn, then two turns or more, user and assistant in turn, no empty text."""
-    rest = F.when(roles[0] == "system", F.slice(roles, 2, 100_000)).otherwise(roles)
+    rest = F.when(roles[0] == "system", F.slice(roles, F.lit(2), F.greatest(F.size(roles) - 1, F.lit(0)))).otherwise(roles)
     turns = F.forall(F.transform(rest, lambda r, i: (r == F.when(i % 2 == 0, "user").otherwise("assistant"))), lambda x: x)
     blank = F.exists(contents, lambda c: F.coalesce(strip(c), F.lit("")) == "")
     return F.when(F.size(rest) < 2, "fewer than two turns").when(~turns, "roles do not alternate").when(blank, "empty text")
@@ -121,7 +121,7 @@ def conversation_error(roles: Column, contents: Column) -> Column:
 def merge_system(messages: Column) -> Column:
     """A leading system message becomes the head of the first user message."""
     merged = F.struct(messages[1]["role"].alias("role"), F.concat(messages[0]["content"], F.lit("\n\n"), messages[1]["content"]).alias("content"))
-    return F.when(messages[0]["role"] == "system", F.concat(F.array(merged), F.slice(messages, 3, 100_000))).otherwise(messages)
+    return F.when(messages[0]["role"] == "system", F.concat(F.array(merged), F.slice(messages, F.lit(3), F.greatest(F.size(messages) - 2, F.lit(0))))).otherwise(messages)
 
 
 def clamp_spans(spans: Column, text: Column) -> Column:

@@ -65,9 +65,14 @@ _CONV = "c AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nxt, lag(r
     FROM c GROUP BY conv_id""",
 )
 def conversation_errors(spark: SparkSession, d: str) -> DataFrame:
-    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    roles, texts = F.transform("m", lambda x: x["role"]), F.transform("m", lambda x: x["text"])
-    return turns.select("conv_id", X.conversation_error(roles, texts).alias("error"))
+    """The first rule each conversation breaks, from counts over its turns; no conversation is collected."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = S.table(spark, d, "conversations").withColumn("i", F.row_number().over(order) - 1).withColumn("sys", F.coalesce(F.first("role").over(order) == "system", F.lit(False)))
+    rest = ~(F.col("sys") & (F.col("i") == 0))
+    due = F.when((F.col("i") - F.col("sys").cast("int")) % 2 == 0, "user").otherwise("assistant")
+    blank = F.coalesce(X.strip(F.col("text")), F.lit("")) == ""
+    found = turns.groupBy("conv_id").agg(F.count_if(rest).alias("n"), F.count_if(rest & (F.col("role") != due)).alias("wrong"), F.count_if(blank).alias("blank"))
+    return found.select("conv_id", F.when(F.col("n") < 2, "fewer than two turns").when(F.col("wrong") > 0, "roles do not alternate").when(F.col("blank") > 0, "empty text").alias("error"))
 
 
 _RENDER = f"""WITH {_CONV}, ok AS (SELECT conv_id FROM c GROUP BY conv_id HAVING count(*) FILTER (role = 'user' AND prev = 'user') = 0 AND count(*) FILTER (role = 'assistant' AND (prev IS NULL OR prev <> 'user')) = 0),

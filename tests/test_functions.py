@@ -85,3 +85,15 @@ def test_render(spark):
     text = list(b"s\n\nu")
     assert r["ids"] == [sp["<|bos|>"], sp["<|user_start|>"], *text, sp["<|user_end|>"], sp["<|assistant_start|>"], *"é".encode(), sp["<|assistant_end|>"]]
     assert r["mask"] == [0] * (len(text) + 4) + [1, 1, 1]
+
+
+def test_conversations_of_over_100_000_turns(spark, tmp_path):
+    from skein.plans.tokens import conversation_errors
+
+    n = 100_004
+    role = "CASE WHEN id = 0 THEN 'system' WHEN (id % 2 = 1) <> (conv_id = 1 AND id = 100003) THEN 'user' ELSE 'assistant' END"
+    turns = spark.range(n).crossJoin(spark.range(1, 3).toDF("conv_id")).selectExpr("conv_id", "int(id) AS turn", f"{role} AS role", "'t' AS text")
+    turns.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r["conv_id"]: r["error"] for r in conversation_errors(spark, str(tmp_path)).collect()} == {1: "roles do not alternate", 2: None}
+    m = spark.range(1).selectExpr(f"transform(sequence(0, {n}), i -> struct(if(i = 0, 'system', 'user') AS role, 'x' AS content)) AS m")
+    assert m.select(F.size(X.merge_system(F.col("m")))).first()[0] == n
