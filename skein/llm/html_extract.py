@@ -48,8 +48,10 @@ BAD_TOKENS = frozenset(
 GOOD_TOKENS = frozenset("article articlebody body content entry main post story text prose blog page paragraph lead chapter".split())
 
 _TOKEN = re.compile(
-    r"<(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"  # 1: raw text elements, whole
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # 2-4: tags
+    r"<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"  # 1: raw text elements, whole
+    r"|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"  # closed at once
+    + "".join(rf"|<{t}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</{t}\s*>" for t in ("noscript", "template", "svg", "iframe"))  # silent elements that end
+    + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # 2-4: tags
     r"|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^>]*(?:>|\Z)",  # comments and broken tags
     re.S | re.I,
 )

@@ -205,6 +205,15 @@ def test_extract(trees):
     assert H.extract([None, "", "<", "<p"], trees)[:2] == ["", ""]
 
 
+@pytest.mark.parametrize("tag", ["<svg class='i' d='M0 0'/>", "<svg width='1'>", "<title-bar>x</title-bar>", "<style-guide></style-guide>", "<template-x>", "<svg><path d='a'/></svg>", "<iframe src='a'>", "<noscript>"])
+def test_text_behind_a_tag_stays_in_the_tree(tag):
+    page = H.parse(f"<article><p>{tag}one</p><p>Behind it.</p></article>")
+    k = next(i for i, t in enumerate(page.text) if t == "Behind it.")
+    assert not page.above[k] & H._UP["#silent"]
+    whole = H.parse("<article><script>var a='<p>no</p>'</script><style>p{}</style><p>Yes.</p><title/>gone</article>")
+    assert [t for t in whole.text if t.strip()] == ["Yes."]
+
+
 def test_extract_pages(spark, sf_dir, trees):
     import html
 
