@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Tables in the shared folder, compressed and in columns, that go when the block ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` written and read again."""
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows of a few longs that may be broadcast: 2**19 of them are about 16 MB.
+BROADCAST_ROWS = 1 << 19
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``df``, a stored table of a few longs a row, marked for a broadcast if it has few rows; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 

@@ -17,8 +17,10 @@ from alternating large and small stars, with a checkpoint in the shared folder
 after each round.
 
 ``near_copies`` serves corpora whose near copies differ in more than a few bits
-of one fingerprint: an exact join of five-word shingle sets by the prefix
-filter, common shingles last, with the similarity of whole texts verified.
+of one fingerprint: what the blocks link comes first, then an exact join of
+five-word shingle sets by the prefix filter, common shingles last. Parity
+fingerprints, whose Hamming distance never exceeds the difference of two sets,
+rule out most pairs; the similarity of whole texts is verified for the others.
 
 Edge cases: null and empty texts have fingerprint zero and link like any other;
 fewer words than a shingle: the whole sequence is the one shingle; component_id
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LOWER_BYTES, bounded_batches, cut, fresh, table
+from .common import LOWER_BYTES, Tables, bounded_batches, cut, few, fresh, table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -228,6 +230,9 @@ SIMILAR = 0.8
 SAMPLE = 16
 COMMON_TEXTS = 4
 MAX_COMMON = 1 << 18
+#: Pairs that one text is compared with in a row of a task.
+COMPARED = 64
+LEAST_PARITY_BITS = 256
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -236,15 +241,34 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingle_hashes(parts, SIMILAR_WORDS)) if parts else np.zeros(0, np.uint64)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two shingle sets; 1 for two empty ones."""
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two shingle sets have a Jaccard similarity of 0.8 or more; two empty ones have."""
     both = len(np.intersect1d(a, b, assume_unique=True))
-    either = len(a) + len(b) - both
-    return both / either if either else 1.0
+    return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles that occur in ``COMMON_TEXTS`` or more of a sample of the texts, sorted; the most frequent where they are too many."""
+def parity(shingles: np.ndarray) -> bytes:
+    """A fingerprint of a set: bit k is the parity of the shingles that fall on it. Two bits a shingle or more."""
+    size = LEAST_PARITY_BITS
+    while size < 2 * len(shingles):
+        size *= 2
+    on = np.bincount(((shingles >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """The Hamming distance of two parity fingerprints, the longer one folded: no more than the shingles that one set has alone."""
+    if len(x) < len(y):
+        x, y = y, x
+    a, size = int.from_bytes(x, "little"), 8 * len(x)
+    while size > 8 * len(y):
+        size //= 2
+        a = (a >> size) ^ (a & ((1 << size) - 1))
+    return (a ^ int.from_bytes(y, "little")).bit_count()
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur in ``COMMON_TEXTS`` or more of a sample of the texts, sorted, and the texts they are in; the most frequent where they are too many."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,35 +279,39 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
     text = F.col("text").cast("string")
     found = docs.select(text.alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(run, "token long")
     top = found.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON_TEXTS).orderBy(F.col("n").desc(), "token").limit(MAX_COMMON)
-    return np.sort(top.select("token").toPandas()["token"].to_numpy(np.int64))  # at most MAX_COMMON
+    top = top.toPandas().sort_values("token")  # at most MAX_COMMON
+    return top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
 
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first fifth (and one) of a shingle set, as signed longs, in the order of all shingles: others first, then ``common`` ones.
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first fifth (and one) of a shingle set, as signed longs, in the order of all shingles: others first, then ``common`` ones by their frequency.
 
     Sets of a similarity of 0.8 share four fifths of the larger one or more, so
     such prefixes have a shingle in common.
     """
     s = np.sort(shingles.view(np.int64))
-    if len(common) and len(s):
-        late = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
-        s = np.concatenate([s[~late], s[late]])
+    tokens, often = common
+    if len(tokens) and len(s):
+        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+        rank = np.where(tokens[at] == s, often[at], 0)
+        s = s[np.lexsort((s, rank))]
     return s[: len(s) // 5 + 1]
 
 
-def prefixes(docs: DataFrame, keep: list[str], common: np.ndarray) -> DataFrame:
-    """The ``keep`` columns, node (names the shingle set), n (its size) and prefix."""
+def prefixes(docs: DataFrame, keep: list[str], common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """The ``keep`` columns, node (names the shingle set), n (its size), fp (its SimHash), bits (its parity) and prefix."""
     import xxhash
 
     bounded_batches(docs.sparkSession)
-    more = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
+    more = [T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bits", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
     schema = T.StructType([*docs.select(*keep).schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py()) for t in batch.column(len(keep))]
             names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
-            made = [pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array([prefix(s, common) for s in sets], pa.list_(pa.int64()))]
+            fps = np.array([majority(s) for s in sets], dtype=np.uint64).view(np.int64)
+            made = [pa.array(names), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps), pa.array([parity(s) for s in sets], pa.binary()), pa.array([prefix(s, common) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], names=schema.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias(fresh(docs, "_text"))).mapInArrow(run, schema)
@@ -294,70 +322,101 @@ def _may_be_alike(x: Column, y: Column) -> Column:
     return 9 * F.least(x["rest"], y["rest"]) >= 4 * (x["n"] + y["n"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose ``texts(node, text)`` have a shingle similarity of ``SIMILAR`` or more."""
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+def plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` without those that their sizes and parity fingerprints rule out (``sets(node, n, bits)``).
+
+    Sets of a similarity of 0.8 differ in a ninth of their joint size at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, x, y = (batch.column(i).to_pylist() for i in range(2, 5))
+            yield batch.select([0, 1]).filter(pa.array([9 * least_difference(p, q) <= n for n, p, q in zip(total, x, y, strict=True)], pa.bool_()))
+
+    both = pairs.join(sets.toDF("a", "na", "xa"), "a").join(sets.toDF("b", "nb", "xb"), "b")
+    sized = both.where((5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na")))
+    return sized.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "xa", "xb").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole texts are alike; ``sets(node, place)``, ``texts(place, text)``.
+
+    Each b meets its partners in runs of ``COMPARED`` or so, so a text that has
+    very many of them is compared in many tasks.
+    """
+    runs = pairs.groupBy("b").agg(F.ceil(F.count("*") / COMPARED).alias("runs"))
+    dealt = pairs.join(runs, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("runs")).alias("run"))
+    sides = dealt.select(F.col("a").alias("node"), "b", "run").union(dealt.select(F.col("b").alias("node"), "b", "run").distinct())
+    placed = cut(sides.join(sets.select("node", "place"), "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = None, np.zeros(0, np.uint64)
         for batch in batches:
-            known = None, np.zeros(0, np.uint64)  # rows of one chief follow each other
-            keep = []
-            for b, x, y in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-                if known[0] != b.as_py():
-                    known = b.as_py(), shingle_set(y.as_py())
-                keep.append(similarity(shingle_set(x.as_py()), known[1]) >= SIMILAR)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for b, r, a, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                if a == b:  # the first of its run
+                    at, known = (b, r), shingle_set(text.as_py())
+                    continue
+                assert at == (b, r)
+                if alike(shingle_set(text.as_py()), known):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    both = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, schema)
+    held = texts.join(few(placed), "place").select("b", "run", "node", "text")
+    met = held.repartition("b", "run").sortWithinPartitions("b", "run", F.col("node") != F.col("b"), "node")
+    return cut(met.mapInArrow(run, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The ``keep`` columns of every row and ``component``: equal for near copies (five-word similarity of 0.8 or more).
 
-    Nodes are the different shingle sets. Two sets of that similarity have a
-    shingle in common in their prefixes; those that share one are a bucket.
-    Pairs of a bucket of at most ``BUCKET`` are candidates. Members of a larger
-    one are compared with the one that has the shingle earliest, then all pairs
-    that these links leave apart are candidates as well. Whole texts decide, so
-    components are exact. ``docs`` has to be a stored table: texts are found
-    again by their place in its scan.
+    Nodes are the different shingle sets. SimHashes that pigeonhole blocks link
+    are candidates. They miss pairs whose fingerprints are further apart, so an
+    exact join follows: two sets of that similarity have a shingle in common in
+    their prefixes. The members of such a shingle are compared with the one that
+    has it earliest; what the links leave apart, all members outside of the
+    shingle's largest component, is compared with all others. Sizes, places and
+    parity fingerprints rule out pairs that cannot be alike, whole texts decide
+    about the others, and no pair is left out: components are exact. ``docs``
+    has to be a stored table: texts are found again by their place in its scan.
     """
+    spark = docs.sparkSession
     place = fresh(docs, "_place")
     docs = docs.withColumn(place, F.monotonically_increasing_id())
-    rows = cut(prefixes(docs, [*keep, place], common_shingles(docs)))
-    nodes = rows.groupBy("node").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    keyed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
-    shared = cut(keyed.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1"))
-    places = cut(rows.groupBy("node").agg(F.min(place).alias("place")).join(shared.select("node").distinct(), "node", "left_semi"))
-    member = F.struct("node", "n", "rest")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
-        wanted = places.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node").select("node", F.col("place").alias(place))
-        texts = cut(docs.select(place, "text").join(wanted, place).select("node", F.col("text").cast("string")))
-        return cut(verified(pairs, texts))
-
-    few = shared.where(F.col("size") <= BUCKET).groupBy("token").agg(F.collect_list(member).alias("all"))  # at most `BUCKET`
-    close = F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["node"] < y["node"]) & _may_be_alike(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b"))))
-    inner = few.select(F.explode(F.flatten(close)).alias("p")).select("p.a", "p.b")
-    many = shared.where(F.col("size") > BUCKET).select("token", "node", member.alias("m"))
-    chief = many.groupBy("token").agg(F.min_by("m", F.struct(F.col("m.n") - F.col("m.rest"), "node")).alias("chief"))
-    star = many.join(chief, "token").where((F.col("node") != F.col("chief.node")) & _may_be_alike(F.col("m"), F.col("chief"))).select(F.col("node").alias("a"), F.col("chief.node").alias("b"))
-    met = linked(inner.union(star))
-    stars = components(met)
-    # what is still apart in a large bucket: each member outside of its largest component against all others
-    rooted = many.join(stars, "node", "left").select("token", "m", F.coalesce("root", "node").alias("root"))
-    largest = rooted.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    apart = cut(rooted.join(largest.select("token", "most"), "token"))
-    x = apart.where("root <> most").select("token", F.col("m").alias("x"), F.col("root").alias("rx"))
-    y = apart.select("token", F.col("m").alias("y"), F.col("root").alias("ry"), "most")
-    once = (F.col("ry") == F.col("most")) | (F.col("x.node") < F.col("y.node"))
-    across = x.join(y, "token").where((F.col("rx") != F.col("ry")) & once & _may_be_alike(F.col("x"), F.col("y")))
-    more = linked(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-    if not more.isEmpty():
-        stars = components(met.union(more))
-    return rows.select(*keep, "node").join(stars, "node", "left").select(*keep, F.coalesce("root", "node").alias("component"))
+    texts = docs.select(F.col(place).alias("place"), F.col("text").cast("string").alias("text"))
+    with Tables(spark) as tables:
+        rows = tables.keep(prefixes(docs, [*keep, place], common_shingles(docs)))
+        first = rows.groupBy("node").agg(F.min(place).alias(place))
+        nodes = rows.select("node", "n", "fp", "bits", "prefix", place).join(first, ["node", place], "left_semi")
+        nodes = tables.keep(nodes.withColumnRenamed(place, "place"))
+        sets, where = nodes.select("node", "n", "bits"), nodes.select("node", "place")
+        keyed = nodes.select("node", "n", F.posexplode("prefix").alias("at", "token")).select("token", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+        # at equal places the lower bits of the node decide, so that a family's shingles name one chief
+        order = F.shiftleft(F.least("at", F.lit(1 << 22)).cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)))
+        chiefs = nodes.select("node", F.posexplode("prefix").alias("at", "token")).groupBy("token").agg(F.count("*").alias("size"), F.min_by("node", order).alias("chief")).where("size > 1")
+        shared = tables.keep(keyed.join(chiefs.select("token", "chief"), "token"))
+        star = shared.where("node <> chief").select(F.col("node").alias("a"), F.col("chief").alias("b"))
+        least = nodes.groupBy("fp").agg(F.min("node").alias("chief"))
+        same = nodes.join(least, "fp").where("node <> chief").select(F.col("node").alias("a"), F.col("chief").alias("b"))
+        near = links(least.select("fp")).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+        near = near.join(least.toDF("fa", "a"), "fa").join(least.toDF("fb", "b"), "fb").select("a", "b")
+        tested = cut(star.union(same).union(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        met = verified(cut(plausible(tested, sets)), where, texts)
+        stars = components(met)
+        # each member of a shingle outside of its largest component against all members of others
+        rooted = shared.join(stars.withColumnRenamed("root", "star"), "node", "left").select("token", "node", "n", "rest", F.coalesce("star", "node").alias("root"))
+        largest = rooted.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("root", "k").alias("most"), F.count("*").alias("roots")).where("roots > 1")
+        apart = tables.keep(rooted.join(largest.select("token", "most"), "token"))
+        m = F.struct("node", "n", "rest")
+        x = apart.where("root <> most").select("token", m.alias("x"), F.col("root").alias("rx"))
+        y = apart.select("token", m.alias("y"), F.col("root").alias("ry"), "most")
+        once = (F.col("ry") == F.col("most")) | (F.col("x.node") < F.col("y.node"))
+        across = x.join(y, "token").where((F.col("rx") != F.col("ry")) & once & _may_be_alike(F.col("x"), F.col("y")))
+        across = across.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        more = verified(cut(plausible(across, sets)), where, texts)
+        if not more.isEmpty():
+            stars = components(met.union(more))
+        return cut(rows.select(*keep, "node").join(stars, "node", "left").select(*keep, F.coalesce("root", "node").alias("component")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -370,7 +429,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     marked = docs.withColumn(row, F.monotonically_increasing_id())
     named = near_copies(marked.select("doc_id", F.col(row).alias("row"), "text"), ["doc_id", "row"])
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    return marked.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(*docs.columns)
+    gone = cut(named.join(first, "component").where("row <> first.row").select(F.col("row").alias(row)))
+    return marked.join(few(gone), row, "left_anti").select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
