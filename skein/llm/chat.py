@@ -6,9 +6,11 @@ control string and the original comes back exactly. Every assistant turn is an
 example of its own: its context is all text before the reply, and only the
 reply is under the loss mask.
 
-Examples share their conversation's text: an example is the offset of its end
+Examples share their conversation's text: an example is the end of its context
 and the span of its reply, so the output grows with the turns and not with
-their square. ``render`` cuts the texts of examples out where they are wanted.
+their square. ``expand`` explodes each turn into its text and, behind an
+assistant turn, the example that ends in it; ``render`` cuts the texts of
+examples out where they are wanted.
 Positions are running sums over the turns of a conversation in order; the
 turns of one conversation stream through a task, none is held whole.
 
@@ -44,10 +46,11 @@ def unescape(text: str) -> str:
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """One row per turn: conv_id, nth (from 0), formatted, start, loss_start, loss_end.
+    """One row per turn: conv_id, nth (from 0), formatted, start, example, loss_start, loss_end.
 
-    ``start`` is the turn's offset in its conversation's text and the loss span
-    (null for other roles than the assistant) an assistant's reply in it.
+    ``start`` is the turn's offset in its conversation's text; example (numbered
+    from 0) and loss span (an assistant's reply in that text) are null for other
+    roles than the assistant.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -59,15 +62,32 @@ def format_turns(conversations: DataFrame) -> DataFrame:
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("start", F.coalesce(F.sum(F.length("formatted")).over(before), F.lit(0)).cast("long"))
     t = t.withColumn("nth", (F.row_number().over(order) - 1).cast("long"))
-    begin = F.when(F.col("role") == "assistant", F.col("start") + F.length("head"))
-    return t.select("conv_id", "nth", "formatted", "start", begin.alias("loss_start"), (begin + F.length("body")).alias("loss_end"))
+    reply = F.col("role") == "assistant"
+    t = t.withColumn("example", F.when(reply, F.sum(F.when(reply, 1).otherwise(0)).over(order) - 1).cast("long"))
+    begin = F.when(reply, F.col("start") + F.length("head"))
+    return t.select("conv_id", "nth", "formatted", "start", "example", begin.alias("loss_start"), (begin + F.length("body")).alias("loss_end"))
+
+
+def expand(turns: DataFrame) -> DataFrame:
+    """Turns exploded, in their order: a row with ``formatted`` for each turn and, behind an assistant turn, one with ``example``.
+
+    An example's context is the conversation's text before ``context_end``, its
+    target the text from ``loss_start`` to ``loss_end``.
+    """
+    fields = {"formatted": "string", "start": "long", "example": "long", "context_end": "long", "loss_start": "long", "loss_end": "long"}
+
+    def part(**have: str) -> Column:
+        return F.struct(*((F.col(have[n]) if n in have else F.lit(None).cast(kind)).alias(n) for n, kind in fields.items()))
+
+    said = part(formatted="formatted", start="start")
+    ends = part(start="start", example="example", context_end="loss_start", loss_start="loss_start", loss_end="loss_end")
+    both = F.when(F.col("example").isNotNull(), F.array(said, ends)).otherwise(F.array(said))
+    return turns.select("conv_id", F.explode(both).alias("part")).select("conv_id", "part.*")
 
 
 def examples(turns: DataFrame) -> DataFrame:
     """One row per assistant turn: conv_id, example, context_end, loss_start, loss_end."""
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("nth")) - 1
-    a = turns.where("loss_start IS NOT NULL")
-    return a.select("conv_id", nth.cast("long").alias("example"), F.col("loss_start").alias("context_end"), "loss_start", "loss_end")
+    return expand(turns).where("example IS NOT NULL").select("conv_id", "example", "context_end", "loss_start", "loss_end")
 
 
 def render(turns: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -80,7 +100,12 @@ def render(turns: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Parse the formatted turns and digest them per conversation, as a stream."""
+    """Read the expanded turns back and digest them per conversation, as a stream.
+
+    Turns come from the parsed text, losses from the examples: a target is cut
+    out of the text by its span, and its context has to be all that the
+    conversation's text has before it.
+    """
     fields = [
         turns.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()),
         T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()),
@@ -102,23 +127,28 @@ def read_back(turns: DataFrame) -> DataFrame:
             types = (kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=schema.names)
 
-        began = False
+        began, last = False, ""
         for batch in batches:
             kind = batch.schema.types[0]
-            for conv, text, start, a, b in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for conv, text, start, example, ends, a, b in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 if not began or conv != at:
                     if began:
                         out.append(done())
                     began, at, n, lost, chars = True, conv, 0, 0, 0
                     said, loss = hashlib.sha256(), hashlib.sha256()
-                m = _TURN.fullmatch(text)
-                if m is None:
-                    raise ValueError(f"turn {n} of conversation {conv} can't be read back")
-                n += 1
-                chars += len(text)
-                said.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
-                if a is not None:
-                    reply = unescape(text[a - start : b - start])
+                if example is None:
+                    m = _TURN.fullmatch(text)
+                    if m is None or start != chars:
+                        raise ValueError(f"turn {n} of conversation {conv} can't be read back")
+                    n += 1
+                    chars += len(text)
+                    last = text
+                    said.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+                else:
+                    # the context: all earlier turns and the head of this one
+                    if start + len(last) != chars or ends != a or last[a - start - 1] != "\n" or last[b - start :] != CLOSE + "\n":
+                        raise ValueError(f"example {example} of conversation {conv} has another context")
+                    reply = unescape(last[a - start : b - start])
                     lost += len(reply)
                     loss.update(reply.encode())
             if len(out) > 1000:
@@ -129,7 +159,7 @@ def read_back(turns: DataFrame) -> DataFrame:
             yield made()
 
     # the window already dealt the turns by conversation and sorted them
-    return turns.select("conv_id", "formatted", "start", "loss_start", "loss_end").mapInArrow(run, schema)
+    return expand(turns).mapInArrow(run, schema)
 
 
 def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
