@@ -25,7 +25,7 @@ import functools
 import html as htmllib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
-SILENT = frozenset("script style noscript template svg iframe head title textarea select button object canvas audio video".split())
+SILENT = frozenset("script style noscript template svg iframe head title textarea select button canvas audio video".split())
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup legend summary".split())
 SAME_CLOSES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 BAD_TOKENS = frozenset(
@@ -47,27 +47,34 @@ BAD_TOKENS = frozenset(
 )
 GOOD_TOKENS = frozenset("article articlebody body content entry main post story text prose blog page paragraph lead chapter".split())
 
+#: What may stand in a head; any other tag, and text, ends it where its end tag is left out (fixed values).
+IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
+#: Elements that are skipped whole where their end tag is there (fixed values).
+SKIPPED = frozenset("noscript template svg iframe".split())
+
+# attributes: white space, names, and = with a quoted or plain value; what has matched is never tried again
+_IN_TAG = r"(?>[\s/]+|[^\s/>=]+|=\s*+(?>\"[^\"]*\"|'[^']*'|[^\s>]*))*+"
 _TOKEN = re.compile(
-    r"<(script|style|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"  # 1: raw text elements, whole
-    r"|<svg(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>"  # closed at once
-    + "".join(rf"|<{t}(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</{t}\s*>" for t in ("noscript", "template", "svg", "iframe"))  # silent elements that end
-    + r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"  # 2-4: tags
+    rf"<(script|style|textarea|title)(?=[\s/>]){_IN_TAG}>.*?(?:</\1\s*>|\Z)"  # 1: raw text elements, whole
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_IN_TAG})>"  # 2-4: tags
     r"|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z][^>]*(?:>|\Z)",  # comments and broken tags
     re.S | re.I,
 )
-_ATTRS = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in SKIPPED}
+_ATTRS = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_READ = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 _NAMED = re.compile(r"class|id|role|itemprop|aria-label|hidden|style", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _STOPS = re.compile(r"[.,!?;]")
 _UP = {t: 1 << i for i, t in enumerate(("nav", "header", "footer", "aside", "form", "article", "main", "a", "#silent"))}
-_P_STOPS = frozenset(("p", "button", "table", "td", "article", "section", "div", "li", "body"))
+_P_STOPS = ("button", "table", "td", "article", "section", "div", "li", "body")
 _NONE: frozenset = frozenset()
 
 
 class Page:
     """The nodes of a page in page order, which is the tree's preorder, as parallel lists."""
 
-    __slots__ = ("tag", "parent", "text", "block", "tokens", "above", "chars", "stops")
+    __slots__ = ("tag", "parent", "text", "block", "tokens", "above", "chars", "stops", "depth", "bad", "good", "end")
 
     def __init__(self) -> None:
         self.tag: list[str] = []
@@ -78,6 +85,10 @@ class Page:
         self.above: list[int] = []  # bits of ``_UP``, of the node and its ancestors
         self.chars: list[int] = []
         self.stops: list[int] = []
+        self.depth: list[int] = []
+        self.bad: list[int] = []  # attribute tokens of the node and its ancestors
+        self.good: list[int] = []
+        self.end: list[int] = []  # one more than the last node below
 
     def add(self, tag: str, parent: int, text: str, block: int, tokens: frozenset, bits: int, chars: int = 0, stops: int = 0) -> None:
         self.tag.append(tag)
@@ -85,30 +96,62 @@ class Page:
         self.text.append(text)
         self.block.append(block)
         self.tokens.append(tokens)
-        self.above.append(bits | self.above[parent] if parent >= 0 else bits)
+        top = parent < 0
+        self.above.append(bits if top else bits | self.above[parent])
         self.chars.append(chars)
         self.stops.append(stops)
+        self.depth.append(0 if top else self.depth[parent] + 1)
+        self.bad.append((0 if top else self.bad[parent]) + (len(tokens & BAD_TOKENS) if tokens else 0))
+        self.good.append((0 if top else self.good[parent]) + (len(tokens & GOOD_TOKENS) if tokens else 0))
+        self.end.append(len(self.tag))
 
 
 def _attributes(attrs: str) -> tuple[frozenset, bool]:
-    found = _ATTRS.findall(attrs)
-    words = " ".join(a or b or c for k, a, b, c in found if k.lower() not in ("style", "hidden"))
-    hidden = any(k.lower() == "hidden" or (k.lower() == "style" and "display:none" in (a or b or c).replace(" ", "").lower()) for k, a, b, c in found)
-    return frozenset(w.lower() for w in _SPLIT.split(words) if w), hidden
+    words, hidden = [], False
+    for k, a, b, c in _ATTRS.findall(attrs):
+        name = k.lower()
+        if name in _READ:
+            words.append(a or b or c)
+        elif name == "hidden" or (name == "style" and "display:none" in (a or b or c).replace(" ", "").lower()):
+            hidden = True
+    return frozenset(w.lower() for w in _SPLIT.split(" ".join(words)) if w), hidden
 
 
 def parse(page: str) -> Page:
-    """Elements and text leaves (tag ``#text``); a leaf has the number of its block."""
+    """Elements and text leaves (tag ``#text``); a leaf has the number of its block.
+
+    The time is linear in the page: ``where`` has the places of the open elements
+    of each tag in the stack, so end tags and implied ends are found at once.
+    """
     out = Page()
-    tags, parent, add = out.tag, out.parent, out.add
-    at, block, pos = -1, 0, 0
+    tags, end, add = out.tag, out.end, out.add
+    stack: list[int] = []
+    where: dict[str, list[int]] = {}
+    unended: set[str] = set()
+    block, pos = 0, 0
+
+    def nearest(names: Iterable[str]) -> int:
+        return max((where[t][-1] for t in names if where.get(t)), default=-1)
+
+    def pop(to: int) -> None:
+        """Close all elements from place ``to`` of the stack on."""
+        while len(stack) > to:
+            node = stack.pop()
+            where[tags[node]].pop()
+            end[node] = len(tags)
+
+    def leave_head() -> None:
+        if stack and tags[stack[-1]] == "head":
+            pop(len(stack) - 1)
 
     def leaf(raw: str) -> None:
         text = htmllib.unescape(raw) if "&" in raw else raw
         t = text.strip()
-        add("#text", at, text, block, _NONE, 0, len(t), len(_STOPS.findall(t)) if t else 0)
+        if t:
+            leave_head()
+        add("#text", stack[-1] if stack else -1, text, block, _NONE, 0, len(t), len(_STOPS.findall(t)) if t else 0)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, pos):
         start = m.start()
         if start > pos:
             leaf(page[pos:start])
@@ -120,28 +163,28 @@ def parse(page: str) -> Page:
             continue
         tag = tag.lower()
         if m[2]:
-            node = at
-            while node >= 0 and tags[node] != tag:
-                node = parent[node]
-            if node >= 0:
-                at = parent[node]
+            if where.get(tag):
+                pop(where[tag][-1])
             block += tag in BLOCK
             continue
-        if tag in CLOSES_P:
-            node = at
-            while node >= 0 and tags[node] not in _P_STOPS:
-                node = parent[node]
-            if node >= 0 and tags[node] == "p":
-                at = parent[node]
+        attrs = m[4]
+        if tag in SKIPPED and tag not in unended:
+            if tag == "svg" and attrs.endswith("/"):
+                continue
+            last = _ENDS[tag].search(page, pos)
+            if last:
+                pos = last.end()
+                continue
+            unended.add(tag)
+        if tag not in IN_HEAD:
+            leave_head()
+        if tag in CLOSES_P and where.get("p") and where["p"][-1] > nearest(_P_STOPS):
+            pop(where["p"][-1])
         if tag in SAME_CLOSES:
-            node, stop = at, SAME_CLOSES[tag]
-            alike = ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,)
-            while node >= 0 and tags[node] not in alike and tags[node] not in stop:
-                node = parent[node]
-            if node >= 0 and tags[node] in alike:
-                at = parent[node]
+            same = nearest(("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,))
+            if same > nearest(SAME_CLOSES[tag]):
+                pop(same)
         block += tag in BLOCK
-        attrs = m[4]
         tokens, bits = _NONE, _UP.get(tag, 0)
         if attrs and _NAMED.search(attrs):
             tokens, hidden = _attributes(attrs)
@@ -149,13 +192,16 @@ def parse(page: str) -> Page:
                 bits |= _UP["#silent"]
         if tag in SILENT:
             bits |= _UP["#silent"]
+        at = stack[-1] if stack else -1
         add(tag, at, "", block, tokens, bits)
         if tag == "br":
             add("#text", at, " ", block, _NONE, 0)
         elif tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
-            at = len(tags) - 1
+            where.setdefault(tag, []).append(len(stack))
+            stack.append(len(tags) - 1)
     if pos < len(page):
         leaf(page[pos:])
+    pop(0)
     return out
 
 
@@ -181,25 +227,9 @@ def features(pages: list[Page]) -> np.ndarray:
     up = np.where(root, np.arange(n), parent + first)
     tag = np.array([_TAG_AT.get(t, -1) for p in pages for t in p.tag])
     chars, stops, above = (np.array([v for p in pages for v in getattr(p, name)], dtype=np.int64) for name in ("chars", "stops", "above"))
-    marked = [(i, t) for i, t in enumerate(t for p in pages for t in p.tokens) if t]
-    bad, good = np.zeros(n), np.zeros(n)
-    for i, t in marked:
-        bad[i], good[i] = len(t & BAD_TOKENS), len(t & GOOD_TOKENS)
-    # depth, inherited tokens and subtree sizes, a level of all trees at a time
-    depth, bad_up, good_up, end = np.zeros(n), bad.copy(), good.copy(), np.arange(1, n + 1)
-    levels, left = [], np.flatnonzero(~root)
-    done = root.copy()
-    while len(left):
-        ready = done[up[left]]
-        now = left[ready]
-        depth[now] = depth[up[now]] + 1
-        bad_up[now] += bad_up[up[now]]
-        good_up[now] += good_up[up[now]]
-        done[now] = True
-        levels.append(now)
-        left = left[~ready]
-    for now in reversed(levels):
-        np.maximum.at(end, up[now], end[now])
+    depth, bad_up, good_up, end = (np.array([v for p in pages for v in getattr(p, name)], dtype=np.int64) for name in ("depth", "bad", "good", "end"))
+    end = end + first
+    bad, good = (np.where(root, x, x - x[up]).astype(float) for x in (bad_up, good_up))
 
     def below(x: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(x)])
