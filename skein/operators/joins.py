@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def join_store(docs: DataFrame, store: DataFrame, key: str, n: str, values: list[str]) -> DataFrame:
-    """Left join on content key and token count; a count that differs is a miss."""
-    s = store.select(F.col(key).alias("_k"), F.col(n).alias("_n"), *values)
-    out = docs.join(s, (docs[key] == F.col("_k")) & (docs[n] == F.col("_n")), "left")
-    return out.withColumn("hit", F.col("_k").isNotNull()).drop("_k", "_n")
+def join_store(docs: DataFrame, store: DataFrame, key: str, n: str, values: dict[str, Column]) -> DataFrame:
+    """Left join on content key and token count; a count that differs is a miss.
+
+    ``values`` maps each column of the store to what a miss gives for it: exact
+    zeros for activations (``F.lit(0)``, or an array of zeros by ``n``).
+    """
+    s = store.select(F.col(key).alias("_k"), F.col(n).alias("_n"), *(F.col(v).alias(f"_{v}") for v in values))
+    out = docs.join(s, (docs[key] == F.col("_k")) & (docs[n] == F.col("_n")), "left").withColumn("hit", F.col("_k").isNotNull())
+    out = out.withColumns({v: F.when(F.col("hit"), F.col(f"_{v}")).otherwise(zero) for v, zero in values.items()})
+    return out.drop("_k", "_n", *(f"_{v}" for v in values))
 
 
 def join_positions(rows: DataFrame, spans: DataFrame, n: str = "n") -> DataFrame:
     """Left join on (shard, row) with a status: ok, miss_shard, miss_row or drift."""
     known = spans.select("shard").distinct().withColumn("_has", F.lit(True))
     s = spans.select("shard", "row", F.col("start"), F.col(n).alias("_n"))
-    out = rows.join(s, ["shard", "row"], "left").join(known, "shard", "left")
+    out = rows.join(s, ["shard", "row"], "left").join(F.broadcast(known), "shard", "left")  # a row a shard
     status = F.when(F.col("_has").isNull(), "miss_shard").when(F.col("_n").isNull(), "miss_row").when(F.col("_n") != F.col(n), "drift").otherwise("ok")
     return out.withColumn("status", status).drop("_n", "_has")
 
 
+def with_baseline(results: DataFrame, baselines: DataFrame, key: str, base: str) -> DataFrame:
+    """Results with the baseline of their task; a task that has none is an error, not a row less."""
+    out = results.join(F.broadcast(baselines.select(key, base)), key, "left")  # a row a task
+    missing = F.concat(F.lit("no baseline for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return out.withColumn(base, F.when(F.col(base).isNull(), F.raise_error(missing).cast("double")).otherwise(F.col(base)))
+
+
 def last_wins(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """One row per key: the value of the last row in order."""
     return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
@@ -42,21 +54,36 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
 def overlap(targets: DataFrame, sources: DataFrame, by: str, how: str = "mean") -> DataFrame:
     """Each target span's ``mean`` or ``last`` of the values of source spans that overlap it; 0 where none does.
 
-    Sources of one document come in order and do not overlap each other, so
-    those that meet a target are a run: bins of ``BIN`` offsets are the second
-    join key, and a document's size bounds the rows a bin meets.
+    Sources of one document come in order and do not overlap each other. All
+    ends are one ordered stream per ``by``: sums of the sources begun before a
+    target's end, less those ended by its start, are the sources it meets. One
+    shuffle; no pair of target and source becomes a row.
     """
-    bins = lambda a, b: F.explode(F.sequence(F.floor(a / BIN), F.floor((b - 1) / BIN)))
-    t = targets.where("e > s").select(by, "pos", "s", "e", bins(F.col("s"), F.col("e")).alias("_bin"))
-    s = sources.where("e > s").select(by, F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("pos").alias("_p"), "value", bins(F.col("s"), F.col("e")).alias("_bin"))
-    met = t.join(s, [by, "_bin"]).where((F.col("_s") < F.col("e")) & (F.col("_e") > F.col("s")))
-    first = met.where(F.col("_bin") == F.greatest(F.floor(F.col("s") / BIN), F.floor(F.col("_s") / BIN)))  # a pair once
-    value = F.avg("value") if how == "mean" else F.max_by("value", "_p")
-    found = first.groupBy(by, "pos").agg(value.alias("value"))
-    return targets.select(by, "pos").join(found, [by, "pos"], "left").select(by, "pos", F.coalesce("value", F.lit(0.0)).alias("value"))
-
-
-BIN = 64
+    none = F.lit(None)
+    t = targets.where("e > s").select(by, F.col("pos").cast("long").alias("_pos"), "s", "e")
+    s = sources.where("e > s").select(by, "s", "e", F.col("value").cast("double").alias("_v"))
+
+    def mark(df: DataFrame, at: str, side: int, pos: Column, value: Column, begun: int) -> DataFrame:
+        return df.select(by, F.col(at).alias("_at"), F.lit(side).alias("_side"), pos.cast("long").alias("_pos"), value.cast("double").alias("_v"), F.lit(begun).alias("_begun"))
+
+    # at one offset: sources that end, a target's start, its end, sources that begin
+    stream = mark(s, "e", 0, none, F.col("_v"), 0).union(mark(t, "s", 1, F.col("_pos"), none, 0)).union(mark(t, "e", 2, F.col("_pos"), none, 1)).union(mark(s, "s", 3, none, F.col("_v"), 1))
+    w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    source = F.col("_pos").isNull()
+    begun, ended = source & (F.col("_begun") == 1), source & (F.col("_begun") == 0)
+    mine = F.col("_begun") == 1  # a target's end counts what has begun, its start what has ended
+    ends = stream.select(
+        by, "_pos", "_begun", F.count_if(begun).over(w).alias("_nb"), F.count_if(ended).over(w).alias("_ne"),
+        F.sum(F.when(begun, F.col("_v"))).over(w).alias("_sb"), F.sum(F.when(ended, F.col("_v"))).over(w).alias("_se"), F.last(F.when(begun, F.col("_v")), ignorenulls=True).over(w).alias("_last"),
+    ).where("_pos IS NOT NULL")
+    met = ends.groupBy(by, "_pos").agg(
+        (F.sum(F.when(mine, F.col("_nb"))) - F.sum(F.when(~mine, F.col("_ne")))).alias("_n"),
+        (F.coalesce(F.sum(F.when(mine, F.col("_sb"))), F.lit(0.0)) - F.coalesce(F.sum(F.when(~mine, F.col("_se"))), F.lit(0.0))).alias("_sum"), F.max(F.when(mine, F.col("_last"))).alias("_last"),
+    )
+    value = F.col("_sum") / F.col("_n") if how == "mean" else F.col("_last")
+    found = met.select(by, F.col("_pos").alias("pos"), F.when(F.col("_n") > 0, value).otherwise(0.0).alias("value"))
+    empty = targets.where("NOT e > s").select(by, F.col("pos").cast("long").alias("pos"), F.lit(0.0).alias("value"))
+    return found.unionByName(empty)
 
 
 def gather(amap: Column, values: Column, zero: Column) -> Column:

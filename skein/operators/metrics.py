@@ -46,18 +46,24 @@ def quantized(x: Column, scale: Column) -> Column:
     return F.least(F.greatest(F.rint(x / scale), F.lit(-127.0)), F.lit(127.0)).cast("tinyint")
 
 
-def debiased_ema(value: str, by: str, order: str, beta: float = 0.9) -> Column:
-    """Exponential mean corrected for its start, as one running window sum.
+def debiased_ema(df: DataFrame, value: str, by: str, order: str, name: str, beta: float = 0.9) -> DataFrame:
+    """Adds ``name``: the exponential mean of ``value`` so far, corrected for its start; all rows count.
 
-    The weights grow with the position in blocks, so long runs stay finite.
+    Runs are cut into blocks so long that a block's last row has a weight of
+    1e-100 at its end. A row's mean is its block's running sum and the whole sum
+    of the block before; what lies further back is beneath double precision.
+    Two window sorts a run, however long it is.
     """
-    w = Window.partitionBy(by).orderBy(order)
-    run = w.rowsBetween(-400, 0)  # beta ** 400 is below double precision for beta <= 0.9
-    n = F.row_number().over(w)
-    values = F.collect_list(value).over(run)
-    # newest last: fold from the oldest
-    ema = F.aggregate(values, F.lit(0.0), lambda a, x: a * beta + (1 - beta) * x)
-    return ema / (1 - F.pow(F.lit(beta), n))
+    size = max(1, int(100 / -math.log10(beta)))
+    n, block, at = "_n", "_block", "_at"
+    d = df.withColumn(n, F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    d = d.withColumn(block, F.floor(F.col(n) / size)).withColumn(at, (F.col(n) % size).cast("double"))
+    b = F.lit(float(beta))
+    x = F.col(value).cast("double")
+    here = F.sum(x * F.pow(b, -F.col(at))).over(Window.partitionBy(by, block).orderBy(n).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.sum(x * F.pow(b, size - 1 - F.col(at))).over(Window.partitionBy(by).orderBy(block).rangeBetween(-1, -1))
+    mean = (1 - b) * (F.pow(b, F.col(at)) * here + F.pow(b, F.col(at) + 1) * F.coalesce(before, F.lit(0.0)))
+    return d.withColumn(name, mean / (1 - F.pow(b, F.col(n) + 1))).drop(n, block, at)
 
 
 def quadratic_optimum(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -100,3 +106,42 @@ def gram(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray]:
             g[i, j] = g[j, i] = row[at]
             at += 1
     return g, np.array(row[at:], dtype=float)
+
+
+def mean_if_complete(results: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
+    """``score``: the mean over ``baselines(key, base)`` of (accuracy - base) / (1 - base); null unless every one of them has a result."""
+    held = baselines.join(results.select(key, "accuracy"), key, "left")
+    mean = F.avg((F.col("accuracy") - F.col("base")) / (1.0 - F.col("base")))
+    return held.agg(F.when(F.count("accuracy") == F.count("*"), mean).alias("score"))
+
+
+def same_set(a: Column, b: Column) -> Column:
+    """Whether two arrays hold the same values."""
+    return (F.size(F.array_except(a, b)) == 0) & (F.size(F.array_except(b, a)) == 0)
+
+
+def top_k_draw(rows: DataFrame, key: str, logits: str, k: int, temperature: float, seed: int) -> DataFrame:
+    """key, greedy (the first largest) and drawn: a draw from the softmax of the ``k`` largest logits.
+
+    The draw depends on the seed and the key alone. At temperature 0 it is the greedy choice.
+    """
+    top = F.slice(F.array_sort(F.transform(logits, lambda x, i: F.struct((-x.cast("double")).alias("minus"), i.alias("i")))), 1, k)
+    t = rows.select(key, top.alias("top"))
+    greedy = F.col("top")[0]["i"]
+    if temperature <= 0:
+        return t.select(key, greedy.alias("greedy"), greedy.alias("drawn"))
+    weights = F.transform("top", lambda x: F.exp((F.col("top")[0]["minus"] - x["minus"]) / temperature))
+    t = t.withColumn("w", weights).withColumn("total", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    step = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + (a["sum"] + x <= u * F.col("total")).cast("int")).alias("n"))
+    below = F.aggregate("w", F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n")), step)["n"]
+    return t.select(key, greedy.alias("greedy"), F.element_at("top", F.least(below, F.size("top") - 1) + 1)["i"].alias("drawn"))
+
+
+def run_rates(log: DataFrame, run: str, order: str, tokens: int, flops_per_token: float, peak: float, steps: int, warm: int = 10) -> DataFrame:
+    """``log(run, order, step, dt)`` with tokens_per_second, mfu and progress in percent and eta_minutes, null for the first ``warm`` steps."""
+    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    spent = F.sum(F.when(F.col("step") > warm, F.col("dt")).otherwise(0.0)).over(w)
+    rate = tokens / F.col("dt")
+    eta = F.when(F.col("step") > warm, spent / (F.col("step") - warm) * (steps - F.col("step")) / 60)
+    return log.select("*", rate.alias("tokens_per_second"), (100 * flops_per_token * rate / peak).alias("mfu"), (100.0 * F.col("step") / steps).alias("percent"), eta.alias("eta_minutes"))

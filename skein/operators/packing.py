@@ -44,11 +44,13 @@ class Buffer:
         return length, self.docs.pop(-arrival)
 
 
-def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size: int, mode: str) -> Iterator[list[tuple[object, int]]]:
+def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size: int, mode: str, long_docs: str = "skip") -> Iterator[list[tuple[object, int]]]:
     """Rows as lists of (document, tokens used). ``crop`` fills rows and drops a cropped document's tail; ``pad`` leaves room.
 
-    The source is bounded: near its end the buffer runs down, and a last row
-    that ``crop`` cannot fill is not emitted.
+    ``pad`` has no place for documents above ``capacity``: ``long_docs`` says
+    whether they stay out (``skip``) or keep their first part (``cut``). The
+    source is bounded: near its end the buffer runs down, and a last row that
+    ``crop`` cannot fill is not emitted.
     """
     buffer, source, more = Buffer(), iter(docs), True
     while True:
@@ -59,7 +61,7 @@ def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size:
                 nxt = next(source, None)
                 if nxt is None:
                     more = False
-                elif nxt[0] > 0:
+                elif nxt[0] > 0 and (mode == "crop" or nxt[0] <= capacity or long_docs == "cut"):
                     buffer.add(min(nxt[0], capacity) if mode == "pad" else nxt[0], nxt[1])
             if not len(buffer):
                 break
@@ -76,8 +78,22 @@ def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size:
         yield row
 
 
-def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str = "crop") -> DataFrame:
-    """``docs(rank, ord, doc_id, n)`` -> rank, row, slot, doc_id, start, used: where each document went."""
+#: Documents that a rank packs, about.
+RANK_DOCS = 1 << 16
+
+
+def ranks(docs: DataFrame, order: str, least: int = 8, row_group: int = 1024) -> DataFrame:
+    """Adds ``rank``: row groups in turn, one rank for about ``RANK_DOCS`` documents and ``least`` at least."""
+    world = max(least, -(-docs.count() // RANK_DOCS))
+    return docs.withColumn("rank", F.pmod(F.floor(F.col(order) / row_group), F.lit(world)).cast("int"))
+
+
+def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str = "crop", long_docs: str = "skip") -> DataFrame:
+    """``docs(rank, ord, doc_id, n)`` -> rank, row, slot, doc_id, start, used: where each document went.
+
+    A rank is one task's work and its buffer that task's memory, so ranks have
+    to grow with the data; ``ranks`` deals row groups to them as readers do.
+    """
     schema = "rank int, row long, slot int, doc_id long, start int, used int"
 
     def group(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +103,7 @@ def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str =
 
         columns = ["rank", "row", "slot", "doc_id", "start", "used"]
         out = []
-        for k, row in enumerate(pack_stream(stream(), capacity, buffer_size, mode)):
+        for k, row in enumerate(pack_stream(stream(), capacity, buffer_size, mode, long_docs)):
             at = 0
             for slot, (doc, used) in enumerate(row):
                 out.append((key[0], k, slot, doc, at, used))

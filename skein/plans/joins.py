@@ -13,16 +13,16 @@ from .registry import query
 
 @query(
     "store_join",
-    """SELECT d.doc_id, d.n_chars, s.quality, s.key IS NOT NULL AS hit FROM documents d
+    """SELECT d.doc_id, d.n_chars, coalesce(s.quality, 0) AS quality, s.key IS NOT NULL AS hit FROM documents d
     LEFT JOIN (SELECT DISTINCT md5(o.text) AS key, max(l.quality) OVER (PARTITION BY md5(o.text)) AS quality, o.n_chars + (o.n_chars % 2) AS n FROM documents o JOIN labels l USING (doc_id)) s
     ON md5(d.text) = s.key AND d.n_chars = s.n""",
 )
 def store_join(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and a store keyed by content; a length that differs is a miss."""
+    """Documents and a store keyed by content; a length that differs is a miss, and a miss is an exact zero."""
     docs = S.table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"), "n_chars")
     n = F.col("n_chars") + F.col("n_chars") % 2
     store = docs.join(S.table(spark, d, "labels"), "doc_id").groupBy("key", n.alias("n")).agg(F.max("quality").alias("quality"))
-    return J.join_store(docs.withColumnRenamed("n_chars", "n"), store, "key", "n", ["quality"]).select("doc_id", F.col("n").alias("n_chars"), "quality", "hit")
+    return J.join_store(docs.withColumnRenamed("n_chars", "n"), store, "key", "n", {"quality": F.lit(0)}).select("doc_id", F.col("n").alias("n_chars"), "quality", "hit")
 
 
 _POS = "r AS (SELECT doc_id, source AS shard, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS row, n_chars AS n FROM documents)"
@@ -128,7 +128,8 @@ def baseline_join(spark: SparkSession, d: str) -> DataFrame:
 
     base = spark.createDataFrame([("en", 25.0), ("de", 50.0), ("fr", 20.0), ("es", 10.0)], "lang string, base double")
     acc = S.table(spark, d, "labels").join(S.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("accuracy"))
-    return acc.join(F.broadcast(base), "lang").select("lang", "accuracy", centered(F.col("accuracy"), F.col("base")).alias("centered"))
+    held = J.with_baseline(acc, base, "lang", "base")
+    return held.select("lang", "accuracy", centered(F.col("accuracy"), F.col("base")).alias("centered"))
 
 
 @query("gathered", "SELECT vec_id, p::INT AS pos, round(CASE i WHEN -1 THEN 0.0 ELSE embedding[i + 1]::DOUBLE END, 6) AS x FROM embeddings CROSS JOIN (VALUES (0, 0), (1, -1), (2, 2), (3, 5)) v(p, i)")

@@ -183,8 +183,8 @@ def cut_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").select("doc_id", F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("rank"), (F.octet_length("text") + 1).cast("int").alias("n"))
-    return docs.withColumn("ord", F.col("doc_id"))
+    docs = S.table(spark, d, "documents").select("doc_id", (F.octet_length("text") + 1).cast("int").alias("n"))
+    return P.ranks(docs.withColumn("ord", F.col("doc_id")), "ord", row_group=16)
 
 
 @query("pack_crop")

@@ -28,7 +28,7 @@ def _so_far() -> object:
     SELECT event_id, round(v / (1 - pow(0.9, step + 1)), 6) AS loss FROM p""",
 )
 def smoothed_loss(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d).withColumn("loss", F.round(M.debiased_ema("value", "run", "event_id"), 6)).select("event_id", "loss")
+    return M.debiased_ema(_log(spark, d), "value", "run", "event_id", "loss").select("event_id", F.round("loss", 6).alias("loss"))
 
 
 @query("running_time", f"WITH {_LOG} SELECT event_id, round(sum(CASE WHEN step > 2 THEN value ELSE 0 END) OVER w, 6) AS spent, min(value) OVER w AS best, max(step) OVER w AS reached FROM log WINDOW w AS (PARTITION BY run ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
