@@ -97,6 +97,46 @@ def render(turns: DataFrame, encode, special: dict[str, int], max_tokens: int =
     return held.select("conv_id", F.slice(whole, 1, max_tokens).alias("ids"), F.slice(masks, 1, max_tokens).alias("mask"))
 
 
+def completions(turns: DataFrame, encode, special: dict[str, int], max_tokens: int = 2048) -> DataFrame:
+    """``turns`` without each conversation's last one, the assistant's, rendered as ids that end on the mark that begins a reply."""
+    from pyspark.sql.window import Window
+
+    last = F.max("turn").over(Window.partitionBy("conv_id"))
+    kept = turns.withColumn("_last", last).where("turn < _last").drop("_last")
+    return render(kept, encode, special, max_tokens).select("conv_id", F.concat("ids", F.array(F.lit(special["<|assistant_start|>"]))).alias("ids"))
+
+
+def render_parts(turns: DataFrame, encode, special: dict[str, int], max_tokens: int = 2048) -> DataFrame:
+    """``turns(conv_id, turn, role, parts)``, parts of type text, python or python_output, as ids and mask per conversation.
+
+    Text and calls of the assistant are trained on, with the marks of a call;
+    the output of calls, its marks and all of the user are not. Each part is
+    encoded once, as a row of its own.
+    """
+    p = turns.select("conv_id", "turn", (F.col("role") == "user").alias("user"), F.posexplode("parts").alias("nth", "part"), F.size("parts").alias("of"))
+    kind = F.col("part")["type"]
+    known = F.when(kind.isin("text", "python", "python_output"), kind).otherwise(F.raise_error(F.concat(F.lit("unknown part: "), kind)).cast("string"))
+    p = p.withColumn("kind", known).withColumn("ids", encode(F.col("part")["text"]))
+
+    def mark(name: str) -> Column:
+        return F.array(F.lit(special[name]))
+
+    none = F.array().cast("array<int>")
+    before = F.when(F.col("kind") == "python", mark("<|python_start|>")).when(F.col("kind") == "python_output", mark("<|output_start|>")).otherwise(none)
+    after = F.when(F.col("kind") == "python", mark("<|python_end|>")).when(F.col("kind") == "python_output", mark("<|output_end|>")).otherwise(none)
+    first = F.when(F.col("nth") > 0, none).when(F.col("user"), mark("<|user_start|>")).otherwise(mark("<|assistant_start|>"))
+    last = F.when(F.col("nth") < F.col("of") - 1, none).when(F.col("user"), mark("<|user_end|>")).otherwise(mark("<|assistant_end|>"))
+    body = F.concat(before, F.col("ids"), after)
+    trained = F.when(F.col("user") | (F.col("kind") == "python_output"), 0).otherwise(1).cast("int")
+    own = F.when(F.col("user"), 0).otherwise(1).cast("int")
+    mask = F.concat(F.array_repeat(F.lit(0), F.size(first)), F.array_repeat(trained, F.size(body)), F.array_repeat(own, F.size(last)))
+    parts = p.select("conv_id", F.struct("turn", "nth", F.concat(first, body, last).alias("ids"), mask.alias("mask")).alias("p"))
+    held = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    whole = F.concat(mark("<|bos|>"), F.flatten(F.transform("p", lambda x: x["ids"])))
+    masks = F.concat(F.array(F.lit(0)), F.flatten(F.transform("p", lambda x: x["mask"])))
+    return held.select("conv_id", F.slice(whole, 1, max_tokens).alias("ids"), F.slice(masks, 1, max_tokens).alias("mask"))
+
+
 def visualized(tokens: Column, mask: Column) -> Column:
     """Tokens in green where trained on and red elsewhere, joined by bars."""
     return F.array_join(F.zip_with(tokens, mask, lambda t, m: F.concat(F.when(m == 1, "\x1b[92m").otherwise("\x1b[91m"), t.cast("string"), F.lit("\x1b[0m"))), "|")

@@ -67,8 +67,13 @@ def debiased_ema(df: DataFrame, value: str, by: str, order: str, name: str, beta
 
 
 def quadratic_optimum(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Per group, the vertex of the parabola through log10(x), y; where it opens downward, the lowest point."""
-    schema = T.StructType([points.schema[by], T.StructField("best_x", T.DoubleType()), T.StructField("best_y", T.DoubleType()), T.StructField("fitted", T.BooleanType())])
+    """Per group, the vertex of the parabola through log10(x), y; where it opens downward, the lowest point.
+
+    A group is the few points of one budget. ``best_y`` at a vertex outside of
+    the points is the parabola's; ``interp_y`` is what straight lines between
+    the points give there, the end points beyond them.
+    """
+    schema = T.StructType([points.schema[by], T.StructField("best_x", T.DoubleType()), T.StructField("best_y", T.DoubleType()), T.StructField("fitted", T.BooleanType()), T.StructField("interp_y", T.DoubleType())])
 
     def fit(key, f):
         import pandas as pd
@@ -81,7 +86,8 @@ def quadratic_optimum(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
             if a > 0:
                 v = -b / (2 * a)
                 out = (10**v, a * v * v + b * v + c, True)
-        return pd.DataFrame([(key[0], *out)], columns=schema.names)
+        order = np.argsort(lx)
+        return pd.DataFrame([(key[0], *out, float(np.interp(np.log10(out[0]), lx[order], yy[order])))], columns=schema.names)
 
     return points.select(by, x, y).groupBy(by).applyInPandas(fit, schema)
 
@@ -108,6 +114,38 @@ def gram(df: DataFrame, xs: list[str], y: str) -> tuple[np.ndarray, np.ndarray]:
     return g, np.array(row[at:], dtype=float)
 
 
+def principal_axes(rows: DataFrame, vector: str, k: int) -> list[list[float]]:
+    """The first ``k`` principal axes of a column of vectors; the largest loading of each is positive.
+
+    Each task sums its rows' outer products, one small matrix a task; these are added up by place.
+    """
+    schema = "i int, j int, v double"
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = None
+        for b in batches:
+            x = np.array([v for v in b.column(0).to_pylist() if v is not None], float)
+            if len(x):
+                x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel().astype(np.int32)), pa.array(j.ravel().astype(np.int32)), pa.array(total.ravel())], names=["i", "j", "v"])
+
+    cells = rows.select(vector).mapInArrow(run, schema).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()  # channels squared
+    if not cells:
+        return []
+    size = 1 + max(c["i"] for c in cells)
+    g = np.zeros((size, size))
+    for c in cells:
+        g[c["i"], c["j"]] = c["v"]
+    mean = g[0, 1:] / g[0, 0]
+    _, vec = np.linalg.eigh(g[1:, 1:] / g[0, 0] - np.outer(mean, mean))
+    return [[float(v) for v in a * np.sign(a[np.abs(a).argmax()])] for a in vec[:, ::-1][:, :k].T]
+
+
 def mean_if_complete(results: DataFrame, baselines: DataFrame, key: str) -> DataFrame:
     """``score``: the mean over ``baselines(key, base)`` of (accuracy - base) / (1 - base); null unless every one of them has a result."""
     held = baselines.join(results.select(key, "accuracy"), key, "left")

@@ -78,17 +78,17 @@ def channel_rms(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "quantized_channels",
     """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS channel, unnest(embedding)::DOUBLE AS x FROM embeddings)
-    SELECT vec_id, channel::INT AS channel, least(greatest(round_even(x / 0.05, 0), -127), 127)::TINYINT AS q FROM e WHERE channel < 8""",
+    SELECT vec_id, channel::INT AS channel, least(greatest(round_even(x / 0.05, 0), -127), 127)::TINYINT AS q FROM e""",
 )
 def quantized_channels(spark: SparkSession, d: str) -> DataFrame:
-    e = S.table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("channel", "x"))
+    e = S.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("channel", "x"))
     return e.select("vec_id", "channel", M.quantized(F.col("x").cast("double"), F.lit(0.05)).alias("q"))
 
 
-@query("dequantized_scores", "SELECT vec_id, pos::INT AS pos, round((least(greatest(round_even(embedding[pos + 1]::DOUBLE / 0.05, 0), -127), 127) * 0.05 + 0.5 - 0.25) / 2.0, 6) AS z FROM embeddings CROSS JOIN generate_series(0, 3) g(pos)")
+@query("dequantized_scores", "SELECT vec_id, pos::INT AS pos, round((least(greatest(round_even(embedding[pos + 1]::DOUBLE / 0.05, 0), -127), 127) * 0.05 + 0.5 - 0.25) / 2.0, 6) AS z FROM embeddings CROSS JOIN generate_series(0, 63) g(pos)")
 def dequantized_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scale, shift and standardise stored scores."""
-    x = S.table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "x"))
+    x = S.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x"))
     q = M.quantized(F.col("x").cast("double"), F.lit(0.05)).cast("double")
     return x.select("vec_id", "pos", F.round((q * 0.05 + 0.5 - 0.25) / 2.0, 6).alias("z"))
 
@@ -134,10 +134,19 @@ def ridge_fit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "alpha double, intercept double, quantity double, discount double, tax double")
 
 
-@query("quadratic_optimum")
+@query(
+    "quadratic_optimum",
+    """WITH p AS (SELECT o_orderstatus, log10(o_custkey % 9 + 1) AS x, avg(o_totalprice)::DOUBLE AS y FROM orders GROUP BY o_orderstatus, o_custkey % 9 + 1),
+    c AS (SELECT o_orderstatus, avg(x) AS mx FROM p GROUP BY o_orderstatus),
+    m AS (SELECT o_orderstatus, mx, sum(x - mx) AS s1, sum((x - mx) ** 2) AS s2, sum((x - mx) ** 3) AS s3, sum((x - mx) ** 4) AS s4, count(*) AS n, sum(y) AS t0, sum((x - mx) * y) AS t1, sum((x - mx) ** 2 * y) AS t2, min(y) AS low, arg_min(x, y) AS lowx FROM p JOIN c USING (o_orderstatus) GROUP BY o_orderstatus, mx),
+    q AS (SELECT *, n * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2) AS det FROM m),
+    k AS (SELECT *, (n * (s2 * t2 - s3 * t1) - s1 * (s1 * t2 - s2 * t1) + t0 * (s1 * s3 - s2 * s2)) / det AS a, (n * (t1 * s4 - t2 * s3) - t0 * (s1 * s4 - s2 * s3) + s2 * (s1 * t2 - s2 * t1)) / det AS b,
+      (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - t2 * s3) + s2 * (t1 * s3 - t2 * s2)) / det AS c FROM q)
+    SELECT o_orderstatus, round(CASE WHEN a > 0 THEN pow(10, mx - b / (2 * a)) ELSE pow(10, lowx) END, 4) AS best_x, round(CASE WHEN a > 0 THEN c - b * b / (4 * a) ELSE low END, 3) AS best_y, a > 0 AS fitted FROM k""",
+)
 def quadratic_optimum(spark: SparkSession, d: str) -> DataFrame:
     p = S.table(spark, d, "orders").groupBy("o_orderstatus", (F.col("o_custkey") % 9 + 1).alias("x")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("y"))
-    return M.quadratic_optimum(p, "o_orderstatus", "x", "y")
+    return M.quadratic_optimum(p, "o_orderstatus", "x", "y").select("o_orderstatus", F.round("best_x", 4).alias("best_x"), F.round("best_y", 3).alias("best_y"), "fitted")
 
 
 @query("budget_best", "SELECT o_orderstatus, count(DISTINCT o_custkey) AS customers, min(o_totalprice)::DOUBLE AS best FROM orders WHERE o_totalprice > 0 GROUP BY o_orderstatus")
@@ -198,16 +207,28 @@ def helix_points(spark: SparkSession, d: str) -> DataFrame:
 
 @query("principal_axes")
 def principal_axes(spark: SparkSession, d: str) -> DataFrame:
-    """Two principal axes of the first 16 channels from one covariance aggregate; the largest loading is positive."""
-    import numpy as np
-
-    k = 16
-    e = S.table(spark, d, "embeddings").select(F.slice("embedding", 1, k).alias("e"))
-    x = e.select(*(F.col("e")[i].cast("double").alias(f"x{i}") for i in range(k)))
-    g, _ = M.gram(x, x.columns, "x0")
-    n, mean = g[0, 0], g[0, 1:] / g[0, 0]
-    cov = g[1:, 1:] / n - np.outer(mean, mean)
-    _, vec = np.linalg.eigh(cov)
-    axes = vec[:, ::-1][:, :2].T
-    rows = [(i, [float(v) for v in a * np.sign(a[np.abs(a).argmax()])]) for i, a in enumerate(axes)]
-    return spark.createDataFrame(rows, T.StructType([T.StructField("axis", T.IntegerType()), T.StructField("loadings", T.ArrayType(T.DoubleType()))]))
+    """Two principal axes of all channels from one aggregate; the largest loading is positive."""
+    axes = M.principal_axes(S.table(spark, d, "embeddings"), "embedding", 2)
+    return spark.createDataFrame(list(enumerate(axes)), T.StructType([T.StructField("axis", T.IntegerType()), T.StructField("loadings", T.ArrayType(T.DoubleType()))]))
+
+
+@query("projected")
+def projected(spark: SparkSession, d: str) -> DataFrame:
+    """Rows along the two axes, as they are and not centred."""
+    e = S.table(spark, d, "embeddings")
+    axes = M.principal_axes(e, "embedding", 2)
+    along = lambda axis: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, axis)), lambda x, a: x.cast("double") * a), F.lit(0.0), lambda t, x: t + x)
+    return e.select("vec_id", along(axes[0]).alias("x"), along(axes[1]).alias("y"))
+
+
+@query(
+    "budget_points",
+    """WITH o AS (SELECT o_orderstatus AS budget, o_custkey % 9 + 1 AS depth, avg(o_totalprice)::DOUBLE AS loss, count(*) AS tokens FROM orders WHERE o_totalprice > 0 GROUP BY ALL)
+    SELECT budget, depth, round(loss, 6) AS loss, (SELECT count(DISTINCT depth) FROM o)::BIGINT AS depths, round(exp(avg(ln(tokens)) OVER (PARTITION BY budget)), 6) AS mean_tokens FROM o QUALIFY row_number() OVER (PARTITION BY budget ORDER BY loss, depth) = 1""",
+)
+def budget_points(spark: SparkSession, d: str) -> DataFrame:
+    """The best depth of each budget, the depths there are, and the geometric mean of a budget's tokens."""
+    o = S.table(spark, d, "orders").where("o_totalprice > 0").groupBy(F.col("o_orderstatus").alias("budget"), (F.col("o_custkey") % 9 + 1).alias("depth")).agg(F.avg(F.col("o_totalprice").cast("double")).alias("loss"), F.count("*").alias("tokens"))
+    best = o.groupBy("budget").agg(F.min_by(F.struct("depth", "loss"), F.struct("loss", "depth")).alias("b"), F.exp(F.avg(F.log("tokens"))).alias("m"))
+    depths = o.agg(F.countDistinct("depth").alias("depths"))
+    return best.crossJoin(F.broadcast(depths)).select("budget", "b.depth", F.round("b.loss", 6).alias("loss"), "depths", F.round("m", 6).alias("mean_tokens"))  # one row

@@ -75,6 +75,15 @@ def conversation_errors(spark: SparkSession, d: str) -> DataFrame:
     return found.select("conv_id", F.when(F.col("n") < 2, "fewer than two turns").when(F.col("wrong") > 0, "roles do not alternate").when(F.col("blank") > 0, "empty text").alias("error"))
 
 
+def _alternating(spark: SparkSession, d: str) -> DataFrame:
+    """The turns of conversations in which user and assistant take turns."""
+    turns = S.table(spark, d, "conversations")
+    prev = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    wrong = ((F.col("role") == "user") & (F.col("prev") == "user")) | ((F.col("role") == "assistant") & F.coalesce(F.col("prev") != "user", F.lit(True)))
+    bad = turns.withColumn("prev", prev).where(wrong).select("conv_id").distinct()
+    return turns.join(bad, "conv_id", "left_anti")
+
+
 _RENDER = f"""WITH {_CONV}, ok AS (SELECT conv_id FROM c GROUP BY conv_id HAVING count(*) FILTER (role = 'user' AND prev = 'user') = 0 AND count(*) FILTER (role = 'assistant' AND (prev IS NULL OR prev <> 'user')) = 0),
     t AS (SELECT conv_id, role, strlen(text) + CASE WHEN prev = 'system' THEN strlen(before) + 2 ELSE 0 END + 2 AS n FROM c WHERE role <> 'system' AND conv_id IN (SELECT conv_id FROM ok))"""
 
@@ -82,59 +91,99 @@ _RENDER = f"""WITH {_CONV}, ok AS (SELECT conv_id FROM c GROUP BY conv_id HAVING
 @query("rendered_lengths", f"{_RENDER} SELECT conv_id, (sum(n) + 1)::INT AS n_tokens, coalesce(sum(n - 1) FILTER (role = 'assistant'), 0)::INT AS n_trained FROM t GROUP BY conv_id")
 def rendered_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Tokens and trained tokens of conversations in the byte vocabulary."""
-    turns = S.table(spark, d, "conversations")
-    prev = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
-    wrong = ((F.col("role") == "user") & (F.col("prev") == "user")) | ((F.col("role") == "assistant") & F.coalesce(F.col("prev") != "user", F.lit(True)))
-    bad = turns.withColumn("prev", prev).where(wrong).select("conv_id").distinct()
-    good = turns.join(bad, "conv_id", "left_anti")
-    r = K.render(good, K.byte_ids, K.BYTE_SPECIALS, max_tokens=1 << 30)
+    r = K.render(_alternating(spark, d), K.byte_ids, K.BYTE_SPECIALS, max_tokens=1 << 30)
     return r.select("conv_id", F.size("ids").alias("n_tokens"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_trained"))
 
 
-@query("shifted_targets")
+@query(
+    "shifted_targets",
+    rf"""WITH {_CONV}, ok AS (SELECT conv_id FROM c GROUP BY conv_id HAVING count(*) FILTER (role = 'user' AND prev = 'user') = 0 AND count(*) FILTER (role = 'assistant' AND (prev IS NULL OR prev <> 'user')) = 0),
+    t AS (SELECT conv_id, turn, role = 'user' AS u, list_transform(regexp_extract_all(hex(encode(CASE WHEN prev = 'system' THEN before || chr(10) || chr(10) || text ELSE text END)), '..'), lambda h: ('0x' || h)::INT) AS b FROM c WHERE role <> 'system' AND conv_id IN (SELECT conv_id FROM ok)),
+    s AS (SELECT conv_id, turn, list_concat([CASE WHEN u THEN 257 ELSE 259 END], b, [CASE WHEN u THEN 258 ELSE 260 END]) AS ids, list_concat([0], list_transform(range(len(b) + 1), lambda i: CASE WHEN u THEN 0 ELSE 1 END)) AS mask FROM t),
+    w AS (SELECT conv_id, list_concat([256], flatten(list(ids ORDER BY turn)))[1:2048] AS ids, list_concat([0], flatten(list(mask ORDER BY turn)))[1:2048] AS mask FROM s GROUP BY conv_id)
+    SELECT conv_id, ids[1:len(ids) - 1] AS inputs, list_transform(range(2, len(ids) + 1), lambda i: CASE WHEN mask[i] = 1 THEN ids[i] ELSE -1 END) AS targets FROM w""",
+)
 def shifted_targets(spark: SparkSession, d: str) -> DataFrame:
-    """Inputs and targets of rendered conversations, -1 where not trained on."""
-    turns = S.table(spark, d, "conversations")
-    r = K.render(turns, K.byte_ids, K.BYTE_SPECIALS)
+    """Inputs and targets of rendered conversations whose turns alternate, -1 where not trained on."""
+    r = K.render(_alternating(spark, d), K.byte_ids, K.BYTE_SPECIALS)
     return r.select("conv_id", F.slice("ids", 1, F.size("ids") - 1).alias("inputs"), X.shift_targets(F.col("ids"), F.col("mask")).alias("targets"))
 
 
+#: The last words of an item are its choices or continuation, all before them the question.
+_ITEMS = "b AS (SELECT item_id, string_split(text, ' ') AS w, len(string_split(text, ' ')) AS n FROM benchmark)"
+
+
+def _items(spark: SparkSession, d: str, tail: int) -> DataFrame:
+    """item_id, q (all but the last ``tail`` words) and t (these)."""
+    w = F.split("text", " ")
+    n = F.greatest(F.size(w) - tail, F.lit(0))
+    return S.table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(w, F.lit(1), n), " ").alias("q"), F.slice(w, n + 1, F.lit(tail)).alias("t"))
+
+
 @query(
     "multiple_choice_prompts",
-    r"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
-    SELECT item_id, 'Multiple Choice question: ' || array_to_string(w[1:6], ' ') || chr(10) || '- ' || w[7] || '=A' || chr(10) || '- ' || w[8] || '=B' || chr(10) || '- ' || w[9] || '=C' || chr(10)
+    rf"""WITH {_ITEMS}
+    SELECT item_id, 'Multiple Choice question: ' || array_to_string(w[1:n - 3], ' ') || chr(10) || '- ' || w[n - 2] || '=A' || chr(10) || '- ' || w[n - 1] || '=B' || chr(10) || '- ' || w[n] || '=C' || chr(10)
       || chr(10) || 'Respond only with the letter of the correct answer.' AS prompt FROM b""",
 )
 def multiple_choice_prompts(spark: SparkSession, d: str) -> DataFrame:
-    w = F.split("text", " ")
     letters = F.array(*map(F.lit, "ABC"))
-    return S.table(spark, d, "benchmark").select("item_id", X.multiple_choice(F.array_join(F.slice(w, 1, 6), " "), letters, F.slice(w, 7, 3)).alias("prompt"))
+    return _items(spark, d, 3).select("item_id", X.multiple_choice(F.col("q"), letters, F.col("t")).alias("prompt"))
 
 
 @query(
     "choice_prompts_few_shot",
-    r"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), shot AS (SELECT array_to_string(w[1:4], ' ') || ' => ' || w[5] || chr(10) || chr(10) AS s FROM b WHERE item_id = (SELECT min(item_id) FROM b))
-    SELECT item_id, unnest([0, 1])::INT AS choice, unnest([s || array_to_string(w[1:4], ' ') || ' => ' || w[5], s || array_to_string(w[1:4], ' ') || ' => ' || w[6]]) AS prompt
+    rf"""WITH {_ITEMS}, shot AS (SELECT array_to_string(w[1:n - 2], ' ') || ' => ' || w[n - 1] || chr(10) || chr(10) AS s FROM b WHERE item_id = (SELECT min(item_id) FROM b))
+    SELECT item_id, unnest([0, 1])::INT AS choice, unnest([s || array_to_string(w[1:n - 2], ' ') || ' => ' || w[n - 1], s || array_to_string(w[1:n - 2], ' ') || ' => ' || w[n]]) AS prompt
     FROM b CROSS JOIN shot WHERE item_id <> (SELECT min(item_id) FROM b)""",
 )
 def choice_prompts_few_shot(spark: SparkSession, d: str) -> DataFrame:
     """One solved example, never the item itself, before each prompt."""
-    w = F.split("text", " ")
-    b = S.table(spark, d, "benchmark").select("item_id", F.array_join(F.slice(w, 1, 4), " ").alias("q"), F.slice(w, 5, 2).alias("choices"))
-    shot = b.agg(F.min_by(F.struct("item_id", "q", "choices"), "item_id").alias("x")).select(F.col("x.item_id").alias("_id"), F.array(F.concat("x.q", F.lit(" => "), F.col("x.choices")[0])).alias("shots"))
+    b = _items(spark, d, 2)
+    shot = b.agg(F.min_by(F.struct("item_id", "q", "t"), "item_id").alias("x")).select(F.col("x.item_id").alias("_id"), F.array(F.concat("x.q", F.lit(" => "), F.col("x.t")[0])).alias("shots"))
     rows = b.crossJoin(F.broadcast(shot)).where("item_id <> _id")  # one row
-    return rows.select("item_id", F.posexplode(X.choice_prompts(F.col("q"), F.col("choices"), " => ", F.col("shots"))).alias("choice", "prompt"))
+    return rows.select("item_id", F.posexplode(X.choice_prompts(F.col("q"), F.col("t"), " => ", F.col("shots"))).alias("choice", "prompt"))
 
 
 @query(
     "lm_prompts",
-    r"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)
-    SELECT item_id, trim(array_to_string(w[1:5], ' ')) AS without, trim(array_to_string(w[1:5], ' ')) || ' ' || w[6] AS with_ FROM b""",
+    rf"""WITH {_ITEMS}
+    SELECT item_id, trim(array_to_string(w[1:n - 1], ' ')) AS without, trim(array_to_string(w[1:n - 1], ' ')) || ' ' || w[n] AS with_ FROM b""",
 )
 def lm_prompts(spark: SparkSession, d: str) -> DataFrame:
+    p = X.lm_prompts(F.concat(F.lit(" "), F.col("q"), F.lit("\t")), F.col("t")[0], " ")
+    return _items(spark, d, 1).select("item_id", p.alias("p")).select("item_id", F.col("p")[0].alias("without"), F.col("p")[1].alias("with_"))
+
+
+@query(
+    "schema_prompts",
+    rf"""WITH {_ITEMS} SELECT item_id, unnest([0, 1])::INT AS choice, unnest([array_to_string(w[1:n - 2], ' ') || ' -> ' || w[n], w[n - 1] || ' -> ' || w[n]]) AS prompt FROM b""",
+)
+def schema_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Two contexts before one continuation."""
+    t = F.col("t")
+    return _items(spark, d, 2).select("item_id", F.posexplode(X.schema_prompts(F.array(F.col("q"), t[0]), t[1], " -> ")).alias("choice", "prompt"))
+
+
+@query(
+    "padded_items",
+    rf"""WITH {_ITEMS} SELECT item_id, array_to_string(w, ' ') || repeat(' _', greatest(40 - n, 0)::BIGINT) AS padded, greatest(n, 40)::INT AS size FROM b""",
+)
+def padded_items(spark: SparkSession, d: str) -> DataFrame:
     w = F.split("text", " ")
-    p = X.lm_prompts(F.concat(F.lit(" "), F.array_join(F.slice(w, 1, 5), " "), F.lit("\t")), w[5], " ")
-    return S.table(spark, d, "benchmark").select("item_id", p.alias("p")).select("item_id", F.col("p")[0].alias("without"), F.col("p")[1].alias("with_"))
+    p = X.pad(w, F.greatest(F.size(w), F.lit(40)), F.lit("_"))
+    return S.table(spark, d, "benchmark").select("item_id", F.array_join(p, " ").alias("padded"), F.size(p).alias("size"))
+
+
+@query(
+    "common_suffix_words",
+    rf"""WITH {_ITEMS}, v AS (SELECT *, list_reverse(w) AS r, list_reverse(string_split(regexp_replace((SELECT text FROM benchmark o WHERE o.item_id = b.item_id), '^[^ ]* ', 'other '), ' ')) AS o FROM b)
+    SELECT item_id, coalesce(list_position(list_transform(generate_series(1, least(len(r), len(o))), lambda i: r[i] = o[i]), false) - 1, least(len(r), len(o)))::INT AS n FROM v""",
+)
+def common_suffix_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words that an item shares at its end with itself under another first word."""
+    other = F.split(F.regexp_replace("text", "^[^ ]* ", "other "), " ")
+    return S.table(spark, d, "benchmark").select("item_id", X.common_suffix(F.split("text", " "), other).alias("n"))
 
 
 @query(
@@ -175,13 +224,38 @@ def calculator(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "cut_pieces",
-    "SELECT doc_id, i::INT AS pos, CASE i WHEN 0 THEN substr(text, 1, 3) WHEN 1 THEN substr(text, 4, 4) ELSE substr(text, 8) END AS piece FROM documents CROSS JOIN generate_series(0, 2) g(i) WHERE length(text) > 7",
+    """WITH p AS (SELECT doc_id, text, length(text) AS n FROM documents), m AS (SELECT doc_id, text, list_sort(list_distinct(list_filter([0, 3, 7, n], lambda x: x <= n))) AS m FROM p)
+    SELECT doc_id, (i - 1)::INT AS pos, substr(text, m[i] + 1, m[i + 1] - m[i]) AS piece FROM m CROSS JOIN LATERAL (SELECT unnest(generate_series(1, len(m) - 1)) AS i)""",
 )
 def cut_pieces(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").where(F.length("text") > 7)
+    """Every text cut at characters 3 and 7, where it has them."""
+    docs = S.table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(X.cut_at(F.col("text"), F.array(F.lit(7), F.lit(3), F.lit(3), F.lit(0)))).alias("pos", "piece"))
 
 
+@query(
+    "clamped_spans",
+    "SELECT doc_id, least(least(n, 500), least(n, 100))::INT AS s, greatest(least(n, 500), least(n, 100))::INT AS e FROM (SELECT doc_id, length(text) AS n FROM documents)",
+)
+def clamped_spans(spark: SparkSession, d: str) -> DataFrame:
+    """An inverted span that may lie beyond its text."""
+    span = F.array(F.struct(F.lit(500).alias("s"), F.lit(100).alias("e")))
+    c = S.table(spark, d, "documents").select("doc_id", X.clamp_spans(span, F.col("text"))[0].alias("c"))
+    return c.select("doc_id", "c.s", "c.e")
+
+
+@query(
+    "code_completions",
+    r"""SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS code, 'import ' || regexp_extract(text, '[A-Za-z]+') AS imports FROM benchmark""",
+)
+def code_completions(spark: SparkSession, d: str) -> DataFrame:
+    """The code of fenced completions, and the import lines at a prompt's head."""
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    said = F.concat(F.lit("Sure:\n```python\n"), word, F.lit("\n```\nand "), F.col("text"))
+    prompt = F.concat(F.lit("# head\n\nimport "), word, F.lit("\ndef f():\n    import os"))
+    return S.table(spark, d, "benchmark").select("item_id", X.code_block(said).alias("code"), X.import_lines(prompt).alias("imports"))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     docs = S.table(spark, d, "documents").select("doc_id", (F.octet_length("text") + 1).cast("int").alias("n"))
     return P.ranks(docs.withColumn("ord", F.col("doc_id")), "ord", row_group=16)
@@ -208,10 +282,17 @@ def pack_accounting(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("length_batches")
+@query(
+    "length_batches",
+    """WITH RECURSIVE d AS (SELECT doc_id, length(text)::BIGINT AS n, ((doc_id // 16) % greatest(8, ceil((SELECT count(*) FROM documents) / 65536.0)))::INT AS rank FROM documents),
+    o AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY n, doc_id) AS i FROM d),
+    r AS (SELECT doc_id, n, rank, i, 0::BIGINT AS batch, 1::BIGINT AS held FROM o WHERE i = 1
+      UNION ALL SELECT o.doc_id, o.n, o.rank, o.i, CASE WHEN (r.held + 1) * o.n > 32768 THEN r.batch + 1 ELSE r.batch END, CASE WHEN (r.held + 1) * o.n > 32768 THEN 1 ELSE r.held + 1 END FROM r JOIN o ON o.rank = r.rank AND o.i = r.i + 1)
+    SELECT doc_id, n, rank, batch FROM r""",
+)
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"), "source")
-    return P.length_batches(docs, 32768, "source")
+    docs = S.table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("n"))
+    return P.length_batches(P.ranks(docs, "doc_id", row_group=16), 32768, "rank")
 
 
 @query("windows_of_tokens", "SELECT doc_id, (i // 256)::INT AS part, i::INT AS start, least(256, strlen(text) - i)::INT AS n FROM documents CROSS JOIN LATERAL (SELECT unnest(generate_series(0, strlen(text) - 1, 256)) AS i)")

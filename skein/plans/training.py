@@ -37,11 +37,13 @@ def running_time(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select("event_id", F.round(F.sum(F.when(F.col("step") > 2, F.col("value")).otherwise(0.0)).over(w), 6).alias("spent"), F.min("value").over(w).alias("best"), F.max("step").over(w).alias("reached"))
 
 
-@query("blocked_share", f"WITH {_LOG} SELECT event_id, round(sum(value * (step % 3)) OVER w / sum(value * 3 + 1) OVER w, 6) AS share FROM log WINDOW w AS (PARTITION BY run ORDER BY event_id ROWS 4 PRECEDING)")
+@query("blocked_share", f"WITH {_LOG}, s AS (SELECT event_id, sum(value * (step % 3)) OVER w / sum(value * 3 + 1) OVER w AS share, count(*) OVER w AS seen, step FROM log WINDOW w AS (PARTITION BY run ORDER BY event_id ROWS 4 PRECEDING)) SELECT event_id, round(share, 6) AS share, share > 0.15 AND seen >= 5 AND step % 5 = 4 AS warns FROM s")
 def blocked_share(spark: SparkSession, d: str) -> DataFrame:
-    """Share of waiting in the last five steps."""
+    """Share of waiting in the last five steps; warns above 15 percent, at each fifth step and not before five are seen."""
     w = Window.partitionBy("run").orderBy("event_id").rowsBetween(-4, 0)
-    return _log(spark, d).select("event_id", F.round(F.sum(F.col("value") * (F.col("step") % 3)).over(w) / F.sum(F.col("value") * 3 + 1).over(w), 6).alias("share"))
+    share = F.sum(F.col("value") * (F.col("step") % 3)).over(w) / F.sum(F.col("value") * 3 + 1).over(w)
+    t = _log(spark, d).select("event_id", "step", share.alias("share"), F.count("*").over(w).alias("seen"))
+    return t.select("event_id", F.round("share", 6).alias("share"), ((F.col("share") > 0.15) & (F.col("seen") >= 5) & (F.col("step") % 5 == 4)).alias("warns"))
 
 
 @query("record_deltas", f"WITH {_LOG}, b AS (SELECT *, min(value) OVER (PARTITION BY run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM log) SELECT event_id, round(value - held, 6) AS delta FROM b WHERE held IS NOT NULL AND value < held")
@@ -100,7 +102,12 @@ def ring_task(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(12).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long"))).alias("t")).withColumn("token", F.pmod(F.col("s") + 5 * F.col("t"), F.lit(12)).cast("int"))
 
 
-@query("buffer_phases")
+@query(
+    "buffer_phases",
+    f"""WITH RECURSIVE {_LOG}, r AS (SELECT run AS key, step AS ord, value AS depth, CASE WHEN value >= 60 THEN 'running' ELSE 'prefill' END AS phase FROM log WHERE step = 0
+      UNION ALL SELECT log.run, log.step, log.value, CASE WHEN r.phase = 'running' THEN CASE WHEN log.value < 15 THEN 'rebuffer' ELSE 'running' END WHEN log.value >= CASE WHEN r.phase = 'prefill' THEN 60 ELSE 40 END THEN 'running' ELSE r.phase END
+      FROM r JOIN log ON log.run = r.key AND log.step = r.ord + 1) SELECT key, ord, depth, phase FROM r""",
+)
 def buffer_phases(spark: SparkSession, d: str) -> DataFrame:
     """Prefill, running and rebuffer phases of each user's event values taken as depths."""
     from ..streaming.state import phases

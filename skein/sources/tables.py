@@ -23,9 +23,18 @@ def corpus_shards(spark: SparkSession, path: str, text: str = "text") -> DataFra
 
 
 def as_shards(docs: DataFrame, shard: str = "source", order: str = "doc_id", row_group: int = 16) -> DataFrame:
-    """Number the rows of each shard and group them: adds ``shard``, ``row`` and ``rg``."""
-    row = F.row_number().over(Window.partitionBy(shard).orderBy(order)) - 1
-    return docs.withColumn("shard", F.col(shard)).withColumn("row", row.cast("long")).withColumn("rg", F.floor(F.col("row") / row_group).cast("long"))
+    """Number the rows of each shard and group them: adds ``shard``, ``row`` and ``rg``.
+
+    Rows are numbered through over all shards, by range partitions, and counted
+    from their shard's first: no task holds a whole shard. ``order`` has to be
+    unique and neither column null. Parquet shards have their row numbers
+    already: ``corpus_shards`` reads them.
+    """
+    n = running_total(docs, [shard, order], F.lit(1).cast("long"), "_n")
+    first = n.groupBy(shard).agg(F.min("_n").alias("_first"))  # a row a shard
+    row = n.join(first, shard).select(shard, order, (F.col("_n") - F.col("_first")).alias("row"))
+    out = docs.join(row, [shard, order])
+    return out.withColumn("shard", F.col(shard)).withColumn("rg", F.floor(F.col("row") / row_group).cast("long"))
 
 
 def with_split(shards: DataFrame, shard: str = "shard") -> DataFrame:
