@@ -90,11 +90,13 @@ class Ranker:
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
     """``docs(doc_id, text)`` of at most ``limit`` labelled ids, those of the lowest hashes, with their label.
 
-    The ids are broadcast: ``limit`` bounds them, whatever the corpus.
+    The ids are broadcast: ``limit`` bounds them, whatever the corpus. Of rows
+    that share an id and label one stays (that of the smallest text), so the
+    rows are at most ``limit`` as well.
     """
     l = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)").distinct()
     l = l.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(l), "doc_id")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(l), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit_ranker(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> Ranker:
