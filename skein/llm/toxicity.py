@@ -45,7 +45,8 @@ MAX_MARKS = 50_000
 LEAST_TEXTS = 4
 _TOKEN = re.compile(r"\w+")
 _WORD_END = "\x00"
-_STEM_END = "\x01"
+#: Share of clean texts of the sample that misspellings of one term may hit; a term that hits more bears fewer edits.
+CLEAN_HITS = 0.001
 _QUOTE_MARKS = frozenset("\"“”„«»‹›‘’`")
 #: Words that announce that a word is mentioned and not used (fixed values).
 MENTIONS = frozenset("word words term terms quote quoted quotes said says saying called wrote phrase slur insult mot dit wort sagte palabra dijo".split())
@@ -54,65 +55,124 @@ MENTIONS = frozenset("word words term terms quote quoted quotes said says saying
 # ------------------------------------------------------------ the automaton
 
 
+def base_allowance(term: str) -> int:
+    """Edits that a term of this length may bear: none below 5 letters, one below 9, else two."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+
+
 class Lexicon:
-    """A trie of terms; ``stems`` are terms that any continuation may follow."""
+    """A trie of terms and the Levenshtein automata that run along it.
+
+    ``stems`` are terms that any continuation may follow; ``allowed`` has the
+    edits of single terms where they are less than ``base_allowance``. A state of
+    the automaton is the set of trie nodes that the letters so far may have led
+    to, each with its least edits, and the stems met by then. States are made
+    when a word first needs them and are shared by all words, so a word costs a
+    look-up a letter. At ``MAX_STATES`` states or known words they are forgotten
+    and made anew.
+    """
 
-    def __init__(self, words: list[str], stems: list[str]):
+    MAX_STATES = 200_000
+
+    def __init__(self, words: list[str], stems: list[str], allowed: dict[str, int] | None = None):
         self.words, self.stems = sorted(words), sorted(stems)
-        self.root: dict = {}
-        for end, terms in ((_WORD_END, self.words), (_STEM_END, self.stems)):
-            for w in terms:
-                node = self.root
-                for ch in w:
-                    node = node.setdefault(ch, {})
-                node[end] = w
-        self.by_stem = {n: frozenset(s for s in self.stems if len(s) == n) for n in {len(s) for s in self.stems}}
-        # k edits leave one of k + 1 pieces of a term as it is, at most k places away
-        pieces: dict[tuple[int, int], set[str]] = {}
-        for w in (*self.words, *self.stems):
-            k = self.allowed(w)
-            ends = [len(w) * j // (k + 1) for j in range(k + 2)]
-            for a, b in zip(ends, ends[1:], strict=False):
-                for at in range(max(0, a - k), a + k + 1):
-                    pieces.setdefault((at, at + b - a), set()).add(w[a:b])
-        self.pieces = [(a, b, frozenset(found)) for (a, b), found in sorted(pieces.items())]
+        self.terms = [*self.words, *self.stems]
+        self.allow = [(allowed or {}).get(t, base_allowance(t)) for t in self.terms]
+        self.children: list[dict[str, int]] = [{}]
+        self.most = [0]  # edits that any term below a node may bear
+        self.ends: list[list[int]] = [[]]
+        for k, term in enumerate(self.terms):
+            node = 0
+            self.most[0] = max(self.most[0], self.allow[k])
+            for ch in term:
+                node = self.children[node].setdefault(ch, len(self.children))
+                if node == len(self.children):
+                    self.children.append({})
+                    self.most.append(0)
+                    self.ends.append([])
+                self.most[node] = max(self.most[node], self.allow[k])
+            self.ends[node].append(k)
+        self.forget()
+
+    def allowed(self, term: str) -> int:
+        """The edits that ``term`` may bear here."""
+        return self.allow[self.terms.index(term)]
+
+    def forget(self) -> None:
+        self.ids: dict[tuple, int] = {}
+        self.states: list[tuple[tuple, tuple]] = []
+        self.moves: list[dict[str, int]] = []
+        self.found: list[tuple | None] = []
         self.seen: dict[str, int] = {}
-
-    @staticmethod
-    def allowed(term: str) -> int:
-        return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+        self.start = self._state({0: 0}, {})
+
+    def _state(self, at: dict[int, int], stems: dict[int, int]) -> int:
+        """The number of a state: nodes with their least edits (letters of terms may be left out) and the stems met."""
+        left = list(at)
+        while left:
+            node = left.pop()
+            e = at[node] + 1
+            for child in self.children[node].values():
+                if e <= self.most[child] and e < at.get(child, 99):
+                    at[child] = e
+                    left.append(child)
+        stems = dict(stems)
+        for node, e in at.items():
+            for k in self.ends[node]:
+                if k >= len(self.words) and e <= self.allow[k]:
+                    stems[k] = min(e, stems.get(k, 99))
+        key = tuple(sorted(at.items())), tuple(sorted(stems.items()))
+        n = self.ids.setdefault(key, len(self.states))
+        if n == len(self.states):
+            self.states.append(key)
+            self.moves.append({})
+            self.found.append(None)
+        return n
+
+    def _move(self, state: int, ch: str) -> int:
+        at: dict[int, int] = {}
+        nodes, stems = self.states[state]
+        for node, e in nodes:
+            if e < self.most[node]:  # a letter too many
+                at[node] = min(e + 1, at.get(node, 99))
+            for c, child in self.children[node].items():
+                d = e + (c != ch)
+                if d <= self.most[child] and d < at.get(child, 99):
+                    at[child] = d
+        return self._state(at, dict(stems))
+
+    def matches(self, word: str) -> tuple[tuple[int, int], ...]:
+        """The terms within their allowance of ``word`` (stems: of a beginning of it), as numbers, with their edits."""
+        if len(self.states) > self.MAX_STATES:
+            self.forget()
+        state = self.start
+        for ch in word:
+            moves = self.moves[state]
+            after = moves.get(ch)
+            if after is None:
+                after = moves[ch] = self._move(state, ch)
+            state = after
+            if not self.states[state][0]:
+                break  # nothing else can be met
+        if self.found[state] is None:
+            nodes, stems = self.states[state]
+            met = dict(stems)
+            for node, e in nodes:
+                for k in self.ends[node]:
+                    if k < len(self.words) and e <= self.allow[k]:
+                        met[k] = e
+            self.found[state] = tuple(sorted(met.items()))
+        return self.found[state]
 
     def distance(self, word: str) -> int | None:
         """Edits to the nearest term within its allowance, or None."""
-        best: int | None = None
-        first = list(range(len(word) + 1))
-        stack = [(self.root, first)]
-        while stack:
-            node, row = stack.pop()
-            for ch, child in node.items():
-                if ch in (_WORD_END, _STEM_END):
-                    d = row[-1] if ch == _WORD_END else min(row)  # any continuation may follow a stem
-                    if d <= self.allowed(child) and (best is None or d < best):
-                        best = d
-                    continue
-                # the automaton's next state: column of the edit matrix, cut off above 2
-                nxt = [row[0] + 1]
-                for i, wc in enumerate(word):
-                    nxt.append(min(nxt[i] + 1, row[i + 1] + 1, row[i] + (wc != ch)))
-                if min(nxt) <= 2:
-                    stack.append((child, nxt))
-        return best
+        return min((d for _, d in self.matches(word)), default=None)
 
     def kind(self, word: str) -> int:
         """0: no hit, 1: a term or a stem's continuation, 2: a misspelled term."""
-        for n, stems in self.by_stem.items():
-            if word[:n] in stems:
-                return 1
-        if not any(word[a:b] in found for a, b, found in self.pieces):
-            return 0
         known = self.seen.get(word)
         if known is None:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > self.MAX_STATES:
                 self.seen.clear()
             d = self.distance(word)
             known = self.seen[word] = 0 if d is None else 1 if d == 0 else 2
@@ -123,7 +183,8 @@ def hits(text: str | None, lexicon: Lexicon) -> tuple[int, int, int, int]:
     """Exact plain, exact quoted, misspelled plain and misspelled quoted hits."""
     low = (text or "").lower()
     words = _TOKEN.findall(low)
-    kinds = {w: k for w in set(words) if (k := lexicon.kind(w))}
+    seen, kind = lexicon.seen, lexicon.kind
+    kinds = {w: k for w in set(words) if (k := seen[w] if w in seen else kind(w))}
     out = [0, 0, 0, 0]
     if kinds:
         spans = [m.span() for m in _TOKEN.finditer(low)]
@@ -222,8 +283,36 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, tried
     return Lexicon(words, stems)
 
 
+def allowances(sample: DataFrame, lexicon: Lexicon, clean: int) -> dict[str, int]:
+    """The edits that each term may bear: fewer where its misspellings are ordinary words, by the clean texts they are in."""
+    words, stems = lexicon.words, lexicon.stems
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, counts = Lexicon(words, stems), Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                near = {}
+                for w in set(_TOKEN.findall((text.as_py() or "").lower())):
+                    for k, d in own.matches(w):
+                        if d:
+                            near[k] = min(d, near.get(k, 99))
+                counts.update(near.items())
+        cols = [pa.array([key[i] for key in counts], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(list(counts.values()), pa.int64())], names=["term", "edits", "texts"])
+
+    found = sample.where("label = 0").select(F.col("text").cast("string")).mapInArrow(run, "term long, edits long, texts long")
+    texts = {(r["term"], r["edits"]): r["n"] for r in found.groupBy("term", "edits").agg(F.sum("texts").alias("n")).collect()}  # two a term at most
+    out = {}
+    for k, term in enumerate(lexicon.terms):
+        edits = base_allowance(term)
+        while edits and sum(texts.get((k, d), 0) for d in range(1, edits + 1)) > CLEAN_HITS * clean:
+            edits -= 1
+        out[term] = edits
+    return out
+
+
 #: Prior means of the weights of the four kinds of hits, and of the bias.
-PRIOR = np.array([2.0, 0.4, 1.0, 0.2, -2.5])
+PRIOR = np.array([2.0, 0.4, 1.5, 0.3, -2.5])
 PRIOR_STRENGTH = np.array([0.5, 5.0, 5.0, 5.0, 0.05])
 
 
@@ -248,15 +337,16 @@ def fit_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def hit_counts(docs: DataFrame, words: list[str], stems: list[str], keep: list[str]) -> DataFrame:
+def hit_counts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     """The ``keep`` columns and the four hit counts of every whole text."""
     names = ("plain", "quoted", "near_plain", "near_quoted")
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+    words, stems, allowed = lexicon.words, lexicon.stems, dict(zip(lexicon.terms, lexicon.allow, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(words, stems)
+        own = Lexicon(words, stems, allowed)
         for batch in batches:
-            rows = np.array([hits(t.as_py(), lexicon) for t in batch.column(len(keep))], dtype=np.int64).reshape(-1, 4)
+            rows = np.array([hits(t.as_py(), own) for t in batch.column(len(keep))], dtype=np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(rows[:, j]) for j in range(4))], names=schema.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias("_text_")).mapInArrow(run, schema)
@@ -268,7 +358,8 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tupl
     toxic = {r["mark"]: r["toxic"] for r in toxic_marks(sample).orderBy(F.col("toxic").desc(), "mark").limit(MAX_MARKS).collect()}
     clean = clean_counts(sample, list(toxic))
     lexicon = choose_terms([(m, n, clean.get(m, 0)) for m, n in toxic.items()], by_label[1], by_label[0], len(toxic))
-    known = hit_counts(sample, lexicon.words, lexicon.stems, ["label"]).toPandas()
+    lexicon = Lexicon(lexicon.words, lexicon.stems, allowances(sample, lexicon, by_label[0]))
+    known = hit_counts(sample, lexicon, ["label"]).toPandas()
     return lexicon, fit_weights(known.iloc[:, 1:].to_numpy(), known["label"].to_numpy())
 
 
@@ -283,7 +374,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Da
     """doc_id, the four hit counts and ``score`` of every row."""
     bounded_batches(docs.sparkSession)
     lexicon, weights = learn(docs, labels if train is None else labels.where(train))
-    return hit_counts(docs, lexicon.words, lexicon.stems, ["doc_id"]).withColumn("score", score_column(weights))
+    return hit_counts(docs, lexicon, ["doc_id"]).withColumn("score", score_column(weights))
 
 
 def op10_levenshtein_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
