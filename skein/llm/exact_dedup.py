@@ -175,7 +175,9 @@ def verdicts(docs: DataFrame, memory_bytes: int = MEMORY_BYTES, bucket_bytes: in
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     found = classes(norm.select(sha.alias("digest"), F.col("content").cast("binary").alias("content"), F.lit(1).cast("long").alias("n")), parts, memory_bytes)
     stays = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("stays"))
-    out = rows.select("doc_id", "row", "digest").join(found.join(stays, "digest"), "digest")
+    # a row per class, stored: Spark can then split the rows of a text that very many have in the join with them
+    named = cut(found.join(stays, "digest"))
+    out = rows.select("doc_id", "row", "digest").join(named, "digest")
     return out.select("doc_id", "row", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), "digest")
 
 
