@@ -11,7 +11,10 @@ plain ones. A logistic model with priors, fitted on the same labelled texts,
 weighs plain and quoted, exact and misspelled hits.
 
 At most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, are
-learned from; every whole text is scored.
+learned from; every whole text is scored. The lexicon has at most ``MAX_TERMS``
+terms, chosen among the ``MAX_MARKS`` words and stems that most toxic texts of
+that sample hold, each in ``LEAST_TEXTS`` at least: bounds of what is learned,
+not of what is searched.
 
 Edge cases: null and empty texts have no hits and get the score of none; null
 labels are not used; without toxic labels the lexicon is empty and all texts
@@ -43,10 +46,13 @@ STEM_LENGTHS = range(3, 15)
 MAX_TERMS = 400
 MAX_MARKS = 50_000
 LEAST_TEXTS = 4
+#: How far a term's likelihood ratio has to stand above what the best of all candidates has by chance.
+MARGIN = 4.0
 _TOKEN = re.compile(r"\w+")
 _WORD_END = "\x00"
 #: Share of clean texts of the sample that misspellings of one term may hit; a term that hits more bears fewer edits.
 CLEAN_HITS = 0.001
+KINDS = ("plain", "quoted", "near_plain", "near_quoted")
 _QUOTE_MARKS = frozenset("\"“”„«»‹›‘’`")
 #: Words that announce that a word is mentioned and not used (fixed values).
 MENTIONS = frozenset("word words term terms quote quoted quotes said says saying called wrote phrase slur insult mot dit wort sagte palabra dijo".split())
@@ -181,6 +187,11 @@ class Lexicon:
 
 def hits(text: str | None, lexicon: Lexicon) -> tuple[int, int, int, int]:
     """Exact plain, exact quoted, misspelled plain and misspelled quoted hits."""
+    return hits_and_words(text, lexicon)[:4]
+
+
+def hits_and_words(text: str | None, lexicon: Lexicon) -> tuple[int, int, int, int, int]:
+    """The four counts of hits and how many words there are."""
     low = (text or "").lower()
     words = _TOKEN.findall(low)
     seen, kind = lexicon.seen, lexicon.kind
@@ -191,7 +202,7 @@ def hits(text: str | None, lexicon: Lexicon) -> tuple[int, int, int, int]:
         for i, w in enumerate(words):
             if k := kinds.get(w):
                 out[2 * (k - 1) + mentioned(low, words, spans, i)] += 1
-    return tuple(out)
+    return (*out, len(words))
 
 
 def mentioned(text: str, words: list[str], spans: list[tuple[int, int]], i: int) -> bool:
@@ -269,7 +280,7 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, tried
         return 2 * (p * math.log(q / base) + (n * math.log((1 - q) / (1 - base)) if n else 0.0))
 
     whole = {m[:-1]: p for m, p, n in rows if m.endswith(_WORD_END)}
-    least = 2 * math.log(max(tried, 2)) + 10
+    least = 2 * math.log(max(tried, 2)) + MARGIN
     scored = sorted(((ratio(p, n), m, p) for m, p, n in rows if not m.endswith(_WORD_END) and p >= 4 and p / (p + n) > max(0.6, base)), key=lambda x: (-x[0], -len(x[1]), x[1]))
     chosen: list[str] = []
     words, stems = [], []
@@ -311,13 +322,14 @@ def allowances(sample: DataFrame, lexicon: Lexicon, clean: int) -> dict[str, int
     return out
 
 
-#: Prior means of the weights of the four kinds of hits, and of the bias.
-PRIOR = np.array([2.0, 0.4, 1.5, 0.3, -2.5])
-PRIOR_STRENGTH = np.array([0.5, 5.0, 5.0, 5.0, 0.05])
+#: Prior means of the weights of the four kinds of hits, of the logarithm of a text's words (a long text has hits by chance) and of the bias.
+PRIOR = np.array([2.0, 0.4, 1.5, 0.3, 0.0, -2.5])
+PRIOR_STRENGTH = np.array([0.5, 5.0, 5.0, 5.0, 0.5, 0.05])
 
 
 def design(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.minimum(counts, 4.0), np.ones((len(counts), 1))], axis=1)
+    """Rows of the four hit counts and the words as the model sees them."""
+    return np.concatenate([np.minimum(counts[:, :4], 4.0), np.log1p(counts[:, 4:5]), np.ones((len(counts), 1))], axis=1)
 
 
 def fit_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -338,16 +350,16 @@ def fit_weights(counts: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def hit_counts(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns and the four hit counts of every whole text."""
-    names = ("plain", "quoted", "near_plain", "near_quoted")
+    """The ``keep`` columns, the four hit counts and the words of every whole text."""
+    names = (*KINDS, "words")
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
     words, stems, allowed = lexicon.words, lexicon.stems, dict(zip(lexicon.terms, lexicon.allow, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(words, stems, allowed)
         for batch in batches:
-            rows = np.array([hits(t.as_py(), own) for t in batch.column(len(keep))], dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(rows[:, j]) for j in range(4))], names=schema.names)
+            rows = np.array([hits_and_words(t.as_py(), own) for t in batch.column(len(keep))], dtype=np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *(pa.array(rows[:, j]) for j in range(5))], names=schema.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias("_text_")).mapInArrow(run, schema)
 
@@ -364,14 +376,14 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tupl
 
 
 def score_column(weights: np.ndarray) -> Column:
-    total = F.lit(float(weights[4]))
-    for name, w in zip(("plain", "quoted", "near_plain", "near_quoted"), weights, strict=False):
+    total = F.lit(float(weights[5])) + F.log1p("words") * float(weights[4])
+    for name, w in zip(KINDS, weights, strict=False):
         total = total + F.least(F.col(name), F.lit(4)) * float(w)
     return 1.0 / (1.0 + F.exp(-total))
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> DataFrame:
-    """doc_id, the four hit counts and ``score`` of every row."""
+    """doc_id, the four hit counts, the words and ``score`` of every row."""
     bounded_batches(docs.sparkSession)
     lexicon, weights = learn(docs, labels if train is None else labels.where(train))
     return hit_counts(docs, lexicon, ["doc_id"]).withColumn("score", score_column(weights))
