@@ -428,7 +428,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     row = fresh(docs, "_row")
     marked = docs.withColumn(row, F.monotonically_increasing_id())
     named = near_copies(marked.select("doc_id", F.col(row).alias("row"), "text"), ["doc_id", "row"])
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    # stored, so that Spark can split the rows of a large component in the join
+    first = cut(named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count("*").alias("rows")).where("rows > 1"))
     gone = cut(named.join(first, "component").where("row <> first.row").select(F.col("row").alias(row)))
     return marked.join(few(gone), row, "left_anti").select(*docs.columns)
 
