@@ -129,3 +129,10 @@ def first_pattern(text: Column, table: list[tuple[str, float]], default: float |
     for pattern, value in reversed(table):
         out = F.when(F.lower(text).contains(pattern.lower()), F.lit(value)).otherwise(out)
     return out
+
+
+def seeded_choice(key: Column, seed: int, what: str, items: list[str]) -> Column:
+    """One of ``items`` for each key: the same for the same seed, key and ``what``."""
+    mark = F.md5(F.concat(F.lit(f"{seed}:{what}:"), key.cast("string")).cast("binary"))
+    at = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % len(items)
+    return F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))

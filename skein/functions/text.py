@@ -119,6 +119,46 @@ def conversation_error(roles: Column, contents: Column) -> Column:
     return F.when(F.size(rest) < 2, "fewer than two turns").when(~turns, "roles do not alternate").when(blank, "empty text")
 
 
+#: Limits of a chat request (fixed values).
+LIMITS = {"messages": 500, "message": 8000, "conversation": 32000, "temperature": (0.0, 2.0), "top_k": (0, 200), "max_tokens": (1, 4096)}
+
+
+def list_error(messages: Column) -> Column:
+    """The rule a line of messages breaks, or null: two messages or more, texts that are there."""
+    return F.when(F.size(messages) < 2, "fewer than two messages").when(F.exists(messages, lambda m: m["content"].isNull()), "a text is missing")
+
+
+def blank_error(messages: Column) -> Column:
+    """As ``list_error``, and no text of white space alone."""
+    return F.coalesce(list_error(messages), F.when(F.exists(messages, lambda m: strip(m["content"]) == ""), "empty text"))
+
+
+def request_error(messages: Column, temperature: Column, top_k: Column, max_tokens: Column) -> Column:
+    """The first rule a chat request breaks, or null; settings that are null are not checked."""
+    total = F.aggregate(messages, F.lit(0), lambda a, m: a + F.coalesce(F.length(m["content"]), F.lit(0)))
+    out = F.when(F.size(messages) == 0, "no message").when(F.size(messages) > LIMITS["messages"], "too many messages")
+    out = out.when(F.exists(messages, lambda m: F.coalesce(m["content"], F.lit("")) == ""), "empty text")
+    out = out.when(F.exists(messages, lambda m: F.length(m["content"]) > LIMITS["message"]), "a message is too long").when(total > LIMITS["conversation"], "the conversation is too long")
+    out = out.when(F.exists(messages, lambda m: ~F.coalesce(m["role"].isin("user", "assistant"), F.lit(False))), "unknown role")
+    for name, value in (("temperature", temperature), ("top_k", top_k), ("max_tokens", max_tokens)):
+        lo, hi = LIMITS[name]
+        out = out.when((value < lo) | (value > hi), f"{name} out of range")
+    return out
+
+
+def report_field(section: Column, key: str) -> Column:
+    """The text behind the colon of the last line that has ``key``, up to a second colon; null without one."""
+    lines = F.filter(F.split(section, "\n"), lambda l: l.contains(key))
+    return F.when(F.size(lines) > 0, strip(F.split(F.element_at(lines, -1), ":")[1]))
+
+
+def report_time(section: Column, prefix: str) -> Column:
+    """The time behind the first line that begins with ``prefix`` and has one."""
+    lines = F.filter(F.split(section, "\n"), lambda l: l.startswith(prefix))
+    times = F.filter(F.transform(lines, lambda l: F.try_to_timestamp(strip(F.regexp_replace(l, "^[^:]*:", "")), F.lit("yyyy-MM-dd HH:mm:ss"))), lambda t: t.isNotNull())
+    return F.when(F.size(times) > 0, times[0])
+
+
 def merge_system(messages: Column) -> Column:
     """A leading system message becomes the head of the first user message."""
     merged = F.struct(messages[1]["role"].alias("role"), F.concat(messages[0]["content"], F.lit("\n\n"), messages[1]["content"]).alias("content"))

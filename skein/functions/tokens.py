@@ -6,6 +6,7 @@ import base64
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,9 +35,14 @@ def encoder(path: str, pattern: str, prepend: str | None = None, append: str | N
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
-        head = [enc.encode_single_token(prepend)] if prepend else []
-        tail = [enc.encode_single_token(append)] if append else []
-        return pa.array([head + enc.encode_ordinary(t.as_py() or "") + tail for t in texts], pa.list_(pa.int32()))
+        head = np.array([enc.encode_single_token(prepend)] if prepend else [], np.int32)
+        tail = np.array([enc.encode_single_token(append)] if append else [], np.int32)
+        parts, ends = [np.zeros(0, np.int32)], [0]
+        for t in texts.to_pylist():
+            body = enc.encode_to_numpy(t, allowed_special=set(), disallowed_special=()).view(np.int32) if t else head[:0]
+            parts += [head, body, tail]
+            ends.append(ends[-1] + len(head) + len(body) + len(tail))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
 
     return encode
 
@@ -45,25 +51,40 @@ def decoder(path: str, pattern: str):
     @F.arrow_udf(T.StringType())
     def decode(ids: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
-        return pa.array([None if x.as_py() is None else enc.decode(x.as_py()) for x in ids], pa.string())
+        flat, starts, lengths = ids.flatten().to_numpy(zero_copy_only=False), 0, pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
+        out = []
+        for n, there in zip(lengths, ids.is_valid().to_pylist(), strict=True):
+            out.append(enc.decode(flat[starts : starts + n].tolist()) if there else None)
+            starts += n
+        return pa.array(out, pa.string())
 
     return decode
 
 
-def byte_lengths(spark: SparkSession, path: str, pattern: str, mode: str = "exact") -> DataFrame:
-    """token_id, n_bytes: 0 for special ids. ``decoded`` measures the decoded string, where an incomplete character has three bytes."""
+def byte_lengths(spark: SparkSession, path: str, pattern: str, mode: str = "exact", zero_specials: bool = True) -> DataFrame:
+    """token_id, n_bytes: 0 for special ids, or the bytes of their names where these are not zeroed. ``decoded`` measures the decoded string, where an incomplete character has three bytes."""
     enc = encoding(path, pattern)
     n = enc.n_vocab
     rows = []
     for i in range(n):
         if i >= n - len(SPECIALS):
-            rows.append((i, 0))
+            rows.append((i, 0 if zero_specials else len(SPECIALS[i - n + len(SPECIALS)])))
         else:
             raw = enc.decode_single_token_bytes(i)
             rows.append((i, len(raw) if mode == "exact" else len(raw.decode("utf-8", "replace").encode())))
     return spark.createDataFrame(rows, "token_id int, n_bytes int")
 
 
+def special_ids(spark: SparkSession, first: int) -> DataFrame:
+    """name, token_id of the special tokens behind a vocabulary of ``first`` ids."""
+    return spark.createDataFrame([(name, first + k) for k, name in enumerate(SPECIALS)], "name string, token_id int")
+
+
+def start_token(names: dict[str, int]) -> int:
+    """The id that begins a document: the start mark's, or the end-of-text mark's where a vocabulary has none."""
+    return names["<|bos|>"] if "<|bos|>" in names else names["<|endoftext|>"]
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def byte_ids(texts: pa.Array) -> pa.Array:
     """The byte-level vocabulary of tests: ids are UTF-8 bytes."""

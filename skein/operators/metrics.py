@@ -183,3 +183,14 @@ def run_rates(log: DataFrame, run: str, order: str, tokens: int, flops_per_token
     rate = tokens / F.col("dt")
     eta = F.when(F.col("step") > warm, spent / (F.col("step") - warm) * (steps - F.col("step")) / 60)
     return log.select("*", rate.alias("tokens_per_second"), (100 * flops_per_token * rate / peak).alias("mfu"), (100.0 * F.col("step") / steps).alias("percent"), eta.alias("eta_minutes"))
+
+
+def progress(depth: Column, target: Column, rate: Column) -> tuple[Column, Column]:
+    """(percent, seconds left) of filling to ``target``; no seconds without a rate."""
+    percent = 100 * F.least(F.greatest(depth / F.greatest(target, F.lit(1)), F.lit(0.0)), F.lit(1.0))
+    return percent, F.when(rate > 0, F.greatest(target - depth, F.lit(0)) / rate)
+
+
+def cover_seconds(tokens: Column, rate: Column, world: int) -> Column:
+    """Seconds that a shard of ``tokens`` lasts for ``world`` consumers of ``rate``."""
+    return tokens / F.greatest(rate * max(world, 1), F.lit(1e-9))

@@ -117,6 +117,20 @@ def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str =
     return ordered.groupBy("rank").applyInPandas(group, schema)
 
 
+def padded(places: DataFrame, docs: DataFrame, capacity: int, fill: int) -> DataFrame:
+    """Packed rows of ``docs(doc_id, ids)``: rank, row, consumed (documents of the rank by the row's end), ids filled to ``capacity``, targets with -1 where the next id is filling."""
+    from pyspark.sql.window import Window
+
+    part = F.struct("start", F.slice("ids", F.lit(1), F.col("used")).alias("ids"))
+    rows = places.join(docs.select("doc_id", "ids"), "doc_id").groupBy("rank", "row").agg(F.array_sort(F.collect_list(part)).alias("p"))  # a row's documents
+    body = F.flatten(F.transform("p", lambda x: x["ids"]))
+    r = rows.select("rank", "row", F.size("p").alias("n"), body.alias("body"))
+    ids = F.concat("body", F.array_repeat(F.lit(fill), capacity - F.size("body")))
+    targets = F.concat(F.slice("body", F.lit(2), F.greatest(F.size("body") - 1, F.lit(0))), F.array_repeat(F.lit(-1), capacity - F.greatest(F.size("body") - 1, F.lit(0))))
+    done = F.sum("n").over(Window.partitionBy("rank").orderBy("row"))
+    return r.select("rank", "row", done.alias("consumed"), ids.alias("ids"), targets.alias("targets"))
+
+
 def accounting(places: DataFrame, docs: DataFrame, capacity: int) -> DataFrame:
     """Utilisation, and cropped and padded shares of a packing."""
     rows = places.agg(F.countDistinct("rank", "row").alias("rows"), F.sum("used").alias("used"))

@@ -138,5 +138,5 @@ def missing_shards(spark: SparkSession, d: str) -> DataFrame:
 
 @query("max_tag", "SELECT max(CAST(substr(source, 4) AS INT)) AS tag, max_by(source, CAST(substr(source, 4) AS INT)) AS name FROM documents")
 def max_tag(spark: SparkSession, d: str) -> DataFrame:
-    tag = F.regexp_extract("source", r"^src(\d+)$", 1).cast("int")
+    tag = F.regexp_extract("source", r"^src(\d+)$", 1).try_cast("int")
     return S.table(spark, d, "documents").agg(F.max(tag).alias("tag"), F.max_by("source", tag).alias("name"))

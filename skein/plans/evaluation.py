@@ -247,3 +247,51 @@ def sets_that_agree(spark: SparkSession, d: str) -> DataFrame:
     found = S.table(spark, d, "documents").agg(F.collect_set("lang").alias("found"))  # a value a language
     agree = lambda *names: M.same_set(F.col("found"), F.array(*map(F.lit, names)))
     return found.select(agree("de", "en", "es", "fr").alias("names_agree"), agree("de", "en").alias("short_agree"))
+
+
+@query("results_table", f"WITH {_CORE}, c AS (SELECT task, a, (a - 0.01 * b) / (1 - 0.01 * b) AS z FROM acc JOIN base USING (task)) SELECT 0::INT AS place, printf('%-35s, %-10s, %-10s', 'Task', 'Accuracy', 'Centered') AS value UNION ALL SELECT 1, printf('%-35s, %-10s, %-10s', task, printf('%.6f', a), printf('%.6f', z)) FROM c UNION ALL SELECT 2, printf('%-35s, %-10s, %-10s', 'CORE', '', printf('%.6f', avg(z))) FROM c")
+def results_table(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a results file: a heading, the tasks, the score over tasks."""
+    base = spark.createDataFrame([("en", 25.0), ("de", 50.0), ("fr", 20.0), ("es", 10.0)], "task string, base double")
+    r = J.with_baseline(_accuracies(spark, d), base, "task", "base").select("task", "accuracy", M.centered(F.col("accuracy"), F.col("base")).alias("centered"))
+    return S.results_lines(r, r.agg(F.avg("centered").alias("core")))
+
+
+@query("report_fields", "SELECT o_orderkey, o_totalprice::DOUBLE::VARCHAR AS price, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE timestamp '2024-01-01 00:00:00' + to_seconds(o_custkey) END AS began FROM orders")
+def report_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A key and a time read out of report sections; a time that is none is skipped."""
+    t = F.timestamp_add("SECOND", F.col("o_custkey").cast("int"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    said = F.when(F.col("o_orderkey") % 3 == 0, F.lit("soon")).otherwise(F.date_format(t, "yyyy-MM-dd HH:mm:ss"))
+    section = F.concat(F.lit("## Orders\ntimestamp: "), said, F.lit("\n- price: "), F.col("o_totalprice").cast("double").cast("string"), F.lit("\n"))
+    return S.table(spark, d, "orders").select("o_orderkey", X.report_field(section, "price").alias("price"), X.report_time(section, "timestamp:").cast("timestamp_ntz").alias("began"))
+
+
+@query(
+    "seeded_choices",
+    """WITH s AS (SELECT i, ('0x' || substr(md5('7:topic:' || i), 1, 8))::BIGINT % 3 AS c, ('0x' || substr(md5('7:item:' || i), 1, 8))::BIGINT % 2 AS t, ('0x' || substr(md5('7:persona:' || i), 1, 8))::BIGINT % 4 AS p FROM range(200) r(i))
+    SELECT i::BIGINT AS id, ['trade', 'craft', 'travel'][c + 1] AS category, [['prices', 'goods'], ['wood', 'iron'], ['trains', 'boats']][c + 1][t + 1] AS topic, ['novice', 'expert', 'skeptic', 'child'][p + 1] AS persona FROM s""",
+)
+def seeded_choices(spark: SparkSession, d: str) -> DataFrame:
+    """A category, a topic of it and a persona for each id, from a seed."""
+    topics = {"trade": ["prices", "goods"], "craft": ["wood", "iron"], "travel": ["trains", "boats"]}
+    category = K.seeded_choice(F.col("id"), 7, "topic", list(topics))
+    topic = F.lit(None).cast("string")
+    for name, items in topics.items():
+        topic = F.when(F.col("category") == name, K.seeded_choice(F.col("id"), 7, "item", items)).otherwise(topic)
+    persona = K.seeded_choice(F.col("id"), 7, "persona", ["novice", "expert", "skeptic", "child"])
+    return spark.range(200).withColumn("category", category).withColumn("topic", topic).withColumn("persona", persona)
+
+
+@query("fill_progress", "SELECT event_id, round(100 * least(greatest(value / 80.0, 0), 1), 9)::DOUBLE AS percent, round(CASE WHEN event_id % 4 > 0 THEN greatest(80 - value, 0) / (event_id % 4) END, 9)::DOUBLE AS seconds, round(4e8 / (1000.0 * (event_id % 4 + 1) * 8), 6)::DOUBLE AS cover FROM events")
+def fill_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How full a buffer is, the seconds that are left at its rate, and how long a shard lasts."""
+    percent, seconds = M.progress(F.col("value"), F.lit(80.0), F.col("event_id") % 4)
+    cover = M.cover_seconds(F.lit(4e8), 1000.0 * (F.col("event_id") % 4 + 1), 8)
+    return S.table(spark, d, "events").select("event_id", F.round(percent, 9).alias("percent"), F.round(seconds, 9).alias("seconds"), F.round(cover, 6).alias("cover"))
+
+
+@query("newest_checkpoint", "SELECT 'd' || max(c_nationkey) AS folder, (SELECT max(c_custkey) FROM customer WHERE c_nationkey = (SELECT max(c_nationkey) FROM customer)) AS step FROM customer")
+def newest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """The deepest model's last step, from file names."""
+    files = S.table(spark, d, "customer").select(F.concat(F.lit("d"), "c_nationkey").alias("folder"), F.concat(F.lit("model_"), "c_custkey", F.lit(".pt.gz")).alias("name"), F.lit(0).alias("modified"))
+    return S.newest(files)

@@ -46,6 +46,51 @@ def compression_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("diff_percent", (F.col("ratio_a") - F.col("ratio_b")) / F.col("ratio_b") * 100).withColumn("better", F.when(F.col("ratio_a") > F.col("ratio_b"), "a").otherwise("b"))
 
 
+@query("special_tokens", "SELECT name, (256 + row_number() OVER (ORDER BY i) - 1)::INT AS token_id FROM (SELECT unnest(['<|bos|>', '<|user_start|>', '<|user_end|>', '<|assistant_start|>', '<|assistant_end|>', '<|python_start|>', '<|python_end|>', '<|output_start|>', '<|output_end|>']) AS name, generate_subscripts(range(9), 1) AS i)")
+def special_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return K.special_ids(spark, 256)
+
+
+@query(
+    "visualized_tokens",
+    r"""WITH b AS (SELECT item_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::INT) AS ids FROM benchmark)
+    SELECT item_id, array_to_string(list_transform(range(1, len(ids) + 1), lambda i: chr(27) || CASE WHEN i % 3 = 0 THEN '[92m' ELSE '[91m' END || ids[i]::VARCHAR || chr(27) || '[0m'), '|') AS shown FROM b""",
+)
+def visualized_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Byte tokens coloured by a mask that trains on every third."""
+    b = S.table(spark, d, "benchmark").select("item_id", K.byte_ids("text").alias("ids"))
+    mask = F.transform("ids", lambda _, i: F.when(i % 3 == 2, 1).otherwise(0))
+    return b.select("item_id", K.visualized(F.col("ids"), mask).alias("shown"))
+
+
+@query(
+    "transcript_ids",
+    """SELECT conv_id, (sum(strlen(text) + 2) + 2)::INT AS n_tokens, 259 AS last FROM conversations WHERE role <> 'system' GROUP BY conv_id""",
+)
+def transcript_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Chats without system turns as ids that end on the mark that begins a reply."""
+    turns = S.table(spark, d, "conversations").where("role <> 'system'")
+    r = K.render(turns, K.byte_ids, K.BYTE_SPECIALS, max_tokens=1 << 30)
+    ids = F.concat("ids", F.array(F.lit(K.BYTE_SPECIALS["<|assistant_start|>"])))
+    return r.select("conv_id", F.size(ids).alias("n_tokens"), F.element_at(ids, -1).alias("last"))
+
+
+@query(
+    "request_errors",
+    """SELECT conv_id, CASE WHEN count(*) > 500 THEN 'too many messages' WHEN count(*) FILTER (text = '') > 0 THEN 'empty text' WHEN max(length(text)) > 8000 THEN 'a message is too long' WHEN sum(length(text)) > 32000 THEN 'the conversation is too long'
+      WHEN count(*) FILTER (role NOT IN ('user', 'assistant')) > 0 THEN 'unknown role' WHEN conv_id % 5 = 0 THEN 'temperature out of range' WHEN conv_id % 5 = 1 THEN 'top_k out of range' WHEN conv_id % 5 = 2 THEN 'max_tokens out of range' END AS request,
+      CASE WHEN count(*) < 2 THEN 'fewer than two messages' WHEN count(*) FILTER (trim(text) = '') > 0 THEN 'empty text' END AS blank FROM conversations GROUP BY conv_id""",
+)
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that chats break as requests and as generated data; a chat is one row's list here, as it is in a request."""
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
+    c = S.table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m"))
+    k = F.col("conv_id") % 5
+    pick = lambda bad, n, good: F.when(k == n, bad).otherwise(good)
+    error = X.request_error(F.col("m"), pick(F.lit(2.5), 0, F.lit(1.0)), pick(F.lit(201), 1, F.lit(None).cast("int")), pick(F.lit(0), 2, F.lit(64)))
+    return c.select("conv_id", error.alias("request"), X.blank_error(F.col("m")).alias("blank"))
+
+
 @query("token_byte_stats")
 def token_byte_stats(spark: SparkSession, d: str) -> DataFrame:
     t = K.byte_lengths(spark, *_vocabulary()).where("n_bytes > 0")
@@ -282,6 +327,15 @@ def pack_accounting(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("padded_rows")
+def padded_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the pad packer as ids and targets: padded with the start token, which is not trained on, and what was consumed by then."""
+    docs = S.table(spark, d, "documents").select("doc_id", K.byte_ids("text").alias("ids"), F.col("doc_id").alias("ord"))
+    sized = P.ranks(docs.select("doc_id", "ord", F.size("ids").alias("n")), "ord", row_group=16)
+    rows = P.padded(P.packed(sized, 1024, 100, "pad"), docs, 1024, K.BYTE_SPECIALS["<|bos|>"])
+    return rows.select("rank", "row", "consumed", F.size("ids").alias("n"), F.size(F.filter("targets", lambda t: t == -1)).alias("ignored"))
+
+
 @query(
     "length_batches",
     """WITH RECURSIVE d AS (SELECT doc_id, length(text)::BIGINT AS n, ((doc_id // 16) % greatest(8, ceil((SELECT count(*) FROM documents) / 65536.0)))::INT AS rank FROM documents),

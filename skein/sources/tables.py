@@ -143,3 +143,47 @@ def write_corpus(df: DataFrame, path: str, row_group: int = 1024) -> None:
     """zstd shards without dictionaries or statistics, ``row_group`` rows a group."""
     w = df.write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3")
     w.option("parquet.block.row.count.limit", str(row_group)).option("parquet.enable.dictionary", "false").option("parquet.column.statistics.enabled", "false").parquet(path)
+
+
+def results_lines(results: DataFrame, core: DataFrame) -> DataFrame:
+    """``results(task, accuracy, centered)`` and ``core(core)`` as padded lines: (place, value), heading first, score last."""
+    line = F.format_string("%-35s, %-10s, %-10s", "task", F.format_string("%.6f", "accuracy"), F.format_string("%.6f", "centered"))
+    head = results.sparkSession.createDataFrame([(0, f"{'Task':<35}, {'Accuracy':<10}, {'Centered':<10}")], "place int, value string")
+    last = core.select(F.lit(2).alias("place"), F.format_string("%-35s, %-10s, %-10s", F.lit("CORE"), F.lit(""), F.format_string("%.6f", "core")).alias("value"))
+    return head.union(results.select(F.lit(1), line)).union(last)
+
+
+def write_results_csv(results: DataFrame, core: DataFrame, path: str) -> None:
+    """One file of ``results_lines``, tasks in name order; a row a task."""
+    results_lines(results, core).coalesce(1).sortWithinPartitions("place", "value").select("value").write.mode("overwrite").text(path)
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Add the rows of a sweep to its CSV files."""
+    runs.write.mode("append").csv(path, header=True)
+
+
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """A word a line, without white space at its ends; blank lines are skipped."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")
+
+
+TASKS = "label string, icl_task_type string, dataset_uri string, num_fewshot array<int>, continuation_delimiter string"
+
+
+def read_bundle(spark: SparkSession, tasks: str, baselines: str) -> DataFrame:
+    """Evaluation tasks (JSON lines) with their random baseline in percent (CSV with the columns ``Eval Task`` and ``Random baseline``)."""
+    base = spark.read.csv(baselines, header=True, inferSchema=False).select(F.col("Eval Task").alias("label"), F.col("Random baseline").cast("double").alias("baseline"))
+    return spark.read.schema(TASKS).json(tasks).join(F.broadcast(base), "label", "left")  # a row a task
+
+
+def newest(files: DataFrame, tag: str = r"^d(\d+)", step: str = r"_(\d+)\.pt") -> DataFrame:
+    """``files(folder, name, modified)`` of checkpoints -> folder and last step of the deepest model; without tags, of the one changed last."""
+    depth = F.regexp_extract("folder", tag, 1).try_cast("int")
+    by = files.groupBy("folder").agg(F.max(F.coalesce(depth, F.lit(-1))).alias("depth"), F.max(F.regexp_extract("name", step, 1).try_cast("long")).alias("step"), F.max("modified").alias("modified"))
+    return by.orderBy(F.col("depth").desc(), F.col("modified").desc(), "folder").limit(1).select("folder", "step")
+
+
+def scan_in_order(shards: DataFrame, shard: str, column: str) -> DataFrame:
+    """One column of one shard in the order of its rows."""
+    return shards.where(F.col("shard") == shard).orderBy("row").select("row", column)

@@ -220,3 +220,40 @@ def test_tool_use(spark, sf_dir):
     for r in store.tool_use(spark, sf_dir).collect():
         answer = len(str(r["sample"] * 2))
         assert r["done"] and r["forced"] == answer + 2 and r["n"] == 3 + 1 + len(str(r["sample"])) + 2 + 1 + answer + 2 + 6 + 1
+
+
+def test_padded_rows(spark, sf_dir, texts):
+    for r in tokens.padded_rows(spark, sf_dir).collect():
+        assert r["n"] == 1024 and 1 <= r["ignored"] <= 1024
+    docs = spark.createDataFrame([(0, [1, 2, 3]), (1, [4, 5])], "doc_id long, ids array<int>")
+    places = P.packed(docs.select(F.lit(0).alias("rank"), F.col("doc_id").alias("ord"), "doc_id", F.size("ids").alias("n")), 4, 10, "pad")
+    rows = {r["row"]: r for r in P.padded(places, docs, 4, 9).collect()}
+    assert (rows[0]["ids"], rows[0]["targets"], rows[0]["consumed"]) == ([1, 2, 3, 9], [2, 3, -1, -1], 1)
+    assert (rows[1]["ids"], rows[1]["targets"], rows[1]["consumed"]) == ([4, 5, 9, 9], [5, -1, -1, -1], 2)
+
+
+def test_more_sources(spark, tmp_path):
+    (tmp_path / "words.txt").write_text(" apple \n\npear\n")
+    assert [r["word"] for r in S.read_words(spark, str(tmp_path / "words.txt")).collect()] == ["apple", "pear"]
+    (tmp_path / "t.json").write_text('{"label": "a", "icl_task_type": "lm", "num_fewshot": [0]}\n')
+    (tmp_path / "b.csv").write_text("Eval Task,Random baseline\na,25\n")
+    assert S.read_bundle(spark, str(tmp_path / "t.json"), str(tmp_path / "b.csv")).first()["baseline"] == 25.0
+    r = spark.createDataFrame([("arc", 0.5, 0.25)], "task string, accuracy double, centered double")
+    S.write_results_csv(r, spark.createDataFrame([(0.25,)], "core double"), str(tmp_path / "r"))
+    back = {x["Task"]: (x["Accuracy"], x["Centered"]) for x in S.read_results_csv(spark, str(tmp_path / "r")).collect()}
+    assert back == {"arc": (0.5, 0.25), "CORE": (None, 0.25)}
+    for k in range(2):
+        S.append_runs(spark.createDataFrame([(k, 1.5)], "depth int, loss double"), str(tmp_path / "runs"))
+    assert spark.read.csv(str(tmp_path / "runs"), header=True).count() == 2
+    files = spark.createDataFrame([("x", "model_1.pt", 5), ("y", "model_20.pt", 4), ("x", "model_3.pt.gz", 2)], "folder string, name string, modified long")
+    assert tuple(S.newest(files).first()) == ("x", 3)
+    S.write_corpus(spark.range(50).select(F.col("id").cast("string").alias("text")).coalesce(1), str(tmp_path / "c"), 16)
+    shards = S.corpus_shards(spark, str(tmp_path / "c")).withColumnRenamed("row_index", "row")
+    name = shards.first()["shard"]
+    assert [x["text"] for x in S.scan_in_order(shards, name, "text").collect()] == [str(k) for k in range(50)]
+
+
+def test_byte_lengths_with_specials(spark):
+    path, pattern = tokens._vocabulary()
+    rows = {r["token_id"]: r["n_bytes"] for r in N.byte_lengths(spark, path, pattern, zero_specials=False).collect()}
+    assert rows[max(rows)] == len(N.SPECIALS[-1]) and N.start_token({"<|endoftext|>": 3}) == 3
