@@ -237,11 +237,8 @@ def common_suffix_words(spark: SparkSession, d: str) -> DataFrame:
     SELECT doc_id, CASE WHEN v IS NULL THEN NULL ELSE coalesce(list_position(list_transform(generate_series(1, least(len(w), len(v))), lambda i: w[i] = v[i]), false) - 1, least(len(w), len(v)))::INT END AS n FROM b""",
 )
 def common_prefix_words(spark: SparkSession, d: str) -> DataFrame:
-    """Words that a text shares at its head with the next text in order."""
-    t = S.table(spark, d, "documents").select("doc_id", "text")
-    ranked = S.running_total(t, ["text", "doc_id"], F.lit(1).cast("long"), "i").select("doc_id", F.split("text", " ").alias("w"), "i")
-    nxt = ranked.select((F.col("i") - 1).alias("i"), F.col("w").alias("v"))
-    return ranked.join(nxt, "i", "left").select("doc_id", F.when(F.col("v").isNotNull(), X.common_prefix(F.col("w"), F.col("v"))).alias("n"))
+    """Words that a text shares at its head with the next text in order; null for the last."""
+    return S.shared_with_next(S.table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
 @query("final_numbers", r"SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE replace(format('{:,}', o_orderkey), ',', '') END AS answer FROM orders")

@@ -14,6 +14,7 @@ from skein.functions import text as X
 from skein.functions import tokens as N
 from skein.operators import metrics as M
 from skein.operators import packing as P
+from skein.operators import sources
 from skein.operators import store as A
 from skein.plans import metrics, store, tokens
 from skein.sources import tables as S
@@ -257,3 +258,24 @@ def test_byte_lengths_with_specials(spark):
     path, pattern = tokens._vocabulary()
     rows = {r["token_id"]: r["n_bytes"] for r in N.byte_lengths(spark, path, pattern, zero_specials=False).collect()}
     assert rows[max(rows)] == len(N.SPECIALS[-1]) and N.start_token({"<|endoftext|>": 3}) == 3
+
+
+def test_sources_of_activations(spark):
+    docs = spark.createDataFrame([(1, "ab", 2), (2, "cde", 3), (3, "x", 1)], "doc_id long, text string, n int")
+    ramp = sources.FnSource(lambda t, n: np.arange(2 * n).reshape(n, 2), 2)
+    assert ramp.lookup(docs.where("doc_id = 1")).first()["values"] == [[0.0, 1.0], [2.0, 3.0]]
+    stored = docs.where("doc_id < 3").select(A.content_hash("text").alias("doc_hash"), (F.col("n") + (F.col("doc_id") == 2).cast("int")).alias("n"), F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(0.0), F.lit(0.0))).cast("array<array<float>>").alias("values"))
+    got = {r["doc_id"]: (r["hit"], r["values"]) for r in sources.StoreSource(stored, 2).lookup(docs).collect()}
+    assert got[1] == (True, [[1.0, 2.0], [0.0, 0.0]]) and got[2] == (False, [[0.0, 0.0]] * 3) and got[3] == (False, [[0.0, 0.0]])
+    noisy = {r["doc_id"]: r["values"] for r in sources.StoreSource(stored, 2, 0.5, 3).lookup(docs).collect()}
+    assert noisy[1][0] != [1.0, 2.0] and noisy[1][1] == [0.0, 0.0] and noisy[2] == [[0.0, 0.0]] * 3
+    stats = {r["channel"]: (r["rms"], r["nonzero"]) for r in sources.statistics(sources.StoreSource(stored, 2), docs).collect()}
+    assert abs(stats[1][0] - 2**0.5) < 1e-9 and stats[1][1] == 0.5
+    with pytest.raises(Exception, match="shape"):
+        sources.FnSource(lambda t, n: np.zeros((1, 2)), 2).lookup(docs).collect()
+
+
+def test_option_losses_of_a_stub(spark):
+    rows = spark.createDataFrame([(1, 0, [5, 5, 9], 1, 3), (1, 1, [5, 1, 1], 1, 3), (1, 2, [1, 1, 1], 1, 3)], "item long, option int, ids array<int>, s int, e int")
+    r = sources.option_losses(rows, lambda ids: [np.array(x, float) for x in ids]).first()
+    assert (r["picked"], r["loss"]) == (1, 1.0)
