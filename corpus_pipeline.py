@@ -2,7 +2,13 @@
 
 Each stage reads what its predecessor kept, as a stored table, and gives back
 documents with the columns they came with; the last gives the packed pieces.
-Duplicated, null or empty inputs are handled as the operators' docstrings say.
+
+Edge cases: a null text counts as empty and an empty text gets the score of
+none; repeated rows are one text to the dedup stages; of equal or near texts a
+row with a null id goes before one with an id; a null source is a source of its own; texts without words are never taken by the mix, so they end there;
+empty tables give empty results; columns of any other name pass through.
+The tables between the stages stay in the folder ``corpus-*`` of the shared
+folder for as long as the result, which is lazy, may be read.
 """
 
 from __future__ import annotations
@@ -31,12 +37,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; a last, partial take is the text's first words."""
+    """Each document as often as the mix takes it; a last, partial take is the text's first words. Texts without words are not taken."""
     return mixing.mixed_documents(docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces in sequences of at most 1024 tokens."""
+    """Token pieces in sequences of at most 1024 tokens; an empty text is a piece with the end id alone."""
     return packing.pack(docs)
 
 
