@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Keep Arrow batches small: a few long documents must not fill a worker."""
+    """Keep Arrow batches small: a few long documents must not fill a worker.
+
+    This is a setting of the session and stays: frames are lazy, and it is read
+    when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -81,6 +86,17 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+#: Plan nodes that give the same rows in the same order whenever they run (fixed names).
+_STEADY = frozenset("Project Filter Relation LogicalRDD LocalRelation Range SubqueryAlias".split())
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """``docs`` where its rows come straight out of a scan, else a checkpoint of it: operators that name rows by their place read it more than once."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-!'*()\d]*(\w+)", line))}
+    return docs if nodes <= _STEADY else cut(docs)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, _UPPER, _UPPER.lower())
 

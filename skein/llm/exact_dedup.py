@@ -9,7 +9,10 @@ bits of the digest, again and again until a part fits the table. The table
 compares whole contents; two different texts under one digest raise an error
 and are never merged. Spill files are scratch of the one task that writes and
 reads them, like Spark's own spills: they go when the task ends, and a task
-that is run again after a lost executor writes its own.
+that is run again after a lost executor writes its own. The shuffle cuts buckets
+of about ``bucket_bytes`` (16 MB) and a table holds ``memory_bytes`` (48 MB), so
+spill files are for buckets that the digests fill unevenly or that a caller's
+smaller ``memory_bytes`` asks for.
 
 Defined results: null text counts as empty; of equal texts the row with the
 largest doc_id stays (a null id is smallest), and of wholly equal rows exactly
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, fresh, lower_ascii, table
+from .common import bounded_batches, cut, fresh, lower_ascii, stored, table
 
 MEMORY_BYTES = 48 << 20
 FANOUT = 16
@@ -165,7 +168,7 @@ def classes(texts: DataFrame, parts: int, memory_bytes: int = MEMORY_BYTES) -> D
 
 def verdicts(docs: DataFrame, memory_bytes: int = MEMORY_BYTES, bucket_bytes: int = 16 << 20) -> DataFrame:
     """One row per row of ``docs``: doc_id, row (its number in the scan), keep_id, group_size, kept, digest."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, stored(docs)
     bounded_batches(spark)
     text = lower_ascii(F.coalesce(F.col("text").cast("string"), F.lit("")))
     norm = docs.select("doc_id", text.alias("content"))
@@ -189,8 +192,9 @@ def dedup(docs: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
 def distinct_documents(docs: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 
-    ``docs`` has to be a stored table: rows are matched by their place in its scan.
+    Rows are matched by their place in the scan of a stored table.
     """
+    docs = stored(docs)
     row = fresh(docs, "_row")
     stay = verdicts(docs, memory_bytes).where("kept").select(F.col("row").alias(row))
     return docs.withColumn(row, F.monotonically_increasing_id()).join(stay, row, "left_semi").select(*docs.columns)

@@ -14,7 +14,8 @@ shards: hash parts of bounded size (``shard_words``, and at most ``MAX_SHARDS``
 in all). A shard's documents stand in a seeded order; the mix takes its quota
 of blocks from that order, passing over it again where the quota is more than
 one pass. A document is taken as often as passes cover it, and in part where
-the last block ends inside it.
+the last block ends inside it. Sources are ranked and levelled as a table of a
+row each, in one task: some millions of sources are its bound.
 
 Edge cases: null text has no words; a null source is a source, last in order;
 rows with equal ids are ordered by size and are otherwise alike; an empty
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, n_words, table
+from .common import cut, fresh, n_words, stored, table
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -106,10 +107,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     Where the last block ends inside a document, that copy holds the text's
     first words only, up to there; a documents' column ``n_chars`` follows the
-    text. ``docs`` has to be a stored table: rows are matched by their place
-    in its scan.
+    text. Rows are matched by their place in the scan of a stored table.
     """
     row, times = fresh(docs, "_row"), fresh(docs, "_times")
+    docs = stored(docs)
     marked = docs.withColumn(row, F.monotonically_increasing_id())
     plan = mix(marked.select("doc_id", "source", "text", F.col(row).alias("row")), keep=("row",)).where("taken > 0")
     plan = plan.select(F.col("row").alias(row), F.struct("size", "taken").alias(times))

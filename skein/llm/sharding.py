@@ -8,7 +8,7 @@ one after the other. The shard is a function of doc_id and the shard count
 Buckets hash the record's id and its place in the scan together with the seed,
 so the copies of one record spread like any others; their number follows the
 bytes of each shard, so that each bucket fits a task, however many rows one id has.
-The table has to be a stored one: scanned again it gives the same places.
+A table that is not a stored one is stored first, as scans of it may not give the same places.
 
 Edge cases: a null text has size 1 and checksum 0; null ids hash like any
 value; an empty table gives an empty result; repeated rows are kept, each with
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table
+from .common import stored, table
 
 BUCKET_BYTES = 4 << 20
 SEED = 20240611
@@ -38,7 +38,7 @@ def rendezvous(key: Column, shards: int, seed: int = SEED) -> Column:
 def scattered(docs: DataFrame, shards: int, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
     """Pass one: records with doc_id, text, size, shard, mark (orders a bucket) and bucket, and the number of buckets."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("size", size)
+    rows = stored(docs).select("doc_id", F.col("text").cast("string").alias("text")).withColumn("size", size)
     rows = rows.withColumn("shard", rendezvous(F.col("doc_id"), shards, seed))
     held_bytes = {r["shard"]: r["bytes"] for r in rows.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()}  # a row a shard
     each = [max(1, math.ceil(held_bytes.get(k, 0) / bucket_bytes)) for k in range(shards)]

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import LOWER_BYTES, Tables, bounded_batches, cut, few, fresh, table
+from .common import LOWER_BYTES, Tables, bounded_batches, cut, few, fresh, stored, table
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
@@ -377,10 +377,14 @@ def near_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
     has it earliest; what the links leave apart, all members outside of the
     shingle's largest component, is compared with all others. Sizes, places and
     parity fingerprints rule out pairs that cannot be alike, whole texts decide
-    about the others, and no pair is left out: components are exact. ``docs``
-    has to be a stored table: texts are found again by their place in its scan.
+    about the others, and no pair is left out: components are exact. Texts are
+    found again by their place in the scan of a stored table.
+
+    A shingle that very many different texts have in their prefixes costs their
+    number squared in checks of size and place (rows come of those that pass
+    only): texts whose shingles are all common ones, of which the rarest come first.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, stored(docs)
     place = fresh(docs, "_place")
     docs = docs.withColumn(place, F.monotonically_increasing_id())
     texts = docs.select(F.col(place).alias("place"), F.col("text").cast("string").alias("text"))
@@ -422,9 +426,10 @@ def near_copies(docs: DataFrame, keep: list[str]) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: of near copies, the one with the smallest doc_id.
 
-    Of rows with that same id the first of the scan stays. ``docs`` has to be a
-    stored table: rows are matched by their place in its scan.
+    Of rows with that same id the first of the scan stays. Rows are matched by
+    their place in the scan of a stored table.
     """
+    docs = stored(docs)
     row = fresh(docs, "_row")
     marked = docs.withColumn(row, F.monotonically_increasing_id())
     named = near_copies(marked.select("doc_id", F.col(row).alias("row"), "text"), ["doc_id", "row"])

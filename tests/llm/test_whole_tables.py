@@ -295,3 +295,30 @@ def test_deep_and_broken_pages_take_linear_time(page):
     began = time.process_time()
     H.extract([page[: len(page) // 4]], H.fitted())
     assert long < 10 * (time.process_time() - began) + 1.0
+
+
+def test_frames_that_are_no_tables(spark, sf_dir):
+    """Operators that name rows by their place store what is not a plain scan first."""
+    from skein.llm import exact_dedup, mixing
+    from skein.llm.common import stored
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert stored(docs) is docs and stored(docs.select("doc_id").where("doc_id > 3")) is not None
+    mixed = docs.orderBy("text").union(docs.limit(3))
+    assert stored(mixed) is not mixed and stored(mixed).count() == mixed.count()
+    assert {r[0] for r in exact_dedup.distinct_documents(mixed).select("doc_id").collect()} == {r[0] for r in exact_dedup.distinct_documents(docs).select("doc_id").collect()}
+    assert simhash.one_of_each(mixed).count() == simhash.one_of_each(docs).count()
+    assert mixing.mixed_documents(mixed).columns == docs.columns
+
+
+def test_fingerprint_of_a_very_long_text():
+    import xxhash
+
+    words = [f"Word{k % 7919}" for k in range(200_000)]
+    low = [w.lower().encode() for w in words]
+    counts, bits = np.zeros(64, np.int64), np.arange(64, dtype=np.uint64)
+    for k in range(len(low) - 2):
+        h = xxhash.xxh64_intdigest(b" ".join(low[k : k + 3]), 42)
+        counts += (np.uint64(h) >> bits).astype(np.int64) & 1
+    want = sum(1 << b for b in range(64) if 2 * counts[b] > len(low) - 2)
+    assert simhash.fingerprint(" ".join(words)) == want
