@@ -131,8 +131,33 @@ def first_pattern(text: Column, table: list[tuple[str, float]], default: float |
     return out
 
 
-def seeded_choice(key: Column, seed: int, what: str, items: list[str]) -> Column:
-    """One of ``items`` for each key: the same for the same seed, key and ``what``."""
+def seeded_number(key: Column, seed: int, what: str) -> Column:
+    """A whole number below 2 ** 32 for each key: the same for the same seed, key and ``what``."""
     mark = F.md5(F.concat(F.lit(f"{seed}:{what}:"), key.cast("string")).cast("binary"))
-    at = F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % len(items)
-    return F.element_at(F.array(*map(F.lit, items)), (at + 1).cast("int"))
+    return F.conv(F.substring(mark, 1, 8), 16, 10).cast("long")
+
+
+def seeded_choice(key: Column, seed: int, what: str, items: list[str]) -> Column:
+    """One of ``items`` for each key."""
+    return F.element_at(F.array(*map(F.lit, items)), (seeded_number(key, seed, what) % len(items) + 1).cast("int"))
+
+
+#: Ways to ask for a letter of a word.
+QUESTIONS = ("How many {l} are in {w}", "Count the {l} in {w}", "Number of {l} within {w}")
+
+
+def spelling_questions(words: DataFrame, key: str, seed: int) -> DataFrame:
+    """``words(key, word)``, two letters or more, with a seeded letter (nine in ten: of the word), the question, the call and the answer.
+
+    Three questions in ten are in lower case, half quote the word, half end in a question mark.
+    """
+    n = lambda what, of: seeded_number(F.col(key), seed, what) % of
+    own = F.substr("word", (n("letter", 2) + 1).cast("int"), F.lit(1))
+    other = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (n("any", 26) + 1).cast("int"), F.lit(1))
+    w = words.withColumn("letter", F.when(n("from", 10) < 9, own).otherwise(other))
+    shown = F.when(n("quote", 2) == 0, F.concat(F.lit("'"), F.col("word"), F.lit("'"))).otherwise(F.col("word"))
+    asked = F.replace(F.replace(seeded_choice(F.col(key), seed, "template", list(QUESTIONS)), F.lit("{l}"), F.col("letter")), F.lit("{w}"), shown)
+    asked = F.concat(F.when(n("lower", 10) < 3, F.lower(asked)).otherwise(asked), F.when(n("mark", 2) == 0, "?").otherwise(""))
+    call = F.concat(F.lit("'"), F.col("word"), F.lit("'.count('"), F.col("letter"), F.lit("')"))
+    answer = F.length("word") - F.length(F.replace(F.col("word"), F.col("letter"), F.lit("")))
+    return w.withColumns({"asked": asked, "call": call, "answer": answer})

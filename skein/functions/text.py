@@ -119,6 +119,11 @@ def conversation_error(roles: Column, contents: Column) -> Column:
     return F.when(F.size(rest) < 2, "fewer than two turns").when(~turns, "roles do not alternate").when(blank, "empty text")
 
 
+def program(prompt: Column, completion: Column, test: Column, entry: Column) -> Column:
+    """A program to run elsewhere: the prompt's imports, the completion's code, the test and the call that checks ``entry``."""
+    return F.concat(import_lines(prompt), F.lit("\n\n"), code_block(completion), F.lit("\n\n"), test, F.lit("\ncheck("), entry, F.lit(")"))
+
+
 #: Limits of a chat request (fixed values).
 LIMITS = {"messages": 500, "message": 8000, "conversation": 32000, "temperature": (0.0, 2.0), "top_k": (0, 200), "max_tokens": (1, 4096)}
 

@@ -91,6 +91,16 @@ def byte_ids(texts: pa.Array) -> pa.Array:
     return pa.array([None if t.as_py() is None else np.frombuffer(t.as_py().encode(), np.uint8).astype(np.int32) for t in texts], pa.list_(pa.int32()))
 
 
+def encoded_pieces(pieces: DataFrame, encode) -> DataFrame:
+    """``pieces(doc_id, pos, piece)`` -> doc_id, ids (each piece's own, in order) and pieces (how many)."""
+    held = pieces.select("doc_id", F.struct("pos", encode("piece").alias("ids")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))  # one text's pieces
+    return held.select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.size("p").alias("pieces"))
+
+
+#: Encoders by name: a function of the path of a rank file and its pattern, or of nothing for bytes.
+ENCODERS = {"ranks": encoder, "bytes": lambda: byte_ids}
+
+
 def render(turns: DataFrame, encode, special: dict[str, int], max_tokens: int = 2048) -> DataFrame:
     """``turns(conv_id, turn, role, text)``, validated, as ids and mask per conversation.
 

@@ -11,6 +11,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+def quantisation_totals(v: Column, scale: float) -> list[Column]:
+    """Aggregates over rows of values: rows, zero_rows, and clipped: the share of values beyond what ``scale`` holds."""
+    beyond = F.size(F.filter(v, lambda x: F.abs(x / scale) > 127))
+    return [F.count("*").alias("rows"), F.count_if(F.forall(v, lambda x: x == 0)).alias("zero_rows"), F.round(F.sum(beyond) / F.sum(F.size(v)), 9).alias("clipped")]
+
+
 def bits_per_byte(nats: Column, n_bytes: Column) -> Column:
     """Sum of nats over ln 2 times the sum of bytes; tokens of no bytes do not count; infinite without bytes."""
     total = F.sum(F.when(n_bytes > 0, n_bytes).otherwise(0))
@@ -46,9 +52,11 @@ def quantized(x: Column, scale: Column) -> Column:
     return F.least(F.greatest(F.rint(x / scale), F.lit(-127.0)), F.lit(127.0)).cast("tinyint")
 
 
-def debiased_ema(df: DataFrame, value: str, by: str, order: str, name: str, beta: float = 0.9) -> DataFrame:
+def debiased_ema(df: DataFrame, value: str, by: str, order: str, name: str, beta: float = 0.9, step_offset: int = 0) -> DataFrame:
     """Adds ``name``: the exponential mean of ``value`` so far, corrected for its start; all rows count.
 
+    ``step_offset`` is 1 for logs whose correction counts a step more than were seen.
+
     Runs are cut into blocks so long that a block's last row has a weight of
     1e-100 at its end. A row's mean is its block's running sum and the whole sum
     of the block before; what lies further back is beneath double precision.
@@ -63,7 +71,7 @@ def debiased_ema(df: DataFrame, value: str, by: str, order: str, name: str, beta
     here = F.sum(x * F.pow(b, -F.col(at))).over(Window.partitionBy(by, block).orderBy(n).rowsBetween(Window.unboundedPreceding, 0))
     before = F.sum(x * F.pow(b, size - 1 - F.col(at))).over(Window.partitionBy(by).orderBy(block).rangeBetween(-1, -1))
     mean = (1 - b) * (F.pow(b, F.col(at)) * here + F.pow(b, F.col(at) + 1) * F.coalesce(before, F.lit(0.0)))
-    return d.withColumn(name, mean / (1 - F.pow(b, F.col(n) + 1))).drop(n, block, at)
+    return d.withColumn(name, mean / (1 - F.pow(b, F.col(n) + 1 + step_offset))).drop(n, block, at)
 
 
 def quadratic_optimum(points: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -194,3 +202,25 @@ def progress(depth: Column, target: Column, rate: Column) -> tuple[Column, Colum
 def cover_seconds(tokens: Column, rate: Column, world: int) -> Column:
     """Seconds that a shard of ``tokens`` lasts for ``world`` consumers of ``rate``."""
     return tokens / F.greatest(rate * max(world, 1), F.lit(1e-9))
+
+
+#: Tokens of the reference batch, and the power that batches grow with (fixed values).
+REFERENCE_BATCH, BATCH_POWER = 1 << 19, 0.383
+
+
+def run_plan(params: Column, reference: Column, ratio: float, decay: float, flops_per_token: Column, iterations: Column | None = None, target_flops: Column | None = None) -> dict[str, Column]:
+    """The plan of a run by its scaling parameters and those of the reference model.
+
+    target_tokens, batch (the nearest power of two), lr_scale, weight_decay and
+    iterations: those given, else those of ``target_flops``, else those of the
+    tokens that ``ratio`` asks for.
+    """
+    target, held = F.floor(params * ratio), reference * ratio
+    batch = F.pow(F.lit(2.0), F.rint(F.log2(REFERENCE_BATCH * F.pow(target / held, F.lit(BATCH_POWER)))))
+    steps = F.floor(target / batch)
+    if target_flops is not None:
+        steps = F.when(target_flops > 0, F.rint(target_flops / (flops_per_token * batch))).otherwise(steps)
+    if iterations is not None:
+        steps = F.when(iterations > 0, iterations).otherwise(steps)
+    scale = F.sqrt(batch / REFERENCE_BATCH)
+    return {"target_tokens": target.cast("long"), "batch": batch.cast("long"), "lr_scale": scale, "weight_decay": decay * scale * (held / target), "iterations": steps.cast("long")}

@@ -140,3 +140,31 @@ def missing_shards(spark: SparkSession, d: str) -> DataFrame:
 def max_tag(spark: SparkSession, d: str) -> DataFrame:
     tag = F.regexp_extract("source", r"^src(\d+)$", 1).try_cast("int")
     return S.table(spark, d, "documents").agg(F.max(tag).alias("tag"), F.max_by("source", tag).alias("name"))
+
+
+@query("task_heads", "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('1337:' || doc_id), doc_id) AS r FROM documents) WHERE r <= 5")
+def task_heads(spark: SparkSession, d: str) -> DataFrame:
+    """The first five of each task in a seeded order."""
+    docs = S.table(spark, d, "documents").select("doc_id", "lang", F.md5(F.concat(F.lit("1337:"), F.col("doc_id").cast("string")).cast("binary")).alias("k"))
+    return S.heads(docs, "lang", ["k", "doc_id"], 5).select("doc_id", "lang")
+
+
+@query("ordered_scan", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row, length(text)::BIGINT AS chars FROM documents WHERE source = 'src9'")
+def ordered_scan(spark: SparkSession, d: str) -> DataFrame:
+    """One shard's texts with their place in it."""
+    return S.scan_in_order(_shards(spark, d), "src9", "text", "doc_id").select("doc_id", "row", F.length("text").cast("long").alias("chars"))
+
+
+@query(
+    "rebased_offsets",
+    """WITH r AS (SELECT source AS shard, doc_id, length(text)::BIGINT AS n, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM documents),
+    t AS (SELECT shard, coalesce(sum(sum(n)) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM r GROUP BY shard)
+    SELECT doc_id, shard, start + base AS start, n FROM r JOIN t USING (shard)""",
+)
+def rebased_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of all shards in one store: each shard's own offsets moved behind the shards before it."""
+    docs = S.table(spark, d, "documents").select(F.col("source").alias("shard"), "doc_id", F.length("text").cast("long").alias("n"))
+    total = S.running_total(docs, ["shard", "doc_id"], F.col("n"), "before")
+    first = total.groupBy("shard").agg(F.min("before").alias("first"))
+    own = total.join(first, "shard").select("shard", "doc_id", (F.col("before") - F.col("first")).alias("start"), F.col("_v").alias("n"))
+    return S.rebased(own).select("doc_id", "shard", "start", "n")

@@ -295,3 +295,21 @@ def newest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     """The deepest model's last step, from file names."""
     files = S.table(spark, d, "customer").select(F.concat(F.lit("d"), "c_nationkey").alias("folder"), F.concat(F.lit("model_"), "c_custkey", F.lit(".pt.gz")).alias("name"), F.lit(0).alias("modified"))
     return S.newest(files)
+
+
+_DRAW = "(('0x' || substr(md5('3:{what}:' || item_id), 1, 8))::BIGINT)"
+
+
+@query(
+    "spelling_examples",
+    f"""WITH w AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM benchmark),
+    l AS (SELECT *, CASE WHEN {_DRAW.format(what="from")} % 10 < 9 THEN substr(word, ({_DRAW.format(what="letter")} % 2)::BIGINT + 1, 1) ELSE substr('abcdefghijklmnopqrstuvwxyz', ({_DRAW.format(what="any")} % 26)::BIGINT + 1, 1) END AS letter FROM w WHERE length(word) > 1),
+    q AS (SELECT *, replace(replace(['How many {{l}} are in {{w}}', 'Count the {{l}} in {{w}}', 'Number of {{l}} within {{w}}'][{_DRAW.format(what="template")} % 3 + 1], '{{l}}', letter), '{{w}}', CASE WHEN {_DRAW.format(what="quote")} % 2 = 0 THEN '''' || word || '''' ELSE word END) AS asked FROM l)
+    SELECT item_id, CASE WHEN {_DRAW.format(what="lower")} % 10 < 3 THEN lower(asked) ELSE asked END || CASE WHEN {_DRAW.format(what="mark")} % 2 = 0 THEN '?' ELSE '' END AS asked,
+      '''' || word || '''.count(''' || letter || ''')' AS call, (length(word) - length(replace(word, letter, '')))::INT AS answer FROM q""",
+)
+def spelling_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Seeded questions about the letters of a word, the call that answers them, and the answer."""
+    word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
+    w = S.table(spark, d, "benchmark").select("item_id", word.alias("word")).where("length(word) > 1")
+    return K.spelling_questions(w, "item_id", 3).select("item_id", "asked", "call", "answer")

@@ -232,3 +232,32 @@ def budget_points(spark: SparkSession, d: str) -> DataFrame:
     best = o.groupBy("budget").agg(F.min_by(F.struct("depth", "loss"), F.struct("loss", "depth")).alias("b"), F.exp(F.avg(F.log("tokens"))).alias("m"))
     depths = o.agg(F.countDistinct("depth").alias("depths"))
     return best.crossJoin(F.broadcast(depths)).select("budget", "b.depth", F.round("b.loss", 6).alias("loss"), "depths", F.round("m", 6).alias("mean_tokens"))  # one row
+
+
+@query(
+    "shard_totals",
+    """WITH e AS (SELECT label, vec_id, list_transform(embedding, lambda x: CASE WHEN vec_id % 7 = 0 THEN 0.0 ELSE x::DOUBLE END) AS v FROM embeddings)
+    SELECT label, count(*) AS rows, count(*) FILTER (len(list_filter(v, lambda x: x <> 0)) = 0) AS zero_rows, round(sum(len(list_filter(v, lambda x: abs(x / 0.001) > 127))) / sum(len(v)), 9)::DOUBLE AS clipped FROM e GROUP BY label""",
+)
+def shard_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, rows of zeros and the share of values that quantisation clips."""
+    v = F.transform("embedding", lambda x: F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(x.cast("double")))
+    e = S.table(spark, d, "embeddings").select("label", v.alias("v"))
+    return e.groupBy("label").agg(*M.quantisation_totals(F.col("v"), 0.001))
+
+
+@query(
+    "stage_report",
+    """WITH t AS (SELECT lang AS metric, quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL UNION ALL SELECT 'CORE', quality, count(*) FROM labels GROUP BY quality UNION ALL SELECT 'ChatCORE', 1, count(*) FROM labels),
+    p AS (SELECT metric, coalesce(max(CASE WHEN quality = 0 THEN n END)::VARCHAR, '-') AS bad, coalesce(max(CASE WHEN quality = 1 THEN n END)::VARCHAR, '-') AS good FROM t GROUP BY metric)
+    SELECT *, (row_number() OVER (ORDER BY metric <> 'CORE', metric = 'ChatCORE', metric) - 1)::INT AS place FROM p""",
+)
+def stage_report(spark: SparkSession, d: str) -> DataFrame:
+    """A row a metric and a column a stage, a dash where a stage has none, the score over tasks first and that over chats last."""
+    l = S.table(spark, d, "labels")
+    t = l.join(S.table(spark, d, "documents").select("doc_id", F.col("lang").alias("metric")), "doc_id").select("metric", "quality")
+    rows = t.union(l.select(F.lit("CORE"), "quality")).union(l.select(F.lit("ChatCORE"), F.lit(1)))
+    p = rows.groupBy("metric").pivot("quality", [0, 1]).agg(F.count(F.lit(1)).alias("n"))
+    dash = lambda c: F.coalesce(F.when(F.col(c) > 0, F.col(c)).cast("string"), F.lit("-"))
+    place = F.row_number().over(Window.orderBy(F.col("metric") != "CORE", F.col("metric") == "ChatCORE", "metric")) - 1  # a row a metric
+    return p.select("metric", dash("0").alias("bad"), dash("1").alias("good"), place.alias("place"))

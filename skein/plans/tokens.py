@@ -298,6 +298,27 @@ def code_completions(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "benchmark").select("item_id", X.code_block(said).alias("code"), X.import_lines(prompt).alias("imports"))
 
 
+@query("test_programs", "SELECT item_id, 'import ' || w || chr(10) || chr(10) || w || chr(10) || chr(10) || 'def check(f): pass' || chr(10) || 'check(f' || item_id || ')' AS program FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+') AS w FROM benchmark)")
+def test_programs(spark: SparkSession, d: str) -> DataFrame:
+    """Programs put together from a prompt, a fenced completion and a test; they are not run."""
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    said = F.concat(F.lit("```python\n"), word, F.lit("\n```"))
+    made = X.program(F.concat(F.lit("import "), word, F.lit("\nx = 1")), said, F.lit("def check(f): pass"), F.concat(F.lit("f"), F.col("item_id").cast("string")))
+    return S.table(spark, d, "benchmark").select("item_id", made.alias("program"))
+
+
+@query(
+    "compact_tokens",
+    """SELECT doc_id, strlen(text)::INT AS n, len(list_distinct(list_filter([0, 3, 7, length(text)], lambda x: x <= length(text)))) - 1 AS pieces FROM documents""",
+)
+def compact_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut at another tokenizer's boundaries, each piece encoded alone, the ids put together."""
+    t = S.table(spark, d, "documents")
+    cut = t.select("doc_id", F.posexplode(X.cut_at(F.col("text"), F.array(F.lit(3), F.lit(7)))).alias("pos", "piece"))
+    ids = K.encoded_pieces(cut, K.byte_ids)
+    return ids.select("doc_id", F.size("ids").alias("n"), F.col("pieces").cast("long").alias("pieces"))
+
+
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     docs = S.table(spark, d, "documents").select("doc_id", (F.octet_length("text") + 1).cast("int").alias("n"))
     return P.ranks(docs.withColumn("ord", F.col("doc_id")), "ord", row_group=16)

@@ -126,3 +126,30 @@ def nation_revenue(spark: SparkSession, d: str) -> DataFrame:
     t = S.table(spark, d, "lineitem").join(S.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     t = t.join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return t.groupBy("n_name").agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).cast("double").alias("revenue"))
+
+
+@query(
+    "run_plans",
+    """WITH d AS (SELECT depth, depth * 12.0::DOUBLE * pow(64 * depth, 2) + 32768.0::DOUBLE * 64 * depth AS p, 12 * 12.0::DOUBLE * pow(768, 2) + 32768.0::DOUBLE * 768 AS ref FROM (SELECT unnest(generate_series(4, 60, 2)) AS depth)),
+    t AS (SELECT *, floor(p * 8.0) AS target, pow(2, round_even(log2(524288 * pow(floor(p * 8.0) / (ref * 8.0), 0.383)), 0)) AS b FROM d)
+    SELECT depth, target::BIGINT AS target_tokens, b::BIGINT AS batch, round(sqrt(b / 524288), 9) AS lr_scale, round(0.2 * sqrt(b / 524288) * (ref * 8.0 / target), 9) AS weight_decay,
+      (CASE WHEN depth % 6 = 0 THEN 500 WHEN depth % 6 = 2 THEN round_even(1e18 / (6 * p * b), 0) ELSE floor(target / b) END)::BIGINT AS iterations FROM t""",
+)
+def run_plans(spark: SparkSession, d: str) -> DataFrame:
+    """Horizon, batch, scales and steps by depth; some depths are given their steps, some a budget of operations."""
+    depth = F.col("id")
+    params = depth * 12.0 * F.pow(depth * 64.0, F.lit(2.0)) + depth * (32768.0 * 64)
+    given, budget = F.when(depth % 6 == 0, 500), F.when(depth % 6 == 2, 1e18)
+    plan = M.run_plan(params, F.lit(12 * 12.0 * 768**2 + 32768.0 * 768), 8.0, 0.2, 6 * params, given, budget)
+    out = spark.range(4, 61, 2).select(depth.alias("depth"), *(c.alias(n) for n, c in plan.items()))
+    return out.withColumn("lr_scale", F.round("lr_scale", 9)).withColumn("weight_decay", F.round("weight_decay", 9))
+
+
+@query(
+    "smoothed_tuning_loss",
+    f"""WITH {_LOG}, p AS (SELECT a.run, a.event_id, a.step, sum(0.1 * pow(0.9, a.step - b.step) * b.value) AS v FROM log a JOIN log b ON a.run = b.run AND b.step <= a.step GROUP BY a.run, a.event_id, a.step)
+    SELECT event_id, round(v / (1 - pow(0.9, step + 2)), 6) AS loss FROM p""",
+)
+def smoothed_tuning_loss(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of logs that count a step before they are corrected."""
+    return M.debiased_ema(_log(spark, d), "value", "run", "event_id", "loss", step_offset=1).select("event_id", F.round("loss", 6).alias("loss"))

@@ -237,6 +237,18 @@ def newest(files: DataFrame, tag: str = r"^d(\d+)", step: str = r"_(\d+)\.pt") -
     return by.orderBy(F.col("depth").desc(), F.col("modified").desc(), "folder").limit(1).select("folder", "step")
 
 
-def scan_in_order(shards: DataFrame, shard: str, column: str) -> DataFrame:
+def scan_in_order(shards: DataFrame, shard: str, column: str, *more: str) -> DataFrame:
     """One column of one shard in the order of its rows."""
-    return shards.where(F.col("shard") == shard).orderBy("row").select("row", column)
+    return shards.where(F.col("shard") == shard).orderBy("row").select("row", column, *more)
+
+
+def heads(rows: DataFrame, by: str, order: list[str], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in order; Spark keeps ``n`` a group and task before it deals them."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def rebased(spans: DataFrame) -> DataFrame:
+    """``spans(shard, start, n, ...)`` with starts moved behind the shards that come before in name order."""
+    total = spans.groupBy("shard").agg(F.sum("n").alias("_t"))  # a row a shard
+    base = total.select("shard", F.coalesce(F.sum("_t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return spans.join(base, "shard").withColumn("start", F.col("start") + F.col("_base")).drop("_base")
