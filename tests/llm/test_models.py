@@ -160,7 +160,7 @@ def test_toxicity_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     out = toxicity.op10_levenshtein_toxicity(spark, TEST_SF).join(labels, "doc_id").where("held_out").toPandas()
     assert (out["predicted"] == out["toxic"]).mean() > 0.96 and out["score"].between(0, 1).all()
-    assert (out[out["toxic"] == 0]["predicted"] == 0).mean() > 0.98
+    assert (out[out["toxic"] == 0]["predicted"] == 0).mean() > 0.997 and (out[out["toxic"] == 1]["predicted"] == 1).mean() > 0.88
 
 
 def test_toxicity_of_odd_rows(spark):
