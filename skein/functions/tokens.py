@@ -88,7 +88,11 @@ def start_token(names: dict[str, int]) -> int:
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def byte_ids(texts: pa.Array) -> pa.Array:
     """The byte-level vocabulary of tests: ids are UTF-8 bytes."""
-    return pa.array([None if t.as_py() is None else np.frombuffer(t.as_py().encode(), np.uint8).astype(np.int32) for t in texts], pa.list_(pa.int32()))
+    texts = texts.cast(pa.string())
+    _, marks, data = texts.buffers()
+    ends = np.frombuffer(marks, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(raw.astype(np.int32)), mask=texts.is_null())
 
 
 def encoded_pieces(pieces: DataFrame, encode) -> DataFrame:

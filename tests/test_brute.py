@@ -46,6 +46,15 @@ def test_encode_round_trip(spark, sf_dir, texts, vocabulary):
         assert r["same"] and r["n_tokens"] == n and abs(r["ratio"] - len(texts[r["doc_id"]].encode()) / (n - 1)) < 1e-9
 
 
+def test_byte_ids(spark):
+    odd = ["ab", None, "", "é🌍", None, "x" * 1000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)], "k int, t string").coalesce(1)
+    want = [None if t is None else list(t.encode()) for t in odd]
+    assert [r["b"] for r in df.select("k", N.byte_ids("t").alias("b")).orderBy("k").collect()] == want
+    assert df.where("t IS NULL").select(N.byte_ids("t").alias("b")).collect()[0]["b"] is None
+    assert df.where("k > 9").select(N.byte_ids("t")).collect() == []
+
+
 def test_token_byte_stats(spark, sf_dir, vocabulary):
     n = np.array([len(vocabulary.decode_single_token_bytes(i)) for i in range(vocabulary.n_vocab - len(N.SPECIALS))])
     r = tokens.token_byte_stats(spark, sf_dir).first()
