@@ -59,15 +59,13 @@ def overlap(targets: DataFrame, sources: DataFrame, by: str, how: str = "mean")
     target's end, less those ended by its start, are the sources it meets. One
     shuffle; no pair of target and source becomes a row.
     """
-    none = F.lit(None)
-    t = targets.where("e > s").select(by, F.col("pos").cast("long").alias("_pos"), "s", "e")
-    s = sources.where("e > s").select(by, "s", "e", F.col("value").cast("double").alias("_v"))
-
-    def mark(df: DataFrame, at: str, side: int, pos: Column, value: Column, begun: int) -> DataFrame:
-        return df.select(by, F.col(at).alias("_at"), F.lit(side).alias("_side"), pos.cast("long").alias("_pos"), value.cast("double").alias("_v"), F.lit(begun).alias("_begun"))
+    def marks(df: DataFrame, pos: Column, value: Column, first: tuple[str, int, int], second: tuple[str, int, int]) -> DataFrame:
+        """Two rows a span: _at, _side and _begun of its marks."""
+        two = F.array(*(F.struct(F.col(at).alias("_at"), F.lit(side).alias("_side"), F.lit(begun).alias("_begun")) for at, side, begun in (first, second)))
+        return df.where("e > s").select(by, pos.cast("long").alias("_pos"), value.cast("double").alias("_v"), F.explode(two).alias("_m")).select(by, "_pos", "_v", "_m.*")
 
     # at one offset: sources that end, a target's start, its end, sources that begin
-    stream = mark(s, "e", 0, none, F.col("_v"), 0).union(mark(t, "s", 1, F.col("_pos"), none, 0)).union(mark(t, "e", 2, F.col("_pos"), none, 1)).union(mark(s, "s", 3, none, F.col("_v"), 1))
+    stream = marks(targets, F.col("pos"), F.lit(None), ("s", 1, 0), ("e", 2, 1)).union(marks(sources, F.lit(None), F.col("value"), ("e", 0, 0), ("s", 3, 1)))
     w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     source = F.col("_pos").isNull()
     begun, ended = source & (F.col("_begun") == 1), source & (F.col("_begun") == 0)
