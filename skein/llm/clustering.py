@@ -107,20 +107,19 @@ def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def cluster_sums(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """cluster, n and the componentwise sums ``s0, s1, ..``; a task gives one row a cluster, and Spark adds these up."""
+    """cluster, i, s: sums of each component of a cluster's vectors, and at ``i`` = -1 their number. A task gives a row a component, and Spark adds these up."""
     dim = centroids.shape[1]
-    names = [f"s{i}" for i in range(dim)]
-    schema = T.StructType([T.StructField("cluster", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("n", *names))])
+    schema = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("s", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(centroids), dim + 1), np.int64)
         for _, v, number, _ in _blocks(batches, centroids):
             np.add.at(sums, number, np.column_stack([np.ones(len(v), np.int64), v]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centroids)), pa.int32()), *(pa.array(c) for c in sums.T.copy())], names=schema.names)
+        cluster, i = np.indices(sums.shape, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(cluster.ravel()), pa.array(i.ravel() - 1, pa.int32()), pa.array(sums.ravel())], names=schema.names)
 
-    wide = T.DecimalType(38, 0)  # a long holds a task's sums, not those of very many tasks
-    parts = vectors.select("vec_id", "v", "norms").mapInArrow(run, schema)
-    return parts.groupBy("cluster").agg(*(F.sum(F.col(n).cast(wide)).alias(n) for n in ("n", *names)))
+    wide = F.sum(F.col("s").cast("decimal(38,0)"))  # a long holds a task's sums, not those of very many tasks
+    return vectors.select("vec_id", "v", "norms").mapInArrow(run, schema).groupBy("cluster", "i").agg(wide.alias("s"))
 
 
 def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS, seed: str = SEED) -> np.ndarray:
@@ -132,10 +131,11 @@ def first_centroids(vectors: DataFrame, clusters: int = CLUSTERS, seed: str = SE
 
 def moved(centroids: np.ndarray, sums: DataFrame) -> np.ndarray:
     """Each centroid that has vectors at their mean, rounded down."""
+    found = {(r["cluster"], r["i"]): int(r["s"]) for r in sums.collect()}  # a row a component of a centroid
     out = centroids.copy()
-    for r in sums.collect():  # a row a centroid
-        if r["n"]:
-            out[r["cluster"]] = [int(r[f"s{i}"]) // int(r["n"]) for i in range(centroids.shape[1])]
+    for k in range(len(centroids)):
+        if n := found.get((k, -1)):
+            out[k] = [found[k, i] // n for i in range(centroids.shape[1])]
     return out
 
 
