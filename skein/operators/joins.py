@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .spans import overlaps
+
 
 def join_store(docs: DataFrame, store: DataFrame, key: str, n: str, values: dict[str, Column]) -> DataFrame:
     """Left join on content key and token count; a count that differs is a miss.
@@ -54,34 +56,19 @@ def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> Da
 def overlap(targets: DataFrame, sources: DataFrame, by: str, how: str = "mean") -> DataFrame:
     """Each target span's ``mean`` or ``last`` of the values of source spans that overlap it; 0 where none does.
 
-    Sources of one document come in order and do not overlap each other. All
-    ends are one ordered stream per ``by``: sums of the sources begun before a
-    target's end, less those ended by its start, are the sources it meets. One
-    shuffle; no pair of target and source becomes a row.
+    For sides that come as rows (``by``, pos, s, e and the sources' value): one
+    text's spans are gathered into a row, in order of ``pos``, and searched there
+    (``spans.overlaps`` states nulls, NaN, equal and nested spans). Where both
+    cuts come from one text, ``spans.overlaps`` over its own columns needs no shuffle.
     """
-    def marks(df: DataFrame, pos: Column, value: Column, first: tuple[str, int, int], second: tuple[str, int, int]) -> DataFrame:
-        """Two rows a span: _at, _side and _begun of its marks."""
-        two = F.array(*(F.struct(F.col(at).alias("_at"), F.lit(side).alias("_side"), F.lit(begun).alias("_begun")) for at, side, begun in (first, second)))
-        return df.where("e > s").select(by, pos.cast("long").alias("_pos"), value.cast("double").alias("_v"), F.explode(two).alias("_m")).select(by, "_pos", "_v", "_m.*")
-
-    # at one offset: sources that end, a target's start, its end, sources that begin
-    stream = marks(targets, F.col("pos"), F.lit(None), ("s", 1, 0), ("e", 2, 1)).union(marks(sources, F.lit(None), F.col("value"), ("e", 0, 0), ("s", 3, 1)))
-    w = Window.partitionBy(by).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    source = F.col("_pos").isNull()
-    begun, ended = source & (F.col("_begun") == 1), source & (F.col("_begun") == 0)
-    mine = F.col("_begun") == 1  # a target's end counts what has begun, its start what has ended
-    ends = stream.select(
-        by, "_pos", "_begun", F.count_if(begun).over(w).alias("_nb"), F.count_if(ended).over(w).alias("_ne"),
-        F.sum(F.when(begun, F.col("_v"))).over(w).alias("_sb"), F.sum(F.when(ended, F.col("_v"))).over(w).alias("_se"), F.last(F.when(begun, F.col("_v")), ignorenulls=True).over(w).alias("_last"),
-    ).where("_pos IS NOT NULL")
-    met = ends.groupBy(by, "_pos").agg(
-        (F.sum(F.when(mine, F.col("_nb"))) - F.sum(F.when(~mine, F.col("_ne")))).alias("_n"),
-        (F.coalesce(F.sum(F.when(mine, F.col("_sb"))), F.lit(0.0)) - F.coalesce(F.sum(F.when(~mine, F.col("_se"))), F.lit(0.0))).alias("_sum"), F.max(F.when(mine, F.col("_last"))).alias("_last"),
-    )
-    value = F.col("_sum") / F.col("_n") if how == "mean" else F.col("_last")
-    found = met.select(by, F.col("_pos").alias("pos"), F.when(F.col("_n") > 0, value).otherwise(0.0).alias("value"))
-    empty = targets.where("NOT e > s").select(by, F.col("pos").cast("long").alias("pos"), F.lit(0.0).alias("value"))
-    return found.unionByName(empty)
+    def lists(df: DataFrame, *fields: str) -> DataFrame:
+        return df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("p"))  # one text's spans
+
+    t = lists(targets, "s", "e").withColumnRenamed("p", "t")
+    both = t.join(lists(sources, "s", "e", "value"), by, "left")
+    found = overlaps(how)(*(F.col(c).cast("array<bigint>") for c in ("t.s", "t.e", "p.s", "p.e")), F.col("p.value").cast("array<double>"))
+    rows = both.select(by, F.explode(F.arrays_zip(F.col("t.pos").alias("pos"), found.alias("value"))).alias("x"))
+    return rows.select(by, F.col("x.pos").cast("long").alias("pos"), "x.value")
 
 
 def gather(amap: Column, values: Column, zero: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import joins as J
+from ..operators.spans import as_of_places, overlaps, split_spans
 from ..sources import tables as S
 from .registry import query
 
@@ -46,12 +46,10 @@ def last_row_wins(spark: SparkSession, d: str) -> DataFrame:
     return J.last_wins(rows, "n", ["shard", "row"], "doc_id").select("n", "doc_id")
 
 
-def _spans(spark: SparkSession, d: str, sep: str) -> DataFrame:
-    """Pieces of the whole text that end at ``sep``, with their offsets."""
-    t = S.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", sep)).alias("pos", "piece"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    end = F.sum(F.length("piece") + 1).over(w)
-    return t.select("doc_id", F.col("pos").cast("long").alias("pos"), (end - F.length("piece") - 1).cast("long").alias("s"), (end - 1).cast("long").alias("e"))
+def _cuts(spark: SparkSession, d: str) -> DataFrame:
+    """Both cuts of each whole text, ``a`` at blanks and ``b`` at the letter e, with their offsets; a null text counts as empty."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return S.table(spark, d, "documents").select("doc_id", split_spans(" ")(text).alias("a"), split_spans("e")(text).alias("b"))
 
 
 def _spans_sql(name: str, sep: str) -> str:
@@ -62,9 +60,8 @@ def _spans_sql(name: str, sep: str) -> str:
 @query("as_of_join", f"WITH {_spans_sql('a', ' ')}, {_spans_sql('b', 'e')} SELECT a.doc_id, a.pos, coalesce(max(b.pos), -1) AS target FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND b.e <= a.e GROUP BY a.doc_id, a.pos")
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     """Each word's last piece of another cut of the text that ends no later."""
-    left = _spans(spark, d, " ").withColumnRenamed("e", "at")
-    right = _spans(spark, d, "e").select("doc_id", F.col("e").alias("at"), F.col("pos").alias("target"))
-    return J.as_of(left, right, "doc_id", "at", "target")
+    found = as_of_places()(F.col("a.e"), F.col("b.e"))
+    return _cuts(spark, d).select("doc_id", F.posexplode(found).alias("pos", "target")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
@@ -73,8 +70,7 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.doc_id, a.pos, coalesce(avg(b.pos::DOUBLE), 0.0) AS value FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND b.s < a.e AND b.e > a.s AND b.e > b.s AND a.e > a.s GROUP BY a.doc_id, a.pos""",
 )
 def overlap_mean(spark: SparkSession, d: str) -> DataFrame:
-    sources = _spans(spark, d, "e").withColumn("value", F.col("pos").cast("double"))
-    return J.overlap(_spans(spark, d, " "), sources, "doc_id", "mean")
+    return _overlap(spark, d, "mean")
 
 
 @query(
@@ -83,8 +79,14 @@ def overlap_mean(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.doc_id, a.pos, coalesce(max(b.pos)::DOUBLE, 0.0) AS value FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND b.s < a.e AND b.e > a.s AND b.e > b.s AND a.e > a.s GROUP BY a.doc_id, a.pos""",
 )
 def overlap_last(spark: SparkSession, d: str) -> DataFrame:
-    sources = _spans(spark, d, "e").withColumn("value", F.col("pos").cast("double"))
-    return J.overlap(_spans(spark, d, " "), sources, "doc_id", "last")
+    return _overlap(spark, d, "last")
+
+
+def _overlap(spark: SparkSession, d: str, how: str) -> DataFrame:
+    """The places of the other cut's pieces, met by each word."""
+    places = F.sequence(F.lit(0), F.size("b.s") - 1).cast("array<double>")
+    found = overlaps(how)(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"), places)
+    return _cuts(spark, d).select("doc_id", F.posexplode(found).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
@@ -93,8 +95,9 @@ def overlap_last(spark: SparkSession, d: str) -> DataFrame:
     SELECT count(*) AS docs, round(avg(rate), 9) AS mean, round(quantile_cont(rate, 0.5), 9) AS median, round(quantile_cont(rate, 0.9), 9) AS p90 FROM r""",
 )
 def crossing_rate(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _spans(spark, d, " "), _spans(spark, d, "e").select("doc_id", "e").distinct().withColumn("met", F.lit(True))
-    r = a.join(b, ["doc_id", "e"], "left").groupBy("doc_id").agg(F.avg(F.col("met").isNull().cast("double")).alias("rate"))
+    """Share of a text's words whose end is no end of a piece of the other cut; ends of a cut differ from each other."""
+    met = F.size(F.array_intersect("a.e", "b.e"))
+    r = _cuts(spark, d).select((1.0 - met / F.size("a.e")).alias("rate"))
     p = F.percentile("rate", F.array(F.lit(0.5), F.lit(0.9)))
     return r.agg(F.count("*").alias("docs"), F.round(F.avg("rate"), 9).alias("mean"), F.round(p[0], 9).alias("median"), F.round(p[1], 9).alias("p90"))
 
