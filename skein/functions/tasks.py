@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as X
+from .draws import choice, shuffled, spelling_draws
 
 
 @dataclass(frozen=True)
@@ -131,33 +132,115 @@ def first_pattern(text: Column, table: list[tuple[str, float]], default: float |
     return out
 
 
-def seeded_number(key: Column, seed: int, what: str) -> Column:
-    """A whole number below 2 ** 32 for each key: the same for the same seed, key and ``what``."""
-    mark = F.md5(F.concat(F.lit(f"{seed}:{what}:"), key.cast("string")).cast("binary"))
-    return F.conv(F.substring(mark, 1, 8), 16, 10).cast("long")
-
-
-def seeded_choice(key: Column, seed: int, what: str, items: list[str]) -> Column:
-    """One of ``items`` for each key."""
-    return F.element_at(F.array(*map(F.lit, items)), (seeded_number(key, seed, what) % len(items) + 1).cast("int"))
-
-
-#: Ways to ask for a letter of a word.
-QUESTIONS = ("How many {l} are in {w}", "Count the {l} in {w}", "Number of {l} within {w}")
-
-
-def spelling_questions(words: DataFrame, key: str, seed: int) -> DataFrame:
-    """``words(key, word)``, two letters or more, with a seeded letter (nine in ten: of the word), the question, the call and the answer.
-
-    Three questions in ten are in lower case, half quote the word, half end in a question mark.
+#: Ways to ask how often a letter is in a word (fixed values).
+QUESTIONS = (
+    "How many {letter} are in the word {word}",
+    "How many {letter} are in the word {word}",
+    "How many {letter} are in {word}",
+    "Count the number of {letter} in {word}",
+    "How many times does {letter} appear in {word}",
+    "What's the count of {letter} in {word}",
+    "In the word {word}, how many {letter} are there",
+    "How many letter {letter} are in the word {word}",
+    "Count how many {letter} appear in {word}",
+    "Tell me the number of {letter} in {word}",
+    "How many occurrences of {letter} are in {word}",
+    "Find the count of {letter} in {word}",
+    "Can you count the {letter} letters in {word}",
+    "What is the frequency of {letter} in {word}",
+    "How many {letter}s are in {word}",
+    "How many {letter}'s are in {word}",
+    "Count all the {letter} in {word}",
+    "How many times is {letter} in {word}",
+    "Number of {letter} in {word}",
+    "Total count of {letter} in {word}",
+    "How many {letter} does {word} have",
+    "How many {letter} does {word} contain",
+    "What's the number of {letter} in {word}",
+    "{word} has how many {letter}",
+    "In {word}, count the {letter}",
+    "How many {letter} appear in {word}",
+    "Count the {letter} in {word}",
+    "Give me the count of {letter} in {word}",
+    "How many instances of {letter} in {word}",
+    "Show me how many {letter} are in {word}",
+    "Calculate the number of {letter} in {word}",
+    "¿Cuántas {letter} hay en {word}?",
+    "¿Cuántas veces aparece {letter} en {word}?",
+    "Cuenta las {letter} en {word}",
+    "¿Cuántas letras {letter} tiene {word}?",
+    "{word}中有多少个{letter}",
+    "{word}里有几个{letter}",
+    "数一下{word}中的{letter}",
+    "{word}这个词里有多少{letter}",
+    "{word}에 {letter}가 몇 개 있나요",
+    "{word}에서 {letter}의 개수는",
+    "{word}에 {letter}가 몇 번 나오나요",
+    "{word}라는 단어에 {letter}가 몇 개",
+    "Combien de {letter} dans {word}",
+    "Combien de fois {letter} apparaît dans {word}",
+    "Compte les {letter} dans {word}",
+    "Wie viele {letter} sind in {word}",
+    "Wie oft kommt {letter} in {word} vor",
+    "Zähle die {letter} in {word}",
+    "{word}に{letter}は何個ありますか",
+    "{word}の中に{letter}がいくつ",
+    "{word}に{letter}が何回出てくる",
+)
+#: The seeds of a test split begin here (fixed value).
+TEST_SEEDS = 10_000_000
+
+
+def drawn_words(indices: DataFrame, words: DataFrame, seed: int) -> DataFrame:
+    """``indices(index)`` with the ``word`` that each draws out of ``words(idx, word)``, whose ``idx`` counts from 0, and ``words``, their number."""
+    n = words.count()
+    drawn = indices.select("index", F.lit(n).cast("long").alias("words"))
+    drawn = drawn.withColumn("_at", choice(seed)(F.col("index"), F.col("words")))
+    return drawn.join(words.select(F.col("idx").alias("_at"), "word"), "_at").drop("_at")
+
+
+def counted_letters(word: Column, letter: Column) -> Column:
+    """The letters of a word a line, with the count so far where it is ``letter``."""
+    letters = F.split(word, "")
+    hits = lambda i: F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == letter)).cast("string")
+    line = lambda c, i: F.concat((i + 1).cast("string"), F.lit(":"), c, F.when(c == letter, F.concat(F.lit(" hit! count="), hits(i))).otherwise(""), F.lit("\n"))
+    return F.array_join(F.transform(letters, line), "")
+
+
+def spelling_conversations(indices: DataFrame, words: DataFrame, split: str = "train", questions: tuple[str, ...] = QUESTIONS) -> DataFrame:
+    """index, word, letter, answer, asked and parts (type, text) of the conversation of each index.
+
+    ``words(idx, word)`` is the word list in its order. Empty words give no conversation.
     """
-    n = lambda what, of: seeded_number(F.col(key), seed, what) % of
-    own = F.substr("word", (n("letter", 2) + 1).cast("int"), F.lit(1))
-    other = F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (n("any", 26) + 1).cast("int"), F.lit(1))
-    w = words.withColumn("letter", F.when(n("from", 10) < 9, own).otherwise(other))
-    shown = F.when(n("quote", 2) == 0, F.concat(F.lit("'"), F.col("word"), F.lit("'"))).otherwise(F.col("word"))
-    asked = F.replace(F.replace(seeded_choice(F.col(key), seed, "template", list(QUESTIONS)), F.lit("{l}"), F.col("letter")), F.lit("{w}"), shown)
-    asked = F.concat(F.when(n("lower", 10) < 3, F.lower(asked)).otherwise(asked), F.when(n("mark", 2) == 0, "?").otherwise(""))
-    call = F.concat(F.lit("'"), F.col("word"), F.lit("'.count('"), F.col("letter"), F.lit("')"))
-    answer = F.length("word") - F.length(F.replace(F.col("word"), F.col("letter"), F.lit("")))
-    return w.withColumns({"asked": asked, "call": call, "answer": answer})
+    seed = TEST_SEEDS if split == "test" else 0
+    d = drawn_words(indices, words, seed)
+    d = d.withColumn("d", spelling_draws(seed, len(questions))(F.col("index"), F.col("words"), F.col("word"))).where("d IS NOT NULL")
+    word, letter = F.col("word"), F.col("d")["letter"]
+    template = F.element_at(F.array(*map(F.lit, questions)), F.col("d")["template"] + 1)
+    template = F.when(F.col("d")["lower"], F.lower(template)).otherwise(template)
+    around = lambda q, x: F.concat(F.col("d")[q], x, F.col("d")[q])
+    asked = F.replace(F.replace(template, F.lit("{letter}"), around("letter_quote", letter)), F.lit("{word}"), around("word_quote", word))
+    asked = F.concat(asked, F.when(F.col("d")["mark"], "?").otherwise(""))
+    answer = F.size(F.filter(F.split(word, ""), lambda x: x == letter))
+    count = answer.cast("string")
+    steps = F.concat(
+        F.lit("We are asked to find the number '"), letter, F.lit("' in the word '"), word, F.lit("'. Let me try a manual approach first.\n\nFirst spell the word out:\n"), spelled(word),
+        F.lit("\n\nThen count the occurrences of '"), letter, F.lit("':\n"), counted_letters(word, letter), F.lit("\nThis gives us "), count, F.lit("."),
+    )
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    parts = F.array(
+        part("text", steps), part("text", F.lit("\n\nLet me double check this using Python:\n\n")), part("python", F.concat(F.lit("'"), word, F.lit("'.count('"), letter, F.lit("')"))),
+        part("python_output", count), part("text", F.concat(F.lit("\n\nPython gives us "), count, F.lit(".\n\nMy final answer is:\n\n#### "), count)),
+    )
+    return d.select("index", "word", letter.alias("letter"), answer.alias("answer"), asked.alias("asked"), parts.alias("parts"))
+
+
+def spelled(word: Column) -> Column:
+    return F.concat(word, F.lit(":"), F.array_join(F.split(word, ""), ","))
+
+
+def spelling_only(indices: DataFrame, words: DataFrame, split: str = "train", order_seed: int = 42) -> DataFrame:
+    """index, word, asked and answered: a word to spell, drawn out of the list in a seeded order of its own."""
+    order = shuffled(words, "idx", order_seed).select(F.col("place").alias("idx"), "word")
+    d = drawn_words(indices, order, TEST_SEEDS if split == "test" else 0)
+    return d.select("index", "word", F.concat(F.lit("Spell the word: "), "word").alias("asked"), spelled(F.col("word")).alias("answered"))

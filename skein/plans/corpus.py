@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import draws as D
 from ..sources import tables as S
 from .registry import query
 
@@ -98,18 +99,14 @@ def task_sequence(spark: SparkSession, d: str) -> DataFrame:
     return both.join(F.broadcast(offset), "task").select("task", "item", "local", (F.col("local") + F.col("offset")).alias("idx"))
 
 
-@query(
-    "task_mixture",
-    """SELECT task, item, copy, md5('42:' || task || ':' || copy || ':' || item) AS order_key FROM (
-      SELECT 'docs' AS task, doc_id AS item, c AS copy FROM documents CROSS JOIN (VALUES (0), (1)) v(c) WHERE lang = 'es'
-      UNION ALL SELECT 'bench', item_id, 0 FROM benchmark)""",
-)
+@query("task_mixture")
 def task_mixture(spark: SparkSession, d: str) -> DataFrame:
-    """A task listed twice counts twice; the order is a seeded hash."""
-    a = S.table(spark, d, "documents").where("lang = 'es'").select(F.lit("docs").alias("task"), F.col("doc_id").alias("item"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    b = S.table(spark, d, "benchmark").select(F.lit("bench").alias("task"), F.col("item_id").alias("item"), F.lit(0).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit("42"), "task", "copy", "item").cast("binary"))
-    return a.unionByName(b).withColumn("order_key", key)
+    """Tasks one after another, one of them listed twice, in the order of a seeded shuffle of all their examples."""
+    docs = S.table(spark, d, "documents").where("lang = 'es'")
+    a = docs.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("task"), F.col("doc_id").alias("item"))
+    b = S.table(spark, d, "benchmark").select(F.lit(2).alias("task"), F.col("item_id").alias("item"))
+    listed = S.running_total(a.unionByName(b), ["task", "item"], F.lit(1).cast("long"), "idx")
+    return D.shuffled(listed, "idx", 42).select("place", "task", "item")
 
 
 @query("duplicate_contents", "SELECT count(*) AS groups, sum(n)::BIGINT AS docs FROM (SELECT count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1)")

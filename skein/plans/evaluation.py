@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import draws as D
 from ..functions import tasks as K
 from ..functions import text as X
 from ..operators import joins as J
@@ -181,11 +182,11 @@ def metric_union(spark: SparkSession, d: str) -> DataFrame:
     return names.withColumn("place", place)
 
 
-@query("seeded_head", "SELECT item_id FROM (SELECT item_id, row_number() OVER (ORDER BY md5('1337:' || item_id), item_id) AS r FROM benchmark) WHERE r <= 10")
+@query("seeded_head")
 def seeded_head(spark: SparkSession, d: str) -> DataFrame:
-    """The first ten items of a seeded permutation."""
-    key = F.md5(F.concat(F.lit("1337:"), F.col("item_id").cast("string")).cast("binary"))
-    return S.table(spark, d, "benchmark").select("item_id").orderBy(key, "item_id").limit(10)
+    """The first ten items of a seeded shuffle."""
+    b = S.running_total(S.table(spark, d, "benchmark").select("item_id"), ["item_id"], F.lit(1).cast("long"), "idx")
+    return D.shuffled(b, "idx", 1337).where("place < 10").select("place", "item_id")
 
 
 @query("gate_specs", """SELECT spec, mode, value FROM (VALUES ('auto', 'auto', '0.05'), ('auto:0.1', 'auto', '0.1'), ('donor', 'donor', 'p50'), ('donor:p95', 'donor', 'p95'), ('donor:p42', NULL, NULL), ('abs:0.05', 'abs', '0.05'),
@@ -232,13 +233,8 @@ def spelling_transcripts(spark: SparkSession, d: str) -> DataFrame:
     """Letters of a word, counted one by one."""
     word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
     w = S.table(spark, d, "benchmark").select("item_id", word.alias("word")).where("length(word) > 0")
-    letters = F.split(F.col("word"), "")
     letter = F.substring("word", 1, 1)
-    line = lambda c, i: F.concat(
-        (i + 1).cast("string"), F.lit(":"), c,
-        F.when(c == letter, F.concat(F.lit(" hit! count="), F.size(F.filter(F.slice(letters, F.lit(1), i + 1), lambda x: x == letter)).cast("string"))).otherwise(F.lit("")), F.lit("\n"),
-    )
-    return w.select("item_id", "word", F.array_join(letters, ",").alias("spelled"), letter.alias("letter"), F.array_join(F.transform(letters, line), "").alias("transcript"))
+    return w.select("item_id", "word", F.array_join(F.split("word", ""), ",").alias("spelled"), letter.alias("letter"), K.counted_letters(F.col("word"), letter).alias("transcript"))
 
 
 @query("sets_that_agree", "SELECT (SELECT count(*) FROM (SELECT DISTINCT lang FROM documents) WHERE lang NOT IN ('de', 'en', 'es', 'fr')) = 0 AND (SELECT count(DISTINCT lang) FROM documents WHERE lang IN ('de', 'en', 'es', 'fr')) = 4 AS names_agree, false AS short_agree")
@@ -266,20 +262,13 @@ def report_fields(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "orders").select("o_orderkey", X.report_field(section, "price").alias("price"), X.report_time(section, "timestamp:").cast("timestamp_ntz").alias("began"))
 
 
-@query(
-    "seeded_choices",
-    """WITH s AS (SELECT i, ('0x' || substr(md5('7:topic:' || i), 1, 8))::BIGINT % 3 AS c, ('0x' || substr(md5('7:item:' || i), 1, 8))::BIGINT % 2 AS t, ('0x' || substr(md5('7:persona:' || i), 1, 8))::BIGINT % 4 AS p FROM range(200) r(i))
-    SELECT i::BIGINT AS id, ['trade', 'craft', 'travel'][c + 1] AS category, [['prices', 'goods'], ['wood', 'iron'], ['trains', 'boats']][c + 1][t + 1] AS topic, ['novice', 'expert', 'skeptic', 'child'][p + 1] AS persona FROM s""",
-)
+@query("seeded_choices")
 def seeded_choices(spark: SparkSession, d: str) -> DataFrame:
-    """A category, a topic of it and a persona for each id, from a seed."""
-    topics = {"trade": ["prices", "goods"], "craft": ["wood", "iron"], "travel": ["trains", "boats"]}
-    category = K.seeded_choice(F.col("id"), 7, "topic", list(topics))
-    topic = F.lit(None).cast("string")
-    for name, items in topics.items():
-        topic = F.when(F.col("category") == name, K.seeded_choice(F.col("id"), 7, "item", items)).otherwise(topic)
-    persona = K.seeded_choice(F.col("id"), 7, "persona", ["novice", "expert", "skeptic", "child"])
-    return spark.range(200).withColumn("category", category).withColumn("topic", topic).withColumn("persona", persona)
+    """A topic, a persona, a dynamic and openers for each document, drawn from its id."""
+    topics = {"trade": ["prices", "goods"], "craft": ["wood", "iron", "clay"], "travel": ["trains", "boats"]}
+    openers = {"plain": ["hello", "hi there"], "question": ["why is that?", "can you explain?"], "task": ["write a poem", "fix my code"], "odd": ["beep"]}
+    draw = D.diversity(topics, ["novice", "expert", "skeptic", "child"], ["short", "long", "curious"], openers)
+    return S.table(spark, d, "documents").select("doc_id", draw(F.col("doc_id")).alias("d")).select("doc_id", "d.*")
 
 
 @query("fill_progress", "SELECT event_id, round(100 * least(greatest(value / 80.0, 0), 1), 9)::DOUBLE AS percent, round(CASE WHEN event_id % 4 > 0 THEN greatest(80 - value, 0) / (event_id % 4) END, 9)::DOUBLE AS seconds, round(4e8 / (1000.0 * (event_id % 4 + 1) * 8), 6)::DOUBLE AS cover FROM events")
@@ -297,19 +286,24 @@ def newest_checkpoint(spark: SparkSession, d: str) -> DataFrame:
     return S.newest(files)
 
 
-_DRAW = "(('0x' || substr(md5('3:{what}:' || item_id), 1, 8))::BIGINT)"
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    """idx, word: the first word of each item in lower case, a word list in the items' order."""
+    word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
+    items = S.table(spark, d, "benchmark").select("item_id", word.alias("word")).where("length(word) > 0")
+    return S.running_total(items, ["item_id", "word"], F.lit(1).cast("long"), "idx").select("idx", "word")
 
 
-@query(
-    "spelling_examples",
-    f"""WITH w AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+')) AS word FROM benchmark),
-    l AS (SELECT *, CASE WHEN {_DRAW.format(what="from")} % 10 < 9 THEN substr(word, ({_DRAW.format(what="letter")} % 2)::BIGINT + 1, 1) ELSE substr('abcdefghijklmnopqrstuvwxyz', ({_DRAW.format(what="any")} % 26)::BIGINT + 1, 1) END AS letter FROM w WHERE length(word) > 1),
-    q AS (SELECT *, replace(replace(['How many {{l}} are in {{w}}', 'Count the {{l}} in {{w}}', 'Number of {{l}} within {{w}}'][{_DRAW.format(what="template")} % 3 + 1], '{{l}}', letter), '{{w}}', CASE WHEN {_DRAW.format(what="quote")} % 2 = 0 THEN '''' || word || '''' ELSE word END) AS asked FROM l)
-    SELECT item_id, CASE WHEN {_DRAW.format(what="lower")} % 10 < 3 THEN lower(asked) ELSE asked END || CASE WHEN {_DRAW.format(what="mark")} % 2 = 0 THEN '?' ELSE '' END AS asked,
-      '''' || word || '''.count(''' || letter || ''')' AS call, (length(word) - length(replace(word, letter, '')))::INT AS answer FROM q""",
-)
+@query("spelling_examples")
 def spelling_examples(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded questions about the letters of a word, the call that answers them, and the answer."""
-    word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
-    w = S.table(spark, d, "benchmark").select("item_id", word.alias("word")).where("length(word) > 1")
-    return K.spelling_questions(w, "item_id", 3).select("item_id", "asked", "call", "answer")
+    """A drawn question about the letters of a drawn word for each document's id, with the conversation that answers it."""
+    at = S.table(spark, d, "documents").select(F.col("doc_id").alias("index"))
+    c = K.spelling_conversations(at, _words(spark, d))
+    text = F.array_join(F.transform("parts", lambda p: F.concat(p["type"], F.lit("|"), p["text"])), "\n")
+    return c.select("index", "word", "letter", "answer", "asked", text.alias("conversation"))
+
+
+@query("spelling_words")
+def spelling_words(spark: SparkSession, d: str) -> DataFrame:
+    """A word to spell for each document's id, drawn out of a shuffled list, with seeds of the test split."""
+    at = S.table(spark, d, "documents").select(F.col("doc_id").alias("index"))
+    return K.spelling_only(at, _words(spark, d), "test")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
 from ..operators import joins as J
 from ..operators.spans import as_of_places, overlaps, split_spans
 from ..sources import tables as S
@@ -110,19 +111,13 @@ def store_differences(spark: SparkSession, d: str) -> DataFrame:
     return J.differences(a, b, ["doc_id"], "v")
 
 
-@query(
-    "few_shot_pairs",
-    """WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS idx, count(*) OVER () AS n FROM benchmark),
-    s AS (SELECT item_id, idx, shot, (idx + 1 + (shot * 7) % (n - 1)) % n AS other FROM b CROSS JOIN (VALUES (0), (1), (2)) v(shot))
-    SELECT s.item_id, s.shot::INT AS shot, b.item_id AS example FROM s JOIN b ON b.idx = s.other""",
-)
+@query("few_shot_pairs")
 def few_shot_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Three other items for each item, never itself, by index."""
+    """Three other items for each item, as the seeded sample of its index draws them, or all others where there are fewer."""
     b = S.table(spark, d, "benchmark").select("item_id")
-    b = S.running_total(b, ["item_id"], F.lit(1).cast("long"), "idx").crossJoin(F.broadcast(b.agg(F.count("*").alias("n"))))  # one row
-    s = b.select("item_id", "idx", "n", F.explode(F.array(*map(F.lit, range(3)))).alias("shot"))
-    s = s.withColumn("other", (F.col("idx") + 1 + (F.col("shot") * 7) % (F.col("n") - 1)) % F.col("n"))
-    return s.join(b.select(F.col("idx").alias("other"), F.col("item_id").alias("example")), "other").select("item_id", "shot", "example")
+    b = S.running_total(b, ["item_id"], F.lit(1).cast("long"), "idx").select("item_id", "idx")
+    drawn = b.select("item_id", F.posexplode(D.others(1234, 3)(F.col("idx"), F.lit(b.count()).cast("long"))).alias("shot", "other"))
+    return drawn.join(b.select(F.col("idx").alias("other"), F.col("item_id").alias("example")), "other").select("item_id", "shot", "example")
 
 
 @query("baseline_join", "SELECT l.lang, avg(quality) AS accuracy, (avg(quality) - 0.01 * b.base) / (1.0 - 0.01 * b.base) AS centered FROM labels JOIN documents d USING (doc_id) JOIN (SELECT DISTINCT lang FROM documents) l USING (lang) JOIN (VALUES ('en', 25.0::DOUBLE), ('de', 50.0::DOUBLE), ('fr', 20.0::DOUBLE), ('es', 10.0::DOUBLE)) b(lang, base) USING (lang) GROUP BY l.lang, b.base")
