@@ -10,8 +10,8 @@ is alone. So the encoding is the one path of tokens in which all neighbours are
 compatible. The search takes the longest compatible token at a place, then
 shorter ones, and steps back where none is left; the path to a place is unique,
 so a place given up once is given up for good, and each place is entered once.
-Whether two tokens are compatible is found by merging their bytes (of bounded
-length) and memorised.
+Whether two tokens are compatible is found by taking their merges back one by
+one, the last first, and memorised.
 
 As in the tiktoken library a piece that is a token of the vocabulary is that
 token, whatever its bytes would merge into.
@@ -41,7 +41,9 @@ from .common import bounded_batches, table
 #: Entries that a worker keeps of pieces and of pairs before it starts anew; they save time and change no result.
 MEMO = 1 << 18
 #: Longer pieces are not kept.
-MEMO_BYTES = 64
+MEMO_CHARS = 64
+#: Characters from which on a text's pieces are not held at once.
+LONG = 1 << 20
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
 
 
@@ -57,11 +59,11 @@ def public_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def merged(raw: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges by their definition: the pair of least rank, leftmost first, until none is left."""
+def merged(raw: bytes, ranks: dict[bytes, int], until: int = 1) -> list[bytes]:
+    """The merges by their definition: the pair of least rank, leftmost first, until none is left or ``until`` parts are."""
     parts = [raw[i : i + 1] for i in range(len(raw))]
     never = 1 << 60
-    while len(parts) > 1:
+    while len(parts) > until:
         rank, i = min((ranks.get(parts[i] + parts[i + 1], never), i) for i in range(len(parts) - 1))
         if rank == never:
             break
@@ -69,6 +71,27 @@ def merged(raw: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return parts
 
 
+class Pieces(dict):
+    """Pieces and their ids as bytes, made by ``search`` when they are first met; the least recently filled half goes when it is full."""
+
+    def __init__(self, search: Callable[[bytes], list[int]], ranks: dict[bytes, int]):
+        super().__init__()
+        self.search, self.ranks, self.old = search, ranks, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            raw = piece.encode()
+            whole = self.ranks.get(raw)
+            found = array("i", self.search(raw) if whole is None else (whole,)).tobytes()
+        if len(piece) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = self.copy()
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Vocabulary:
     """A rank file with its automaton. ``ranks`` must hold all single bytes."""
 
@@ -80,11 +103,12 @@ class Vocabulary:
         self.raw = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for raw, i in ranks.items():
-            self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
+            self.automaton.add_word(raw.decode("latin-1"), (len(raw) - 1, i))
         self.automaton.make_automaton()
         self.shorter_memo: dict[int, int] = {}
+        self.last_memo: dict[int, tuple[int, int] | None] = {}
         self.pair_memo: dict[tuple[int, int], bool] = {}
-        self.piece_memo: dict[str, list[int]] = {}
+        self.pieces = Pieces(self.search, ranks)
 
     def shorter(self, token: int) -> int:
         """The longest token that is a proper beginning of ``token``; -1 if there is none."""
@@ -94,36 +118,72 @@ class Vocabulary:
             self.shorter_memo[token] = found
         return found
 
+    def last_merge(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes ``token``; itself twice for a byte; None where its bytes do not merge into it."""
+        if token not in self.last_memo:
+            raw = self.raw[token]
+            parts = merged(raw, self.ranks, 2)
+            made = [token, token] if len(raw) == 1 else [self.ranks[p] for p in parts] if len(parts) == 2 else None
+            self.last_memo[token] = tuple(made) if made else None
+        return self.last_memo[token]
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the bytes of both merge into these two tokens. ``left`` is -1 at the start of a piece: then ``right`` by itself."""
-        key = (left, right)
-        if (found := self.pair_memo.get(key)) is None:
-            parts = [self.raw[right]] if left < 0 else [self.raw[left], self.raw[right]]
-            found = merged(b"".join(parts), self.ranks) == parts
-            if len(self.pair_memo) >= MEMO:
-                self.pair_memo.clear()
-            self.pair_memo[key] = found
-        return found
+        if self.last_merge(right) is None:
+            return False
+        return left < 0 or self.apart(left, right)
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether no merge crosses the place where two tokens meet, each of which its own bytes merge into.
+
+        Merges are taken back, the last one first: of equal ranks the right one
+        came later. The tokens that then meet would have merged if their pair
+        came before the merge taken back: by a lower rank, or an equal one that
+        stands further left.
+        """
+        ranks, raw = self.ranks, self.raw
+        a, b, before = left, right, len(ranks) + 1 + max(left, right)
+        while True:
+            pair = ranks.get(raw[a] + raw[b])
+            if pair is not None and pair < before:
+                return False
+            rank_a, rank_b = (a if len(raw[a]) > 1 else -1), (b if len(raw[b]) > 1 else -1)
+            if rank_a < 0 and rank_b < 0:
+                return True
+            undone = a if rank_a > rank_b else b
+            x, y = self.last_merge(undone)
+            if x >= undone and len(raw[x]) > 1 or y >= undone and len(raw[y]) > 1:
+                # a token that is made of a later rank than its own: the order of merges is not that of ranks
+                return merged(raw[left] + raw[right], ranks) == [raw[left], raw[right]]
+            if rank_a > rank_b:
+                a, before = y, a
+            else:
+                b, before = x, b + 1
 
     def search(self, piece: bytes) -> list[int]:
         """Tokens of a piece by backtracking from the longest matches."""
         end = len(piece)
         longest = array("i", bytes(4 * end))
-        for last, (size, token) in self.automaton.iter(piece.decode("latin-1")):
-            longest[last + 1 - size] = token  # matches come by their ends: a later one of the same start is longer
+        for last, (more, token) in self.automaton.iter(piece.decode("latin-1")):
+            longest[last - more] = token  # matches come by their ends: a later one of the same start is longer
         given_up = bytearray(end + 1)
-        raw, tokens, at = self.raw, [], 0
+        raw, known, shorter, tokens, at, before = self.raw, self.pair_memo, self.shorter, [], 0, -1
         token = longest[0]
         while True:
-            before = tokens[-1] if tokens else -1
             while token >= 0:
                 after = at + len(raw[token])
-                if not given_up[after] and self.compatible(before, token):
-                    break
-                token = self.shorter(token)
+                if not given_up[after]:
+                    fits = known.get((before, token))
+                    if fits is None:
+                        if len(known) >= MEMO:
+                            known.clear()
+                        fits = known[before, token] = self.compatible(before, token)
+                    if fits:
+                        break
+                token = shorter(token)
             if token >= 0:
                 tokens.append(token)
-                at = after
+                at, before = after, token
                 if at == end:
                     return tokens
                 token = longest[at]
@@ -133,26 +193,13 @@ class Vocabulary:
                 given_up[at] = 1
                 token = tokens.pop()
                 at -= len(raw[token])
-                token = self.shorter(token)
-
-    def piece(self, piece: str) -> list[int]:
-        if (found := self.piece_memo.get(piece)) is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            found = self.search(raw) if whole is None else [whole]
-            if len(raw) <= MEMO_BYTES:
-                if len(self.piece_memo) >= MEMO:
-                    self.piece_memo.clear()
-                self.piece_memo[piece] = found
-        return found
+                before = tokens[-1] if tokens else -1
+                token = shorter(token)
 
-    def encode(self, text: str) -> array:
-        ids = array("i")
-        known, piece = self.piece_memo.get, self.piece
-        for m in self.pattern.finditer(text):
-            p = m[0]
-            ids.extend(known(p) or piece(p))
-        return ids
+    def encode(self, text: str) -> np.ndarray:
+        """Ids; the pieces of a long text are taken one by one, never held at once."""
+        cuts = self.pattern.findall(text) if len(text) < LONG else (m[0] for m in self.pattern.finditer(text))
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, cuts)), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.raw.__getitem__, ids))
@@ -175,9 +222,8 @@ def encoder(path: str, pattern: str) -> Callable[[Column], Column]:
         v = vocabulary(path, pattern)
         parts, ends = [np.zeros(0, np.int32)], [0]
         for t in texts:
-            ids = v.encode(t.as_py() or "")
-            parts.append(np.frombuffer(ids, np.int32) if ids else parts[0])
-            ends.append(ends[-1] + len(ids))
+            parts.append(v.encode(t.as_py() or ""))
+            ends.append(ends[-1] + len(parts[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
 
     return ids_of
