@@ -226,7 +226,7 @@ def encoder(path: str, pattern: str) -> Callable[[Column], Column]:
             ends.append(ends[-1] + len(parts[-1]))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), pa.int32()))
 
-    return ids_of
+    return ids_of.asNondeterministic()  # or what stands on top of it would have it run once more for each use
 
 
 def decoder(path: str, pattern: str) -> Callable[[Column], Column]:
