@@ -44,13 +44,13 @@ class Buffer:
         return length, self.docs.pop(-arrival)
 
 
-def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size: int, mode: str, long_docs: str = "skip") -> Iterator[list[tuple[object, int]]]:
+def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size: int, mode: str) -> Iterator[list[tuple[object, int]]]:
     """Rows as lists of (document, tokens used). ``crop`` fills rows and drops a cropped document's tail; ``pad`` leaves room.
 
-    ``pad`` has no place for documents above ``capacity``: ``long_docs`` says
-    whether they stay out (``skip``) or keep their first part (``cut``). The
-    source is bounded: near its end the buffer runs down, and a last row that
-    ``crop`` cannot fill is not emitted.
+    ``pad`` cuts documents above ``capacity`` to their first part, which fills a
+    row, and places every document. The source is bounded: near its end the
+    buffer runs down, and a last row that ``crop`` cannot fill is not emitted.
+    Documents without tokens have no place; ``accounting`` counts whatever has none.
     """
     buffer, source, more = Buffer(), iter(docs), True
     while True:
@@ -61,7 +61,7 @@ def pack_stream(docs: Iterator[tuple[int, object]], capacity: int, buffer_size:
                 nxt = next(source, None)
                 if nxt is None:
                     more = False
-                elif nxt[0] > 0 and (mode == "crop" or nxt[0] <= capacity or long_docs == "cut"):
+                elif nxt[0] > 0:
                     buffer.add(min(nxt[0], capacity) if mode == "pad" else nxt[0], nxt[1])
             if not len(buffer):
                 break
@@ -88,32 +88,36 @@ def ranks(docs: DataFrame, order: str, least: int = 8, row_group: int = 1024) ->
     return docs.withColumn("rank", F.pmod(F.floor(F.col(order) / row_group), F.lit(world)).cast("int"))
 
 
-def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str = "crop", long_docs: str = "skip") -> DataFrame:
-    """``docs(rank, ord, doc_id, n)`` -> rank, row, slot, doc_id, start, used: where each document went.
+def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str = "crop") -> DataFrame:
+    """``docs(rank, ord, doc_id, n)`` -> rank, row, slot, doc_id, start, used, n: where each document went, and its tokens.
 
-    A rank is one task's work and its buffer that task's memory, so ranks have
+    ``used`` below ``n`` is a document that was cut. A null ``n`` is none. Rows of one id are
+    documents of their own. A rank is one task's work and its buffer that task's memory, so ranks have
     to grow with the data; ``ranks`` deals row groups to them as readers do.
     """
-    schema = "rank int, row long, slot int, doc_id long, start int, used int"
+    schema = "rank int, row long, slot int, doc_id long, start int, used int, n long"
 
     def group(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def stream() -> Iterator[tuple[int, object]]:
             for f in frames:
-                yield from ((int(n), int(d)) for d, n in zip(f["doc_id"], f["n"], strict=True))
+                yield from ((int(n), (d, int(n))) for d, n in zip(f["doc_id"].astype("Int64"), f["n"], strict=True))
+
+        def frame(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["rank", "row", "slot", "doc_id", "start", "used", "n"]).astype({"doc_id": "Int64"})
 
-        columns = ["rank", "row", "slot", "doc_id", "start", "used"]
         out = []
-        for k, row in enumerate(pack_stream(stream(), capacity, buffer_size, mode, long_docs)):
+        for k, row in enumerate(pack_stream(stream(), capacity, buffer_size, mode)):
             at = 0
-            for slot, (doc, used) in enumerate(row):
-                out.append((key[0], k, slot, doc, at, used))
+            for slot, ((doc, n), used) in enumerate(row):
+                out.append((key[0], k, slot, doc, at, used, n))
                 at += used
             if len(out) > 20_000:
-                yield pd.DataFrame(out, columns=columns)
+                yield frame(out)
                 out = []
-        yield pd.DataFrame(out, columns=columns)
+        yield frame(out)
 
-    ordered = docs.select("rank", "ord", "doc_id", "n").repartition("rank").sortWithinPartitions("rank", "ord")
+    sized = F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")
+    ordered = docs.select("rank", "ord", "doc_id", sized).repartition("rank").sortWithinPartitions("rank", "ord", "doc_id", "n")
     return ordered.groupBy("rank").applyInPandas(group, schema)
 
 
@@ -132,12 +136,19 @@ def padded(places: DataFrame, docs: DataFrame, capacity: int, fill: int) -> Data
 
 
 def accounting(places: DataFrame, docs: DataFrame, capacity: int) -> DataFrame:
-    """Utilisation, and cropped and padded shares of a packing."""
-    rows = places.agg(F.countDistinct("rank", "row").alias("rows"), F.sum("used").alias("used"))
-    lost = places.join(docs.select("doc_id", "n"), "doc_id").agg(F.sum(F.col("n") - F.col("used")).alias("cropped"), F.sum("n").alias("tokens"))
-    both = rows.crossJoin(lost)  # one row each
+    """rows, utilisation, cropped and padded shares of a packing of ``docs(n)``, and n_documents, n_truncated, n_unplaced.
+
+    ``cropped`` is the share of all documents' tokens that no row holds: the ends of those that
+    were cut, and the documents that found no place. Shares of nothing are null.
+    """
+    rows = places.agg(F.countDistinct("rank", "row").alias("rows"), F.coalesce(F.sum("used"), F.lit(0)).alias("used"), F.count("*").alias("placed"), F.count_if(F.col("used") < F.col("n")).alias("n_truncated"))
+    whole = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("n_documents"))
+    both = rows.crossJoin(whole)  # one row each
     full = F.col("rows") * capacity
-    return both.select("rows", (F.col("used") / full).alias("utilisation"), (F.col("cropped") / F.col("tokens")).alias("cropped"), ((full - F.col("used")) / full).alias("padded"))
+    return both.select(
+        "rows", F.try_divide("used", full).alias("utilisation"), F.try_divide(F.col("tokens") - F.col("used"), "tokens").alias("cropped"), F.try_divide(full - F.col("used"), full).alias("padded"),
+        "n_documents", "n_truncated", (F.col("n_documents") - F.col("placed")).alias("n_unplaced"),
+    )
 
 
 def length_batches(docs: DataFrame, budget: int, group: str) -> DataFrame:

@@ -320,7 +320,7 @@ def compact_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").select("doc_id", (F.octet_length("text") + 1).cast("int").alias("n"))
+    docs = S.table(spark, d, "documents").select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("int").alias("n"))
     return P.ranks(docs.withColumn("ord", F.col("doc_id")), "ord", row_group=16)
 
 
@@ -332,9 +332,21 @@ def pack_crop(spark: SparkSession, d: str) -> DataFrame:
 
 @query("pack_pad")
 def pack_pad(spark: SparkSession, d: str) -> DataFrame:
+    """Best-fit rows of 2048 with padding: every document has a place, those above 2048 their first part."""
     return P.packed(_ranked(spark, d), 2048, 100, "pad")
 
 
+@query(
+    "pack_pad_totals",
+    """WITH d AS (SELECT ((doc_id // 16) % greatest(8, ceil((SELECT count(*) FROM documents) / 65536.0)))::INT AS rank, strlen(coalesce(text, '')) + 1 AS n FROM documents)
+    SELECT rank, count(*) AS documents, sum(n)::BIGINT AS tokens, sum(least(n, 2048))::BIGINT AS used, count(*) FILTER (n > 2048) AS n_truncated FROM d GROUP BY rank""",
+)
+def pack_pad_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What each rank's padded rows hold: no document is missing, and those above 2048 tokens are counted."""
+    places = P.packed(_ranked(spark, d), 2048, 100, "pad")
+    return places.groupBy("rank").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"), F.sum("used").alias("used"), F.count_if(F.col("used") < F.col("n")).alias("n_truncated"))
+
+
 @query("pack_accounting")
 def pack_accounting(spark: SparkSession, d: str) -> DataFrame:
     docs = _ranked(spark, d)

@@ -76,19 +76,35 @@ def test_packers_over_the_corpus(spark, sf_dir, texts, query, capacity, size, mo
     for rank in range(world):
         docs = [i for i in sorted(texts) if i // 16 % world == rank]
         lengths = [len(texts[i].encode()) + 1 for i in docs]
-        kept = [(i, n) for i, n in zip(docs, lengths, strict=True) if mode == "crop" or n <= capacity]
-        for row, members in enumerate(plain_pack([n for _, n in kept], capacity, size, mode)):
+        fits = [n if mode == "crop" else min(n, capacity) for n in lengths]
+        for row, members in enumerate(plain_pack(fits, capacity, size, mode)):
             at = 0
             for slot, (k, used) in enumerate(members):
-                want.add((rank, row, slot, kept[k][0], at, used))
+                want.add((rank, row, slot, docs[k], at, used, lengths[k]))
                 at += used
-    assert {tuple(r) for r in query(spark, sf_dir).collect()} == want
+    got = {tuple(r) for r in query(spark, sf_dir).collect()}
+    assert got == want
+    if mode == "pad":
+        assert {r[3] for r in got} == set(texts)
 
 
-def test_long_documents_stay_out_or_are_cut():
-    docs = [(5, "a"), (40, "b"), (3, "c")]
-    assert [d for row in P.pack_stream(iter(docs), 16, 8, "pad") for d, _ in row] == ["a", "c"]
-    assert list(P.pack_stream(iter(docs), 16, 8, "pad", "cut")) == [[("b", 16)], [("a", 5), ("c", 3)]]
+def test_long_documents_are_cut():
+    docs = [(5, "a"), (40, "b"), (3, "c"), (0, "none")]
+    assert list(P.pack_stream(iter(docs), 16, 8, "pad")) == [[("b", 16)], [("a", 5), ("c", 3)]]
+
+
+def test_packing_of_odd_rows(spark):
+    """Rows of one id, null ids, documents without tokens, and none at all."""
+    rows = [(0, 0, 5, 3), (0, 1, 5, 3), (0, 2, None, 20), (0, 3, 7, 0), (0, 4, 8, None)]
+    docs = spark.createDataFrame(rows, "rank int, ord long, doc_id long, n int")
+    places = P.packed(docs, 8, 10, "pad")
+    assert sorted((r["doc_id"] or -1, r["used"], r["n"]) for r in places.collect()) == [(-1, 8, 20), (5, 3, 3), (5, 3, 3)]
+    a = P.accounting(places, docs, 8).first()
+    assert (a["rows"], a["n_documents"], a["n_truncated"], a["n_unplaced"]) == (2, 5, 1, 2) and a["cropped"] == 12 / 26
+    crop = P.accounting(P.packed(docs, 8, 10, "crop"), docs, 8).first()
+    assert crop["rows"] == 1 and crop["n_unplaced"] == 2 and crop["cropped"] == 18 / 26
+    none = docs.where("false")
+    assert tuple(P.accounting(P.packed(none, 8), none, 8).first()) == (0, None, None, None, 0, 0, 0)
 
 
 def test_pack_accounting(spark, sf_dir, texts):
@@ -97,8 +113,9 @@ def test_pack_accounting(spark, sf_dir, texts):
         places = (tokens.pack_crop if r["mode"] == "crop" else tokens.pack_pad)(spark, sf_dir).toPandas()
         rows = places.groupby(["rank", "row"])["used"].sum()
         assert r["rows"] == len(rows) and abs(r["utilisation"] - rows.sum() / 2048 / len(rows)) < 1e-9
-        lost = sum(len(texts[i].encode()) + 1 for i in places["doc_id"]) - places["used"].sum()
-        assert abs(r["cropped"] * sum(len(texts[i].encode()) + 1 for i in places["doc_id"]) - lost) < 1e-3 and total >= lost
+        lost = total - places["used"].sum()
+        assert abs(r["cropped"] * total - lost) < 1e-3 and r["n_documents"] == len(texts) and r["n_unplaced"] == len(texts) - len(places)
+        assert r["n_truncated"] == (places["used"] < places["n"]).sum() and (r["mode"] == "crop" or r["n_unplaced"] == 0)
 
 
 def test_fits(spark, sf_dir):

@@ -17,5 +17,5 @@ def test_query_without_sql_runs(name, spark, sf_dir):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["rows", "utilisation", "cropped", "padded", "mode"]
+    assert entry.entry(spark).columns == ["rows", "utilisation", "cropped", "padded", "n_documents", "n_truncated", "n_unplaced", "mode"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
