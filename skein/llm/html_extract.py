@@ -3,7 +3,11 @@
 A page is parsed into a tree of elements and text leaves. Each node gets
 features of its own and of its subtree: text and link density, tag and
 attribute tokens, depth, place among its siblings and in the page, and what its
-ancestors are. Boosted trees give each node a chance of holding main text. The
+ancestors are. An element that holds the headline and a good part of the page
+says nothing against what is in it, whatever it is called (a body of class
+``has-sidebar``, a form around the whole page); names that state something
+(``no-sidebar``, ``ad-free``) are no noise; what follows a heading like "3
+Comments" in its parent is seen as such without any name. Boosted trees give each node a chance of holding main text. The
 decoding is hierarchical: a node that is dropped drops all below it, so the
 choice is the best consistent labelling of the whole tree, found bottom-up,
 and no text can be kept under a dropped ancestor.
@@ -47,6 +51,18 @@ BAD_TOKENS = frozenset(
 )
 GOOD_TOKENS = frozenset("article articlebody body content entry main post story text prose blog page paragraph lead chapter".split())
 
+#: Parts that make a name speak about the page or a state instead of saying what the element is: ``no-sidebar``, ``ad-free``, ``comments-open``.
+STATE_FIRST = frozenset("no not non has have with without is hide show enable disable".split())
+STATE_LAST = frozenset("on off open opened closed enable enabled disabled free active visible hidden".split())
+#: Short lines that head a thread of comments, with or without their number.
+COMMENT_HEAD = re.compile(
+    r"\W*(?:\d+\s+(?:comments?|replies|responses?|kommentare?|antworten|comentarios?|respuestas?|commentaires?|réponses?)"
+    r"|(?:(?:reader|user|leser)\s*)?(?:comments?|kommentare|comentarios|commentaires)(?:\s*\(?\d+\)?)?|leave a (?:reply|comment)|join the (?:discussion|conversation))\W*",
+    re.I,
+)
+_TITLE = re.compile(r"<title(?=[\s>])[^>]{0,1000}>", re.I)
+_TITLE_END = re.compile(r"</title", re.I)
+
 #: What may stand in a head; any other tag, and text, ends it where its end tag is left out (fixed values).
 IN_HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 #: Elements that are skipped whole where their end tag is there (fixed values).
@@ -74,7 +90,7 @@ _NONE: frozenset = frozenset()
 class Page:
     """The nodes of a page in page order, which is the tree's preorder, as parallel lists."""
 
-    __slots__ = ("tag", "parent", "text", "block", "tokens", "above", "chars", "stops", "depth", "bad", "good", "end")
+    __slots__ = ("tag", "parent", "text", "block", "tokens", "above", "own", "chars", "stops", "depth", "bad", "good", "end", "title")
 
     def __init__(self) -> None:
         self.tag: list[str] = []
@@ -83,12 +99,14 @@ class Page:
         self.block: list[int] = []
         self.tokens: list[frozenset] = []
         self.above: list[int] = []  # bits of ``_UP``, of the node and its ancestors
+        self.own: list[int] = []  # bits of the node alone
         self.chars: list[int] = []
         self.stops: list[int] = []
         self.depth: list[int] = []
-        self.bad: list[int] = []  # attribute tokens of the node and its ancestors
+        self.bad: list[int] = []  # attribute tokens of the node
         self.good: list[int] = []
         self.end: list[int] = []  # one more than the last node below
+        self.title = ""
 
     def add(self, tag: str, parent: int, text: str, block: int, tokens: frozenset, bits: int, chars: int = 0, stops: int = 0) -> None:
         self.tag.append(tag)
@@ -98,11 +116,12 @@ class Page:
         self.tokens.append(tokens)
         top = parent < 0
         self.above.append(bits if top else bits | self.above[parent])
+        self.own.append(bits)
         self.chars.append(chars)
         self.stops.append(stops)
         self.depth.append(0 if top else self.depth[parent] + 1)
-        self.bad.append((0 if top else self.bad[parent]) + (len(tokens & BAD_TOKENS) if tokens else 0))
-        self.good.append((0 if top else self.good[parent]) + (len(tokens & GOOD_TOKENS) if tokens else 0))
+        self.bad.append(len(tokens & BAD_TOKENS) if tokens else 0)
+        self.good.append(len(tokens & GOOD_TOKENS) if tokens else 0)
         self.end.append(len(self.tag))
 
 
@@ -114,7 +133,18 @@ def _attributes(attrs: str) -> tuple[frozenset, bool]:
             words.append(a or b or c)
         elif name == "hidden" or (name == "style" and "display:none" in (a or b or c).replace(" ", "").lower()):
             hidden = True
-    return frozenset(w.lower() for w in _SPLIT.split(" ".join(words)) if w), hidden
+    return frozenset(part for name in " ".join(words).split() for part in _parts(name)), hidden
+
+
+def _parts(name: str) -> list[str]:
+    """The words of a name, without noise words where it states something about the page (``no-sidebar``) or heads the article (``post-header``)."""
+    parts = [w.lower() for w in _SPLIT.split(name) if w]
+    if len(parts) > 1:
+        if parts[0] in STATE_FIRST or parts[-1] in STATE_LAST:
+            return [w for w in parts if w not in BAD_TOKENS]
+        if "header" in parts and not GOOD_TOKENS.isdisjoint(parts):
+            return [w for w in parts if w != "header"]
+    return parts
 
 
 def parse(page: str) -> Page:
@@ -124,6 +154,8 @@ def parse(page: str) -> Page:
     of each tag in the stack, so end tags and implied ends are found at once.
     """
     out = Page()
+    if (named := _TITLE.search(page)) and (closed := _TITLE_END.search(page, named.end())):
+        out.title = " ".join(htmllib.unescape(page[named.end() : closed.start()]).split())
     tags, end, add = out.tag, out.end, out.add
     stack: list[int] = []
     where: dict[str, list[int]] = {}
@@ -209,6 +241,30 @@ def parse(page: str) -> Page:
 
 _TAGS = ("#text", "p", "div", "li", "a", "h1", "h2", "h3", "td", "span", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "table", "blockquote", "figure")
 _TAG_AT = {t: i for i, t in enumerate(_TAGS)}
+#: Elements whose tag speaks against what is below them, unless they hold the article itself.
+_NOISE = frozenset("nav header footer aside form".split())
+
+
+def _mark(page: Page, first: int, chars: np.ndarray, zone: np.ndarray, titled: np.ndarray) -> None:
+    """Mark what follows a comments' heading in its parent (as +1 where it begins and -1 behind it), and text that is the page's title."""
+    title, parent, end, kept_to = page.title, page.parent, page.end, 0
+    for k, t in enumerate(page.text):
+        if not t or k < kept_to or len(t) > 4 * len(title) + 80:
+            continue
+        t = t.strip()
+        if not t:
+            continue
+        if len(t) > 3 and title and (t == title or len(t) > 12 and (title.startswith(t) or t.startswith(title))):
+            titled[first + k] = 1
+        if len(t) < 60 and COMMENT_HEAD.fullmatch(t):
+            top = k
+            while parent[top] >= 0 and chars[first + parent[top]] == chars[first + k]:
+                top = parent[top]
+            up = parent[top]
+            kept_to = end[up] if up >= 0 else len(page.tag)  # zones of one page do not overlap
+            zone[first + top] += 1
+            if first + kept_to < len(zone):
+                zone[first + kept_to] -= 1
 
 
 def features(pages: list[Page]) -> np.ndarray:
@@ -227,14 +283,20 @@ def features(pages: list[Page]) -> np.ndarray:
     up = np.where(root, np.arange(n), parent + first)
     tag = np.array([_TAG_AT.get(t, -1) for p in pages for t in p.tag])
     chars, stops, above = (np.array([v for p in pages for v in getattr(p, name)], dtype=np.int64) for name in ("chars", "stops", "above"))
-    depth, bad_up, good_up, end = (np.array([v for p in pages for v in getattr(p, name)], dtype=np.int64) for name in ("depth", "bad", "good", "end"))
+    depth, bad, good, end, own_bits = (np.array([v for p in pages for v in getattr(p, name)], dtype=np.int64) for name in ("depth", "bad", "good", "end", "own"))
     end = end + first
-    bad, good = (np.where(root, x, x - x[up]).astype(float) for x in (bad_up, good_up))
 
     def below(x: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0.0], np.cumsum(x)])
         return total[end] - total[:-1]
 
+    def around(x: np.ndarray) -> np.ndarray:
+        """Sums of ``x`` over a node and its ancestors: a node counts from its place to its end."""
+        change = np.zeros(n + 1)
+        change[:n] += x
+        np.subtract.at(change, end, x)
+        return np.cumsum(change)[:n]
+
     is_text = tag == 0
     seen = np.cumsum(chars) - chars
     seen = seen - seen[first]
@@ -244,6 +306,19 @@ def features(pages: list[Page]) -> np.ndarray:
     stops, tags, pars = below(stops), below(~is_text), below(tag == 1)
     heads = below((tag >= 5) & (tag <= 7))
     total = np.maximum(1.0, np.bincount(first, own, minlength=n)[first])
+    # what holds the headline and a good part of the page is no noise, whatever its tag and attributes say: they speak of the page
+    anchors = below(tag == 5)
+    headless = np.bincount(first, tag == 5, minlength=n)[first] == 0
+    outer = ~is_text & (np.where(headless, chars >= 0.6 * total, (anchors > 0) & (chars >= 0.3 * total)) | (depth < 2) & (chars >= 0.3 * total))
+    minor = ~outer
+    quote = tag == _TAG_AT["blockquote"]  # a quotation may be named for what it quotes: a reply, a comment
+    bad, good = bad * (minor & ~quote), good.astype(float)
+    bad_up, good_up = around(bad), around(good)
+    bits = [around(((own_bits >> i) & 1) * minor) > 0 if name in _NOISE else (above >> i) & 1 for i, name in enumerate(_UP)]
+    zone, titled = np.zeros(n), np.zeros(n)
+    for k, p in zip(np.cumsum([0, *sizes[:-1]]), pages, strict=True):
+        _mark(p, k, chars, zone, titled)
+    zone, titled = np.cumsum(zone) > 0, below(titled)
     # siblings: nodes with one parent; roots of a page are siblings too
     key = np.where(root, n + first, up)
     by = np.argsort(key, kind="stable")
@@ -261,7 +336,7 @@ def features(pages: list[Page]) -> np.ndarray:
     nxt[by[:-1][same]] = chars[by[1:][same]]
     _, kind, often = np.unique(group * 64 + tag + 1, return_inverse=True, return_counts=True)
     return np.stack([
-        tag, *(((above >> i) & 1) for i in range(8)), nth / np.maximum(1, m - 1), chars / np.maximum(1, among), often[kind] / m, depth, chars / total, links / np.maximum(1, chars),
+        tag, *bits[:8], zone, np.minimum(titled, 2), anchors > 0, outer, nth / np.maximum(1, m - 1), chars / np.maximum(1, among), often[kind] / m, depth, chars / total, links / np.maximum(1, chars),
         stops / np.maximum(1, chars), chars / (tags + 1), bad, good, bad_up, good_up, seen / total, links[up] / np.maximum(1, chars[up]), chars[up] / (tags[up] + 1), heads,
         *np.log1p([among / m, prev, nxt, m, chars, tags, pars, chars[up], pars[up], end - np.arange(n)]),
     ], axis=1)
@@ -365,8 +440,12 @@ def kept_text(page: Page, keep: list[bool]) -> str:
 # ------------------------------------------------------------ training pages
 
 
-def training_page(rng: random.Random) -> str:
-    """A page whose main text sits in elements with the attribute ``data-main``."""
+def training_page(rng: random.Random, odd: bool = True) -> str:
+    """A page whose main text sits in elements with the attribute ``data-main``.
+
+    ``odd`` pages may have no element around the main text, wrappers and bodies named for noise,
+    forms around everything, headlines in headers, and comments that no name tells.
+    """
     vocabulary = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(rng.randint(1, 9))) for _ in range(300)]
 
     def words(lo: int, hi: int) -> str:
@@ -396,13 +475,25 @@ def training_page(rng: random.Random) -> str:
         return f'<form action="/s"><label>{words(1, 4)}</label><input name="q"><p>{words(3, 14)}</p><button>{words(1, 2)}</button></form>'
 
     def comments() -> str:
-        item = lambda: rng.choice([f'<div class="comment"><b>{words(1, 2)}</b><p>{words(4, 60)}</p></div>', f'<li class="comment-item"><p>{words(4, 50)}</p></li>', f'<article class="comment"><p>{words(4, 60)}</p></article>'])
-        body = "".join(item() for _ in range(rng.randint(1, 8)))
-        return rng.choice([f'<section id="comments"><h2>{words(1, 3)}</h2>{body}</section>', f'<div class="comments">{body}</div>', f'<div id="disqus_thread"><ol class="comment-list">{body}</ol></div>'])
+        n = rng.randint(1, 8)
+        if odd and rng.random() < 0.4:  # no name tells them: a heading and what follows it
+            count = f"{n} " if rng.random() < 0.6 else ""
+            said = rng.choice(["Comments", "comments", "Comments:", "replies", "Kommentare", "comentarios", "commentaires"] if count else ["Comments", f"Comments ({n})", "Kommentare", "Comentarios", "Commentaires", "Leave a reply"])
+            head = rng.choice(["<h2>{}</h2>", "<h3>{}</h3>", "<h4>{}</h4>", "<p><b>{}</b></p>", "<div>{}</div>"]).format(count + said)
+            one = rng.choice(["<p>{}</p>", "<div>{}</div>", "<div><b>" + words(1, 2) + "</b><p>{}</p></div>", "<li>{}</li>"])
+            body = head + "".join(one.format(words(3, 60)) for _ in range(n))
+            return rng.choice(["<div>{}</div>", "<section>{}</section>", "{}"]).format(body)
+        item = lambda: rng.choice([f'<div class="comment"><b>{words(1, 2)}</b><p>{words(4, 60)}</p></div>', f'<li class="comment-item"><p>{words(4, 50)}</p></li>', f'<article class="comment"><p>{words(4, 60)}</p></article>', f'<div class="reply"><p>{words(4, 60)}</p></div>'])
+        body = "".join(item() for _ in range(n))
+        return rng.choice([f'<section id="comments"><h2>{words(1, 3)}</h2>{body}</section>', f'<div class="comments">{body}</div>', f'<div id="disqus_thread"><ol class="comment-list">{body}</ol></div>', f'<div class="comments"><h3>{n} Comments</h3>{body}</div>'])
 
     def main_block() -> str:
         r = rng.random()
         text = words(1, 120) if rng.random() < 0.8 else words(1, 6)
+        if odd and rng.random() < 0.06:  # a word of noise on an element that is none
+            tag, name = rng.choice(["blockquote", "blockquote", "p", "h2", "figure", "table", "ul", "pre"]), rng.choice(["reply", "alert", "notice", "share", "promo", "related", "follow", "comment", "side", "banner"])
+            inner = {"ul": f"<li>{text}</li>", "table": f"<tr><td>{words(1, 9)}</td><td>{words(1, 9)}</td></tr>"}.get(tag, text)
+            return f'<{tag} class="{name}">{inner}</{tag}>'
         if r < 0.55:
             return f"<p>{text}</p>"
         if r < 0.63:
@@ -423,35 +514,58 @@ def training_page(rng: random.Random) -> str:
             return f"<div>{words(3, 60)}</div>"
         return f"<figure><img src='x.png'><figcaption>{words(2, 12)}</figcaption></figure>"
 
-    parts = [f"<h1>{words(1, 12)}</h1>"] + [main_block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 30]))]
+    title = words(1, 12)
+    bare = odd and rng.random() < 0.12  # no element around the main text, perhaps nothing but divisions
+    plain = bare and rng.random() < 0.6
+    head1 = f"<div>{title}</div>" if plain else f"<h2>{title}</h2>" if odd and rng.random() < 0.05 else f"<h1>{title}</h1>"
+    if odd and not plain and rng.random() < 0.3:
+        line = rng.choice(["", f"<p>{words(1, 6)}</p>", f"<span>{words(1, 4)}</span>"])
+        head1 = rng.choice(["<header>{}</header>", '<div class="article-header">{}</div>', '<div class="post-header">{}</div>', '<header class="entry-header">{}</header>', '<div class="header">{}</div>', "<div>{}</div>", "<hgroup>{}</hgroup>"]).format(head1 + line)
+    parts = [head1] + [f"<div>{words(5, 90)}</div>" if plain else main_block() for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 14, 30]))]
     noise = [advert, notice, side, form, lambda: f'<div class="{rng.choice(["share", "social", "tags", "related"])}">{link()} {link()}</div>']
+
+    def marked(html: str) -> str:
+        return re.sub(r"<([a-z0-9]+)", r"<\1 data-noise", html, count=1) if html.startswith("<") else html
+
+    def marked_all(html: str) -> str:
+        """Every outermost element marked, for noise that has no element around it."""
+        return f"<span data-noise>{html}</span>" if not html.startswith(("<div", "<section", "<aside", "<form")) else marked(html)
+
     inside = list(parts)
-    if rng.random() < 0.3:
-        inside.insert(rng.randint(1, len(inside)), f"<!--x-->{rng.choice(noise)()}".replace("<div ", "<div data-noise ", 1).replace("<aside", "<aside data-noise", 1).replace("<form", "<form data-noise", 1).replace("<section ", "<section data-noise ", 1))
+    if not bare and rng.random() < 0.3:
+        inside.insert(rng.randint(1, len(inside)), f"<!--x-->{marked(rng.choice(noise)())}")
     body = "".join(inside)
-    if rng.random() < 0.1:
-        body += "</b>" * 3 + comments().replace("<section ", "<section data-noise ", 1).replace("<div ", "<div data-noise ", 1)
-    wrap = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div class="post"', 'div id="main"', 'div class="entry-content"', 'div class="story-body"', "section", "div"])
-    article = f"<{wrap} data-main>{body}</{wrap.split()[0]}>"
-    if rng.random() < 0.3:
+    if not bare and rng.random() < 0.15:
+        body += "</b>" * 3 + marked_all(comments())
+    if bare:
+        article = "".join(re.sub(r"<([a-z0-9]+)", r"<\1 data-main", x, count=1) for x in parts)
+    else:
+        wrap = rng.choice(["article", "article", "article", "main", 'div class="content"', 'div class="post"', 'div id="main"', 'div class="entry-content"', 'div class="story-body"', 'div id="content"', "section", "div"])
+        article = f"<{wrap} data-main>{body}</{wrap.split()[0]}>"
+    states = ["has-sidebar", "no-sidebar", "comments-open", "search-enabled", "with-footer", "banner-on", "ad-free", "has-comments", "notice", "main has-comments", "sidebar", "promo", "header-fixed", "content with-menu"]
+    if not bare and rng.random() < 0.3:
         article = f'<div class="{rng.choice(["wrapper", "container", "page", "row", "main"])}">{article}{side() if rng.random() < 0.4 else ""}</div>'
+    if odd and not bare and rng.random() < 0.2:
+        article = rng.choice([f'<div class="{rng.choice(states)}">{{}}</div>', "<form>{}</form>", "<aside>{}</aside>", "<div>{}</div>", "<header>{}</header>"]).format(article)
     head = f"<header><a href='/'>{words(1, 3)}</a>{menu() if rng.random() < 0.5 else ''}</header>" if rng.random() < 0.4 else ""
     foot = rng.choice([f"<footer>&copy; {words(1, 3)} &middot; {words(2, 20)}</footer>", f'<div class="footer"><p>{words(2, 30)}</p>{link()}</div>', f'<div id="footer">{menu()}<p>{words(2, 12)}</p></div>', f"<footer><p>{words(2, 30)}</p></footer>"])
     before = "".join(f() for f in rng.sample([menu, advert, notice, form, side], rng.randint(0, 3)))
     after = "".join(f() for f in rng.sample([comments, advert, side, form, notice], rng.randint(0, 3)))
-    return f"<!DOCTYPE html><html><head><title>{words(1, 9)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body>{head}{before}{article}{after}{foot}</body></html>"
-
-
-_MAIN = re.compile(r"<([a-z0-9]+)((?: [a-z]+=\"[^\"]*\")*) data-(main|noise)")
+    body = f"{head}{before}{article}{after}{foot}"
+    if odd and rng.random() < 0.15:
+        body = f'<form method="post" action="./page.aspx">{body}</form>'
+    named = f' class="{rng.choice(states)} {rng.choice(states)}"' if odd and rng.random() < 0.3 else ""
+    shown = rng.choice([title, title, f"{title} | {words(1, 3)}", words(1, 9)])
+    return f"<!DOCTYPE html><html><head><title>{shown}</title><style>p{{}}</style><script>var t='</p>';</script></head><body{named}>{body}</body></html>"
 
 
-def training_rows(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of generated pages."""
+def training_rows(pages: int, seed: int, odd: float = 0.6) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the nodes of generated pages, of which a share is ``odd``."""
     rng = random.Random(seed)
     parsed, labels = [], []
     for _ in range(pages):
         # marks move into an attribute that the parser reads, and out of the tokens again
-        html = training_page(rng).replace(" data-main", " itemprop='zzmain'").replace(" data-noise", " itemprop='zznoise'")
+        html = training_page(rng, rng.random() < odd).replace(" data-main", " itemprop='zzmain'").replace(" data-noise", " itemprop='zznoise'")
         page = parse(html)
         y = np.zeros(len(page.tag))
         for k, tokens in enumerate(page.tokens):
@@ -469,7 +583,7 @@ def training_rows(pages: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @functools.lru_cache(maxsize=1)
-def fitted(pages: int = 400, seed: int = 5) -> Boosted:
+def fitted(pages: int = 500, seed: int = 5) -> Boosted:
     return Boosted().fit(*training_rows(pages, seed))
 
 

@@ -277,6 +277,60 @@ def test_layouts_that_no_generator_made(name):
     assert lines[:2] == ["A head line of the page", "This is sentence 0 of the article, and it goes on for a while."] and len(lines) == 21
 
 
+HEAD = "A headline of some words"
+NAV = "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>"
+FOOT = "<footer>&copy; 2020 Some Site</footer>"
+SAID = ["The first paragraph says a few words, with a comma and a stop.", "Another one follows it and goes on for a while, so that there is text to be found."]
+TALK = "<div><h3>3 Comments</h3><p>Great read, thanks a lot for it.</p><p>I do not agree with the second point.</p><p>Me too.</p></div>"
+SIDE = "<div class='sidebar'><h3>Latest</h3><p>Read our other text now.</p><ul><li><a href=/x>One</a></li></ul></div>"
+
+
+def whole_page(body, name=""):
+    return f"<html><head><title>{HEAD}</title></head><body{name and f' class={chr(34)}{name}{chr(34)}'}>{body}</body></html>"
+
+
+def hand_written(k):
+    """Pages of ``2 * k`` paragraphs and the lines that belong to the article."""
+    ps = SAID * k
+    text = "".join(f"<p>{p}</p>" for p in ps)
+    lines, h1 = [HEAD, *ps], f"<h1>{HEAD}</h1>"
+    art = f'<div id="content">{h1}{text}</div>'
+    for name in ("comments-open", "has-sidebar", "no-sidebar", "search-enabled", "with-footer banner-on", "single header-fixed", "page sidebar-right", "notice"):
+        yield f"body {name}", whole_page(NAV + art + FOOT, name), lines
+        yield f"body {name}, nothing else", whole_page(art, name), lines
+    for tag in ('form method="post" action="./d.aspx"', "aside", 'div class="ad-free"', 'div class="notice"', 'div class="main has-comments"', 'div class="sidebar-layout"'):
+        end = f"</{tag.split()[0]}>"
+        yield f"inside {tag}", whole_page(f"{NAV}<{tag}>{art}{end}{FOOT}"), lines
+        yield f"all inside {tag}", whole_page(f"<{tag}>{NAV}{art}{FOOT}{end}"), lines
+        yield f"only {tag}", whole_page(f"<{tag}>{art}{end}"), lines
+    for tag in ('div class="article-header"', 'div class="post-header"', "header", 'header class="entry-header"'):
+        yield f"headline in {tag}", whole_page(f"{NAV}<article><{tag}>{h1}</{tag.split()[0]}>{text}</article>{FOOT}"), lines
+    rest = text.replace(f"<p>{SAID[0]}</p>", "", 1)
+    for tag in ("blockquote class=reply", "blockquote", "pre", "div class=caption"):
+        inner = f"<{tag}>A quoted answer stands here.</{tag.split()[0]}>"
+        yield f"{tag} inside", whole_page(f"{NAV}<article>{h1}<p>{SAID[0]}</p>{inner}{rest}</article>{FOOT}"), [*lines[:2], "A quoted answer stands here.", *lines[2:]]
+    yield "table inside", whole_page(f"{NAV}<article>{h1}{text}<table><tr><td>Year</td><td>1990</td></tr></table></article>{FOOT}"), [*lines, "Year", "1990"]
+    yield "definitions inside", whole_page(f"{NAV}<article>{h1}{text}<dl><dt>Word</dt><dd>What it says.</dd></dl></article>{FOOT}"), [*lines, "Word", "What it says."]
+    for noise in ("<div class=ad>Buy this now, it is cheap.</div>", "<div class='share'><a href=/f>Like</a> <a href=/t>Post</a></div>", "<aside class=promo><p>Our shop has it all.</p></aside>", "<form><input name=q><button>Go</button></form>"):
+        yield f"noise inside: {noise[:12]}", whole_page(f"{NAV}<article>{h1}<p>{SAID[0]}</p>{noise}{rest}</article>{FOOT}"), lines
+    yield "comments without a name", whole_page(f"{NAV}<article>{h1}{text}</article>{TALK}{FOOT}"), lines
+    yield "comments without a name beside", whole_page(f"{NAV}<div><div>{h1}{text}</div>{TALK}</div>{FOOT}"), lines
+    yield "comments in the article", whole_page(f"{NAV}<article>{h1}{text}{TALK}</article>{FOOT}"), lines
+    yield "comments by name", whole_page(f"{NAV}<main>{h1}{text}</main><section id=comments><h2>Talk</h2><div class=comment><p>Great read, thanks.</p></div><div class=comment><p>Me too, I say.</p></div></section>{FOOT}"), lines
+    yield "sidebar", whole_page(f"{NAV}<div class=wrap><div class=content>{h1}{text}</div>{SIDE}</div>{FOOT}"), lines
+    divs = "".join(f"<div>{x}</div>" for x in lines)
+    yield "bare divisions", whole_page(divs), lines
+    yield "bare divisions and comments", whole_page(divs + "<div>3 Comments</div><div>Great read, thanks a lot for it.</div><div>I do not agree.</div>"), lines
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_hand_written_pages(k):
+    cases = list(hand_written(k))
+    assert len(cases) > 45
+    got = H.extract([page for _, page, _ in cases], H.fitted())
+    assert {name: text.split("\n") for (name, _, _), text in zip(cases, got, strict=True)} == {name: lines for name, _, lines in cases}
+
+
 @pytest.mark.parametrize("page", ["<div>" * 100_000 + "x", "<p>a</b>" * 50_000, "<p><button>" + "<ul>" * 50_000, "<svg>" * 20_000, "<ul>" + "<span>" * 30_000 + "<li></li>" * 30_000, "<p title=don't>a " * 20_000])
 def test_deep_and_broken_pages_take_linear_time(page):
     H.fitted()
