@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.window import Window
 from ..functions import tokens as K
 from ..operators import packing as P
 from ..operators import store as A
+from ..session import shared_folder
+from ..sources import stores as R
 from ..sources import tables as S
 from .registry import query
 
@@ -262,3 +265,22 @@ def tool_use(spark: SparkSession, d: str) -> DataFrame:
     for byte, special in marks.items():
         token = F.when(F.col("token") == byte, special).otherwise(token)
     return continued(log.withColumn("token", token)).groupBy("sample").agg(F.count("*").alias("n"), F.count_if(F.col("mask") == 0).alias("forced"), F.max("done").alias("done"))
+
+
+_PROBE = {"zero": [[0.25] * 32, [0.5] * 32], "scale": [[0.5] * 32, [0.25] * 32]}
+_PROBE_STATS = {"mean": [[1.0] * 32, [2.0] * 32], "std": [[2.0] * 32, [4.0] * 32]}
+
+
+@query(
+    "score_shards",
+    """WITH q AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(-128, least(127, round(x::DOUBLE * 200, 0)))) AS q FROM embeddings)
+    SELECT (vec_id % 3)::INT AS shard, vec_id // 3 AS row, 1::INT AS n, i::INT AS concept, round((q[33 + i] * 0.25 + 0.5 - 2.0) / 4.0, 4)::DOUBLE AS score FROM q, range(32) r(i)""",
+)
+def score_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written as int8 score files of two layers in three shards, and the second layer read back from these, standardised."""
+    path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    q = F.transform("embedding", lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("double") * 200))).cast("tinyint"))
+    rows = S.table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("shard"), F.floor(F.col("vec_id") / 3).alias("row"), F.lit(1).alias("n"), q.alias("q"))
+    R.write_scores(rows, path, [4, 8], [f"c{i}" for i in range(32)], _PROBE, _PROBE_STATS)
+    read = R.read_scores(spark, path, [0, 1, 2], layer=8)
+    return read.select("shard", "row", "n", F.posexplode("values").alias("concept", "score")).withColumn("score", F.round(F.col("score").cast("double"), 4))

@@ -19,16 +19,25 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session without that setting gets a temporary one."""
+    sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="skein-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
 def stable(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder that ``spark.checkpoint.dir`` names.
+    """Checkpoint ``df`` in the shared folder.
 
-    For frames whose partitioning carries meaning: later uses must all see one
-    evaluation. Only a local session without that setting gets a temporary folder.
+    For frames whose partitioning carries meaning: later uses must all see one evaluation.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skein-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
