@@ -32,6 +32,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,8 +104,11 @@ class Vocabulary:
         self.raw = {i: b for b, i in ranks.items()}
         self.automaton = ahocorasick.Automaton()
         for raw, i in ranks.items():
-            self.automaton.add_word(raw.decode("latin-1"), (len(raw) - 1, i))
+            self.automaton.add_word(raw.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.size = {i: len(b) for b, i in ranks.items()}
+        self.sure = max(64, 3 * max(self.size.values()))  # a match that begins here or earlier in a window is in it whole
+        self.window = self.sure + max(self.size.values())
         self.shorter_memo: dict[int, int] = {}
         self.last_memo: dict[int, tuple[int, int] | None] = {}
         self.pair_memo: dict[tuple[int, int], bool] = {}
@@ -161,17 +165,20 @@ class Vocabulary:
                 b, before = x, b + 1
 
     def search(self, piece: bytes) -> list[int]:
-        """Tokens of a piece by backtracking from the longest matches."""
-        end = len(piece)
-        longest = array("i", bytes(4 * end))
-        for last, (more, token) in self.automaton.iter(piece.decode("latin-1")):
-            longest[last - more] = token  # matches come by their ends: a later one of the same start is longer
+        """Tokens of a piece by backtracking from the longest matches.
+
+        The automaton walks on over longest matches for as long as these are
+        taken; where a shorter token is, a new walk begins behind it. A walk sees a
+        window of the piece, and ends where a token might reach beyond that.
+        """
+        text, end = piece.decode("latin-1"), len(piece)
         given_up = bytearray(end + 1)
-        raw, known, shorter, tokens, at, before = self.raw, self.pair_memo, self.shorter, [], 0, -1
-        token = longest[0]
+        walks, size, known, shorter, tokens, at, before = self.automaton.iter_long, self.size, self.pair_memo, self.shorter, [], 0, -1
+        walk, sure = walks(text[: self.window]), self.sure if end > self.window else end
+        token = longest = next(walk)[1]
         while True:
             while token >= 0:
-                after = at + len(raw[token])
+                after = at + size[token]
                 if not given_up[after]:
                     fits = known.get((before, token))
                     if fits is None:
@@ -183,18 +190,22 @@ class Vocabulary:
                 token = shorter(token)
             if token >= 0:
                 tokens.append(token)
-                at, before = after, token
+                at = after
                 if at == end:
                     return tokens
-                token = longest[at]
+                if token != longest or at >= sure:
+                    window = at + self.window
+                    walk, sure = walks(text[at:window]), at + self.sure if window < end else end
+                before = token
+                token = longest = next(walk)[1]
             elif not tokens:
                 raise ValueError("the vocabulary lacks a byte of this piece")
             else:
                 given_up[at] = 1
                 token = tokens.pop()
-                at -= len(raw[token])
+                at -= size[token]
                 before = tokens[-1] if tokens else -1
-                token = shorter(token)
+                token, longest = shorter(token), -1
 
     def encode(self, text: str) -> np.ndarray:
         """Ids; the pieces of a long text are taken one by one, never held at once."""
@@ -235,7 +246,10 @@ def decoder(path: str, pattern: str) -> Callable[[Column], Column]:
     @F.arrow_udf(T.BinaryType())
     def bytes_of(ids: pa.Array) -> pa.Array:
         v = vocabulary(path, pattern)
-        return pa.array([None if x is None else v.decode(x) for x in (i.as_py() for i in ids)], pa.binary())
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        flat, ends = ids.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes)
+        out = (v.decode(flat[end - n : end].tolist()) if there else None for n, end, there in zip(sizes, ends, ids.is_valid().to_pylist(), strict=True))
+        return pa.array(out, pa.binary())
 
     return bytes_of
 
