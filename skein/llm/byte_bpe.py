@@ -111,6 +111,7 @@ class Vocabulary:
         self.window = self.sure + max(self.size.values())
         self.shorter_memo: dict[int, int] = {}
         self.last_memo: dict[int, tuple[int, int] | None] = {}
+        self.order_memo: dict[int, bool] = {}
         self.pair_memo: dict[tuple[int, int], bool] = {}
         self.pieces = Pieces(self.search, ranks)
 
@@ -131,6 +132,13 @@ class Vocabulary:
             self.last_memo[token] = tuple(made) if made else None
         return self.last_memo[token]
 
+    def in_order(self, token: int) -> bool:
+        """Whether each merge that makes ``token`` has a higher rank than those that made its two parts, so that merges come in the order of ranks."""
+        if (found := self.order_memo.get(token)) is None:
+            parts = self.last_merge(token) if len(self.raw[token]) > 1 else ()
+            found = self.order_memo[token] = all(len(self.raw[p]) == 1 or p < token and self.in_order(p) for p in parts)
+        return found
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the bytes of both merge into these two tokens. ``left`` is -1 at the start of a piece: then ``right`` by itself."""
         if self.last_merge(right) is None:
@@ -140,12 +148,14 @@ class Vocabulary:
     def apart(self, left: int, right: int) -> bool:
         """Whether no merge crosses the place where two tokens meet, each of which its own bytes merge into.
 
-        Merges are taken back, the last one first: of equal ranks the right one
-        came later. The tokens that then meet would have merged if their pair
+        Merges are taken back, the last one first, which is the one of the highest rank, and of equal
+        ranks the right one (tokens whose merges are in another order are merged anew). The tokens that then meet would have merged if their pair
         came before the merge taken back: by a lower rank, or an equal one that
         stands further left.
         """
         ranks, raw = self.ranks, self.raw
+        if not (self.in_order(left) and self.in_order(right)):
+            return merged(raw[left] + raw[right], ranks) == [raw[left], raw[right]]
         a, b, before = left, right, len(ranks) + 1 + max(left, right)
         while True:
             pair = ranks.get(raw[a] + raw[b])
@@ -154,15 +164,10 @@ class Vocabulary:
             rank_a, rank_b = (a if len(raw[a]) > 1 else -1), (b if len(raw[b]) > 1 else -1)
             if rank_a < 0 and rank_b < 0:
                 return True
-            undone = a if rank_a > rank_b else b
-            x, y = self.last_merge(undone)
-            if x >= undone and len(raw[x]) > 1 or y >= undone and len(raw[y]) > 1:
-                # a token that is made of a later rank than its own: the order of merges is not that of ranks
-                return merged(raw[left] + raw[right], ranks) == [raw[left], raw[right]]
             if rank_a > rank_b:
-                a, before = y, a
+                a, before = self.last_merge(a)[1], a
             else:
-                b, before = x, b + 1
+                b, before = self.last_merge(b)[0], b + 1
 
     def search(self, piece: bytes) -> list[int]:
         """Tokens of a piece by backtracking from the longest matches.
