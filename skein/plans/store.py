@@ -220,19 +220,22 @@ def lockstep_rows(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "completion_prompts",
     """WITH c AS (SELECT *, lag(role) OVER w AS prev, lag(text) OVER w AS before, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-    ok AS (SELECT conv_id FROM c GROUP BY conv_id HAVING count(*) FILTER (role = 'user' AND prev = 'user') = 0 AND count(*) FILTER (role = 'assistant' AND (prev IS NULL OR prev <> 'user')) = 0 AND max(CASE WHEN back = 1 THEN role END) = 'assistant')
-    SELECT conv_id, (sum(strlen(text) + CASE WHEN prev = 'system' THEN strlen(before) + 2 ELSE 0 END + 2) + 2)::INT AS n_tokens, 259 AS last FROM c WHERE role <> 'system' AND back > 1 AND conv_id IN (SELECT conv_id FROM ok) GROUP BY conv_id""",
+    e AS (SELECT conv_id, CASE WHEN count(*) FILTER (role = 'user' AND prev = 'user') + count(*) FILTER (role = 'assistant' AND (prev IS NULL OR prev <> 'user')) > 0 THEN 'roles do not alternate' WHEN max(CASE WHEN back = 1 THEN role END) <> 'assistant' THEN 'ends without a reply' END AS error FROM c GROUP BY conv_id),
+    n AS (SELECT conv_id, (sum(strlen(text) + CASE WHEN prev = 'system' THEN strlen(before) + 2 ELSE 0 END + 2) + 2)::INT AS n_tokens, 259 AS last FROM c WHERE role <> 'system' AND back > 1 GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN error IS NULL THEN n_tokens END AS n_tokens, CASE WHEN error IS NULL THEN last END AS last, error FROM e LEFT JOIN n USING (conv_id)""",
 )
 def completion_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Conversations without their last reply, ending on the mark that begins one."""
+    """Conversations without their last reply, ending on the mark that begins one; a conversation that has no such prompt says why."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     turns = S.table(spark, d, "conversations").withColumn("prev", F.lag("role").over(w))
-    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))
     wrong = ((F.col("role") == "user") & (F.col("prev") == "user")) | ((F.col("role") == "assistant") & F.coalesce(F.col("prev") != "user", F.lit(True)))
-    turns = turns.withColumn("back", back)
-    bad = turns.where(wrong | ((F.col("back") == 1) & (F.col("role") != "assistant"))).select("conv_id").distinct()
-    ids = K.completions(turns.join(bad, "conv_id", "left_anti").select("conv_id", "turn", "role", "text"), K.byte_ids, K.BYTE_SPECIALS, max_tokens=1 << 30)
-    return ids.select("conv_id", F.size("ids").alias("n_tokens"), F.element_at("ids", -1).alias("last"))
+    judged = turns.groupBy("conv_id").agg(F.count_if(wrong).alias("wrong"), F.max_by("role", "turn").alias("end"))
+    error = F.when(F.col("wrong") > 0, "roles do not alternate").when(F.coalesce(F.col("end") != "assistant", F.lit(True)), "ends without a reply")
+    judged = judged.select("conv_id", error.alias("error"))
+    good = turns.join(judged.where("error IS NULL").select("conv_id"), "conv_id", "left_semi")
+    ids = K.completions(good.select("conv_id", "turn", "role", "text"), K.byte_ids, K.BYTE_SPECIALS, max_tokens=1 << 30)
+    found = ids.select("conv_id", F.size("ids").alias("n_tokens"), F.element_at("ids", -1).alias("last"))
+    return judged.join(found, "conv_id", "left").select("conv_id", "n_tokens", "last", "error")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import tokens as K
 from ..operators import packing as P
+from ..session import shared_folder
+from ..sources import conversations as C
 from ..sources import tables as S
 from .registry import query
 
@@ -91,6 +95,25 @@ def request_errors(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", error.alias("request"), X.blank_error(F.col("m")).alias("blank"))
 
 
+@query(
+    "quarantined_lines",
+    """WITH c AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, first(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'system' AS sys FROM conversations),
+    m AS (SELECT conv_id, i - sys::INT AS k, role, CASE WHEN (i - sys::INT) % 2 = 0 THEN 'user' ELSE 'assistant' END AS due FROM c),
+    e AS (SELECT conv_id, count(*) FILTER (k >= 0) AS n, min(k) FILTER (k >= 0 AND role <> due) AS k0 FROM m GROUP BY conv_id)
+    SELECT CASE WHEN conv_id % 11 = 0 THEN 'not JSON' WHEN n < 2 THEN 'fewer than two messages' WHEN k0 IS NOT NULL THEN 'message ' || k0 || ' is not of the ' || CASE WHEN k0 % 2 = 0 THEN 'user' ELSE 'assistant' END ELSE 'none' END AS error, count(*) AS lines FROM e GROUP BY 1""",
+)
+def quarantined_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written as lines of a file, every eleventh cut off in the middle, and read back: lines by the rule that sets them aside, or by none."""
+    m = F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("content"))))  # one conversation, which is one line
+    c = S.table(spark, d, "conversations").groupBy("conv_id").agg(m.alias("m"))
+    line = F.to_json(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))
+    cut = F.when(F.col("conv_id") % 11 == 0, F.substring(line, F.lit(1), F.length(line) - 1)).otherwise(line)
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    c.select(cut.alias("value")).write.text(path)
+    good, bad = C.split_conversations(spark, path, "dialogue")
+    return good.select(F.lit("none").alias("error")).union(bad.select("error")).groupBy("error").agg(F.count("*").alias("lines"))
+
+
 @query("token_byte_stats")
 def token_byte_stats(spark: SparkSession, d: str) -> DataFrame:
     t = K.byte_lengths(spark, *_vocabulary()).where("n_bytes > 0")
@@ -178,16 +201,19 @@ def multiple_choice_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "choice_prompts_few_shot",
-    rf"""WITH {_ITEMS}, shot AS (SELECT array_to_string(w[1:n - 2], ' ') || ' => ' || w[n - 1] || chr(10) || chr(10) AS s FROM b WHERE item_id = (SELECT min(item_id) FROM b))
-    SELECT item_id, unnest([0, 1])::INT AS choice, unnest([s || array_to_string(w[1:n - 2], ' ') || ' => ' || w[n - 1], s || array_to_string(w[1:n - 2], ' ') || ' => ' || w[n]]) AS prompt
-    FROM b CROSS JOIN shot WHERE item_id <> (SELECT min(item_id) FROM b)""",
+    rf"""WITH {_ITEMS}, shots AS (SELECT item_id, array_to_string(w[1:n - 2], ' ') || ' => ' || w[n - 1] || chr(10) || chr(10) AS s FROM b),
+    f AS (SELECT b.*, coalesce((SELECT min_by(s, item_id) FROM shots WHERE shots.item_id <> b.item_id), '') AS s FROM b)
+    SELECT item_id, unnest([0, 1])::INT AS choice, unnest([s || array_to_string(w[1:n - 2], ' ') || ' => ' || w[n - 1], s || array_to_string(w[1:n - 2], ' ') || ' => ' || w[n]]) AS prompt FROM f""",
 )
 def choice_prompts_few_shot(spark: SparkSession, d: str) -> DataFrame:
-    """One solved example, never the item itself, before each prompt."""
+    """One solved example, the first that is not the item itself, before each prompt; an only item has none."""
     b = _items(spark, d, 2)
-    shot = b.agg(F.min_by(F.struct("item_id", "q", "t"), "item_id").alias("x")).select(F.col("x.item_id").alias("_id"), F.array(F.concat("x.q", F.lit(" => "), F.col("x.t")[0])).alias("shots"))
-    rows = b.crossJoin(F.broadcast(shot)).where("item_id <> _id")  # one row
-    return rows.select("item_id", F.posexplode(X.choice_prompts(F.col("q"), F.col("t"), " => ", F.col("shots"))).alias("choice", "prompt"))
+    two = [(r["item_id"], r["q"], r["t"][0]) for r in b.orderBy("item_id").limit(2).collect()]
+    said = [(F.lit(i).cast(b.schema["item_id"].dataType), F.array(F.lit(f"{q} => {t}"))) for i, q, t in two]
+    shots = F.array().cast("array<string>")
+    for i, s in reversed(said):
+        shots = F.when(F.col("item_id") != i, s).otherwise(shots)
+    return b.select("item_id", F.posexplode(X.choice_prompts(F.col("q"), F.col("t"), " => ", shots)).alias("choice", "prompt"))
 
 
 @query(

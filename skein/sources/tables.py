@@ -9,9 +9,6 @@ from pyspark.sql.window import Window
 
 from ..session import stable
 
-MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())]))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -143,12 +140,6 @@ def budgeted(docs: DataFrame, cap_chars: int, max_chars: int, order: str = "doc_
     return docs.withColumn("text", F.substring("text", 1, cap_chars)).join(within, order)
 
 
-def read_conversations(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, each an array of messages; blank lines are skipped."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", MESSAGES).alias("messages"))
-
-
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
     """Padded ``Task, Accuracy, Centered`` files."""
     schema = "Task string, Accuracy double, Centered double"

@@ -113,8 +113,6 @@ def test_streams(spark, tmp_path, sf_dir):
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "c.jsonl").write_text('[{"role":"user","content":"a"},{"role":"assistant","content":"b"}]\n\n')
-    assert S.read_conversations(spark, str(tmp_path / "c.jsonl")).first()["messages"][1]["content"] == "b"
     (tmp_path / "r.csv").write_text("Task      , Accuracy, Centered\narc  , 0.5 , 0.25\n")
     assert S.read_results_csv(spark, str(tmp_path / "r.csv")).first()["Centered"] == 0.25
     (tmp_path / "run.log").write_text("loss: 1,000\nother\nloss: 2.5\n")
