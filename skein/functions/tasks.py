@@ -80,14 +80,15 @@ def span_of_continuation(without: Column, with_: Column) -> Column:
     """(start, end) of the continuation; ``without`` has to be the head of ``with_``."""
     n = F.size(without)
     ok = (n <= F.size(with_)) & (F.slice(with_, 1, n) == without)
-    start = F.when(ok, n).otherwise(F.raise_error(F.lit("the prompt is no head of the whole")).cast("int"))
+    none = without.isNull() | with_.isNull()  # a null text has no span
+    start = F.when(ok, n).when(none, F.lit(None).cast("int")).otherwise(F.raise_error(F.lit("the prompt is no head of the whole")).cast("int"))
     return F.struct(start.alias("s"), F.size(with_).alias("e"))
 
 
 def left_cut(ids: Column, span: Column, limit: int) -> Column:
     """The last ``limit`` ids with the span moved along: ids, s, e. A span cut into is an error."""
     gone = F.greatest(F.size(ids) - limit, F.lit(0))
-    start = F.when(span["s"] >= gone, span["s"] - gone).otherwise(F.raise_error(F.lit("a span begins before the cut")).cast("int"))
+    start = F.when(ids.isNull(), F.lit(None).cast("int")).when(span["s"] >= gone, span["s"] - gone).otherwise(F.raise_error(F.lit("a span begins before the cut")).cast("int"))
     return F.struct(X.left_truncate(ids, limit).alias("ids"), start.alias("s"), (span["e"] - gone).alias("e"))
 
 

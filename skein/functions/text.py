@@ -171,8 +171,8 @@ def merge_system(messages: Column) -> Column:
 
 
 def clamp_spans(spans: Column, text: Column) -> Column:
-    """Spans within the text, inverted ones turned round."""
-    n = F.length(text)
+    """Spans within the text, inverted ones turned round; all of a null text are empty."""
+    n = F.coalesce(F.length(text), F.lit(0))
 
     def fix(s: Column) -> Column:
         a, b = (F.least(F.greatest(s[k], F.lit(0)), n) for k in ("s", "e"))
@@ -182,11 +182,11 @@ def clamp_spans(spans: Column, text: Column) -> Column:
 
 
 def cut_at(text: Column, points: Column) -> Column:
-    """The text cut at character offsets."""
+    """The text cut at character offsets; an empty text is one empty piece, a null text null."""
     inner = F.filter(points, lambda p: (p > 0) & (p < F.length(text)))
     marks = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0)), inner, F.array(F.length(text)))))
     starts, ends = F.slice(marks, 1, F.size(marks) - 1), F.slice(marks, 2, F.size(marks))
-    return F.zip_with(starts, ends, lambda a, b: F.substr(text, a + 1, b - a))
+    return F.when(text == "", F.array(F.lit(""))).when(text != "", F.zip_with(starts, ends, lambda a, b: F.substr(text, a + 1, b - a)))
 
 
 def shift_targets(ids: Column, mask: Column, ignore: int = -1) -> Column:

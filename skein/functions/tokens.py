@@ -29,8 +29,20 @@ def encoding(path: str, pattern: str):
     return _CACHE[path, pattern]
 
 
+def counter(paths: list[str], pattern: str):
+    """A function of a text column that gives its number of ids under each vocabulary, without the ids; a null text has none."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def count(texts: pa.Array) -> pa.Array:
+        encs = [encoding(p, pattern) for p in paths]
+        counts = ([len(e.encode_to_numpy(t or "", allowed_special=set(), disallowed_special=())) for e in encs] for t in texts.to_pylist())
+        return pa.array(counts, pa.list_(pa.int32()))
+
+    return count.asNondeterministic()  # or each use of the result would count again
+
+
 def encoder(path: str, pattern: str, prepend: str | None = None, append: str | None = None):
-    """A function of a text column that gives its ids; special strings in texts are ordinary text."""
+    """A function of a text column that gives its ids; special strings in texts are ordinary text, a null text is empty."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
@@ -44,7 +56,7 @@ def encoder(path: str, pattern: str, prepend: str | None = None, append: str | N
             ends.append(ends[-1] + len(head) + len(body) + len(tail))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
 
-    return encode
+    return encode.asNondeterministic()  # or each use of the ids would encode again
 
 
 def decoder(path: str, pattern: str):
@@ -95,10 +107,18 @@ def byte_ids(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(raw.astype(np.int32)), mask=texts.is_null())
 
 
-def encoded_pieces(pieces: DataFrame, encode) -> DataFrame:
-    """``pieces(doc_id, pos, piece)`` -> doc_id, ids (each piece's own, in order) and pieces (how many)."""
-    held = pieces.select("doc_id", F.struct("pos", encode("piece").alias("ids")).alias("p")).groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("p"))  # one text's pieces
-    return held.select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"), F.size("p").alias("pieces"))
+def encoded_lists(encode):
+    """A function of a list of texts that gives the ids of all in order, each encoded alone; ``encode`` is one of this module's."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def ids_of(lists: pa.Array) -> pa.Array:
+        one = encode.func(lists.flatten().cast(pa.string()))
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(one), 0).to_numpy(zero_copy_only=False))])
+        at = ends[np.concatenate([[0], np.cumsum(sizes)])]
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), one.flatten(), mask=lists.is_null())
+
+    return ids_of
 
 
 #: Encoders by name: a function of the path of a rank file and its pattern, or of nothing for bytes.

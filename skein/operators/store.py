@@ -200,9 +200,9 @@ def with_payload(places: DataFrame, docs: DataFrame) -> DataFrame:
 def hash_index(spans: DataFrame, corpus: DataFrame) -> DataFrame:
     """``spans(shard, row, start, n)`` by content: joins ``corpus(shard, row, text)`` and gives doc_hash, shard, start, n.
 
-    A span without its document is an error: the index would name other texts.
+    A span without its document is an error: the index would name other texts. A null text counts as empty.
     """
-    t = spans.join(corpus.select("shard", "row", "text"), ["shard", "row"], "left")
+    t = spans.join(corpus.select("shard", "row", F.coalesce("text", F.lit("")).alias("text")), ["shard", "row"], "left")
     lost = F.raise_error(F.concat(F.lit("no document at row "), F.col("row"), F.lit(" of "), F.col("shard"))).cast("string")
     return t.select(content_hash(F.when(F.col("text").isNull(), lost).otherwise(F.col("text"))).alias("doc_hash"), "shard", "start", "n")
 

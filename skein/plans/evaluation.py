@@ -101,7 +101,7 @@ _CORE = "acc AS (SELECT lang AS task, avg(quality)::DOUBLE AS a FROM labels JOIN
 
 
 def _accuracies(spark: SparkSession, d: str) -> DataFrame:
-    return S.table(spark, d, "labels").join(S.table(spark, d, "documents").select("doc_id", F.col("lang").alias("task")), "doc_id").groupBy("task").agg(F.avg("quality").alias("accuracy"))
+    return S.table(spark, d, "labels").join(S.table(spark, d, "documents").select("doc_id", F.col("lang").alias("task")).where("task IS NOT NULL"), "doc_id").groupBy("task").agg(F.avg("quality").alias("accuracy"))
 
 
 @query("core_score", f"WITH {_CORE} SELECT count(*) AS tasks, round(avg((a - 0.01 * b) / (1 - 0.01 * b)), 9) AS core FROM acc JOIN base USING (task)")

@@ -125,7 +125,7 @@ def baseline_join(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.metrics import centered
 
     base = spark.createDataFrame([("en", 25.0), ("de", 50.0), ("fr", 20.0), ("es", 10.0)], "lang string, base double")
-    acc = S.table(spark, d, "labels").join(S.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("accuracy"))
+    acc = S.table(spark, d, "labels").join(S.table(spark, d, "documents").select("doc_id", "lang").where("lang IS NOT NULL"), "doc_id").groupBy("lang").agg(F.avg("quality").alias("accuracy"))
     held = J.with_baseline(acc, base, "lang", "base")
     return held.select("lang", "accuracy", centered(F.col("accuracy"), F.col("base")).alias("centered"))
 

@@ -216,7 +216,7 @@ def principal_axes(spark: SparkSession, d: str) -> DataFrame:
 def projected(spark: SparkSession, d: str) -> DataFrame:
     """Rows along the two axes, as they are and not centred."""
     e = S.table(spark, d, "embeddings")
-    axes = M.principal_axes(e, "embedding", 2)
+    axes = M.principal_axes(e, "embedding", 2) or [[], []]  # no row, no axis
     along = lambda axis: F.aggregate(F.zip_with("embedding", F.array(*map(F.lit, axis)), lambda x, a: x.cast("double") * a), F.lit(0.0), lambda t, x: t + x)
     return e.select("vec_id", along(axes[0]).alias("x"), along(axes[1]).alias("y"))
 

@@ -210,9 +210,9 @@ def store_preflight(spark: SparkSession, d: str) -> DataFrame:
 @query("lockstep_rows")
 def lockstep_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of 512 byte tokens packed with a payload (each id's double) that stays in step."""
-    docs = _docs(spark, d).select("doc_id", F.concat(F.array(F.lit(256)), K.byte_ids("text")).alias("ids"))
+    docs = S.placed(_docs(spark, d)).select(F.col("doc_id").alias("ord"), F.col("place").alias("doc_id"), F.concat(F.array(F.lit(256)), K.byte_ids(F.coalesce("text", F.lit("")))).alias("ids"))
     docs = docs.withColumn("values", F.transform("ids", lambda i: i * 2))
-    sized = P.ranks(docs.select("doc_id", F.col("doc_id").alias("ord"), F.size("ids").alias("n")), "ord", row_group=16)
+    sized = P.ranks(docs.select("doc_id", "ord", F.size("ids").alias("n")), "ord", row_group=16)
     rows = A.with_payload(P.packed(sized, 512, 100, "crop"), docs)
     return rows.select("rank", "row", F.size("ids").alias("n"), F.forall(F.zip_with("ids", "values", lambda i, v: i * 2 == v), lambda x: x).alias("in_step"))
 
@@ -282,8 +282,9 @@ _PROBE_STATS = {"mean": [[1.0] * 32, [2.0] * 32], "std": [[2.0] * 32, [4.0] * 32
 def score_shards(spark: SparkSession, d: str) -> DataFrame:
     """Vectors written as int8 score files of two layers in three shards, and the second layer read back from these, standardised."""
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    shards = [r["s"] for r in S.table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("s")).distinct().orderBy("s").collect()]  # three at most
     q = F.transform("embedding", lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("double") * 200))).cast("tinyint"))
     rows = S.table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("shard"), F.floor(F.col("vec_id") / 3).alias("row"), F.lit(1).alias("n"), q.alias("q"))
     R.write_scores(rows, path, [4, 8], [f"c{i}" for i in range(32)], _PROBE, _PROBE_STATS)
-    read = R.read_scores(spark, path, [0, 1, 2], layer=8)
+    read = R.read_scores(spark, path, shards, layer=8)
     return read.select("shard", "row", "n", F.posexplode("values").alias("concept", "score")).withColumn("score", F.round(F.col("score").cast("double"), 4))

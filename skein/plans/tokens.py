@@ -34,8 +34,8 @@ def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
 def encode_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path, pattern = _vocabulary()
     enc, dec = K.encoder(path, pattern, prepend="<|bos|>"), K.decoder(path, pattern)
-    ids = S.table(spark, d, "documents").select("doc_id", "text", enc(F.col("text")).alias("ids"))
-    return ids.select("doc_id", F.size("ids").alias("n_tokens"), (F.octet_length("text") / (F.size("ids") - 1)).alias("ratio"), (dec(F.slice("ids", 2, 1 << 30)) == F.col("text")).alias("same"))
+    ids = S.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("ids", enc(F.col("text")))
+    return ids.select("doc_id", F.size("ids").alias("n_tokens"), F.try_divide(F.octet_length("text"), F.size("ids") - 1).alias("ratio"), (dec(F.slice("ids", 2, 1 << 30)) == F.col("text")).alias("same"))
 
 
 @query("compression_by_lang")
@@ -44,9 +44,9 @@ def compression_by_lang(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = _vocabulary()
-    a, b = K.encoder(path, pattern), K.encoder(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern)
-    n = S.table(spark, d, "documents").select("lang", F.octet_length("text").alias("bytes"), F.size(a(F.col("text"))).alias("a"), F.size(b(F.col("text"))).alias("b"))
-    s = n.groupBy("lang").agg((F.sum("bytes") / F.sum("a")).alias("ratio_a"), (F.sum("bytes") / F.sum("b")).alias("ratio_b"))
+    count = K.counter([path, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")], pattern)
+    n = S.table(spark, d, "documents").select("lang", F.octet_length("text").alias("bytes"), count(F.col("text")).alias("n"))
+    s = n.groupBy("lang").agg(F.try_divide(F.sum("bytes"), F.sum(F.col("n")[0])).alias("ratio_a"), F.try_divide(F.sum("bytes"), F.sum(F.col("n")[1])).alias("ratio_b"))
     return s.withColumn("diff_percent", (F.col("ratio_a") - F.col("ratio_b")) / F.col("ratio_b") * 100).withColumn("better", F.when(F.col("ratio_a") > F.col("ratio_b"), "a").otherwise("b"))
 
 
@@ -233,7 +233,7 @@ def lm_prompts(spark: SparkSession, d: str) -> DataFrame:
 def schema_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Two contexts before one continuation."""
     t = F.col("t")
-    return _items(spark, d, 2).select("item_id", F.posexplode(X.schema_prompts(F.array(F.col("q"), t[0]), t[1], " -> ")).alias("choice", "prompt"))
+    return _items(spark, d, 2).select("item_id", F.posexplode(X.schema_prompts(F.array(F.col("q"), F.get(t, F.lit(0))), F.coalesce(F.element_at(t, -1), F.lit("")), " -> ")).alias("choice", "prompt"))
 
 
 @query(
@@ -339,9 +339,8 @@ def test_programs(spark: SparkSession, d: str) -> DataFrame:
 )
 def compact_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Texts cut at another tokenizer's boundaries, each piece encoded alone, the ids put together."""
-    t = S.table(spark, d, "documents")
-    cut = t.select("doc_id", F.posexplode(X.cut_at(F.col("text"), F.array(F.lit(3), F.lit(7)))).alias("pos", "piece"))
-    ids = K.encoded_pieces(cut, K.byte_ids)
+    pieces = X.cut_at(F.coalesce("text", F.lit("")), F.array(F.lit(3), F.lit(7)))
+    ids = S.table(spark, d, "documents").select("doc_id", K.encoded_lists(K.byte_ids)(pieces).alias("ids"), F.size(pieces).alias("pieces"))
     return ids.select("doc_id", F.size("ids").alias("n"), F.col("pieces").cast("long").alias("pieces"))
 
 
@@ -386,7 +385,7 @@ def pack_accounting(spark: SparkSession, d: str) -> DataFrame:
 @query("padded_rows")
 def padded_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the pad packer as ids and targets: padded with the start token, which is not trained on, and what was consumed by then."""
-    docs = S.table(spark, d, "documents").select("doc_id", K.byte_ids("text").alias("ids"), F.col("doc_id").alias("ord"))
+    docs = S.placed(S.table(spark, d, "documents")).select(F.col("place").alias("doc_id"), K.byte_ids(F.coalesce("text", F.lit(""))).alias("ids"), F.col("doc_id").alias("ord"))
     sized = P.ranks(docs.select("doc_id", "ord", F.size("ids").alias("n")), "ord", row_group=16)
     rows = P.padded(P.packed(sized, 1024, 100, "pad"), docs, 1024, K.BYTE_SPECIALS["<|bos|>"])
     return rows.select("rank", "row", "consumed", F.size("ids").alias("n"), F.size(F.filter("targets", lambda t: t == -1)).alias("ignored"))

@@ -146,13 +146,15 @@ class _ScoreReader(DataSourceReader):
         self.layer, self.at = layers.index(layer), [names.index(c) for c in asked]
         pick = lambda table, key: np.asarray(table[key], np.float32)[self.layer][self.at]
         self.zero, self.scale, self.mean, self.std = pick(quant, "zero"), pick(quant, "scale"), pick(stats, "mean"), pick(stats, "std")
-        self.shards = sorted({int(s) for s in options["shards"].split(",")})
+        self.shards = sorted({int(s) for s in options["shards"].split(",") if s})
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(shard) for shard in self.shards]
+        return [InputPartition(shard) for shard in self.shards] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         shard = partition.value
+        if shard is None:
+            return
         (_, layers, concepts), kind, begin = _npy(f"{self.path}/scores_{shard:05d}.npy")
         row_bytes = layers * concepts * kind.itemsize
         system, scores_at = _files(f"{self.path}/scores_{shard:05d}.npy")

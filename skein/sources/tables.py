@@ -134,10 +134,22 @@ def shared_with_next(docs: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def budgeted(docs: DataFrame, cap_chars: int, max_chars: int, order: str = "doc_id") -> DataFrame:
-    """Crop texts to ``cap_chars``; keep rows until ``max_chars`` are passed, the crossing one too."""
-    chars = F.least(F.length("text"), F.lit(cap_chars)).cast("long")
-    within = running_total(docs, [order], chars, "chars_before").where(F.col("chars_before") <= max_chars).drop("_v")
-    return docs.withColumn("text", F.substring("text", 1, cap_chars)).join(within, order)
+    """Crop texts to ``cap_chars``; keep rows until ``max_chars`` are passed, the crossing ones too, with ``chars_before``.
+
+    Ids and lengths alone are ranged and summed. The id that crosses (one row to the driver) then
+    limits the scan, so that texts beyond it are neither read nor moved. Rows of one id stay together; null ids come first; a null text has no character.
+    """
+    chars = F.coalesce(F.least(F.length("text"), F.lit(cap_chars)), F.lit(0)).cast("long")
+    sizes = docs.groupBy(order).agg(F.sum(chars).alias("_chars"))
+    within = running_total(sizes, [order], F.col("_chars"), "chars_before").where(F.col("chars_before") <= max_chars).drop("_v")
+    last = within.agg(F.max(order).alias("last")).first()["last"]
+    kept = docs.where(F.col(order).isNull() | (F.col(order) <= F.lit(last)) if last is not None else F.col(order).isNull())
+    return kept.withColumn("text", F.substring("text", 1, cap_chars)).join(within.withColumnRenamed(order, "_id"), F.col(order).eqNullSafe(F.col("_id"))).drop("_id")
+
+
+def placed(docs: DataFrame, name: str = "place") -> DataFrame:
+    """A table's rows with a number each, the same whenever the table is read: for joins of rows whose ids may repeat. ``docs`` has to come straight from files."""
+    return docs.withColumn(name, F.monotonically_increasing_id())
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
