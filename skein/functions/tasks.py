@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 from .draws import choice, shuffled, spelling_draws
@@ -96,33 +97,58 @@ def left_cut(ids: Column, span: Column, limit: int) -> Column:
 
 
 def gate_kind(spec: Column) -> Column:
-    """``auto[:t]``, ``donor[:stat]``, ``abs:n``, a number or ``[a, b]`` as (mode, value); null where it is none of them or a dial below zero."""
+    """``auto[:t]``, ``donor[:stat]``, ``abs:n``, a number or ``[a, b]`` as (mode, value); null where it is none of them or a dial below zero.
+
+    What follows a keyword, behind any colons, has to be its value and nothing else: ``auto0.1`` and
+    ``donorp95`` are good, ``automatic`` is not.
+    """
     number = r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*"
-    rest = F.regexp_extract(spec, r"^[a-z]+:*(.*)$", 1)
-    plain = F.when(rest.rlike(f"^{number}$"), rest.cast("double").cast("string"))
+
+    def rest(keyword: str) -> Column:
+        return F.regexp_extract(spec, rf"^{keyword}:*(.*)$", 1)
+
+    def plain(value: Column) -> Column:
+        return F.when(value.rlike(f"^{number}$"), value.try_cast("double").cast("string"))
 
     def kind(mode: str, value: Column) -> Column:
         return F.when(value.isNotNull(), F.struct(F.lit(mode).alias("mode"), value.alias("value")))
 
-    dial = F.when(spec.rlike(f"^{number}$") & (F.when(spec.rlike(f"^{number}$"), spec.cast("double")) >= 0), spec.cast("double").cast("string"))
-    donor = F.when(rest == "", F.lit("p50")).when(rest.isin("p50", "p90", "p95", "p99"), rest)
+    dial = F.when(spec.rlike(f"^{number}$") & (spec.try_cast("double") >= 0), spec.try_cast("double").cast("string"))
+    stat = rest("donor")
+    donor = F.when(stat == "", F.lit("p50")).when(stat.isin("p50", "p90", "p95", "p99"), stat)
     vector = F.when(spec.rlike(rf"^\s*\[{number}(,{number})*\]\s*$"), spec)
     return (
-        F.when(spec.startswith("auto"), kind("auto", F.when(rest == "", F.lit("0.05")).otherwise(plain)))
+        F.when(spec.startswith("auto"), kind("auto", F.when(rest("auto") == "", F.lit("0.05")).otherwise(plain(rest("auto")))))
         .when(spec.startswith("donor"), kind("donor", donor))
-        .when(spec.startswith("abs"), kind("abs", plain))
+        .when(spec.startswith("abs"), kind("abs", plain(rest("abs"))))
         .when(spec.startswith("["), kind("vector", vector))
         .otherwise(kind("dial", dial))
     )
 
 
-def report_value(value: Column) -> Column:
-    """A number as a report states it: four places, whole numbers from 10,000 on with commas between thousands.
+def report_value(rows: DataFrame, name: str) -> Column:
+    """A column as a report states it, by its type: four places for numbers with a point, commas between the thousands of integers from 10,000 on, other values as they are.
 
-    Places are rounded half up on the shortest decimal form of the number.
+    Places are rounded half up on the shortest decimal form of the number. A null is ``None``.
     """
-    whole = value == F.floor(value)
-    return F.when(~whole, F.format_string("%.4f", value)).when(value >= 10000, F.format_number(value, 0)).otherwise(value.cast("long").cast("string"))
+    kind, value = rows.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.FloatType | T.DoubleType | T.DecimalType):
+        value = value.cast("double")
+        text = F.when(F.isnan(value), "nan").when(value == float("inf"), "inf").when(value == float("-inf"), "-inf").otherwise(F.format_string("%.4f", value))
+    elif isinstance(kind, T.IntegralType):
+        text = F.when(value >= 10000, F.format_number(value, 0)).otherwise(value.cast("string"))
+    elif isinstance(kind, T.BooleanType):
+        text = F.when(value, "True").otherwise("False")
+    else:
+        text = value.cast("string")
+    return F.when(F.col(name).isNull(), "None").otherwise(text)
+
+
+def report_section(rows: DataFrame, title: Column, at: Column, names: list[str], notes: Column | None = None) -> Column:
+    """A section of a report for each row: its title, its time, ``notes`` as they are, a line a value, and a blank line."""
+    lines = [F.concat(F.lit(f"- {n}: "), report_value(rows, n), F.lit("\n")) for n in names]
+    head = F.concat(F.lit("## "), title, F.lit("\ntimestamp: "), F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.lit("\n\n"))
+    return F.concat(head, *([] if notes is None else [F.coalesce(notes, F.lit(""))]), *lines, F.lit("\n"))
 
 
 def first_pattern(text: Column, table: list[tuple[str, float]], default: float | None = None) -> Column:

@@ -165,10 +165,17 @@ def byte_weighted_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("report_values", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN printf('%.4f', o_orderkey + 0.12346::DOUBLE) WHEN o_orderkey >= 10000 THEN format('{:,}', o_orderkey) ELSE o_orderkey::VARCHAR END AS said FROM orders")
+@query(
+    "report_values",
+    """SELECT o_orderkey, CASE WHEN o_orderkey >= 10000 THEN format('{:,}', o_orderkey) ELSE o_orderkey::VARCHAR END AS key_said, printf('%.4f', o_totalprice::DOUBLE) AS price_said, printf('%.4f', o_custkey::DOUBLE * 1000) AS whole_said,
+    '## Order ' || o_orderkey || chr(10) || 'timestamp: 2024-01-01 00:00:00' || chr(10) || chr(10) || '- o_orderkey: ' || CASE WHEN o_orderkey >= 10000 THEN format('{:,}', o_orderkey) ELSE o_orderkey::VARCHAR END || chr(10) || '- price: ' || printf('%.4f', o_totalprice::DOUBLE) || chr(10) || chr(10) AS section FROM orders""",
+)
 def report_values(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("o_orderkey").cast("double")
-    return S.table(spark, d, "orders").select("o_orderkey", K.report_value(F.when(F.col("o_orderkey") % 2 == 0, k + 0.12346).otherwise(k)).alias("said"))
+    """Integers and numbers with a point as a report states them, and a section of both for each order."""
+    o = S.table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.col("o_custkey") * 1000).cast("double").alias("whole"))
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    section = K.report_section(o, F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")), at, ["o_orderkey", "price"])
+    return o.select("o_orderkey", K.report_value(o, "o_orderkey").alias("key_said"), K.report_value(o, "price").alias("price_said"), K.report_value(o, "whole").alias("whole_said"), section.alias("section"))
 
 
 @query(
@@ -189,13 +196,18 @@ def seeded_head(spark: SparkSession, d: str) -> DataFrame:
     return D.shuffled(b, "idx", 1337).where("place < 10").select("place", "item_id")
 
 
-@query("gate_specs", """SELECT spec, mode, value FROM (VALUES ('auto', 'auto', '0.05'), ('auto:0.1', 'auto', '0.1'), ('donor', 'donor', 'p50'), ('donor:p95', 'donor', 'p95'), ('donor:p42', NULL, NULL), ('abs:0.05', 'abs', '0.05'),
-    ('abs', NULL, NULL), ('1.0', 'dial', '1.0'), ('0', 'dial', '0.0'), ('-1', NULL, NULL), ('[0.1, 0.2]', 'vector', '[0.1, 0.2]'), ('loud', NULL, NULL)) v(spec, mode, value)""")
+@query(
+    "gate_specs",
+    """SELECT c_custkey, CASE c_custkey % 12 WHEN 0 THEN 'auto' WHEN 1 THEN 'auto' WHEN 3 THEN 'donor' WHEN 4 THEN 'donor' WHEN 5 THEN 'donor' WHEN 7 THEN 'abs' WHEN 9 THEN 'dial' WHEN 11 THEN 'vector' END AS mode,
+    CASE c_custkey % 12 WHEN 0 THEN '0.05' WHEN 1 THEN '0.5' WHEN 3 THEN 'p50' WHEN 4 THEN 'p95' WHEN 5 THEN 'p95' WHEN 7 THEN '0.25' WHEN 9 THEN (c_nationkey::DOUBLE)::VARCHAR WHEN 11 THEN '[' || c_nationkey || ', 0.2]' END AS value FROM customer""",
+)
 def gate_specs(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds and values of gate specifications; null for what the grammar refuses."""
-    specs = ("auto", "auto:0.1", "donor", "donor:p95", "donor:p42", "abs:0.05", "abs", "1.0", "0", "-1", "[0.1, 0.2]", "loud")
-    s = spark.createDataFrame([(x,) for x in specs], "spec string").withColumn("g", K.gate_kind(F.col("spec")))
-    return s.select("spec", F.col("g.mode").alias("mode"), F.col("g.value").alias("value"))
+    """Kinds and values of gate specifications made of customers' rows; null for what the grammar refuses."""
+    n = F.col("c_nationkey").cast("string")
+    forms = ["auto", "auto:0.5", "automatic", "donor", "donor:p95", "donorp95", "donor:p42", "abs:0.25", "abs", n, F.concat(F.lit("-1"), n), F.concat(F.lit("["), n, F.lit(", 0.2]"))]
+    spec = F.element_at(F.array(*(F.lit(x) if isinstance(x, str) else x for x in forms)), (F.col("c_custkey") % 12 + 1).cast("int"))
+    g = S.table(spark, d, "customer").select("c_custkey", K.gate_kind(spec).alias("g"))
+    return g.select("c_custkey", F.col("g.mode").alias("mode"), F.col("g.value").alias("value"))
 
 
 @query(

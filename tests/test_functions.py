@@ -97,3 +97,21 @@ def test_conversations_of_over_100_000_turns(spark, tmp_path):
     assert {r["conv_id"]: r["error"] for r in conversation_errors(spark, str(tmp_path)).collect()} == {1: "roles do not alternate", 2: None}
     m = spark.range(1).selectExpr(f"transform(sequence(0, {n}), i -> struct(if(i = 0, 'system', 'user') AS role, 'x' AS content)) AS m")
     assert m.select(F.size(X.merge_system(F.col("m")))).first()[0] == n
+
+
+def test_gate_kinds(spark):
+    from skein.functions.tasks import gate_kind
+
+    want = {"auto": ("auto", "0.05"), "auto0.1": ("auto", "0.1"), "auto::2": ("auto", "2.0"), "automatic": None, "donorp95": ("donor", "p95"), "donor:p42": None, "abs": None, "abs:1e-2": ("abs", "0.01"), "-1": None, "7": ("dial", "7.0"), "[1, 2]": ("vector", "[1, 2]"), "": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in want], "s string").select("s", gate_kind(F.col("s")).alias("g")).collect()
+    assert {r["s"]: r["g"] and tuple(r["g"]) for r in rows} == want
+
+
+def test_report_values_go_by_type(spark):
+    from skein.functions.tasks import report_section, report_value
+
+    rows = spark.createDataFrame([(3.0, 20000, "x", True), (20000.0, -20000, "", False), (float("nan"), 9999, "10000", None), (None, None, None, None)], "f double, i long, s string, b boolean")
+    got = [tuple(r) for r in rows.select(*(report_value(rows, c).alias(c) for c in rows.columns)).collect()]
+    assert got == [("3.0000", "20,000", "x", "True"), ("20000.0000", "-20000", "", "False"), ("nan", "9999", "10000", "None"), ("None", "None", "None", "None")]
+    text = rows.limit(1).select(report_section(rows, F.lit("Stage"), F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), ["f", "i"], F.lit("note\n")).alias("t")).first()["t"]
+    assert text == "## Stage\ntimestamp: 2024-05-06 07:08:09\n\nnote\n- f: 3.0000\n- i: 20,000\n\n"
