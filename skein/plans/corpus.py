@@ -115,13 +115,19 @@ def duplicate_contents(spark: SparkSession, d: str) -> DataFrame:
     return h.agg(F.count("*").alias("groups"), F.sum("n").alias("docs"))
 
 
-@query("shard_spec", "SELECT unnest([0, 1, 2, 3, 10, 20, 21])::INT AS shard, unnest([0, 1, 2, 0, 1, 2, 0])::INT AS pod")
+@query(
+    "shard_spec",
+    """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 7 AS a FROM supplier), ids AS (SELECT k, unnest(list_sort(list_distinct(list_concat(list_concat(range(a, a + 4), [a + 10]), [a + 2, a + 3, a + 20])))) AS shard FROM s)
+    SELECT k AS s_suppkey, shard::INT AS shard, ((row_number() OVER (PARTITION BY k ORDER BY shard) - 1) % 3)::INT AS pod FROM ids""",
+)
 def shard_spec(spark: SparkSession, d: str) -> DataFrame:
-    """``0-3,10,20-21`` as sorted ids, dealt to three pods in turn."""
-    part = F.explode(F.split(F.lit("0-3,10,20-21"), ",")).alias("part")
-    ends = F.split("part", "-")
-    ids = spark.range(1).select(part).select(F.explode(F.sequence(ends[0].cast("int"), F.element_at(ends, -1).cast("int"))).alias("shard")).distinct()
-    return ids.withColumn("pod", F.pmod(F.row_number().over(Window.orderBy("shard")) - 1, F.lit(3)))
+    """Each supplier's list of shards such as ``0-3,10,2-3,20`` as sorted ids without repeats, dealt to three pods in turn."""
+    a = F.col("s_suppkey") % 7
+    spec = F.format_string("%d-%d,%d,%d-%d,%d", a, a + 3, a + 10, a + 2, a + 3, a + 20)
+    part = F.transform(F.split(spec, ","), lambda p: F.split(p, "-"))
+    ids = F.array_sort(F.array_distinct(F.flatten(F.transform(part, lambda e: F.sequence(e[0].cast("int"), F.element_at(e, -1).cast("int"))))))
+    rows = S.table(spark, d, "supplier").select("s_suppkey", F.posexplode(ids).alias("place", "shard"))
+    return rows.select("s_suppkey", "shard", F.pmod("place", F.lit(3)).alias("pod"))
 
 
 @query(

@@ -190,19 +190,21 @@ def structured_channels(spark: SparkSession, d: str) -> DataFrame:
     return S.table(spark, d, "embeddings").select("vec_id", F.round(term(math.cos), 6).alias("c"), F.round(term(math.sin), 6).alias("s"))
 
 
-@query("ring_points", "SELECT i::INT AS i, round(cos(2 * pi() * i / 12), 9) AS x, round(sin(2 * pi() * i / 12), 9) AS y FROM generate_series(0, 11) g(i)")
+@query("ring_points", "SELECT p_partkey, (p_partkey % 12)::INT AS i, round(cos(2 * pi() * (p_partkey % 12) / 12), 9) AS x, round(sin(2 * pi() * (p_partkey % 12) / 12), 9) AS y FROM part")
 def ring_points(spark: SparkSession, d: str) -> DataFrame:
-    a = F.lit(2.0) * F.pi() * F.col("id") / 12
-    return spark.range(12).select(F.col("id").cast("int").alias("i"), F.round(F.cos(a), 9).alias("x"), F.round(F.sin(a), 9).alias("y"))
+    """Each part's point among twelve on a ring."""
+    i = F.col("p_partkey") % 12
+    angle = F.lit(2.0) * F.pi() * i / 12
+    return S.table(spark, d, "part").select("p_partkey", i.cast("int").alias("i"), F.round(F.cos(angle), 9).alias("x"), F.round(F.sin(angle), 9).alias("y"))
 
 
-@query("helix_points", "SELECT i::INT AS i, round(cos(0.7 * i) / sqrt(1 + (i / 20.0) * (i / 20.0)), 6) AS x, round(sin(0.7 * i) / sqrt(1 + (i / 20.0) * (i / 20.0)), 6) AS y, round((i / 20.0) / sqrt(1 + (i / 20.0) * (i / 20.0)), 6) AS z FROM generate_series(0, 19) g(i)")
+@query("helix_points", "SELECT p_partkey, i::INT AS i, round(cos(0.7 * i) / sqrt(1 + (i / 20.0) * (i / 20.0)), 6) AS x, round(sin(0.7 * i) / sqrt(1 + (i / 20.0) * (i / 20.0)), 6) AS y, round((i / 20.0) / sqrt(1 + (i / 20.0) * (i / 20.0)), 6) AS z FROM (SELECT p_partkey, p_partkey % 20 AS i FROM part)")
 def helix_points(spark: SparkSession, d: str) -> DataFrame:
-    """Points of a helix, each scaled to length one."""
-    i = F.col("id")
-    z = i / F.lit(20.0)
-    n = F.sqrt(1 + z * z)
-    return spark.range(20).select(i.cast("int").alias("i"), F.round(F.cos(i * 0.7) / n, 6).alias("x"), F.round(F.sin(i * 0.7) / n, 6).alias("y"), F.round(z / n, 6).alias("z"))
+    """Each part's point among twenty of a helix, at length one."""
+    i = F.col("p_partkey") % 20
+    z = i / 20.0
+    norm = F.sqrt(1 + z * z)
+    return S.table(spark, d, "part").select("p_partkey", i.cast("int").alias("i"), F.round(F.cos(0.7 * i) / norm, 6).alias("x"), F.round(F.sin(0.7 * i) / norm, 6).alias("y"), F.round(z / norm, 6).alias("z"))
 
 
 @query("principal_axes")

@@ -165,13 +165,13 @@ def table_lookup(spark: SparkSession, d: str) -> DataFrame:
     return v.select("l_orderkey", "l_linenumber", F.round(F.col("vector")[0], 9).alias("x"), F.round(F.col("vector")[1], 9).alias("y"))
 
 
-@query("sphere_points", "SELECT i::INT AS i, round(sqrt(1 - z * z) * cos(pi() * (3 - sqrt(5)) * i), 9) AS x, round(sqrt(1 - z * z) * sin(pi() * (3 - sqrt(5)) * i), 9) AS y, round(z, 9)::DOUBLE AS z, round(-1 + 2.0 * i / 49, 9)::DOUBLE AS line FROM (SELECT i, 1.0::DOUBLE - 2.0 * (i + 0.5) / 50 AS z FROM generate_series(0, 49) g(i))")
+@query("sphere_points", "SELECT p_partkey, i::INT AS i, round(sqrt(1 - z * z) * cos(pi() * (3 - sqrt(5)) * i), 9) AS x, round(sqrt(1 - z * z) * sin(pi() * (3 - sqrt(5)) * i), 9) AS y, round(z, 9)::DOUBLE AS z, round(-1 + 2.0 * i / 49, 9)::DOUBLE AS line FROM (SELECT p_partkey, i, 1.0::DOUBLE - 2.0 * (i + 0.5) / 50 AS z FROM (SELECT p_partkey, p_partkey % 50 AS i FROM part))")
 def sphere_points(spark: SparkSession, d: str) -> DataFrame:
-    """Fifty points of a spiral on the sphere, and fifty on a line from -1 to 1."""
-    i = F.col("id")
+    """The point of each part among fifty of a spiral on the sphere, and among fifty on a line from -1 to 1."""
+    i = F.col("p_partkey") % 50
     z = 1.0 - 2.0 * (i + 0.5) / 50
     r, turn = F.sqrt(1 - z * z), i * (math.pi * (3 - math.sqrt(5)))
-    return spark.range(50).select(i.cast("int").alias("i"), F.round(r * F.cos(turn), 9).alias("x"), F.round(r * F.sin(turn), 9).alias("y"), F.round(z, 9).alias("z"), F.round(-1 + 2.0 * i / 49, 9).alias("line"))
+    return S.table(spark, d, "part").select("p_partkey", i.cast("int").alias("i"), F.round(r * F.cos(turn), 9).alias("x"), F.round(r * F.sin(turn), 9).alias("y"), F.round(z, 9).alias("z"), F.round(-1 + 2.0 * i / 49, 9).alias("line"))
 
 
 @query(

@@ -50,9 +50,15 @@ def compression_by_lang(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("diff_percent", (F.col("ratio_a") - F.col("ratio_b")) / F.col("ratio_b") * 100).withColumn("better", F.when(F.col("ratio_a") > F.col("ratio_b"), "a").otherwise("b"))
 
 
-@query("special_tokens", "SELECT name, (256 + row_number() OVER (ORDER BY i) - 1)::INT AS token_id FROM (SELECT unnest(['<|bos|>', '<|user_start|>', '<|user_end|>', '<|assistant_start|>', '<|assistant_end|>', '<|python_start|>', '<|python_end|>', '<|output_start|>', '<|output_end|>']) AS name, generate_subscripts(range(9), 1) AS i)")
+@query("special_tokens", "SELECT conv_id, turn, CASE role WHEN 'user' THEN 257 WHEN 'assistant' THEN 259 END::INT AS begins, CASE role WHEN 'user' THEN 258 WHEN 'assistant' THEN 260 END::INT AS ends FROM conversations")
 def special_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return K.special_ids(spark, 256)
+    """The ids of the marks around each turn, none around a system turn."""
+    names = K.special_ids(spark, 256)
+    turns = S.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    for column, mark in (("begins", "_start"), ("ends", "_end")):
+        known = names.select(F.regexp_extract("name", rf"<\|(\w+){mark}\|>", 1).alias("role"), F.col("token_id").alias(column)).where("role <> ''")
+        turns = turns.join(F.broadcast(known), "role", "left")  # nine names
+    return turns.select("conv_id", "turn", "begins", "ends")
 
 
 @query(
@@ -114,10 +120,12 @@ def quarantined_lines(spark: SparkSession, d: str) -> DataFrame:
     return good.select(F.lit("none").alias("error")).union(bad.select("error")).groupBy("error").agg(F.count("*").alias("lines"))
 
 
-@query("token_byte_stats")
+@query("token_byte_stats", "SELECT item_id, strlen(text)::BIGINT AS n_bytes FROM benchmark WHERE length(text) > 0")
 def token_byte_stats(spark: SparkSession, d: str) -> DataFrame:
-    t = K.byte_lengths(spark, *_vocabulary()).where("n_bytes > 0")
-    return t.agg(F.min("n_bytes").alias("least"), F.max("n_bytes").alias("most"), F.avg("n_bytes").alias("mean"), F.stddev_samp("n_bytes").alias("std"))
+    """The bytes of each item's tokens, joined from the table of token lengths: as many as its text has."""
+    lengths = K.byte_lengths(spark, *_vocabulary()).withColumnRenamed("n_bytes", "b")  # a row a token of the vocabulary
+    ids = S.table(spark, d, "benchmark").select("item_id", F.explode(K.encoder(*_vocabulary())(F.col("text"))).alias("token_id"))
+    return ids.join(lengths, "token_id").groupBy("item_id").agg(F.sum("b").alias("n_bytes"))
 
 
 _CONV = "c AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS nxt, lag(role) OVER w AS prev, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"

@@ -60,26 +60,26 @@ def next_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "schedules",
-    """SELECT i AS step, CASE WHEN i < 40 THEN (i + 1) / 40.0::DOUBLE WHEN i <= 800 THEN 1.0 ELSE (1000 - i) / 200.0::DOUBLE + (1 - (1000 - i) / 200.0::DOUBLE) * 0.05 END::DOUBLE AS lr,
+    """SELECT event_id, i AS step, CASE WHEN i < 40 THEN (i + 1) / 40.0::DOUBLE WHEN i <= 800 THEN 1.0 ELSE (1000 - i) / 200.0::DOUBLE + (1 - (1000 - i) / 200.0::DOUBLE) * 0.05 END::DOUBLE AS lr,
     CASE WHEN i < 400 THEN (1 - i / 400.0::DOUBLE) * 0.85 + i / 400.0::DOUBLE * 0.97 WHEN i >= 800 THEN 0.97 * (1 - (i - 800) / 200.0::DOUBLE) + 0.90 * ((i - 800) / 200.0::DOUBLE) ELSE 0.97 END::DOUBLE AS momentum,
-    round(0.2 * 0.5 * (1 + cos(pi() * i / 1000)), 9) AS decay FROM (SELECT unnest(generate_series(0, 999)) AS i)""",
+    round(0.2 * 0.5 * (1 + cos(pi() * i / 1000)), 9) AS decay FROM (SELECT event_id, event_id % 1000 AS i FROM events)""",
 )
 def schedules(spark: SparkSession, d: str) -> DataFrame:
-    """Learning rate, momentum and weight decay over a run of 1000 steps."""
+    """Learning rate, momentum and weight decay at the step of each event, in runs of 1000 steps."""
     total, warm, down = 1000, 40, 200
-    i = F.col("id")
+    i = F.col("event_id") % total
     left = (total - i) / float(down)
     lr = F.when(i < warm, (i + 1) / float(warm)).when(i <= total - down, 1.0).otherwise(left + (1 - left) * 0.05)
     late = (i - (total - down)) / float(down)
     momentum = F.when(i < 400, (1 - i / 400.0) * 0.85 + i / 400.0 * 0.97).when(i >= total - down, 0.97 * (1 - late) + 0.90 * late).otherwise(0.97)
-    return spark.range(total).select(i.alias("step"), lr.alias("lr"), momentum.alias("momentum"), F.round(0.2 * 0.5 * (1 + F.cos(F.pi() * i / total)), 9).alias("decay"))
+    return S.table(spark, d, "events").select("event_id", i.alias("step"), lr.alias("lr"), momentum.alias("momentum"), F.round(0.2 * 0.5 * (1 + F.cos(F.pi() * i / total)), 9).alias("decay"))
 
 
-@query("auto_batch", "SELECT depth, pow(2, round_even(log2(524288 * pow(depth / 12.0::DOUBLE, 0.383)), 0))::BIGINT AS batch FROM (SELECT unnest(generate_series(4, 60, 2)) AS depth)")
+@query("auto_batch", "SELECT c_custkey, pow(2, round_even(log2(524288 * pow((4 + 2 * (c_custkey % 29)) / 12.0::DOUBLE, 0.383)), 0))::BIGINT AS batch FROM customer")
 def auto_batch(spark: SparkSession, d: str) -> DataFrame:
-    """The power of two next to a batch that grows with depth."""
-    depth = F.col("id")
-    return spark.range(4, 61, 2).select(depth.alias("depth"), F.pow(F.lit(2.0), F.rint(F.log2(524288 * F.pow(depth / 12.0, F.lit(0.383))))).cast("long").alias("batch"))
+    """The power of two next to a batch that grows with the depth of each customer's model."""
+    depth = 4 + 2 * (F.col("c_custkey") % 29)
+    return S.table(spark, d, "customer").select("c_custkey", F.pow(F.lit(2.0), F.rint(F.log2(524288 * F.pow(depth / 12.0, F.lit(0.383))))).cast("long").alias("batch"))
 
 
 @query(
@@ -97,9 +97,11 @@ def forecast(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("ring_task", "SELECT s, t, ((s + 5 * t) % 12)::INT AS token FROM (SELECT unnest(generate_series(0, 11)) AS s), (SELECT unnest(generate_series(0, 16)) AS t)")
+@query("ring_task", "SELECT c_custkey, t, ((c_custkey % 12 + 5 * t) % 12)::INT AS token FROM customer, (SELECT unnest(generate_series(0, 16)) AS t)")
 def ring_task(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(12).select(F.col("id").alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long"))).alias("t")).withColumn("token", F.pmod(F.col("s") + 5 * F.col("t"), F.lit(12)).cast("int"))
+    """Seventeen steps of five on a ring of twelve, from where each customer starts."""
+    t = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(16).cast("long"))).alias("t")
+    return S.table(spark, d, "customer").select("c_custkey", t).withColumn("token", F.pmod(F.col("c_custkey") % 12 + 5 * F.col("t"), F.lit(12)).cast("int"))
 
 
 @query(
@@ -130,18 +132,18 @@ def nation_revenue(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "run_plans",
-    """WITH d AS (SELECT depth, depth * 12.0::DOUBLE * pow(64 * depth, 2) + 32768.0::DOUBLE * 64 * depth AS p, 12 * 12.0::DOUBLE * pow(768, 2) + 32768.0::DOUBLE * 768 AS ref FROM (SELECT unnest(generate_series(4, 60, 2)) AS depth)),
+    """WITH d AS (SELECT c_custkey, depth, depth * 12.0::DOUBLE * pow(64 * depth, 2) + 32768.0::DOUBLE * 64 * depth AS p, 12 * 12.0::DOUBLE * pow(768, 2) + 32768.0::DOUBLE * 768 AS ref FROM (SELECT c_custkey, 4 + 2 * (c_custkey % 29) AS depth FROM customer)),
     t AS (SELECT *, floor(p * 8.0) AS target, pow(2, round_even(log2(524288 * pow(floor(p * 8.0) / (ref * 8.0), 0.383)), 0)) AS b FROM d)
-    SELECT depth, target::BIGINT AS target_tokens, b::BIGINT AS batch, round(sqrt(b / 524288), 9) AS lr_scale, round(0.2 * sqrt(b / 524288) * (ref * 8.0 / target), 9) AS weight_decay,
+    SELECT c_custkey, depth, target::BIGINT AS target_tokens, b::BIGINT AS batch, round(sqrt(b / 524288), 9) AS lr_scale, round(0.2 * sqrt(b / 524288) * (ref * 8.0 / target), 9) AS weight_decay,
       (CASE WHEN depth % 6 = 0 THEN 500 WHEN depth % 6 = 2 THEN round_even(1e18 / (6 * p * b), 0) ELSE floor(target / b) END)::BIGINT AS iterations FROM t""",
 )
 def run_plans(spark: SparkSession, d: str) -> DataFrame:
-    """Horizon, batch, scales and steps by depth; some depths are given their steps, some a budget of operations."""
-    depth = F.col("id")
+    """Horizon, batch, scales and steps of each customer's model by its depth; some depths are given their steps, some a budget of operations."""
+    depth = 4 + 2 * (F.col("c_custkey") % 29)
     params = depth * 12.0 * F.pow(depth * 64.0, F.lit(2.0)) + depth * (32768.0 * 64)
     given, budget = F.when(depth % 6 == 0, 500), F.when(depth % 6 == 2, 1e18)
     plan = M.run_plan(params, F.lit(12 * 12.0 * 768**2 + 32768.0 * 768), 8.0, 0.2, 6 * params, given, budget)
-    out = spark.range(4, 61, 2).select(depth.alias("depth"), *(c.alias(n) for n, c in plan.items()))
+    out = S.table(spark, d, "customer").select("c_custkey", depth.alias("depth"), *(c.alias(n) for n, c in plan.items()))
     return out.withColumn("lr_scale", F.round("lr_scale", 9)).withColumn("weight_decay", F.round("weight_decay", 9))
 
 

@@ -55,10 +55,9 @@ def test_byte_ids(spark):
     assert df.where("k > 9").select(N.byte_ids("t")).collect() == []
 
 
-def test_token_byte_stats(spark, sf_dir, vocabulary):
-    n = np.array([len(vocabulary.decode_single_token_bytes(i)) for i in range(vocabulary.n_vocab - len(N.SPECIALS))])
-    r = tokens.token_byte_stats(spark, sf_dir).first()
-    assert (r["least"], r["most"]) == (n.min(), n.max()) and np.allclose([r["mean"], r["std"]], [n.mean(), n.std(ddof=1)])
+def test_token_byte_lengths(spark, vocabulary):
+    got = {r["token_id"]: r["n_bytes"] for r in N.byte_lengths(spark, *tokens._vocabulary()).collect()}
+    assert got == {i: len(vocabulary.decode_single_token_bytes(i)) if i < vocabulary.n_vocab - len(N.SPECIALS) else 0 for i in range(vocabulary.n_vocab)}
 
 
 def test_compression_by_lang(spark, sf_dir, vocabulary):
