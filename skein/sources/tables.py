@@ -165,34 +165,83 @@ def scrape_metrics(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return hit.groupBy("run", "metric").agg(F.max_by("number", "line").alias("number"))
 
 
+def first_at_least(values: DataFrame, targets: DataFrame) -> DataFrame:
+    """``targets(key, at)`` with ``found``: the least ``place`` of ``values(place, at)`` whose ``at`` is no less than the target's; null where there is none.
+
+    ``at`` may not fall as ``place`` rises. Both sides are ranged together by ``at``; a range whose targets lie behind its last value takes the first one of the ranges after it.
+    """
+    kinds = [values.select("at", F.lit(1).alias("_kind"), "place", F.lit(None).cast("long").alias("key")), targets.select("at", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("place"), "key")]
+    both = stable(kinds[0].unionByName(kinds[1]).repartitionByRange("at", "_kind", "place", "key").withColumn("_p", F.spark_partition_id()))
+    within = Window.partitionBy("_p").orderBy("at", "_kind", "place", "key").rowsBetween(0, Window.unboundedFollowing)
+    heads = both.groupBy("_p").agg(F.min("place").alias("_head"))  # a row a range
+    later = heads.select("_p", F.min("_head").over(Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
+    found = F.coalesce(F.first("place", ignorenulls=True).over(within), F.col("_later"))
+    return both.join(later, "_p").select("_kind", "key", "at", found.alias("found")).where("_kind = 0").drop("_kind")
+
+
+def chained(jumps: DataFrame, start: int = 0) -> DataFrame:
+    """``a`` of all places that ``jumps(a, b)`` leads to from ``start``, itself included; ``b`` is null where a chain ends.
+
+    Each round doubles how far a jump goes, so rounds grow with the logarithm of the chain's length and no task walks along it.
+    """
+    spark = jumps.sparkSession
+    reached = spark.createDataFrame([(start,)], "a long")
+    while True:
+        new = reached.join(jumps, "a").where("b IS NOT NULL").select(F.col("b").alias("a"))
+        grown = stable(reached.union(new))
+        if not new.limit(1).count():
+            return reached
+        reached = grown
+        jumps = stable(jumps.join(jumps.select(F.col("a").alias("b"), F.col("b").alias("_c")), "b", "left").select("a", F.col("_c").alias("b")))
+
+
+def shard_bounds(keys: DataFrame, shard_chars: int, group: int) -> list[tuple]:
+    """First keys (h, id, place) of the shards of ``keys(h, id, place, chars)`` in order, and behind them that of the tail that is no shard.
+
+    A shard ends with the first whole group of ``group`` rows at which it has ``shard_chars``. Lengths and keys alone are sorted; what
+    comes to the driver is a key a shard, 24 bytes for ``shard_chars`` characters.
+    """
+    place = running_total(keys, ["h", "id", "place"], F.col("chars"), "before")
+    number = running_total(keys, ["h", "id", "place"], F.lit(1).cast("long"), "_n")
+    rows = place.join(number.select(F.col("place").alias("_place"), F.floor(F.col("_n") / group).alias("g")), F.col("place") == F.col("_place"))
+    first = F.min(F.struct("h", "id", "place"))
+    groups = stable(rows.groupBy("g").agg(F.min("before").alias("at"), F.count("*").alias("n"), F.sum("_v").alias("chars"), first.alias("first")))
+    total = groups.where(F.col("n") == group).agg(F.max("g").alias("g"), F.max(F.col("at") + F.col("chars")).alias("at")).first()
+    if total["g"] is None:
+        return []
+    ends = groups.where(F.col("n") == group).select((F.col("g") + 1).alias("place"), (F.col("at") + F.col("chars")).alias("at"))
+    jumps = first_at_least(ends, groups.select(F.col("g").alias("key"), (F.col("at") + shard_chars).alias("at")))
+    starts = chained(stable(jumps.select(F.col("key").alias("a"), F.col("found").alias("b"))))
+    found = starts.join(groups.select(F.col("g").alias("a"), "first"), "a", "left").orderBy("a").collect()
+    return [tuple(r["first"]) if r["first"] else None for r in found]
+
+
 def repackaged(docs: DataFrame, shard_chars: int, group: int, seed: int = 42) -> DataFrame:
-    """Shuffle and cut into shards of at least ``shard_chars`` at whole groups of ``group`` documents.
+    """Shuffle and cut into shards of at least ``shard_chars`` at whole groups of ``group`` documents: adds ``shard``.
 
-    The tail that never meets both conditions is dropped. Where a shard ends
-    depends on where the one before it did, so the cut is one task's work over
-    a row of 24 bytes a group: a GB or so for 100 TB in groups of 1,024
-    documents. The documents themselves are cut in parallel.
+    The order is that of a seeded hash of the id. The tail that never meets both conditions is dropped. A document finds
+    its shard among the shards' first keys, in its own task, so no text is moved until the shards are written. Null texts
+    count as empty; rows with one id are documents of their own. ``docs`` has to come straight from files.
     """
-    place = running_total(docs.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id")), ["_h", "doc_id"], F.lit(1).cast("long"), "_n")
-    d = docs.join(place.select("doc_id", F.floor(F.col("_n") / group).alias("_g")), "doc_id")
-    groups = d.groupBy("_g").agg(F.sum(F.length("text")).cast("long").alias("chars"), F.count("*").alias("n")).where(F.col("n") == group)
+    h = F.xxhash64(F.lit(seed), "doc_id")
+    marked = placed(docs, "_place").withColumn("_h", h).withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("long"))
+    chars = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    bounds = shard_bounds(marked.select(F.col("_h").alias("h"), F.col("_id").alias("id"), F.col("_place").alias("place"), chars.alias("chars")), shard_chars, group)
+    tail = bounds[-1] if bounds else None
+    shards = len(bounds) - 1
+
+    @F.arrow_udf(T.LongType())
+    def shard_of(hs, ids, places):
+        import pyarrow as pa
+        from bisect import bisect_right
 
-    def cut(frames):
-        import pandas as pd
+        known = bounds if tail else bounds[:-1]
+        out = (bisect_right(known, key) - 1 for key in zip(hs.to_pylist(), ids.to_pylist(), places.to_pylist(), strict=True))
+        return pa.array([k if k < shards else None for k in out], pa.int64())
 
-        shard, held = 0, 0
-        for f in frames:
-            out = []
-            for c in f["chars"]:
-                out.append(shard)
-                held += c
-                if held >= shard_chars:
-                    shard, held = shard + 1, 0
-            yield pd.DataFrame({"_g": f["_g"], "shard": out, "chars": f["chars"]})
-
-    cuts = groups.coalesce(1).sortWithinPartitions("_g").mapInPandas(cut, "_g long, shard long, chars long")
-    full = cuts.groupBy("shard").agg(F.sum("chars").alias("total")).where(F.col("total") >= shard_chars)
-    return d.join(cuts.select("_g", "shard"), "_g").join(full.select("shard"), "shard", "left_semi").drop("_g")
+    if shards < 1:
+        return marked.where("false").withColumn("shard", F.lit(0).cast("long")).drop("_h", "_id", "_place")
+    return marked.withColumn("shard", shard_of("_h", "_id", "_place")).where("shard IS NOT NULL").drop("_h", "_id", "_place")
 
 
 def write_corpus(df: DataFrame, path: str, row_group: int = 1024) -> None:

@@ -147,15 +147,52 @@ def test_exact_means_of_long_runs(spark):
             assert abs(got[g, i] - ema / (1 - beta**n)) < 1e-9
 
 
-def test_repackaged_corpus(spark, sf_dir, texts):
-    whole = S.repackaged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 100_000, 16)
-    rows = whole.collect()
-    by_shard = collections.defaultdict(list)
-    for r in rows:
-        by_shard[r["shard"]].append(len(r["text"]))
+def cut_in_order(keyed, shard_chars, group):
+    """Shards by the rule, one document after another."""
+    shards, held, chars = [], [], 0
+    for key, n in sorted(keyed):
+        held.append(key)
+        chars += n
+        if chars >= shard_chars and len(held) % group == 0:
+            shards.append(held)
+            held, chars = [], 0
+    return shards
+
+
+@pytest.mark.parametrize(("shard_chars", "group"), [(100_000, 16), (1, 1), (3_000, 7), (10**9, 4), (50, 500)])
+def test_repackaged_corpus(spark, sf_dir, texts, shard_chars, group):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(42), "doc_id").alias("h")).collect()}
+    want = cut_in_order([((h[i], i), len(t)) for i, t in texts.items()], shard_chars, group)
+    got = collections.defaultdict(list)
+    for r in S.repackaged(docs, shard_chars, group).collect():
         assert texts[r["doc_id"]] == r["text"]
-    assert len({r["doc_id"] for r in rows}) == len(rows)
-    assert all(sum(n) >= 100_000 and len(n) % 16 == 0 for n in by_shard.values())
+        got[r["shard"]].append((h[r["doc_id"]], r["doc_id"]))
+    assert {k: sorted(v) for k, v in got.items()} == dict(enumerate(want))
+
+
+def test_repackaged_odd_rows(spark, tmp_path):
+    """One id on very many rows, null ids and texts: rows of their own, none lost but the tail."""
+    rows = [(7, "x" * 5)] * 300 + [(None, None)] * 50 + [(i, "y" * i) for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = S.repackaged(docs, 40, 4).toPandas()
+    sizes = out.assign(n=out["text"].fillna("").str.len()).groupby("shard").agg(n=("n", "sum"), rows=("n", "size"))
+    assert list(sizes.index) == list(range(len(sizes))) and (sizes["n"] >= 40).all() and (sizes["rows"] % 4 == 0).all() and len(rows) - len(out) < 60
+    assert S.repackaged(docs.where("false"), 40, 4).collect() == [] and S.repackaged(docs.where("doc_id < 3"), 40, 4).collect() == []
+
+
+def test_written_shards(spark, sf_dir, tmp_path):
+    """Shards on disk hold whole row groups of the asked size."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    whole = S.repackaged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), 50_000, 16)
+    S.write_corpus(whole.where("shard = 1").select("text").coalesce(1), str(tmp_path / "c"), 16)
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{tmp_path}/c/*.parquet")]
+    sizes = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert set(sizes) == {16}
 
 
 # ------------------------------------------------------------ stores, alignment, tools
