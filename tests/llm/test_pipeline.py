@@ -11,8 +11,8 @@ def test_query_equals_sql(name, same):
     same(queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_ten_queries():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 11)]
+def test_thirteen_queries():
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages(spark, sf_dir, tmp_path):
