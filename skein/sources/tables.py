@@ -99,9 +99,9 @@ def shared_with_next(docs: DataFrame, text: str, key: str) -> DataFrame:
     """``key`` and n: the words that each text shares at its head with the next one in the order of (text, key).
 
     Texts are moved once, into range partitions, and compared as they stream by
-    in order; only the ends of partitions meet afterwards. Null texts are empty.
+    in order; the ends of partitions meet afterwards, in a join of the last of each with
+    the first of the next. Null texts are empty.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     schema = T.StructType([T.StructField("p", T.IntegerType()), T.StructField("end", T.IntegerType()), rows.schema["key"], T.StructField("n", T.LongType()), T.StructField("text", T.StringType())])
 
@@ -127,9 +127,18 @@ def shared_with_next(docs: DataFrame, text: str, key: str) -> DataFrame:
             yield made([(p, 1, last[0], None, last[1])])
 
     found = stable(rows.repartitionByRange("text", "key").sortWithinPartitions("text", "key").mapInArrow(run, schema))
-    ends = found.where("end IS NOT NULL").orderBy("p", "end").collect()  # two rows a partition
-    last = [(r["key"], shared_words(r["text"], nxt["text"]) if nxt else None) for r, nxt in zip(ends[1::2], [*ends[2::2], None], strict=False)]
-    edge = spark.createDataFrame(last, T.StructType([schema["key"], schema["n"]]))
+    ends = found.where("end IS NOT NULL")
+    firsts = ends.where("end = 0").select(F.col("p").alias("_next"), F.col("text").alias("_text"))
+    lasts = ends.where("end = 1").select("p", "key", "text")
+    following = lasts.select("p", F.lead("p").over(Window.orderBy("p")).alias("_next"))  # a number a partition
+
+    @F.arrow_udf(T.LongType())
+    def shared(mine, others):
+        import pyarrow as pa
+
+        return pa.array([None if b is None else shared_words(a, b) for a, b in zip(mine.to_pylist(), others.to_pylist(), strict=True)], pa.int64())
+
+    edge = lasts.join(following, "p").join(firsts, "_next", "left").select("key", shared("text", "_text").alias("n"))
     return found.where("end IS NULL").select("key", "n").union(edge).select(F.col("key").alias(key), F.col("n").cast("int").alias("n"))
 
 
