@@ -11,7 +11,7 @@ from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -121,6 +121,40 @@ def packed(docs: DataFrame, capacity: int, buffer_size: int = 1000, mode: str =
     return ordered.groupBy("rank").applyInPandas(group, schema)
 
 
+class PackRows:
+    """``packed`` as a table function: one partition is one rank, whose rows come in order.
+
+    A rank's ids and lengths are held until its last row has come; ranks are bounded as for ``packed``.
+    """
+
+    def __init__(self) -> None:
+        self.docs: list[tuple[int, object]] = []
+        self.options: tuple[int, int, str] | None = None
+        self.rank: int | None = None
+
+    def eval(self, row: Row, capacity: int, buffer_size: int, mode: str) -> Iterator[tuple]:
+        if mode not in ("crop", "pad"):
+            raise ValueError(f"mode is crop or pad, not {mode!r}")
+        self.rank, self.options = row["rank"], (capacity, buffer_size, mode)
+        n = int(row["n"] or 0)
+        self.docs.append((n, (row["doc_id"], n)))
+        yield from ()
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.options is None:
+            return
+        for k, placed in enumerate(pack_stream(iter(self.docs), *self.options)):
+            at = 0
+            for slot, ((doc, n), used) in enumerate(placed):
+                yield self.rank, k, slot, doc, at, used, n
+                at += used
+
+
+def register_packers(spark: SparkSession) -> None:
+    """Lets SQL call ``pack_rows(TABLE(docs) PARTITION BY rank ORDER BY ord, capacity, buffer_size, mode)`` over docs(rank, ord, doc_id, n)."""
+    spark.udtf.register("pack_rows", F.udtf(PackRows, returnType="rank int, row long, slot int, doc_id long, start int, used int, n long"))
+
+
 def padded(places: DataFrame, docs: DataFrame, capacity: int, fill: int) -> DataFrame:
     """Packed rows of ``docs(doc_id, ids)``: rank, row, consumed (documents of the rank by the row's end), ids filled to ``capacity``, targets with -1 where the next id is filling."""
     from pyspark.sql.window import Window

@@ -369,6 +369,14 @@ def pack_pad(spark: SparkSession, d: str) -> DataFrame:
     return P.packed(_ranked(spark, d), 2048, 100, "pad")
 
 
+@query("pack_from_sql")
+def pack_from_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of ``pack_crop``, asked for in SQL."""
+    P.register_packers(spark)
+    text = "SELECT * FROM pack_rows(TABLE({docs}) PARTITION BY rank ORDER BY (ord, doc_id, n), capacity => 2048, buffer_size => 1000, mode => 'crop')"
+    return spark.sql(text, docs=_ranked(spark, d))
+
+
 @query(
     "pack_pad_totals",
     """WITH d AS (SELECT ((doc_id // 16) % greatest(8, ceil((SELECT count(*) FROM documents) / 65536.0)))::INT AS rank, strlen(coalesce(text, '')) + 1 AS n FROM documents)

@@ -17,6 +17,7 @@ from skein.operators import packing as P
 from skein.operators import sources
 from skein.operators import store as A
 from skein.plans import metrics, store, tokens
+from skein.plans.registry import QUERIES
 from skein.sources import tables as S
 from skein.streaming import tools
 
@@ -92,6 +93,16 @@ def test_long_documents_are_cut():
     assert list(P.pack_stream(iter(docs), 16, 8, "pad")) == [[("b", 16)], [("a", 5), ("c", 3)]]
 
 
+def test_packers_in_sql(spark, sf_dir):
+    rows = lambda name: sorted(map(tuple, QUERIES[name](spark, sf_dir).collect()))
+    assert rows("pack_from_sql") == rows("pack_crop")
+    P.register_packers(spark)
+    docs = spark.createDataFrame([(0, 0, 5, 3), (0, 1, None, 20), (1, 2, 7, None), (1, 3, 8, 2)], "rank int, ord long, doc_id long, n int")
+    got = spark.sql("SELECT * FROM pack_rows(TABLE({docs}) PARTITION BY rank ORDER BY ord, capacity => 8, buffer_size => 4, mode => 'pad')", docs=docs)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, P.packed(docs, 8, 4, "pad").collect()))
+    assert spark.sql("SELECT * FROM pack_rows(TABLE({docs}) PARTITION BY rank ORDER BY ord, capacity => 8, buffer_size => 4, mode => 'pad')", docs=docs.where("false")).collect() == []
+
+
 def test_packing_of_odd_rows(spark):
     """Rows of one id, null ids, documents without tokens, and none at all."""
     rows = [(0, 0, 5, 3), (0, 1, 5, 3), (0, 2, None, 20), (0, 3, 7, 0), (0, 4, 8, None)]
