@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -235,18 +235,40 @@ def unfinished(data: DataFrame, path: str) -> DataFrame:
     return data.join(F.broadcast(spark.read.parquet(f"{path}/done").select("shard").distinct()), "shard", "left_anti")  # a row a shard
 
 
-def sweep(data: DataFrame, path: str) -> None:
-    """Write the shards that are not finished yet, then mark them as finished.
+def write_measures(n: Column, expected: Column, values: Column, limit: int = 127) -> dict[str, Column]:
+    """What a sweep observes of its documents: their number and tokens, those whose count is not the expected one (``drift``), and of all values
+    how many there are, are zero, and lie at ``limit`` or its negative (``clipped``). ``values`` is an array of numbers."""
+    def held(of) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(values, of))), F.lit(0)).cast("long")
+
+    return {
+        "documents": F.count(F.lit(1)), "tokens": F.coalesce(F.sum(n), F.lit(0)).cast("long"), "drift": F.count_if(~n.eqNullSafe(expected)),
+        "values": held(lambda x: x.isNotNull()), "zero": held(lambda x: x == 0), "clipped": held(lambda x: F.abs(x.cast("long")) >= limit),
+    }
+
+
+def sweep(data: DataFrame, path: str, measures: dict[str, Column] | None = None) -> dict:
+    """Write the shards that are not finished yet, then mark them as finished; gives what ``measures`` observed of the rows as they were written.
 
     A run that dies before the mark leaves no mark, so its shards are written
-    again, over what it left; finished ones are not touched.
+    again, over what it left; finished ones are not touched. Measures are taken in the pass
+    that writes, without a scan of their own; where one named ``drift`` is not 0 the shards are not
+    marked and the sweep is an error. No shard to write gives an empty result.
     """
     spark = data.sparkSession
     left = unfinished(data, path)
     shards = left.select("shard").distinct().collect()  # names of shards
-    if shards:
-        left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/data")
-        spark.createDataFrame(shards, data.select("shard").schema).coalesce(1).write.mode("append").parquet(f"{path}/done")
+    if not shards:
+        return {}
+    seen = Observation()
+    if measures:
+        left = left.observe(seen, *(c.alias(k) for k, c in measures.items()))
+    left.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(f"{path}/data")
+    found = dict(seen.get) if measures else {}
+    if found.get("drift"):
+        raise ValueError(f"{found['drift']} documents of the shards {sorted(r['shard'] for r in shards)} have another number of tokens than was expected")
+    spark.createDataFrame(shards, data.select("shard").schema).coalesce(1).write.mode("append").parquet(f"{path}/done")
+    return found
 
 
 def assemble(spark: SparkSession, path: str, expected: list[str], kind: str, **meta: object) -> dict:

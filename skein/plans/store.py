@@ -288,3 +288,17 @@ def score_shards(spark: SparkSession, d: str) -> DataFrame:
     R.write_scores(rows, path, [4, 8], [f"c{i}" for i in range(32)], _PROBE, _PROBE_STATS)
     read = R.read_scores(spark, path, shards, layer=8)
     return read.select("shard", "row", "n", F.posexplode("values").alias("concept", "score")).withColumn("score", F.round(F.col("score").cast("double"), 4))
+
+
+@query(
+    "observed_sweep",
+    """WITH q AS (SELECT unnest(list_transform(embedding, lambda x: greatest(-127, least(127, round(x::DOUBLE * 400, 0)))))::INT AS q FROM embeddings)
+    SELECT (SELECT count(*) FROM embeddings) AS documents, (SELECT coalesce(sum(len(embedding)), 0)::BIGINT FROM embeddings) AS tokens, 0::BIGINT AS drift, count(*) AS values, count(*) FILTER (q = 0) AS zero, count(*) FILTER (abs(q) >= 127) AS clipped FROM q""",
+)
+def observed_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a store of int8 values, taken while its shards are written."""
+    q = F.transform("embedding", lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x.cast("double") * 400)))).cast("array<tinyint>")
+    rows = S.table(spark, d, "embeddings").select((F.col("vec_id") % 4).alias("shard"), "vec_id", F.size("embedding").alias("n"), q.alias("q"))
+    found = A.sweep(rows, f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}", A.write_measures(F.col("n"), F.size("q"), F.col("q")))
+    names = ("documents", "tokens", "drift", "values", "zero", "clipped")
+    return spark.createDataFrame([tuple(int(found.get(k, 0)) for k in names)], ", ".join(f"{k} long" for k in names))

@@ -141,3 +141,17 @@ def test_broken_rows_are_not_written(spark, tmp_path):
     with pytest.raises(Exception, match="expected row 0"):
         R.write_scores(bad, str(tmp_path / "b"), [0], ["a", "b"], {}, {})
     assert not (tmp_path / "b" / "scores_00000.npy").exists()
+
+
+def test_sweeps_are_observed_and_refuse_drift(spark, tmp_path):
+    rows = spark.createDataFrame([(k % 3, k, 2, [k % 2, -127, None]) for k in range(30)], "shard int, doc long, n int, q array<int>")
+    measures = A.write_measures(F.col("n"), F.lit(2), F.col("q"))
+    some = rows.where("shard < 2")
+    assert A.sweep(some, str(tmp_path / "s"), measures) == {"documents": 20, "tokens": 40, "drift": 0, "values": 40, "zero": 10, "clipped": 20}
+    assert A.sweep(some, str(tmp_path / "s"), measures) == {}
+    assert A.sweep(rows, str(tmp_path / "s"), measures)["documents"] == 10  # only the shard that is not finished
+    drifted = rows.withColumn("n", F.when(F.col("doc") == 4, 3).otherwise(F.col("n")))
+    with pytest.raises(ValueError, match="1 documents"):
+        A.sweep(drifted, str(tmp_path / "d"), measures)
+    assert A.sweep(rows, str(tmp_path / "d"), measures)["documents"] == 30  # nothing was marked as finished
+    assert A.sweep(rows.where("false"), str(tmp_path / "n"), measures) == {}
