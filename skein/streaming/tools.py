@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.text import calculate
 from ..functions.tokens import BYTE_SPECIALS
@@ -56,3 +57,65 @@ def continued(log: DataFrame) -> DataFrame:
 
     ordered = log.select("sample", "step", "token").repartition("sample").sortWithinPartitions("sample", "step")
     return ordered.groupBy("sample").applyInPandas(run, schema)
+
+
+class ToolUseProcessor(StatefulProcessor):
+    """``ToolUse`` of one sample after another as a stream's state: its place and marks as a value, the tokens of an open call as a list.
+
+    With ``idle_ms`` a timer ends a sample for which no token has come for that long: its last row has no token.
+    """
+
+    def __init__(self, idle_ms: int = 0):
+        self.idle_ms = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.use = handle.getValueState("use", "place long, calling boolean, done boolean, step long")
+        self.call = handle.getListState("call", "token int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        place, calling, done, last = self.use.get() if self.use.exists() else (0, False, False, -1)
+        state = ToolUse()
+        state.done, state.call = done, [int(t) for (t,) in self.call.get()] if calling else None
+        tokens = pd.concat(list(rows)).sort_values("step")
+        out = []
+        for step, token in tokens[["step", "token"]].itertuples(index=False):
+            if step <= last:
+                raise ValueError(f"step {step} of sample {key[0]} comes after step {last}")
+            last = step
+            out += state.feed(int(token))
+        self.use.update((int(place + len(out)), state.call is not None, state.done, int(last)))
+        self.call.clear()
+        if state.call:
+            self.call.put([(t,) for t in state.call])
+        if self.idle_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if not state.done:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self.rows(key, place, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        place, _, done, last = self.use.get()
+        if not done:
+            self.use.update((int(place + 1), False, True, int(last)))
+            self.call.clear()
+            yield self.rows(key, place, [(None, 0)])
+
+    def rows(self, key, place: int, out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame({"sample": [key[0]] * len(out), "place": range(place, place + len(out)), "token": [t for t, _ in out], "mask": [m for _, m in out]})
+        return frame.astype({"place": "int64", "token": "Int32", "mask": "int32"})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_continued(log: DataFrame, idle_ms: int = 0) -> DataFrame:
+    """``continued`` of a streaming ``log(sample, step, token)``: sample, place, token, mask as tokens come.
+
+    However the log is cut into micro-batches, the rows are those of the whole. The state store has to be
+    RocksDB (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    schema = f"sample {log.schema['sample'].dataType.simpleString()}, place long, token int, mask int"
+    mode = "ProcessingTime" if idle_ms else "None"
+    return log.select("sample", "step", "token").groupBy("sample").transformWithStateInPandas(ToolUseProcessor(idle_ms), schema, "Append", mode)
