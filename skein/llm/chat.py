@@ -16,7 +16,8 @@ turns of one conversation stream through a task, none is held whole.
 
 Edge cases: null text or role counts as empty; null conversation ids form one
 conversation; ties in ``turn`` go by role, then text; repeated rows are turns
-of their own; empty tables give empty results; other columns are ignored.
+of their own; empty tables give empty results; other columns are ignored. A very long text is one
+turn, held by itself.
 """
 
 from __future__ import annotations

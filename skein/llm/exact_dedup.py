@@ -16,7 +16,8 @@ smaller ``memory_bytes`` asks for.
 
 Defined results: null text counts as empty; of equal texts the row with the
 largest doc_id stays (a null id is smallest), and of wholly equal rows exactly
-one; an empty table gives an empty result; other columns are ignored.
+one; an empty table gives an empty result; other columns are ignored. Texts of any length are compared
+whole; one that is larger than a table fills one by itself.
 """
 
 from __future__ import annotations

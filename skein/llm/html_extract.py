@@ -20,7 +20,8 @@ number is fixed, so fitting costs the same for any corpus.
 Output: character references decoded, white space inside a block one space,
 blocks in page order joined by one line feed. Edge cases: null, empty and
 broken html give what text they hold, or an empty string; repeated rows each
-give a row; an empty table gives an empty result; other columns are ignored.
+give a row; an empty table gives an empty result; other columns are ignored. Pages of any length are
+parsed whole, in linear time; where keeping and dropping a node are equally likely it is dropped.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ row each, in one task: some millions of sources are its bound.
 
 Edge cases: null text has no words; a null source is a source, last in order;
 rows with equal ids are ordered by size and are otherwise alike; an empty
-table, or one without words, takes nothing; other columns are ignored.
+table, or one without words, takes nothing; other columns are ignored. Texts of any length are counted
+whole.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ the data.
 
 Edge cases: a null text is the empty text; an empty document is one piece that
 holds only the end id; an empty table gives an empty result; repeated rows are
-packed once each; null ``doc_id`` values are kept; other columns are ignored.
+packed once each; null ``doc_id`` values are kept; other columns are ignored. A text of any length is
+encoded whole in its own task. Pieces of one length are alike to the plan: which of them goes where follows their place in the scan.
 """
 
 from __future__ import annotations

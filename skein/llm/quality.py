@@ -7,12 +7,14 @@ labels. Scores are mapped to 0..1 so that the threshold is ``CUT``.
 
 Counts come from whole texts; the weights become one JVM expression over
 them. At most ``MAX_LABELLED`` labelled rows,
-chosen by a hash of their id, are fitted on; nothing else is bounded.
+chosen by a hash of their id, are fitted on, and of the pairs of a good and a bad one ``PAIRS`` (60,000)
+are drawn; nothing else is bounded.
 
 Edge cases: null and empty texts get the score of a text without words; null
 labels are not used, contradictory ones all are; without labels of both kinds
 every score is one half; repeated rows are scored each; an empty table gives
-an empty result; other columns are ignored, and kept by ``keep_good``.
+an empty result; other columns are ignored, and kept by ``keep_good``. Texts of any length are counted whole; equal
+scores stand on the same side of the threshold, which belongs to the good ones.
 """
 
 from __future__ import annotations

@@ -7,12 +7,14 @@ rows it covers leave, and the next rule is learned from the rest. The list
 becomes one ordered Spark conditional expression over whole-text counts.
 
 At most ``MAX_LABELLED`` labelled rows, chosen by a hash of their id, are
-learned from; nothing else is bounded.
+learned from, and a list has at most ``MAX_RULES`` (12) rules of ``MAX_CONDITIONS`` (4)
+conditions; nothing else is bounded.
 
 Edge cases: null and empty texts have no words and fail the base rule; null
 labels are not used; without labels of both kinds the list is empty and keeps
 all that pass the base rule; repeated rows each give a row; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored. Texts of any length are counted whole; the first rule that holds
+decides, and of conditions of one gain the first in the order of the counts is taken.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ A table that is not a stored one is stored first, as scans of it may not give th
 
 Edge cases: a null text has size 1 and checksum 0; null ids hash like any
 value; an empty table gives an empty result; repeated rows are kept, each with
-its own slot; other columns are ignored.
+its own slot; other columns are ignored. Rows whose marks tie go by their place in the scan; a text of any length
+is one row, and a bucket that it overfills holds it alone.
 """
 
 from __future__ import annotations
