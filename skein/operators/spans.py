@@ -183,13 +183,14 @@ def as_of_places() -> Callable[[Column, Column], Column]:
         docs = np.arange(len(n))
         of_at, of_end = np.repeat(docs, n), np.repeat(docs, m)
         place = np.arange(len(y)) - np.repeat(np.cumsum(m) - m, m)
-        known = ~np.isnan(y)
-        y, of_end, place = y[known], of_end[known], place[known]
-        by = np.lexsort((place, y, of_end))
-        y, of_end, place = y[by], of_end[by], place[by]
-        line = np.concatenate([x, y])
-        low = np.nanmin(line) if len(line) and not np.isnan(line).all() else 0.0
-        width = (np.nanmax(line) - low + 1.0) if len(line) and not np.isnan(line).all() else 1.0
+        if (unknown := np.isnan(y)).any():
+            y, of_end, place = y[~unknown], of_end[~unknown], place[~unknown]
+        if len(_in_order(of_end, y)):
+            by = np.lexsort((place, y, of_end))
+            y, of_end, place = y[by], of_end[by], place[by]
+        known = np.concatenate([x[~np.isnan(x)], y])
+        low, high = (known.min(), known.max()) if len(known) else (0.0, 0.0)
+        width = high - low + 1.0
         first = np.searchsorted(of_end, docs, "left")[of_at] if len(n) else np.zeros(0, int)
         k = np.searchsorted(of_end * width + (y - low), of_at * width + (x - low), "right") - 1
         met = (k >= first) & ~np.isnan(x)
@@ -198,3 +199,37 @@ def as_of_places() -> Callable[[Column, Column], Column]:
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(out), mask=at.is_null())
 
     return run
+
+
+def _places(lists: pa.Array) -> pa.Array:
+    """Each list's places 0, 1, 2 and so on as numbers."""
+    _, n = _flat(lists, np.int64)
+    ends = np.cumsum(n)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n), pa.int64()).cast(pa.float64()))
+
+
+def overlapped_places(targets, sources, how: str = "mean") -> Callable[[Column], Column]:
+    """A function of a text: for each span of its cut ``targets`` the ``mean`` or ``last`` place of the spans of its cut ``sources`` that meet it.
+
+    Cuts are functions of this kind: ``split_spans(" ")``. Both are made and searched in one batch, so that spans never leave it.
+    """
+    meet = overlaps(how)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pa.Array) -> pa.Array:
+        a, b = targets.func(texts), sources.func(texts)
+        return meet.func(a.field("s"), a.field("e"), b.field("s"), b.field("e"), _places(b.field("s")))
+
+    return run
+
+
+def last_places(targets, sources) -> Callable[[Column], Column]:
+    """A function of a text: for each span of its cut ``targets`` the place of the last span of its cut ``sources`` that ends no later, else -1."""
+    search = as_of_places()
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        a, b = targets.func(texts), sources.func(texts)
+        return search.func(a.field("e"), b.field("e"))
+
+    return run

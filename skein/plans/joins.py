@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws as D
 from ..operators import joins as J
-from ..operators.spans import as_of_places, overlaps, split_spans
+from ..operators.spans import last_places, overlapped_places, split_spans
 from ..sources import tables as S
 from .registry import query
 
@@ -61,8 +61,8 @@ def _spans_sql(name: str, sep: str) -> str:
 @query("as_of_join", f"WITH {_spans_sql('a', ' ')}, {_spans_sql('b', 'e')} SELECT a.doc_id, a.pos, coalesce(max(b.pos), -1) AS target FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND b.e <= a.e GROUP BY a.doc_id, a.pos")
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
     """Each word's last piece of another cut of the text that ends no later."""
-    found = as_of_places()(F.col("a.e"), F.col("b.e"))
-    return _cuts(spark, d).select("doc_id", F.posexplode(found).alias("pos", "target")).withColumn("pos", F.col("pos").cast("long"))
+    found = last_places(split_spans(" "), split_spans("e"))(F.coalesce("text", F.lit("")))
+    return S.table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("pos", "target")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(
@@ -85,9 +85,8 @@ def overlap_last(spark: SparkSession, d: str) -> DataFrame:
 
 def _overlap(spark: SparkSession, d: str, how: str) -> DataFrame:
     """The places of the other cut's pieces, met by each word."""
-    places = F.sequence(F.lit(0), F.size("b.s") - 1).cast("array<double>")
-    found = overlaps(how)(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e"), places)
-    return _cuts(spark, d).select("doc_id", F.posexplode(found).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    found = overlapped_places(split_spans(" "), split_spans("e"), how)(F.coalesce("text", F.lit("")))
+    return S.table(spark, d, "documents").select("doc_id", F.posexplode(found).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(

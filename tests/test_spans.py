@@ -116,3 +116,19 @@ def test_many_nested_spans_in_time(spark):
     last = df.select(S.overlaps("last")("ts", "te", "ss", "se", "v").alias("x")).first()["x"]
     mean = df.select(S.overlaps("mean")("ts", "te", "ss", "se", "v").alias("x")).first()["x"]
     assert last == [float(i) for i in range(n)] and alike(mean, [i / 2 for i in range(n)])
+
+
+def test_searches_between_cuts_of_a_text(spark):
+    texts = ["one e here  eel", "", "eee", None, "nothing", "é e 🌍e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    for name, got in (("mean", S.overlapped_places(S.split_spans(" "), S.split_spans("e"), "mean")), ("last", S.overlapped_places(S.split_spans(" "), S.split_spans("e"), "last")), ("as_of", S.last_places(S.split_spans(" "), S.split_spans("e")))):
+        for r in df.select("k", "t", got(F.col("t")).alias("x")).collect():
+            if r["t"] is None:
+                assert not r["x"]
+                continue
+            cut = lambda sep, t=r["t"]: [(sum(len(p) + 1 for p in t.split(sep)[:i]), sum(len(p) + 1 for p in t.split(sep)[:i]) + len(x)) for i, x in enumerate(t.split(sep))]
+            a, b = cut(" "), cut("e")
+            if name == "as_of":
+                assert r["x"] == [max((i for i, (_, e) in enumerate(b) if e <= end), default=-1) for _, end in a]
+            else:
+                assert alike(r["x"], brute(*zip(*a, strict=True), *zip(*b, strict=True), [float(i) for i in range(len(b))], name))
