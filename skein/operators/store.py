@@ -175,6 +175,59 @@ def families(scores: DataFrame, concepts: DataFrame, key: list[str]) -> DataFram
     return t.groupBy(*key, "family").agg(F.sum(F.col("score") * F.col("c")).alias("c"), F.sum(F.col("score") * F.col("s")).alias("s"))
 
 
+#: Orders of families whose members go round in a circle (fixed values).
+CYCLES = {
+    "months": ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"],
+    "weekdays": ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"],
+    "seasons": ["spring", "summer", "autumn", "winter"],
+    "directions": ["north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest"],
+    "moon_phases": ["new_moon", "waxing_crescent", "first_quarter", "waxing_gibbous", "full_moon", "waning_gibbous", "last_quarter", "waning_crescent"],
+    "color_wheel": ["red", "red-orange", "orange", "yellow", "yellow-green", "green", "blue-green", "blue", "violet"],
+}
+
+
+def family_axes(channels: list[str], families: dict[str, str], pca: dict[str, list[list[float]]] | None = None, cycles: dict[str, list[str]] = CYCLES) -> list[tuple[int, str, int, float]]:
+    """The axes of structured activations as rows (place, name, channel, weight), families in name order.
+
+    ``channels`` are the concepts in the order of the scores, ``families`` the family of each. A family of ``cycles`` has a cosine and a sine at the
+    angles of its own order, one of ``pca`` an axis for each column of its saved matrix (a row a concept, in the order of the channels), any other an axis for each concept.
+    """
+    members: dict[str, list[str]] = {}
+    for c in channels:
+        members.setdefault(families[c], []).append(c)
+    at, out, place = {c: k for k, c in enumerate(channels)}, [], 0
+    for family in sorted(members):
+        if family in cycles:
+            order = cycles[family]
+            if lost := [c for c in members[family] if c not in order]:
+                raise ValueError(f"{lost} have no place among {family}")
+            for name, turn in (("cos", math.cos), ("sin", math.sin)):
+                out += [(place, f"{family}.{name}", at[c], turn(2 * math.pi * order.index(c) / len(order))) for c in members[family]]
+                place += 1
+        elif pca and family in pca:
+            matrix = pca[family]
+            if len(matrix) != len(members[family]):
+                raise ValueError(f"the axes of {family} have {len(matrix)} rows for {len(members[family])} concepts")
+            for k in range(len(matrix[0])):
+                out += [(place, f"{family}.pc{k + 1}", at[c], float(row[k])) for c, row in zip(members[family], matrix, strict=True)]
+                place += 1
+        else:
+            for c in members[family]:
+                out.append((place, c, at[c], 1.0))
+                place += 1
+    return out
+
+
+def structured(rows: DataFrame, key: list[str], scores: str, axes: list[tuple[int, str, int, float]]) -> DataFrame:
+    """*key, place, name and value: each row's ``scores`` along all ``axes``, applied in one join with their table.
+
+    Scores that are null count as 0, and so do channels that a row lacks; a null or empty row gives nothing.
+    """
+    table = rows.sparkSession.createDataFrame(axes, "place int, name string, channel int, weight double")
+    t = rows.select(*key, F.posexplode(scores).alias("channel", "_score")).join(F.broadcast(table), "channel")  # a row a weight: channels by axes of one family
+    return t.groupBy(*key, "place", "name").agg(F.sum(F.coalesce(F.col("_score").cast("double"), F.lit(0.0)) * F.col("weight")).alias("value"))
+
+
 def lookup(ids: DataFrame, token: str, table: DataFrame, channels: int) -> DataFrame:
     """``ids`` with ``vector`` from ``table(token, vector)``; ids that the table does not place get zeros."""
     out = ids.join(table.select(F.col("token").alias(token), "vector"), token, "left")

@@ -302,3 +302,25 @@ def observed_sweep(spark: SparkSession, d: str) -> DataFrame:
     found = A.sweep(rows, f"{shared_folder(spark)}/sweep-{uuid.uuid4().hex}", A.write_measures(F.col("n"), F.size("q"), F.col("q")))
     names = ("documents", "tokens", "drift", "values", "zero", "clipped")
     return spark.createDataFrame([tuple(int(found.get(k, 0)) for k in names)], ", ".join(f"{k} long" for k in names))
+
+
+#: Channels of the query below: months in alphabetical order, five continents, and concepts without a family.
+_CHANNELS = [*sorted(A.CYCLES["months"]), "africa", "america", "asia", "europe", "oceania", *(f"c{k}" for k in range(17, 64))]
+_SAVED = [[0.1, 0.5], [0.2, -0.25], [0.3, 0.125], [0.4, 0.0], [-0.5, 1.0]]
+
+
+@query(
+    "structured_families",
+    f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    m AS (SELECT unnest({[A.CYCLES["months"].index(c) for c in sorted(A.CYCLES["months"])]}) AS i, unnest(range(12)) AS k),
+    p AS (SELECT unnest({[r[0] for r in _SAVED]})::DOUBLE AS a, unnest({[r[1] for r in _SAVED]})::DOUBLE AS b, unnest(range(12, 17)) AS k)
+    SELECT vec_id, 'continents.pc1' AS name, round(sum(x * a), 6) AS value FROM e JOIN p USING (k) GROUP BY vec_id UNION ALL SELECT vec_id, 'continents.pc2', round(sum(x * b), 6) FROM e JOIN p USING (k) GROUP BY vec_id
+    UNION ALL SELECT vec_id, 'months.cos', round(sum(x * cos(2 * pi() * i / 12)), 6) FROM e JOIN m USING (k) GROUP BY vec_id UNION ALL SELECT vec_id, 'months.sin', round(sum(x * sin(2 * pi() * i / 12)), 6) FROM e JOIN m USING (k) GROUP BY vec_id
+    UNION ALL SELECT vec_id, 'c' || k, round(x, 6) FROM e WHERE k >= 17""",
+)
+def structured_families(spark: SparkSession, d: str) -> DataFrame:
+    """All channels as structured activations: a cyclic family, one with saved principal axes, and plain concepts."""
+    family = {c: "months" for c in _CHANNELS[:12]} | {c: "continents" for c in _CHANNELS[12:17]} | {c: c for c in _CHANNELS[17:]}
+    axes = A.family_axes(_CHANNELS, family, {"continents": _SAVED})
+    found = A.structured(S.table(spark, d, "embeddings"), ["vec_id"], "embedding", axes)
+    return found.select("vec_id", "name", F.round("value", 6).alias("value"))

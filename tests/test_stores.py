@@ -155,3 +155,33 @@ def test_sweeps_are_observed_and_refuse_drift(spark, tmp_path):
         A.sweep(drifted, str(tmp_path / "d"), measures)
     assert A.sweep(rows, str(tmp_path / "d"), measures)["documents"] == 30  # nothing was marked as finished
     assert A.sweep(rows.where("false"), str(tmp_path / "n"), measures) == {}
+
+
+def test_structured_families(spark, vectors):
+    """A cyclic family with members missing, a family with fitted axes and plain concepts, against numpy."""
+    from skein.operators import metrics as M
+
+    channels = ["tuesday", "x", "asia", "monday", "europe", "sunday", "africa", "y"]
+    family = {"tuesday": "weekdays", "monday": "weekdays", "sunday": "weekdays", "asia": "continents", "europe": "continents", "africa": "continents", "x": "other", "y": "another"}
+    v = vectors[:, :8].astype(float)
+    sub = v[:, [2, 4, 6]]
+    axes = np.array(M.principal_axes(spark.createDataFrame([(r.tolist(),) for r in sub], "v array<double>"), "v", 2)).T
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(v)], "k long, s array<double>")
+    table = A.family_axes(channels, family, {"continents": axes.tolist()})
+    assert sorted({(p, n) for p, n, _, _ in table}) == [(0, "y"), (1, "continents.pc1"), (2, "continents.pc2"), (3, "x"), (4, "weekdays.cos"), (5, "weekdays.sin")]
+    got = np.zeros((len(v), 6))
+    for r in A.structured(rows, ["k"], "s", table).collect():
+        got[r["k"], r["place"]] = r["value"]
+    angle = 2 * np.pi * np.array([1, 0, 6]) / 7
+    days = v[:, [0, 3, 5]]
+    want = np.column_stack([v[:, 7], sub @ axes, v[:, 1], days @ np.cos(angle), days @ np.sin(angle)])
+    assert np.allclose(got, want, atol=1e-9)
+    centred = sub - sub.mean(axis=0)
+    _, _, right = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose(np.abs(axes.T @ right[:2].T), np.eye(2), atol=1e-6)
+    with pytest.raises(ValueError, match="no place"):
+        A.family_axes(["monday", "someday"], {"monday": "weekdays", "someday": "weekdays"})
+    with pytest.raises(ValueError, match="rows"):
+        A.family_axes(["asia"], {"asia": "continents"}, {"continents": axes.tolist()})
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [None, 2.0])], "k long, s array<double>")
+    assert [(r["k"], r["name"], r["value"]) for r in A.structured(odd, ["k"], "s", [(0, "a", 0, 1.0), (1, "b", 1, 1.0)]).orderBy("place").collect()] == [(3, "a", 0.0), (3, "b", 2.0)]
