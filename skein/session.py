@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -41,3 +42,12 @@ def stable(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df`` with all rows of a ``key`` in one partition, sorted by key and ``order``: for functions of partitions.
+
+    Rows are dealt by a struct of the key. Spark leaves a deal by the bare column out where a join before it deals by that
+    column, and may then split the join's partitions, and with them a key's rows, over several tasks.
+    """
+    return df.repartition(F.struct(key)).sortWithinPartitions(key, *order)

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.text import calculate
 from ..functions.tokens import BYTE_SPECIALS
+from ..session import dealt
 
 
 class ToolUse:
@@ -45,18 +48,55 @@ class ToolUse:
 
 
 def continued(log: DataFrame) -> DataFrame:
-    """``log(sample, step, token)`` -> sample, place, token, mask, done: each sample as its cache sees it."""
-    schema = f"sample {log.schema['sample'].dataType.simpleString()}, place long, token int, mask int, done boolean"
+    """``log(sample, step, token)`` -> sample, place, token, mask, done: each sample as its cache sees it. ``done`` marks the row that ends a sample.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, place = ToolUse(), 0
-        for f in frames:
-            rows = [x for t in f["token"] for x in state.feed(int(t))]
-            yield pd.DataFrame({"sample": key[0], "place": range(place, place + len(rows)), "token": [t for t, _ in rows], "mask": [m for _, m in rows], "done": state.done})
-            place += len(rows)
+    Samples follow one another through a task's Arrow batches, with the state carried from batch to batch. Only marks and
+    first tokens are looked at one by one; the runs between them are kept, dropped or collected whole.
+    """
+    schema = f"sample {log.schema['sample'].dataType.simpleString()}, place long, token int, mask int, done boolean"
 
-    ordered = log.select("sample", "step", "token").repartition("sample").sortWithinPartitions("sample", "step")
-    return ordered.groupBy("sample").applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, place, last = ToolUse(), 0, None
+        marks = [state.special[k] for k in ("<|assistant_end|>", "<|bos|>", "<|python_start|>", "<|python_end|>")]
+        for batch in batches:
+            samples, tokens, n = batch.column(0), batch.column(2), batch.num_rows
+            if not n:
+                continue
+            if tokens.null_count:
+                raise ValueError("a token is null")
+            tokens = tokens.to_numpy()
+            codes = pa.concat_arrays([samples[:1] if last is None else last, samples]).dictionary_encode("encode").indices.to_numpy()
+            new = codes[1:] != codes[:-1]
+            new[0] |= last is None
+            last = samples[n - 1 :]
+            kept, ends, forced, counts = np.ones(n, bool), np.zeros(n, bool), [], np.ones(n, np.int64)
+            events = np.flatnonzero(new | np.isin(tokens, marks)).tolist()
+            for at, following in zip([-1, *events], [*events, n], strict=True):
+                if at >= 0:
+                    if new[at]:
+                        state = ToolUse()
+                    out = state.feed(int(tokens[at]))
+                    kept[at], ends[at] = bool(out), bool(out) and state.done
+                    if len(out) > 1:
+                        forced += [t for t, _ in out[1:]]
+                        counts[at] = len(out)
+                if state.done:
+                    kept[at + 1 : following] = False
+                elif state.call is not None:
+                    state.call += tokens[at + 1 : following].tolist()
+            counts[~kept] = 0
+            first = np.cumsum(counts) - counts
+            of = np.repeat(np.arange(n), counts)
+            begins = np.concatenate([[-place], first[new]])[np.cumsum(new)]
+            sampled = np.zeros(len(of), bool)
+            sampled[first[kept]] = True
+            said = np.empty(len(of), np.int32)
+            said[sampled], said[~sampled] = tokens[kept], forced
+            places = np.arange(len(of)) - begins[of]
+            place = int(counts.sum() - begins[-1])
+            yield pa.RecordBatch.from_arrays([samples.take(pa.array(of)), pa.array(places), pa.array(said), pa.array(sampled.astype(np.int32)), pa.array(ends[of])], names=["sample", "place", "token", "mask", "done"])
+
+    return dealt(log.select("sample", "step", "token"), "sample", "step").mapInArrow(run, schema)
 
 
 class ToolUseProcessor(StatefulProcessor):

@@ -81,3 +81,33 @@ def test_idle_samples_end(rocks, tmp_path):
     finally:
         q.stop()
     assert sorted(map(tuple, rocks.table("idle_samples").collect()), key=str) == sorted([(1, 0, 65, 1), (1, 1, None, 0), (2, 0, B["<|assistant_end|>"], 1)], key=str)
+
+
+def test_samples_across_batches(spark):
+    """Samples that cross Arrow batches, of which many share one, are each what the state makes of them token by token."""
+    rng = random.Random(5)
+    some = [*b"2*31+,4 ", *B.values(), B["<|python_start|>"], B["<|python_end|>"], 300]
+    logs = {s: [rng.choice(some) for _ in range(rng.choice((1, 3, 40, 400)))] for s in [None, *range(40)]}
+    logs[7] = [65] * 30 + [B["<|python_start|>"], *b"2*21", B["<|python_end|>"], 66]  # no end mark
+    rows = [(s, k, t) for s, log in logs.items() for k, t in enumerate(log)]
+    want = []
+    for s, log in logs.items():
+        state, out = tools.ToolUse(), []
+        for t in log:
+            out += [(*x, state.done) for x in state.feed(t)]
+        want += [(s, k, *x) for k, x in enumerate(out)]
+    log = spark.createDataFrame(rows, "sample long, step long, token int").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = [tuple(r) for r in tools.continued(log).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_samples_are_no_groups_of_python(spark, sf_dir):
+    """A sample is no call of Python: nine million short ones would take hours."""
+    from skein.plans import store
+
+    plan = store.tool_use(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
