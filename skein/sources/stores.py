@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import dealt
+
 STORE_FORMAT = "activation-store-v2"
 #: Kinds of source that a store may name (fixed values).
 SOURCE_KINDS = ("qwen-encoder", "probe-scores")
@@ -228,7 +230,8 @@ def write_scores(rows: DataFrame, path: str, layers: list[int], concepts: list[s
     """
     width = len(layers) * len(concepts)
     sized = rows.groupBy("shard").agg(F.sum("n").cast("long").alias("_tokens"))  # a row a shard
-    ordered = rows.join(sized, "shard").repartition("shard").sortWithinPartitions("shard", "row").select("shard", "row", "n", "_tokens", F.col("q").cast("array<tinyint>").alias("q"))
+    counted = rows.join(F.broadcast(sized), "shard").select("shard", "row", "n", "_tokens", F.col("q").cast("array<tinyint>").alias("q"))
+    ordered = dealt(counted, "shard", "row")
     system, at = _files(path)
     system.create_dir(at)
     for name, value in (("columns", {"layers": layers, "concepts": concepts}), ("quant", quant), ("corpus_stats", stats)):

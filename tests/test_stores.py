@@ -136,6 +136,23 @@ def test_only_the_shards_asked_for_are_opened(spark, scores, tmp_path):
         R.read_scores(spark, path, [0], 8, ["none"]).collect()
 
 
+def test_a_shard_is_one_task_s_whatever_the_plan(spark, tmp_path):
+    """A join that turns out small enough to broadcast, whose other side is then read by pieces, leaves shards whole."""
+    q = F.array(*(F.pmod(F.col("id") + k, F.lit(100)).cast("tinyint") for k in range(2)))
+    rows = spark.range(0, 3000, 1, 6).select(F.pmod("id", F.lit(3)).cast("int").alias("shard"), F.floor(F.col("id") / 3).alias("row"), F.lit(1).alias("n"), q.alias("q"))
+    held = {"spark.sql.autoBroadcastJoinThreshold": "16k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        R.write_scores(rows, str(tmp_path / "s"), [0], ["a", "b"], {}, {})
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    for shard in range(3):
+        found = np.load(tmp_path / "s" / f"scores_{shard:05d}.npy")
+        assert found[:, 0].tolist() == [[(3 * k + shard) % 100, (3 * k + shard + 1) % 100] for k in range(1000)]
+
+
 def test_broken_rows_are_not_written(spark, tmp_path):
     bad = spark.createDataFrame([(0, 1, 1, [1, 2])], "shard int, row long, n int, q array<int>")
     with pytest.raises(Exception, match="expected row 0"):
