@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,16 +41,20 @@ def char_spans(texts: pa.Array, lengths: pa.Array) -> pa.Array:
     continuation bytes alone has an empty span. Lengths that do not add up to
     the text's bytes are an error.
     """
-    out = []
-    for text, lens in zip(texts, lengths, strict=True):
+    sizes = pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False)
+    flat = lengths.flatten().to_numpy(zero_copy_only=False)
+    starts, stops, at = np.empty(len(flat), np.int32), np.empty(len(flat), np.int32), 0
+    for text, n in zip(texts, sizes.tolist(), strict=True):
         raw = np.frombuffer((text.as_py() or "").encode(), np.uint8)
-        ends = np.concatenate([[0], np.cumsum(np.array(lens.as_py() or [], np.int64))]).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(flat[at : at + n], dtype=np.int64)])
         if ends[-1] != len(raw):
             raise ValueError(f"tokens have {ends[-1]} bytes, the text has {len(raw)}")
         before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        marks = before[ends].tolist()
-        out.append([{"s": a, "e": b} for a, b in zip(marks, marks[1:], strict=False)])
-    return pa.array(out, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+        marks = before[ends]
+        starts[at : at + n], stops[at : at + n] = marks[:-1], marks[1:]
+        at += n
+    spans = pa.StructArray.from_arrays([pa.array(starts), pa.array(stops)], names=["s", "e"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), spans)
 
 
 def windows(spans: DataFrame, by: str, size: int, foreign: int | None = None) -> DataFrame:

@@ -228,6 +228,21 @@ def test_char_spans(spark, vocabulary):
         spark.createDataFrame([("ab", [1])], "t string, n array<int>").select(A.char_spans("t", "n")).collect()
 
 
+def test_char_spans_are_flat():
+    """A batch's spans are numbers in arrays: a Python object each took an executor's memory."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts, lens = pa.array(["abc" * 2_000] * 100), pa.array([[3] * 2_000] * 100, pa.list_(pa.int32()))
+    A.char_spans.func(texts, lens)
+    tracemalloc.start()
+    found = A.char_spans.func(texts, lens)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 50 * 200_000 and found[99].as_py()[-1] == {"s": 5_997, "e": 6_000}
+
+
 def test_noise(spark):
     rows = [(1, [[1.0, 2.0], [0.0, 0.0]]), (2, [[1.0, 2.0], [3.0, 4.0]])]
     df = spark.createDataFrame(rows, "k long, v array<array<float>>")
