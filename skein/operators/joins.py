@@ -38,8 +38,8 @@ def with_baseline(results: DataFrame, baselines: DataFrame, key: str, base: str)
 
 
 def last_wins(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """One row per key: the value of the last row in order."""
-    return rows.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
+    """One row per key: the value of the last row in order. In an order by one column, rows that are null there have no place, and a key without others has a null value."""
+    return rows.groupBy(key).agg(F.max_by(value, F.struct(*order) if len(order) > 1 else F.col(order[0])).alias(value))
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, at: str, value: str) -> DataFrame:
