@@ -181,10 +181,11 @@ def first_at_least(values: DataFrame, targets: DataFrame) -> DataFrame:
     """
     kinds = [values.select("at", F.lit(1).alias("_kind"), "place", F.lit(None).cast("long").alias("key")), targets.select("at", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("place"), "key")]
     both = stable(kinds[0].unionByName(kinds[1]).repartitionByRange("at", "_kind", "place", "key").withColumn("_p", F.spark_partition_id()))
-    within = Window.partitionBy("_p").orderBy("at", "_kind", "place", "key").rowsBetween(0, Window.unboundedFollowing)
+    falling = [F.col(c).desc() for c in ("at", "_kind", "place", "key")]
+    within = Window.partitionBy("_p").orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0)  # a frame that follows is made anew for each row
     heads = both.groupBy("_p").agg(F.min("place").alias("_head"))  # a row a range
-    later = heads.select("_p", F.min("_head").over(Window.orderBy("_p").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    found = F.coalesce(F.first("place", ignorenulls=True).over(within), F.col("_later"))
+    later = heads.select("_p", F.min("_head").over(Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    found = F.coalesce(F.last("place", ignorenulls=True).over(within), F.col("_later"))
     return both.join(later, "_p").select("_kind", "key", "at", found.alias("found")).where("_kind = 0").drop("_kind")
 
 

@@ -128,6 +128,17 @@ def test_running_total(spark):
     assert len(rows) == 1000 and all(r["before"] == r["k"] * (r["k"] - 1) // 2 for r in rows)
 
 
+def test_first_at_least_looks_back_alone(spark):
+    """Frames grow by a row at a time: one that begins at each row and runs to the end is made anew for each, quadratic in a range's rows."""
+    values = [(3 * k, k // 2) for k in range(400)]
+    targets = [(k, (k * 37) % 260) for k in range(300)]
+    found = S.first_at_least(spark.createDataFrame(values, "place long, at long"), spark.createDataFrame(targets, "key long, at long"))
+    want = {(key, at): min((p for p, v in values if v >= at), default=None) for key, at in targets}
+    assert {(r["key"], r["at"]): r["found"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedfollowing" not in plan.replace("$", "").lower()
+
+
 def test_quadratic_and_ridge(spark):
     import numpy as np
 
