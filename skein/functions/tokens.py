@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,20 @@ from pyspark.sql import types as T
 #: Special names in the order of their ids, behind the vocabulary (fixed values).
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
 BYTE_SPECIALS = {name: 256 + i for i, name in enumerate(SPECIALS)}
+#: Bytes of texts or ids that a function of a batch has at hand at a time (a longer text is a part of its own).
+PART_BYTES = 1 << 20
 _CACHE: dict[tuple, object] = {}
 
 
+def in_parts(run: Callable[[pa.Array], pa.Array], values: pa.Array) -> pa.Array:
+    """``run`` over neighbouring texts, or lists of ids, of about ``PART_BYTES`` together, so that what it holds meanwhile is that of a part and not of a batch."""
+    lists = pa.types.is_list(values.type) or pa.types.is_large_list(values.type)
+    sizes = pc.multiply(pc.list_value_length(values), 4) if lists else pc.binary_length(values)
+    part = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PART_BYTES
+    bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(values)]
+    return pa.concat_arrays([run(values[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)])
+
+
 def encoding(path: str, pattern: str):
     """The encoding of a rank file, one per worker process."""
     if (path, pattern) not in _CACHE:
@@ -35,7 +47,7 @@ def counter(paths: list[str], pattern: str):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def count(texts: pa.Array) -> pa.Array:
         encs = [encoding(p, pattern) for p in paths]
-        counts = ([len(e.encode_to_numpy(t or "", allowed_special=set(), disallowed_special=())) for e in encs] for t in texts.to_pylist())
+        counts = ([len(e.encode_to_numpy(t.as_py() or "", allowed_special=set(), disallowed_special=())) for e in encs] for t in texts)
         return pa.array(counts, pa.list_(pa.int32()))
 
     return count.asNondeterministic()  # or each use of the result would count again
@@ -44,8 +56,7 @@ def counter(paths: list[str], pattern: str):
 def encoder(path: str, pattern: str, prepend: str | None = None, append: str | None = None):
     """A function of a text column that gives its ids; special strings in texts are ordinary text, a null text is empty."""
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def encode(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
         head = np.array([enc.encode_single_token(prepend)] if prepend else [], np.int32)
         tail = np.array([enc.encode_single_token(append)] if append else [], np.int32)
@@ -56,12 +67,15 @@ def encoder(path: str, pattern: str, prepend: str | None = None, append: str | N
             ends.append(ends[-1] + len(head) + len(body) + len(tail))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts)))
 
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def encode(texts: pa.Array) -> pa.Array:
+        return in_parts(part, texts)
+
     return encode.asNondeterministic()  # or each use of the ids would encode again
 
 
 def decoder(path: str, pattern: str):
-    @F.arrow_udf(T.StringType())
-    def decode(ids: pa.Array) -> pa.Array:
+    def part(ids: pa.Array) -> pa.Array:
         enc = encoding(path, pattern)
         flat, starts, lengths = ids.flatten().to_numpy(zero_copy_only=False), 0, pc.fill_null(pc.list_value_length(ids), 0).to_pylist()
         out = []
@@ -70,6 +84,10 @@ def decoder(path: str, pattern: str):
             starts += n
         return pa.array(out, pa.string())
 
+    @F.arrow_udf(T.StringType())
+    def decode(ids: pa.Array) -> pa.Array:
+        return in_parts(part, ids)
+
     return decode
 
 

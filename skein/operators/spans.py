@@ -19,6 +19,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tokens import in_parts
+
 CUTS = T.StructType([T.StructField("s", T.ArrayType(T.IntegerType())), T.StructField("e", T.ArrayType(T.IntegerType()))])
 
 
@@ -211,15 +213,18 @@ def _places(lists: pa.Array) -> pa.Array:
 def overlapped_places(targets, sources, how: str = "mean") -> Callable[[Column], Column]:
     """A function of a text: for each span of its cut ``targets`` the ``mean`` or ``last`` place of the spans of its cut ``sources`` that meet it.
 
-    Cuts are functions of this kind: ``split_spans(" ")``. Both are made and searched in one batch, so that spans never leave it.
+    Cuts are functions of this kind: ``split_spans(" ")``. Both are made and searched in one part of a batch, so that spans never leave it.
     """
     meet = overlaps(how)
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def run(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         a, b = targets.func(texts), sources.func(texts)
         return meet.func(a.field("s"), a.field("e"), b.field("s"), b.field("e"), _places(b.field("s")))
 
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return in_parts(part, texts)
+
     return run
 
 
@@ -227,9 +232,12 @@ def last_places(targets, sources) -> Callable[[Column], Column]:
     """A function of a text: for each span of its cut ``targets`` the place of the last span of its cut ``sources`` that ends no later, else -1."""
     search = as_of_places()
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def run(texts: pa.Array) -> pa.Array:
+    def part(texts: pa.Array) -> pa.Array:
         a, b = targets.func(texts), sources.func(texts)
         return search.func(a.field("e"), b.field("e"))
 
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return in_parts(part, texts)
+
     return run

@@ -132,3 +132,24 @@ def test_searches_between_cuts_of_a_text(spark):
                 assert r["x"] == [max((i for i, (_, e) in enumerate(b) if e <= end), default=-1) for _, end in a]
             else:
                 assert alike(r["x"], brute(*zip(*a, strict=True), *zip(*b, strict=True), [float(i) for i in range(len(b))], name))
+
+
+def test_places_are_made_part_by_part():
+    """What a search holds is that of some texts, not of a batch: tens of arrays as long as all spans of ten thousand documents took gigabytes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skein.operators import spans as Z
+
+    texts = pa.array([None, "", *["ab e " * 10_000] * 100, "e e"])
+    for search in (Z.overlapped_places(Z.split_spans(" "), Z.split_spans("e")), Z.last_places(Z.split_spans(" "), Z.split_spans("e"))):
+        one = search.func(texts[2:3]).to_pylist()[0]
+        tracemalloc.start()
+        found = search.func(texts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 150e6
+        assert found[2].as_py() == found[101].as_py() == one and len(found) == len(texts)
+        assert all(found[k].as_py() == search.func(texts[k : k + 1]).to_pylist()[0] for k in (0, 1, 102))
+        assert len(search.func(texts[:0])) == 0
