@@ -115,3 +115,25 @@ def test_report_values_go_by_type(spark):
     assert got == [("3.0000", "20,000", "x", "True"), ("20000.0000", "-20000", "", "False"), ("nan", "9999", "10000", "None"), ("None", "None", "None", "None")]
     text = rows.limit(1).select(report_section(rows, F.lit("Stage"), F.lit("2024-05-06 07:08:09").cast("timestamp_ntz"), ["f", "i"], F.lit("note\n")).alias("t")).first()["t"]
     assert text == "## Stage\ntimestamp: 2024-05-06 07:08:09\n\nnote\n- f: 3.0000\n- i: 20,000\n\n"
+
+
+def test_ids_and_texts_are_made_part_by_part():
+    """Encoder and decoder have some texts of a batch at hand, not all; parts change no result."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from skein.functions import tokens as N
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    enc, dec = N.encoder(*path).func, N.decoder(*path).func
+    texts = pa.array([None, "", *["some words of a text. " * 2_500] * 100, "é🌍"])
+    ids = enc(texts)
+    assert [len(x) for x in ids.to_pylist()[:2]] == [0, 0] and ids[2] == ids[101] and ids[102] == enc(texts[102:])[0]
+    tracemalloc.start()
+    found = dec(ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.to_pylist() == ["", *texts.to_pylist()[1:]] and most < 3e6
+    assert len(enc(texts[:0])) == len(dec(ids[:0])) == 0 and dec(pa.array([None], pa.list_(pa.int32()))).to_pylist() == [None]
