@@ -272,6 +272,8 @@ def tool_use(spark: SparkSession, d: str) -> DataFrame:
 
 _PROBE = {"zero": [[0.25] * 32, [0.5] * 32], "scale": [[0.5] * 32, [0.25] * 32]}
 _PROBE_STATS = {"mean": [[1.0] * 32, [2.0] * 32], "std": [[2.0] * 32, [4.0] * 32]}
+#: Vectors of one score file, about.
+SHARD_ROWS = 1 << 16
 
 
 @query(
@@ -280,14 +282,26 @@ _PROBE_STATS = {"mean": [[1.0] * 32, [2.0] * 32], "std": [[2.0] * 32, [4.0] * 32
     SELECT (vec_id % 3)::INT AS shard, vec_id // 3 AS row, 1::INT AS n, i::INT AS concept, round((q[33 + i] * 0.25 + 0.5 - 2.0) / 4.0, 4)::DOUBLE AS score FROM q, range(32) r(i)""",
 )
 def score_shards(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors written as int8 score files of two layers in three shards, and the second layer read back from these, standardised."""
+    """Vectors written as int8 score files of two layers, and the second layer read back from these, standardised.
+
+    Shards are those of the SQL, ids modulo 3, each in as many files as keep about ``SHARD_ROWS`` vectors; lines name the
+    vectors, whose ids may have gaps, repeat or be null. Files have no room for a vector of fewer than 64 components:
+    what such a one has is standardised without them, the rest is null.
+    """
     path = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
-    shards = [r["s"] for r in S.table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("s")).distinct().orderBy("s").collect()]  # three at most
+    t = S.table(spark, d, "embeddings").select("vec_id", "embedding")
+    files = -(-t.count() // (3 * SHARD_ROWS)) or 1
+    shard = F.pmod(F.coalesce("vec_id", F.lit(0)), F.lit(3)) + 3 * F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(files))
     q = F.transform("embedding", lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("double") * 200))).cast("tinyint"))
-    rows = S.table(spark, d, "embeddings").select((F.col("vec_id") % 3).cast("int").alias("shard"), F.floor(F.col("vec_id") / 3).alias("row"), F.lit(1).alias("n"), q.alias("q"))
-    R.write_scores(rows, path, [4, 8], [f"c{i}" for i in range(32)], _PROBE, _PROBE_STATS)
-    read = R.read_scores(spark, path, shards, layer=8)
-    return read.select("shard", "row", "n", F.posexplode("values").alias("concept", "score")).withColumn("score", F.round(F.col("score").cast("double"), 4))
+    whole = F.coalesce(F.size("embedding") >= 64, F.lit(False))
+    rows = t.where(whole).select(shard.cast("int").alias("shard"), F.col("vec_id").alias("doc"), F.lit(1).alias("n"), F.slice(q, 1, 64).alias("q"))
+    shards = R.write_scores(rows, path, [4, 8], [f"c{i}" for i in range(32)], _PROBE, _PROBE_STATS)
+    read = R.read_scores(spark, path, shards, layer=8).select(F.col("doc").cast("long").alias("vec_id"), "n", "values")
+    zero, scale, mean, std = (F.lit(x[1][0]) for x in (_PROBE["zero"], _PROBE["scale"], _PROBE_STATS["mean"], _PROBE_STATS["std"]))
+    short = t.where(~whole).select("vec_id", F.lit(1).alias("n"), F.array(*((F.get(q, F.lit(32 + i)) * scale + zero - mean) / std for i in range(32))).alias("values"))
+    ids = ((F.col("vec_id") % 3).cast("int").alias("shard"), F.expr("vec_id div 3").alias("row"))
+    found = read.unionByName(short.withColumn("values", F.col("values").cast("array<float>")))
+    return found.select(*ids, "n", F.posexplode("values").alias("concept", "score")).withColumn("score", F.round(F.col("score").cast("double"), 4))
 
 
 @query(

@@ -4,7 +4,7 @@ Two layouts are read where they lie. A *store* is one folder with ``meta.json``,
 ``index.npy`` (hash, offset and number of tokens of each document) and
 ``activations.int8``, rows of ``r`` channels one after another. *Scores* are
 shards: ``docs_<shard>.jsonl`` (a start and a number of tokens a document, in
-row order) beside ``scores_<shard>.npy`` (tokens x layers x concepts), with
+row order, and which document it is) beside ``scores_<shard>.npy`` (tokens x layers x concepts), with
 ``columns.json``, ``quant.json`` and ``corpus_stats.json`` for all. Executors
 read byte ranges of their own; the driver reads metadata and headers alone.
 Shards and hashes that are asked for are options of the read, and nothing else
@@ -162,44 +162,60 @@ class _ScoreReader(DataSourceReader):
         system, scores_at = _files(f"{self.path}/scores_{shard:05d}.npy")
         _, docs_at = _files(f"{self.path}/docs_{shard:05d}.jsonl")
         with system.open_input_file(scores_at) as scores, system.open_input_stream(docs_at) as docs:
-            for first, spans in _spans(docs):
-                for k, last in _groups(np.array([n * row_bytes for _, n in spans], np.int64)):
-                    parts = []
-                    for start, n in spans[k:last]:
-                        raw = scores.read_at(n * row_bytes, begin + start * row_bytes)
-                        if len(raw) != n * row_bytes:
-                            raise ValueError(f"shard {shard} has no {n} scores at {start}")
-                        q = np.frombuffer(raw, kind).reshape(n, layers, concepts)[:, self.layer][:, self.at].astype(np.float32)
-                        parts.append(((q * self.scale + self.zero - self.mean) / self.std).ravel())
+            for first, lines in _lines(docs):
+                names = [_named(x.get("doc")) for x in lines]
+                starts, ns = (np.array([int(x[key]) for x in lines], np.int64) for key in ("start", "n"))
+                for k, last in _groups(ns * row_bytes):
+                    raw = b"".join(_together(scores, shard, begin, row_bytes, starts[k:last], ns[k:last]))
+                    q = np.frombuffer(raw, kind).reshape(-1, layers, concepts)[:, self.layer][:, self.at].astype(np.float32)
+                    values = pa.array(((q * self.scale + self.zero - self.mean) / self.std).ravel(), pa.float32())
+                    ends = pa.array(np.concatenate([[0], np.cumsum(ns[k:last])]) * len(self.at), pa.int32())
                     m = last - k
-                    cols = [pa.array([shard] * m, pa.int32()), pa.array(range(first + k, first + last), pa.int64()), pa.array([n for _, n in spans[k:last]], pa.int32()), _rows(parts, pa.float32())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "row", "n", "values"])
+                    cols = [pa.array([shard] * m, pa.int32()), pa.array(range(first + k, first + last), pa.int64()), pa.array(names[k:last], pa.string()), pa.array(ns[k:last], pa.int32()), pa.ListArray.from_arrays(ends, values)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["shard", "row", "doc", "n", "values"])
 
 
-def _spans(stream) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Row numbers and spans of a file of JSON lines, some thousand lines at a time."""
+def _together(file, shard: int, begin: int, row_bytes: int, starts: np.ndarray, ns: np.ndarray) -> Iterator[bytes]:
+    """The documents' bytes; neighbours in the file are one read."""
+    cuts = np.flatnonzero(starts[1:] != starts[:-1] + ns[:-1]) + 1
+    for k, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ns)], strict=True):
+        start, n = int(starts[k]), int(ns[k:last].sum())
+        raw = file.read_at(n * row_bytes, begin + start * row_bytes)
+        if len(raw) != n * row_bytes:
+            raise ValueError(f"shard {shard} has no {n} scores at {start}")
+        yield raw
+
+
+def _named(doc) -> str | None:
+    return doc if doc is None or isinstance(doc, str) else json.dumps(doc)
+
+
+def _lines(stream) -> Iterator[tuple[int, list[dict]]]:
+    """Row numbers and lines of a file of JSON lines, some thousand lines at a time."""
     row, held, rest = 0, [], b""
     while chunk := stream.read(1 << 20):
         lines = (rest + chunk).split(b"\n")
         rest = lines.pop()
-        held = [(int(x["start"]), int(x["n"])) for x in map(json.loads, filter(None, lines))]
+        held = [json.loads(x) for x in lines if x]
         if held:
             yield row, held
             row += len(held)
     if rest.strip():
-        x = json.loads(rest)
-        yield row, [(int(x["start"]), int(x["n"]))]
+        yield row, [json.loads(rest)]
 
 
 class ProbeScores(DataSource):
-    """``shard``, ``row``, ``n`` and ``values`` (``n`` rows of standardised scores of one layer's concepts) of each document of score shards."""
+    """``shard``, ``row``, ``doc``, ``n`` and ``values`` (``n`` rows of standardised scores of one layer's concepts) of each document of score shards.
+
+    ``doc`` is what the document's line says of it, as text; null if it says nothing.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "skein_scores"
 
     def schema(self) -> str:
-        return "shard int, row long, n int, values array<float>"
+        return "shard int, row long, doc string, n int, values array<float>"
 
     def reader(self, schema) -> DataSourceReader:
         return _ScoreReader(self.options)
@@ -222,16 +238,20 @@ def read_scores(spark: SparkSession, path: str, shards: list[int], layer: int, c
     return reading.option("concepts", ",".join(concepts or [])).load()
 
 
-def write_scores(rows: DataFrame, path: str, layers: list[int], concepts: list[str], quant: dict, stats: dict) -> None:
-    """``rows(shard, row, n, q)``, ``q`` the int8 values of ``n`` tokens, as score shards, and the three descriptions.
+def write_scores(rows: DataFrame, path: str, layers: list[int], concepts: list[str], quant: dict, stats: dict) -> list[int]:
+    """``rows(shard, row, n, q)``, ``q`` the int8 values of ``n`` tokens, as score shards, and the three descriptions. The shards written, in order.
 
     A task writes whole shards, in row order, under other names and moves them when they are
     complete, so that one that is run again leaves the same files. Rows of a shard have to be 0, 1, 2 and so on.
+    With a column ``doc`` in place of ``row``, documents are whatever it calls them, with gaps, repeats or null:
+    they lie in its order, and their lines name them.
     """
     width = len(layers) * len(concepts)
+    named = "row" not in rows.columns
+    key = "doc" if named else "row"
     sized = rows.groupBy("shard").agg(F.sum("n").cast("long").alias("_tokens"))  # a row a shard
-    counted = rows.join(F.broadcast(sized), "shard").select("shard", "row", "n", "_tokens", F.col("q").cast("array<tinyint>").alias("q"))
-    ordered = dealt(counted, "shard", "row")
+    counted = rows.join(F.broadcast(sized), "shard").select("shard", key, "n", "_tokens", F.col("q").cast("array<tinyint>").alias("q"))
+    ordered = dealt(counted, "shard", key, "n", "q")  # so that documents of one name lie in the same order if a task is run again
     system, at = _files(path)
     system.create_dir(at)
     for name, value in (("columns", {"layers": layers, "concepts": concepts}), ("quant", quant), ("corpus_stats", stats)):
@@ -244,30 +264,44 @@ def write_scores(rows: DataFrame, path: str, layers: list[int], concepts: list[s
         system, at = _files(path)
         now, mark, open_files, row_due, start = None, uuid.uuid4().hex, [], 0, 0
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
             for f in open_files:
                 f.close()
             if now is not None:
                 for name in (f"scores_{now:05d}.npy", f"docs_{now:05d}.jsonl"):
                     system.move(f"{at}/.{mark}.{name}", f"{at}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["shard"])
 
         for batch in batches:
-            for shard, row, n, tokens, q in zip(*(batch.column(i) for i in range(5)), strict=True):
-                shard, row, n = shard.as_py(), row.as_py(), n.as_py()
-                if shard != now:
-                    close()
-                    now, row_due, start = shard, 0, 0
+            shards, ns = (batch.column(i).to_numpy() for i in (0, 2))
+            cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), batch.num_rows]
+            for k, last in zip(cuts[:-1], cuts[1:], strict=True):
+                if k == last:
+                    continue
+                if shards[k] != now:
+                    yield from close()
+                    now, row_due, start = int(shards[k]), 0, 0
                     open_files = [system.open_output_stream(f"{at}/.{mark}.scores_{now:05d}.npy"), system.open_output_stream(f"{at}/.{mark}.docs_{now:05d}.jsonl")]
                     head = io.BytesIO()
-                    np.lib.format.write_array_header_1_0(head, {"descr": "|i1", "fortran_order": False, "shape": (tokens.as_py(), len(layers), len(concepts))})
+                    np.lib.format.write_array_header_1_0(head, {"descr": "|i1", "fortran_order": False, "shape": (batch.column(3)[k].as_py(), len(layers), len(concepts))})
                     open_files[0].write(head.getvalue())
-                values = np.array(q.values.to_numpy(zero_copy_only=False), np.int8)
-                if row != row_due or len(values) != n * width:
-                    raise ValueError(f"row {row} of shard {shard}: expected row {row_due} of {n * width} values, found {len(values)}")
-                open_files[0].write(values.tobytes())
-                open_files[1].write(json.dumps({"start": start, "n": n}).encode() + b"\n")
-                row_due, start = row_due + 1, start + n
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["rows"])
-        close()
-
-    ordered.mapInArrow(run, "rows long").agg(F.sum("rows")).collect()  # one number
+                n, q, docs = ns[k:last].astype(np.int64), batch.column(4).slice(k, last - k), batch.column(1).slice(k, last - k).to_pylist()
+                found = q.value_lengths().fill_null(-1).to_numpy()
+                due = docs if named else range(row_due, row_due + len(docs))
+                wrong = [i for i, (x, y, same) in enumerate(zip(docs, due, found == n * width, strict=True)) if x != y or not same]
+                if wrong:
+                    i = wrong[0]
+                    raise ValueError(f"row {docs[i]} of shard {now}: expected row {due[i]} of {n[i] * width} values, found {found[i]}")
+                values = q.flatten()
+                if values.null_count:
+                    raise ValueError(f"rows of shard {now} hold values that are null")
+                open_files[0].write(np.ascontiguousarray(values.to_numpy(), np.int8).tobytes())
+                starts = (start + np.cumsum(n) - n).tolist()
+                lines = ({"start": s, "n": m} for s, m in zip(starts, n.tolist(), strict=True))
+                if named:
+                    lines = ({"doc": doc} | x for doc, x in zip(docs, lines, strict=True))
+                open_files[1].write("".join(json.dumps(x) + "\n" for x in lines).encode())
+                row_due, start = row_due + len(docs), start + int(n.sum())
+        yield from close()
+
+    return sorted(r["shard"] for r in ordered.mapInArrow(run, "shard int").collect())  # a number a shard

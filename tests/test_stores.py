@@ -160,6 +160,39 @@ def test_broken_rows_are_not_written(spark, tmp_path):
     assert not (tmp_path / "b" / "scores_00000.npy").exists()
 
 
+def test_documents_of_any_name_are_written_and_read(spark, tmp_path):
+    """Names with gaps, repeats and without a value; several files; a line without a name, and documents that lie elsewhere in the file."""
+    named = [(0, 5_000_000_000, 1, [1, 2]), (0, 7, 2, [3, 4, 5, 6]), (0, 7, 1, [9, 9]), (0, None, 0, []), (4, -3, 1, [7, 8])]
+    rows = spark.createDataFrame(named, "shard int, doc long, n int, q array<int>").repartition(3)
+    path = str(tmp_path / "s")
+    assert R.write_scores(rows, path, [0], ["a", "b"], {"zero": [[0, 0]], "scale": [[1, 1]]}, {"mean": [[0, 0]], "std": [[1, 1]]}) == [0, 4]
+    got = [(r["shard"], r["row"], r["doc"], r["n"], r["values"]) for r in R.read_scores(spark, path, [0, 4], 0).orderBy("shard", "row").collect()]
+    assert got == [(0, 0, None, 0, []), (0, 1, "7", 1, [9, 9]), (0, 2, "7", 2, [3, 4, 5, 6]), (0, 3, "5000000000", 1, [1, 2]), (4, 0, "-3", 1, [7, 8])]
+    (tmp_path / "s" / "docs_00000.jsonl").write_text('{"start": 3, "n": 1}\n{"doc": "x", "start": 0, "n": 1}\n{"doc": 2, "start": 1, "n": 2}')
+    got = [(r["row"], r["doc"], r["values"]) for r in R.read_scores(spark, path, [0], 0).orderBy("row").collect()]
+    assert got == [(0, None, [1, 2]), (1, "x", [9, 9]), (2, "2", [3, 4, 5, 6])]
+
+
+@pytest.mark.parametrize("held", [1 << 16, 4])
+def test_score_shards_of_odd_vectors_are_as_the_sql_states(spark, sf_dir, tmp_path, monkeypatch, held):
+    """Ids with gaps, repeated, negative or null; vectors too short, too long, null, or with parts that are null or no numbers."""
+    import duckdb
+    from conftest import rows_of
+
+    from skein.plans import store
+    from skein.plans.registry import SQL
+
+    monkeypatch.setattr(store, "SHARD_ROWS", held, raising=False)
+    t = [(r["vec_id"] if r["vec_id"] < 20 else r["vec_id"] + 1_000_000, r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40").collect()]
+    e = t[0][1]
+    ids = [(3, e), (3, e), (3, t[1][1]), (-1, e), (-7, e), (None, e), (None, e), (2**63 - 1, e), (-(2**63), e), (2**53 + 1, e)]
+    vectors = [(100, None), (101, []), (102, e[:40]), (103, e + e), (104, [None, *e[1:]]), (105, e[:63] + [None]), (106, e[:61] + [float("nan"), float("inf"), float("-inf")]), (None, None), (None, e[:33])]
+    spark.createDataFrame(t + ids + vectors, "vec_id long, embedding array<float>").coalesce(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert rows_of(store.score_shards(spark, str(tmp_path)).toArrow()) == rows_of(con.sql(SQL["score_shards"]).to_arrow_table())
+
+
 def test_sweeps_are_observed_and_refuse_drift(spark, tmp_path):
     rows = spark.createDataFrame([(k % 3, k, 2, [k % 2, -127, None]) for k in range(30)], "shard int, doc long, n int, q array<int>")
     measures = A.write_measures(F.col("n"), F.lit(2), F.col("q"))
