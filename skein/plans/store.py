@@ -292,16 +292,18 @@ def score_shards(spark: SparkSession, d: str) -> DataFrame:
     t = S.table(spark, d, "embeddings").select("vec_id", "embedding")
     files = -(-t.count() // (3 * SHARD_ROWS)) or 1
     shard = F.pmod(F.coalesce("vec_id", F.lit(0)), F.lit(3)) + 3 * F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(files))
-    q = F.transform("embedding", lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("double") * 200))).cast("tinyint"))
+    int8 = lambda x: F.greatest(F.lit(-128), F.least(F.lit(127), F.round(x.cast("double") * 200))).cast("tinyint")
     whole = F.coalesce(F.size("embedding") >= 64, F.lit(False))
-    rows = t.where(whole).select(shard.cast("int").alias("shard"), F.col("vec_id").alias("doc"), F.lit(1).alias("n"), F.slice(q, 1, 64).alias("q"))
+    q = F.transform(F.slice("embedding", 1, 64), int8)
+    rows = t.where(whole).select(shard.cast("int").alias("shard"), F.col("vec_id").alias("doc"), F.lit(1).alias("n"), q.alias("q"))
     shards = R.write_scores(rows, path, [4, 8], [f"c{i}" for i in range(32)], _PROBE, _PROBE_STATS)
-    read = R.read_scores(spark, path, shards, layer=8).select(F.col("doc").cast("long").alias("vec_id"), "n", "values")
-    zero, scale, mean, std = (F.lit(x[1][0]) for x in (_PROBE["zero"], _PROBE["scale"], _PROBE_STATS["mean"], _PROBE_STATS["std"]))
-    short = t.where(~whole).select("vec_id", F.lit(1).alias("n"), F.array(*((F.get(q, F.lit(32 + i)) * scale + zero - mean) / std for i in range(32))).alias("values"))
-    ids = ((F.col("vec_id") % 3).cast("int").alias("shard"), F.expr("vec_id div 3").alias("row"))
-    found = read.unionByName(short.withColumn("values", F.col("values").cast("array<float>")))
-    return found.select(*ids, "n", F.posexplode("values").alias("concept", "score")).withColumn("score", F.round(F.col("score").cast("double"), 4))
+    read = R.read_scores(spark, path, shards, layer=8).select(F.col("doc").cast("long").alias("vec_id"), "n", F.posexplode("values").alias("concept", "score"))
+    short = t.where(~whole).select("vec_id", "embedding", F.lit(1).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(31))).alias("concept"))
+    at, zero, scale, mean, std = F.col("concept") + 32, *(F.lit(x[1][0]) for x in (*_PROBE.values(), *_PROBE_STATS.values()))
+    has = F.when(F.size("embedding") > at, (int8(F.get("embedding", at)) * scale + zero - mean) / std)
+    found = read.unionByName(short.select("vec_id", "n", "concept", has.cast("float").alias("score")))
+    score = F.round(F.col("score").cast("double"), 4).alias("score")
+    return found.select((F.col("vec_id") % 3).cast("int").alias("shard"), F.expr("vec_id div 3").alias("row"), "n", "concept", score)
 
 
 @query(
